@@ -372,3 +372,154 @@ def str_5(spark, d):
 def mth_2(spark, d):
     p = _postings(spark, d)
     return p.select("ord", SAL.digit_count(SAL.extract_salary(F.col("description"))).alias("digits"))
+
+
+# ------------------------------------------------------------ run diff (JOB-5)
+from .operators import diff as DIF  # noqa: E402
+from .plans import rundiff as RD  # noqa: E402
+from .sources import logs as LG  # noqa: E402
+from .session import ensure_checkpoint_dir  # noqa: E402
+
+
+def _f5(spark, d):
+    return RD.decisions(S.sources_all(_sources(spark, d)), _postings(spark, d), [(1, CFG_A), (2, CFG_B)])
+
+
+def _f6(spark, d):
+    return RD.dry_run_log(_f5(spark, d))
+
+
+def _diff(spark, d):
+    return RD.run_diff(_f6(spark, d))
+
+
+@register("str_30", O.diff_ctes() + "SELECT run_id, line_no, company, decision, reason, title FROM parsed")
+def str_30(spark, d):
+    return DIF.parse_lines(_f6(spark, d)).select("run_id", "line_no", "company", "decision", "reason", "title")
+
+
+@register("agg_7", O.diff_ctes() + "SELECT * FROM last")
+def agg_7(spark, d):
+    return DIF.last_per_key(DIF.parse_lines(_f6(spark, d)), ["run_id", "company", "title"])
+
+
+_DIFF_COLS = "company, title, decision1, reason1, decision2, reason2, bucket"
+
+
+@register("jn_5", O.diff_ctes() + f"SELECT {_DIFF_COLS} FROM diff")
+def jn_5(spark, d):
+    return _diff(spark, d).select(*_DIFF_COLS.split(", "))
+
+
+@register("set_5", O.diff_ctes() + "SELECT company, title, bucket FROM diff")
+def set_5(spark, d):
+    return _diff(spark, d).select("company", "title", "bucket")
+
+
+@register("job_5", O.diff_ctes() + f"SELECT {_DIFF_COLS} FROM diff ORDER BY company, title")
+def job_5(spark, d):
+    return _diff(spark, d).select(*_DIFF_COLS.split(", ")).orderBy("company", "title")
+
+
+@register("srt_2", O.diff_ctes() + "SELECT company, title, bucket FROM diff WHERE bucket <> 'unchanged' ORDER BY company, title")
+def srt_2(spark, d):
+    return _diff(spark, d).where(F.col("bucket") != "unchanged").select("company", "title", "bucket").orderBy("company", "title")
+
+
+@register("agg_6", O.diff_ctes() + """
+SELECT count(*) FILTER (WHERE bucket = 'newly_added') AS newly_added,
+       count(*) FILTER (WHERE bucket = 'newly_filtered') AS newly_filtered,
+       count(*) FILTER (WHERE bucket = 'reason_changed') AS reason_changed,
+       count(*) FILTER (WHERE bucket = 'only_in_run1') AS only_in_run1,
+       count(*) FILTER (WHERE bucket = 'only_in_run2') AS only_in_run2,
+       count(*) FILTER (WHERE bucket = 'unchanged') AS unchanged,
+       count(*) FILTER (WHERE decision1 IS NOT NULL) AS run1_jobs,
+       count(*) FILTER (WHERE decision2 IS NOT NULL) AS run2_jobs
+FROM diff""")
+def agg_6(spark, d):
+    return DIF.bucket_sizes(_diff(spark, d))
+
+
+@register("set_1", O.diff_ctes() + "SELECT DISTINCT company, title FROM last")
+def set_1(spark, d):
+    last = DIF.last_per_key(DIF.parse_lines(_f6(spark, d)), ["run_id", "company", "title"])
+    return DIF.union_keys(last.where("run_id = 1"), last.where("run_id = 2"))
+
+
+@register("set_2", O.diff_ctes() + """
+SELECT 'run1' AS side, company, title FROM last l WHERE run_id = 1
+  AND NOT EXISTS (SELECT 1 FROM last r WHERE r.run_id = 2 AND r.company = l.company AND r.title = l.title)
+UNION ALL
+SELECT 'run2' AS side, company, title FROM last l WHERE run_id = 2
+  AND NOT EXISTS (SELECT 1 FROM last r WHERE r.run_id = 1 AND r.company = l.company AND r.title = l.title)""")
+def set_2(spark, d):
+    last = DIF.last_per_key(DIF.parse_lines(_f6(spark, d)), ["run_id", "company", "title"])
+    r1, r2 = last.where("run_id = 1"), last.where("run_id = 2")
+    return (DIF.only_in(r1, r2).select(F.lit("run1").alias("side"), "company", "title")
+            .unionByName(DIF.only_in(r2, r1).select(F.lit("run2").alias("side"), "company", "title")))
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("snk_7", O.diff_ctes() + "SELECT company, title, bucket FROM diff")
+def snk_7(spark, d):
+    path = _scratch(spark, "diff")
+    LG.write_diff(_diff(spark, d).select("company", "title", "bucket"), path)
+    return spark.read.parquet(path).select("company", "title", "bucket")
+
+
+@register("snk_6", O.diff_ctes() + "SELECT run_id, line_no, line FROM lines")
+def snk_6(spark, d):
+    out = None
+    f6 = _f6(spark, d)
+    for run_id in (1, 2):
+        path = _scratch(spark, f"dry-run-{run_id}")
+        LG.write_lines(f6.where(F.col("run_id") == run_id), path)
+        back = LG.read_log(spark, path).select(F.lit(run_id).alias("run_id"), "line_no", "line")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@register("src_9", O.diff_ctes() + "SELECT line_no, line FROM lines WHERE run_id = 1")
+def src_9(spark, d):
+    path = _scratch(spark, "run-log")
+    LG.write_lines(_f6(spark, d).where(F.col("run_id") == 1), path)
+    return LG.read_log(spark, path).select("line_no", "line")
+
+
+# ------------------------------------------------------------ run log (JOB-7)
+_TS = fx.RUN_TS
+
+
+def _runlog(spark, d):
+    decided, results = C.collection_run(_sources(spark, d), _postings(spark, d),
+                                        fx.stored_df(_postings(spark, d)), CFG_A)
+    return RD.run_log_lines(decided, results, _TS)
+
+
+@register("flt_15", O.runlog_ctes(_TS) + """
+SELECT line_no, line FROM runlog
+WHERE (contains(line, '[Supplier#000000004]') OR contains(lower(line), 'supplier#000000004'))
+  AND contains(line, '[INFO]') AND contains(line, 'FILTERED')""")
+def flt_15(spark, d):
+    return LG.log_lines(_runlog(spark, d), "Supplier#000000004", "info", True).select("line_no", "line")
+
+
+@register("lim_1", O.runlog_ctes(_TS) + "SELECT line_no, line FROM runlog ORDER BY line_no DESC LIMIT 200")
+def lim_1(spark, d):
+    return LG.tail(_runlog(spark, d), 200).select("line_no", "line")
+
+
+@register("job_7", O.runlog_ctes(_TS) + """
+SELECT line_no, line, count(*) OVER () AS total FROM (
+  SELECT line_no, line FROM runlog WHERE contains(line, 'FILTERED') ORDER BY line_no DESC LIMIT 2000)""")
+def job_7(spark, d):
+    return RD.log_query(_runlog(spark, d), filtered_only=True, limit=2000).select("line_no", "line", "total")
+
+
+@register("agg_8_log", O.runlog_ctes(_TS) + "SELECT count(*) AS total FROM runlog WHERE contains(line, '[ERROR]')")
+def agg_8_log(spark, d):
+    return LG.log_lines(_runlog(spark, d), level="error").agg(F.count(F.lit(1)).alias("total"))

@@ -31,7 +31,7 @@ TITLES = [
     ("Senior Manager, People's Operations", "engineering_manager"),
     ("Staff Developer Advocate", "engineer"),
 ]
-LOCATIONS = ["Remote - United States", "Lehi, UT", "New York, NY"]
+LOCATIONS = ["Remote - United States", "Lehi, UT", "New York, NY | Austin, TX |  New York, NY "]
 DEPARTMENTS = ["Engineering", "Data Science", "Product", "Sales", None]
 
 CONFIG_A = {

@@ -71,7 +71,7 @@ def repr_sql(col: str) -> str:
             f"ELSE '''' || replace({col}, '''', '\\''') || '''' END")
 
 
-def cascade_ctes(cfg: FilterConfig, dedup: bool, where: str = "active") -> str:
+def cascade_ctes(cfg: FilterConfig, dedup: bool, where: str = "active", sfx: str = "", planned: bool = True) -> str:
     """planned + flagged + decided CTEs for the cascade over F2 (role from the
     closed-form expected value)."""
     roles = ", ".join(q(r) for r in (cfg.roles or []))
@@ -86,19 +86,19 @@ def cascade_ctes(cfg: FilterConfig, dedup: bool, where: str = "active") -> str:
     twin = """coalesce(max(CASE WHEN role_ok AND NOT blocked AND location_ok AND department_ok THEN 1 ELSE 0 END)
                OVER (PARTITION BY url_hash ORDER BY source_order, ord
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1""" if dedup else "false"
-    return planned_cte(where) + f""",
-flagged AS (
+    return (planned_cte(where) if planned else "") + f""",
+flagged{sfx} AS (
   SELECT f2.*, s.company AS source_company, s.id AS source_order, s.platform,
          sha256(f2.url) AS url_hash, role_expected AS role,
          {role_ok} AS role_ok, {blocked} AS blocked, {loc_ok} AS location_ok, {dept_ok} AS department_ok
   FROM f2 JOIN planned s ON f2.source_id = s.id AND s.status = 'success'),
-twins AS (
-  SELECT *, url_hash IN (SELECT url_hash FROM stored) AS already_stored, {twin} AS earlier_twin FROM flagged),
-stepped AS (
+twins{sfx} AS (
+  SELECT *, url_hash IN (SELECT url_hash FROM stored) AS already_stored, {twin} AS earlier_twin FROM flagged{sfx}),
+stepped{sfx} AS (
   SELECT *, CASE WHEN NOT role_ok THEN 'role' WHEN blocked THEN 'blocked_title' WHEN {dup} THEN 'duplicate'
                  WHEN NOT location_ok THEN 'location' WHEN NOT department_ok THEN 'department' ELSE 'added' END AS step
-  FROM twins),
-decided AS (
+  FROM twins{sfx}),
+decided{sfx} AS (
   SELECT *, CASE step WHEN 'added' THEN '{added}' WHEN 'duplicate' THEN 'SKIPPED' ELSE 'FILTERED' END AS decision,
          CASE step WHEN 'role' THEN 'role=' || coalesce(role, 'None')
                    WHEN 'blocked_title' THEN 'blocked_title'
@@ -106,7 +106,7 @@ decided AS (
                    WHEN 'location' THEN 'location=' || {repr_sql('location')}
                    WHEN 'department' THEN 'dept=' || CASE WHEN department IS NULL THEN '[]' ELSE '[' || {repr_sql('department')} || ']' END
                    ELSE 'role=' || coalesce(role, 'None') || ' location=' || {repr_sql('location')} END AS reason
-  FROM stepped)"""
+  FROM stepped{sfx})"""
 
 
 CFG_A = FilterConfig.from_dict(CONFIG_A)
@@ -119,3 +119,70 @@ def with_cascade(cfg: FilterConfig = CFG_A, dedup: bool = True, where: str = "ac
 
 def with_planned(where: str = "active") -> str:
     return duck_with(planned_cte(where))
+
+
+def with_two_dry_runs() -> str:
+    """decided1 (CONFIG_A) and decided2 (CONFIG_B), dry-run form."""
+    w = "active AND NOT requires_js"
+    return duck_with(cascade_ctes(CFG_A, False, w, "1") + cascade_ctes(CFG_B, False, w, "2", planned=False))
+
+
+LINE_PATTERN = "^\\[([^\\]]+)\\]\\s+(WOULD ADD|FILTERED)\\s+([^:]+):\\s+'(.+)'$"
+
+
+def diff_ctes() -> str:
+    """dec (F5), lines (F6), parsed, last, diff over the two dry runs."""
+    pat = q(LINE_PATTERN)
+    return with_two_dry_runs() + f""",
+dec AS (
+  SELECT 1 AS run_id, source_id, ord, ord * 2 + 1 AS line_no, source_company AS company, title, decision, reason, step FROM decided1
+  UNION ALL
+  SELECT 2 AS run_id, source_id, ord, ord * 2 + 1 AS line_no, source_company AS company, title, decision, reason, step FROM decided2),
+lines AS (
+  SELECT run_id, line_no, '[' || company || '] ' || decision || ' ' || reason || ': ' || {repr_sql('title')} AS line FROM dec
+  UNION ALL
+  SELECT run_id, min(ord) * 2, '[' || company || '] Found ' || CAST(count(*) AS VARCHAR) || ' listings' FROM dec GROUP BY run_id, source_id, company
+  UNION ALL
+  SELECT run_id, max(ord) * 2 + 2, '[' || company || '] found=' || CAST(count(*) AS VARCHAR)
+         || '  would_add=' || CAST(count(*) FILTER (WHERE step = 'added') AS VARCHAR)
+         || '  filtered=' || CAST(count(*) FILTER (WHERE step IN ('role', 'location', 'department')) AS VARCHAR)
+         || '  blocked=' || CAST(count(*) FILTER (WHERE step = 'blocked_title') AS VARCHAR)
+  FROM dec GROUP BY run_id, source_id, company),
+parsed AS (
+  SELECT run_id, line_no, regexp_extract(line, {pat}, 1) AS company, regexp_extract(line, {pat}, 2) AS decision,
+         trim(regexp_extract(line, {pat}, 3)) AS reason, regexp_extract(line, {pat}, 4) AS title
+  FROM lines WHERE regexp_matches(line, {pat})),
+last AS (
+  SELECT run_id, company, title, decision, reason FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, company, title ORDER BY line_no DESC) AS rn FROM parsed) WHERE rn = 1),
+diff AS (
+  SELECT coalesce(a.company, b.company) AS company, coalesce(a.title, b.title) AS title,
+         a.decision AS decision1, a.reason AS reason1, b.decision AS decision2, b.reason AS reason2,
+         CASE WHEN b.decision IS NULL THEN 'only_in_run1' WHEN a.decision IS NULL THEN 'only_in_run2'
+              WHEN a.decision = 'FILTERED' AND b.decision = 'WOULD ADD' THEN 'newly_added'
+              WHEN a.decision = 'WOULD ADD' AND b.decision = 'FILTERED' THEN 'newly_filtered'
+              WHEN a.reason <> b.reason THEN 'reason_changed' ELSE 'unchanged' END AS bucket
+  FROM (SELECT * FROM last WHERE run_id = 1) a FULL OUTER JOIN (SELECT * FROM last WHERE run_id = 2) b
+    ON a.company = b.company AND a.title = b.title)
+"""
+
+
+def runlog_ctes(ts_text: str) -> str:
+    """runlog (line_no, line) of the collection run (cascade A with dedup)."""
+    from .fixtures import duck_with as _dw
+    stride = 1_000_000_000_000
+    return with_cascade() + f""",
+counts AS (
+  SELECT source_id, count(*) AS found FROM decided GROUP BY source_id),
+runlog AS (
+  SELECT source_order * {stride} + ord * 2 + 1 AS line_no,
+         '{ts_text},000 [INFO] [' || source_company || '] ' || decision || ' ' || reason || ': ' || {repr_sql('title')} AS line
+  FROM decided
+  UNION ALL
+  SELECT id * {stride}, '{ts_text},000 [ERROR] [' || company || '] Scrape failed: ' || error FROM planned WHERE status = 'failed'
+  UNION ALL
+  SELECT id * {stride}, '{ts_text},000 [INFO] [' || company || '] Skipping — requires_js=TRUE' FROM planned WHERE status = 'skipped'
+  UNION ALL
+  SELECT p.id * {stride}, '{ts_text},000 [INFO] [' || p.company || '] Found ' || CAST(coalesce(c.found, 0) AS VARCHAR) || ' listings'
+  FROM planned p LEFT JOIN counts c ON c.source_id = p.id WHERE p.status = 'success')
+"""
