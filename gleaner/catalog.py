@@ -143,7 +143,7 @@ def agg_10(spark, d):
 SELECT f2.ord, f2.source_id, s.company AS source_company, s.platform
 FROM f2 JOIN planned s ON f2.source_id = s.id AND s.status = 'success'""")
 def jn_3(spark, d):
-    planned = RT.plan_sources(S.active_sources(_sources(spark, d)))
+    planned = C.plan(S.active_sources(_sources(spark, d)))
     return C.listings_of(planned, _postings(spark, d)).select("ord", "source_id", "source_company", "platform")
 
 
@@ -231,7 +231,7 @@ SELECT f2.ord, sha256(f2.url) AS url_hash FROM f2 JOIN planned s ON f2.source_id
 WHERE sha256(f2.url) NOT IN (SELECT url_hash FROM stored)""")
 def jn_1(spark, d):
     p = _postings(spark, d)
-    planned = RT.plan_sources(S.active_sources(_sources(spark, d)))
+    planned = C.plan(S.active_sources(_sources(spark, d)))
     listings = C.listings_of(planned, p).withColumn("url_hash", T.hash_url(F.col("url")))
     return listings.join(fx.stored_df(p), "url_hash", "left_anti").select("ord", "url_hash")
 
@@ -523,3 +523,179 @@ def job_7(spark, d):
 @register("agg_8_log", O.runlog_ctes(_TS) + "SELECT count(*) AS total FROM runlog WHERE contains(line, '[ERROR]')")
 def agg_8_log(spark, d):
     return LG.log_lines(_runlog(spark, d), level="error").agg(F.count(F.lit(1)).alias("total"))
+
+
+# ------------------------------------------------------- sinks, second pass
+from .sources import sinks as SK  # noqa: E402
+from .plans import discovery as DS  # noqa: E402
+
+_NEWJOBS_SQL = f""",
+newjobs AS (
+  SELECT source_id, title, url AS job_url, url_hash, source_company AS company,
+         CASE WHEN location <> '' THEN substr(location, 1, 500) END AS location,
+         CAST(NULL AS VARCHAR) AS job_type,
+         CASE WHEN coalesce(trim(description) <> '', false) THEN salary_expected END AS salary,
+         CASE WHEN coalesce(trim(description) <> '', false) THEN description END AS description,
+         CAST(NULL AS VARCHAR) AS requirements, role,
+         CASE WHEN coalesce(trim(description) <> '', false) THEN 'scraped' ELSE 'pending' END AS scrape_status,
+         CASE WHEN coalesce(trim(description) <> '', false) THEN TIMESTAMP '{fx.RUN_TS}' END AS scraped_at
+  FROM decided WHERE step = 'added')
+"""
+
+
+def _new_jobs(spark, d):
+    return SK.new_jobs(_decided(spark, d), _run_ts(spark))
+
+
+@register("snk_1", O.with_cascade() + _NEWJOBS_SQL + "SELECT * FROM newjobs")
+def snk_1(spark, d):
+    return _new_jobs(spark, d)
+
+
+@register("prj_3", O.with_cascade() + _NEWJOBS_SQL + "SELECT url_hash, company, scrape_status FROM newjobs")
+def prj_3(spark, d):
+    return _new_jobs(spark, d).select("url_hash", "company", "scrape_status")
+
+
+@register("jsn_4", O.with_cascade() + _NEWJOBS_SQL + "SELECT url_hash, requirements FROM newjobs")
+def jsn_4(spark, d):
+    return _new_jobs(spark, d).select("url_hash", "requirements")
+
+
+_PASS2_SQL = f""",
+hit AS (SELECT d.* FROM details d WHERE d.url_hash IN (SELECT url_hash FROM newjobs WHERE scrape_status = 'pending')),
+pass2 AS (
+  SELECT j.source_id, j.title, j.job_url, j.url_hash, j.company, j.requirements, j.role,
+    CASE WHEN h.url_hash IS NOT NULL AND h.error IS NULL THEN coalesce(h.location, j.location) ELSE j.location END AS location,
+    CASE WHEN h.url_hash IS NOT NULL AND h.error IS NULL THEN coalesce(h.job_type, j.job_type) ELSE j.job_type END AS job_type,
+    CASE WHEN h.url_hash IS NOT NULL AND h.error IS NULL THEN coalesce(h.salary, j.salary) ELSE j.salary END AS salary,
+    CASE WHEN h.url_hash IS NOT NULL AND h.error IS NULL THEN h.description ELSE j.description END AS description,
+    CASE WHEN h.error IS NOT NULL THEN 'failed'
+         WHEN h.url_hash IS NOT NULL AND coalesce(trim(h.description) <> '', false) THEN 'scraped'
+         WHEN h.url_hash IS NOT NULL THEN 'failed' ELSE j.scrape_status END AS scrape_status,
+    CASE WHEN h.url_hash IS NOT NULL THEN TIMESTAMP '{fx.RUN_TS}' ELSE j.scraped_at END AS scraped_at,
+    CASE WHEN h.error IS NOT NULL THEN substr(h.error, 1, 500) END AS scrape_error
+  FROM newjobs j LEFT JOIN hit h ON h.url_hash = j.url_hash)
+"""
+
+
+def _pass2(spark, d):
+    p = _postings(spark, d)
+    return SK.apply_details(_new_jobs(spark, d), fx.details_df(spark, p), _run_ts(spark))
+
+
+@register("job_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
+          "SELECT url_hash, location, job_type, salary, description, scrape_status, scraped_at, scrape_error FROM pass2")
+def job_2(spark, d):
+    return _pass2(spark, d).select("url_hash", "location", "job_type", "salary", "description",
+                                   "scrape_status", "scraped_at", "scrape_error")
+
+
+@register("snk_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
+          "SELECT url_hash, location, job_type, salary, scrape_status FROM pass2 WHERE scrape_error IS NULL")
+def snk_2(spark, d):
+    return _pass2(spark, d).where(F.col("scrape_error").isNull()).select(
+        "url_hash", "location", "job_type", "salary", "scrape_status")
+
+
+@register("snk_3", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
+          "SELECT url_hash, scrape_status, scrape_error, scraped_at FROM pass2 WHERE scrape_error IS NOT NULL")
+def snk_3(spark, d):
+    return _pass2(spark, d).where(F.col("scrape_error").isNotNull()).select(
+        "url_hash", "scrape_status", "scrape_error", "scraped_at")
+
+
+@register("jn_7", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL + "SELECT url_hash, scrape_status FROM pass2")
+def jn_7(spark, d):
+    return _pass2(spark, d).select("url_hash", "scrape_status")
+
+
+@register("jn_6", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL + "SELECT url_hash, description, error FROM hit")
+def jn_6(spark, d):
+    p = _postings(spark, d)
+    return SK.pending_details(fx.details_df(spark, p), _new_jobs(spark, d)).select("url_hash", "description", "error")
+
+
+@register("flt_16", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
+          "SELECT url_hash, error FROM hit WHERE error IS NOT NULL AND NOT contains(error, '406')")
+def flt_16(spark, d):
+    p = _postings(spark, d)
+    return SK.reported_errors(SK.pending_details(fx.details_df(spark, p), _new_jobs(spark, d))).select("url_hash", "error")
+
+
+@register("lim_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
+          "SELECT url_hash, length(scrape_error) AS error_len, length(location) AS location_len FROM pass2")
+def lim_2(spark, d):
+    return _pass2(spark, d).select("url_hash", F.length("scrape_error").alias("error_len"),
+                                   F.length("location").alias("location_len"))
+
+
+# ------------------------------------------------------ discovery (JOB-4)
+_DISC_WHERE = "active AND NOT requires_js"
+_DISC_SQL = """,
+values0 AS (
+  SELECT coalesce(extractor_type, 'unknown') AS platform_label, source_company AS company, 'location' AS kind,
+         trim(unnest(string_split(location, ' | '))) AS value
+  FROM (SELECT f.*, s.extractor_type FROM flagged f JOIN planned s ON s.id = f.source_id)
+  UNION ALL
+  SELECT coalesce(s.extractor_type, 'unknown'), f.source_company, 'department', f.department
+  FROM flagged f JOIN planned s ON s.id = f.source_id),
+pvalues AS (SELECT DISTINCT * FROM values0 WHERE value IS NOT NULL AND value <> '')
+"""
+
+
+def _disc(spark, d):
+    planned = C.plan(S.sources_all(_sources(spark, d)))
+    listings = C.listings_of(planned, _postings(spark, d)).withColumn(
+        "platform_label", DS.platform_label()).withColumnRenamed("source_company", "company")
+    return planned, listings
+
+
+@register("agg_3", O.with_cascade(CFG_A, False, _DISC_WHERE) + _DISC_SQL + "SELECT * FROM pvalues")
+def agg_3(spark, d):
+    return DS.profile_values(_disc(spark, d)[1])
+
+
+_COUNTS_SQL = """
+SELECT platform_label, company, count(DISTINCT CASE WHEN kind = 'location' THEN value END) AS n_locations,
+       count(DISTINCT CASE WHEN kind = 'department' THEN value END) AS n_departments
+FROM pvalues GROUP BY GROUPING SETS ((platform_label, company), (platform_label))"""
+
+
+@register("agg_4", O.with_cascade(CFG_A, False, _DISC_WHERE) + _DISC_SQL + _COUNTS_SQL)
+def agg_4(spark, d):
+    return DS.profile_counts(DS.profile_values(_disc(spark, d)[1]))
+
+
+@register("job_4", O.with_cascade(CFG_A, False, _DISC_WHERE) + _DISC_SQL + _COUNTS_SQL)
+def job_4(spark, d):
+    return DS.profile_counts(DS.profile_values(_disc(spark, d)[1]))
+
+
+@register("agg_5", O.with_cascade(CFG_A, False, _DISC_WHERE) + """,
+n AS (SELECT source_id, count(*) AS c FROM flagged GROUP BY source_id)
+SELECT p.id AS source_id, p.company,
+       CAST(CASE WHEN p.status = 'success' THEN coalesce(n.c, 0) ELSE 0 END AS BIGINT) AS total_jobs,
+       CASE WHEN p.status = 'failed' THEN p.error END AS error
+FROM planned p LEFT JOIN n ON n.source_id = p.id""")
+def agg_5(spark, d):
+    planned, listings = _disc(spark, d)
+    return DS.total_jobs(planned, listings)
+
+
+@register("agg_9", O.duck_with() + "SELECT coalesce(extractor_type, 'unknown') AS platform_label, count(*) AS n_sources "
+          "FROM f1 WHERE active AND NOT requires_js GROUP BY 1")
+def agg_9(spark, d):
+    return DS.sources_by_platform(S.sources_all(_sources(spark, d)))
+
+
+@register("srt_3", O.with_cascade(CFG_A, False, _DISC_WHERE) + _DISC_SQL +
+          "SELECT DISTINCT platform_label, value FROM pvalues WHERE kind = 'location' ORDER BY 1, 2")
+def srt_3(spark, d):
+    return DS.consolidated(DS.profile_values(_disc(spark, d)[1]), "location")
+
+
+@register("set_4", O.with_cascade(CFG_A, False, _DISC_WHERE) + _DISC_SQL +
+          "SELECT DISTINCT platform_label, value FROM pvalues WHERE kind = 'department'")
+def set_4(spark, d):
+    return DS.consolidated(DS.profile_values(_disc(spark, d)[1]), "department")

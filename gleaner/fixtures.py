@@ -138,6 +138,24 @@ def stored_sql(f2: str, dialect: str) -> str:
     return f"SELECT DISTINCT {_sha('url', dialect)} AS url_hash FROM {f2} WHERE ord % 13 = 0"
 
 
+def f3b_sql(dialect: str, f2: str = "f2") -> str:
+    """F3b second-pass details, one per distinct URL of F2: a third full, a
+    third with a blank description, a third failing (some errors contain
+    '406', some are longer than 500 characters)."""
+    first = "min_by" if dialect == "spark" else "arg_min"
+    return f"""
+SELECT url_hash,
+  CASE WHEN o % 3 = 0 THEN 'Lehi, UT' END AS location,
+  CASE WHEN o % 3 = 0 THEN 'Full-time' WHEN o % 3 = 1 THEN 'Contract' END AS job_type,
+  CASE WHEN o % 3 = 0 THEN '$' || CAST(100 + o % 50 AS STRING) || ',000' END AS salary,
+  CASE WHEN o % 3 = 0 THEN 'Full description of ' || t WHEN o % 3 = 1 THEN '   ' END AS description,
+  CASE WHEN o % 3 = 2 THEN CASE WHEN o % 2 = 0 THEN 'HTTP error 406 Not Acceptable: ' || u
+                                ELSE 'Timeout after 20 s: ' || repeat('x', 600) END END AS error
+FROM (SELECT {_sha('url', dialect)} AS url_hash, min(ord) AS o, {first}(title, ord) AS t, {first}(url, ord) AS u
+      FROM {f2} GROUP BY {_sha('url', dialect)}) g
+"""
+
+
 # ---------------------------------------------------------------- Spark side
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -165,10 +183,16 @@ def stored_df(postings: DataFrame) -> DataFrame:
     return postings.where(F.col("ord") % 13 == 0).select(hash_url(F.col("url")).alias("url_hash")).distinct()
 
 
+def details_df(spark: SparkSession, postings: DataFrame) -> DataFrame:
+    """F3b details."""
+    return spark.sql(f3b_sql("spark", "{f2}"), f2=postings.select("ord", "title", "url"))
+
+
 # ---------------------------------------------------------------- DuckDB side
 def duck_with(extra: str = "") -> str:
     """WITH-clause prefix defining f1, f2, f2a (f2 + departments list) and stored."""
     return f"""WITH f1 AS ({f1_sql('duckdb')}),
 f2 AS ({f2_sql('duckdb')}),
-stored AS ({stored_sql('f2', 'duckdb')}){extra}
+stored AS ({stored_sql('f2', 'duckdb')}),
+details AS ({f3b_sql('duckdb', 'f2')}){extra}
 """

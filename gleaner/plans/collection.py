@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import FilterConfig, decide
 from ..operators.routing import plan_sources
-from ..sources.sources import active_sources, broadcast_if_small
+from ..sources.sources import active_sources, small_table
 
 FILTER_STEPS = ["role", "blocked_title", "location", "department"]
 
 
 def listings_of(planned: DataFrame, postings: DataFrame) -> DataFrame:
     """JN-3: attach source company/order to the postings of collectable
-    sources. The sources side is broadcast only after a row-count check."""
+    sources. ``planned`` comes from ``plan(…)``: materialised and broadcast
+    only after a row-count check."""
     ok = (planned.where(F.col("status") == "success")
           .select(F.col("id").alias("source_id"), F.col("company").alias("source_company"),
-                  F.col("id").alias("source_order"), "platform"))
-    return postings.join(broadcast_if_small(ok), "source_id")
+                  F.col("id").alias("source_order"), "platform", "extractor_type"))
+    return postings.join(ok, "source_id")
 
 
 def run_counters(decided: DataFrame) -> DataFrame:
@@ -42,10 +43,16 @@ def run_results(planned: DataFrame, counters: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("source_id"), "company", "status", *cols, "error")
 
 
+def plan(sources: DataFrame) -> DataFrame:
+    """Route and check the selected sources; small by nature, so it is
+    materialised once and broadcast behind a size check."""
+    return small_table(plan_sources(sources))
+
+
 def collection_run(sources: DataFrame, postings: DataFrame, stored: DataFrame | None,
                    cfg: FilterConfig, source_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """JOB-1 (pass 1): returns (decided postings, per-source results)."""
-    planned = plan_sources(active_sources(sources, source_id))
+    planned = plan(active_sources(sources, source_id))
     decided = decide(listings_of(planned, postings), cfg, stored, dedup=True)
     return decided, run_results(planned, run_counters(decided))
 
@@ -80,7 +87,7 @@ def touch_sources(sources: DataFrame, results: DataFrame, run_ts: Column) -> Dat
 def dry_run(sources: DataFrame, postings: DataFrame, cfg: FilterConfig) -> tuple[DataFrame, DataFrame]:
     """JOB-3: the cascade without the duplicate step. ``sources`` is already
     the selection (SRC-3/4/5). Returns (decisions, per-source + total counters)."""
-    planned = plan_sources(sources)
+    planned = plan(sources)
     decided = decide(listings_of(planned, postings), cfg, None, dedup=False, dry_run=True)
     per_source = decided.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("found"),

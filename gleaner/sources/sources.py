@@ -20,6 +20,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
+def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Materialise a small side (e.g. the planned sources) with a reliable
+    checkpoint in the shared checkpoint folder, then broadcast it only if a
+    bounded count proves it small. Cutting the lineage also keeps Catalyst
+    from inlining the side's derivation into every predicate pushed into it."""
+    from ..session import cut_lineage
+    df = cut_lineage(df)
+    return broadcast_if_small(df, max_rows)
+
+
 def active_sources(sources: DataFrame, source_id: int | None = None) -> DataFrame:
     """SRC-1 / SRC-2: all active sources, or one by id (NULL id = all).
 
