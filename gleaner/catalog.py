@@ -699,3 +699,408 @@ def srt_3(spark, d):
           "SELECT DISTINCT platform_label, value FROM pvalues WHERE kind = 'department'")
 def set_4(spark, d):
     return DS.consolidated(DS.profile_values(_disc(spark, d)[1]), "department")
+
+
+# --------------------------------------------------- payloads / normalisers
+from . import payloads as PL  # noqa: E402
+from .operators import normalize as N  # noqa: E402
+
+
+def _payloads(spark, d):
+    return PL.payloads(_postings(spark, d), fx.RUN_TS)
+
+
+def _by(pay, platform):
+    return pay.where(F.col("platform") == platform)
+
+
+def _join(c: str):
+    return F.array_join(F.col(c), "|").alias(c)
+
+
+_GH_LOC = """CASE WHEN trim(gl) = 'United States' THEN 'Remote - United States' ELSE gl END"""
+_GH_SQL = O.pay_with() + """,
+gh AS (
+  SELECT *, CASE WHEN ord % 3 = 0 THEN (CASE WHEN pp IS NULL THEN 'Lehi, UT' WHEN pp = 'Lehi, UT' THEN pp
+                                            ELSE pp || ' | Lehi, UT' END) ELSE pp END AS gl
+  FROM (SELECT *, CASE WHEN ord % 17 = 0 THEN 'United States'
+                       WHEN coalesce(location, '') <> '' THEN trim(location) END AS pp
+        FROM pf2 WHERE pplat = 'greenhouse' AND title_ok))
+"""
+
+
+@register("nrm_1", _GH_SQL + "SELECT source_id, CAST(ord AS VARCHAR) AS id, title, url FROM gh")
+def nrm_1(spark, d):
+    return N.greenhouse(_by(_payloads(spark, d), "greenhouse"), convert=False).select("source_id", "id", "title", "url")
+
+
+@register("nrm_2", _GH_SQL + f"SELECT CAST(ord AS VARCHAR) AS id, {_GH_LOC} AS location, coalesce(department, '') AS departments FROM gh")
+def nrm_2(spark, d):
+    return N.greenhouse(_by(_payloads(spark, d), "greenhouse")).select("id", "location", _join("departments"))
+
+
+@register("str_14", _GH_SQL + f"SELECT CAST(ord AS VARCHAR) AS id, {_GH_LOC} AS location FROM gh")
+def str_14(spark, d):
+    return N.greenhouse(_by(_payloads(spark, d), "greenhouse"), convert=False).select("id", "location")
+
+
+@register("str_15", _GH_SQL + f"SELECT CAST(ord AS VARCHAR) AS id, coalesce({_GH_LOC} = 'Remote - United States', false) AS us_remote FROM gh")
+def str_15(spark, d):
+    return N.greenhouse(_by(_payloads(spark, d), "greenhouse"), convert=False).select(
+        "id", F.coalesce(F.col("location") == "Remote - United States", F.lit(False)).alias("us_remote"))
+
+
+_LEVER_SQL = O.pay_with() + ", lv AS (SELECT * FROM pf2 WHERE pplat = 'lever' AND title_ok)\n"
+
+
+@register("nrm_3", _LEVER_SQL + "SELECT source_id, CAST(ord AS VARCHAR) AS id, title, url FROM lv")
+def nrm_3(spark, d):
+    return N.lever(_by(_payloads(spark, d), "lever"), convert=False).select("source_id", "id", "title", "url")
+
+
+@register("nrm_4", _LEVER_SQL + """
+SELECT CAST(ord AS VARCHAR) AS id, location, CASE WHEN (ord // 20) % 2 = 0 THEN 'Full-time' ELSE 'Contract' END AS job_type,
+       coalesce(department, '') AS departments, CASE WHEN (ord // 20) % 2 = 0 THEN 'Q1|Q2' ELSE 'Need A' END AS requirements
+FROM lv""")
+def nrm_4(spark, d):
+    return N.lever(_by(_payloads(spark, d), "lever"), convert=False).select(
+        "id", "location", "job_type", _join("departments"), _join("requirements"))
+
+
+@register("str_28", _LEVER_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CASE WHEN (ord // 20) % 2 = 0 THEN 2 ELSE 1 END AS n_requirements FROM lv")
+def str_28(spark, d):
+    return N.lever(_by(_payloads(spark, d), "lever"), convert=False).select(
+        "id", F.size("requirements").alias("n_requirements"))
+
+
+@register("str_31", _LEVER_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CASE WHEN (ord // 20) % 2 = 0 THEN 'Perks' END AS other_section FROM lv")
+def str_31(spark, d):
+    df = N.lever(_by(_payloads(spark, d), "lever"), convert=False)
+    return df.select("id", F.when(F.col("description").contains("Perks\nPerk one"), F.lit("Perks")).alias("other_section"))
+
+
+@register("flt_14", _LEVER_SQL + "SELECT CAST(ord AS VARCHAR) AS id, location FROM lv WHERE location = 'Lehi, UT'")
+def flt_14(spark, d):
+    return N.lever(_by(_payloads(spark, d), "lever"), location="Lehi, UT", convert=False).select("id", "location")
+
+
+_ASHBY_SQL = O.pay_with() + """,
+ab0 AS (SELECT * FROM pf2 WHERE pplat = 'ashby' AND title_ok AND ord % 9 <> 0),
+ab1 AS (
+  SELECT *, CASE WHEN (ord // 20) % 2 = 0 THEN (CASE WHEN coalesce(location, '') <> '' THEN [trim(location)] ELSE [] END)
+                 ELSE list_transform(list_filter([location, ' Remote '], lambda x: coalesce(x, '') <> ''), lambda x: trim(x)) END AS firstl,
+         CASE WHEN ord % 3 = 0 THEN ['Lehi, UT'] ELSE [] END AS secl FROM ab0),
+ab AS (
+  SELECT *, list_concat(firstl, list_filter(secl, lambda s: NOT list_contains(firstl, s))) AS parts FROM ab1)
+"""
+
+
+@register("nrm_5", _ASHBY_SQL + "SELECT source_id, CAST(ord AS VARCHAR) AS id, title, url FROM ab")
+def nrm_5(spark, d):
+    return N.ashby(_by(_payloads(spark, d), "ashby"), convert=False).select("source_id", "id", "title", "url")
+
+
+@register("nrm_6", _ASHBY_SQL + f"""
+SELECT CAST(ord AS VARCHAR) AS id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' | ') END AS location,
+       coalesce(department, '') AS departments, 'FullTime' AS job_type,
+       CASE WHEN (ord // 20) % 4 = 0 THEN 'USD ' || {O.thousands('100000 + ord')} || '–' || {O.thousands('150000 + ord')} || ' 1 YEAR' END AS salary
+FROM ab""")
+def nrm_6(spark, d):
+    return N.ashby(_by(_payloads(spark, d), "ashby"), convert=False).select(
+        "id", "location", _join("departments"), "job_type", "salary")
+
+
+@register("str_18", _ASHBY_SQL + f"""
+SELECT CAST(ord AS VARCHAR) AS id,
+       'USD ' || {O.thousands('100000 + ord')} || '–' || {O.thousands('150000 + ord')} || ' 1 YEAR' AS salary
+FROM ab WHERE (ord // 20) % 4 = 0""")
+def str_18(spark, d):
+    return N.ashby(_by(_payloads(spark, d), "ashby"), convert=False).where(F.col("salary").isNotNull()).select("id", "salary")
+
+
+@register("arr_2", _ASHBY_SQL + """SELECT CAST(ord AS VARCHAR) AS id,
+       CAST(CASE WHEN len(parts) = 0 THEN 0 ELSE len(string_split(array_to_string(parts, ' | '), ' | ')) END AS INT) AS n_locations FROM ab""")
+def arr_2(spark, d):
+    df = N.ashby(_by(_payloads(spark, d), "ashby"), convert=False)
+    return df.select("id", F.coalesce(F.size(F.split("location", r" \| ")), F.lit(0)).cast("int").alias("n_locations"))
+
+
+@register("arr_3", _ASHBY_SQL + "SELECT CASE WHEN (ord // 400) % 2 = 0 THEN 'jobPostings' ELSE 'jobs' END AS used_key, count(*) AS n FROM ab GROUP BY 1")
+def arr_3(spark, d):
+    df = N.ashby(_by(_payloads(spark, d), "ashby"), convert=False)
+    return df.groupBy(F.when(F.col("page_no") % 2 == 0, "jobPostings").otherwise("jobs").alias("used_key")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("jsn_5", _ASHBY_SQL + "SELECT count(*) AS listed FROM ab")
+def jsn_5(spark, d):
+    return N.ashby(_by(_payloads(spark, d), "ashby"), convert=False).agg(F.count(F.lit(1)).alias("listed"))
+
+
+_BAMBOO_SQL = O.pay_with() + """,
+bb AS (SELECT * FROM pf2 WHERE pplat = 'bamboohr' AND title_ok AND ord % 19 <> 0)
+"""
+
+
+@register("nrm_7", _BAMBOO_SQL + """
+SELECT source_id, CAST(ord AS VARCHAR) AS id, title,
+       'https://co' || CAST(source_id AS VARCHAR) || '.bamboohr.com/careers/' || CAST(ord AS VARCHAR) AS url FROM bb""")
+def nrm_7(spark, d):
+    return N.bamboohr_listing(_by(_payloads(spark, d), "bamboohr")).select("source_id", "id", "title", "url")
+
+
+_BAMBOO_DETAIL = """
+SELECT CAST(ord AS VARCHAR) AS id, title,
+       CASE ord % 3 WHEN 0 THEN 'Lehi, UT' WHEN 1 THEN 'CA' ELSE nullif(location, '') END AS location,
+       'Full-Time' AS job_type, 'About ' || title || chr(10) || 'One' || chr(10) || 'Two' AS description
+FROM bb"""
+
+
+@register("nrm_8", _BAMBOO_SQL + _BAMBOO_DETAIL)
+def nrm_8(spark, d):
+    pay = _by(_payloads(spark, d), "bamboohr")
+    return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "title", "location", "job_type", "description")
+
+
+@register("jn_2", _BAMBOO_SQL + _BAMBOO_DETAIL)
+def jn_2(spark, d):
+    pay = _by(_payloads(spark, d), "bamboohr")
+    return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "title", "location", "job_type", "description")
+
+
+@register("str_27", _BAMBOO_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CASE ord % 3 WHEN 0 THEN 'Lehi, UT' WHEN 1 THEN 'CA' ELSE nullif(location, '') END AS location FROM bb")
+def str_27(spark, d):
+    pay = _by(_payloads(spark, d), "bamboohr")
+    return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "location")
+
+
+@register("str_11", _BAMBOO_SQL + "SELECT CAST(ord AS VARCHAR) AS id, 'About ' || title || chr(10) || 'One' || chr(10) || 'Two' AS description FROM bb")
+def str_11(spark, d):
+    pay = _by(_payloads(spark, d), "bamboohr")
+    return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "description")
+
+
+_WD_PATH = ("'/job/' || CASE ord % 3 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Lehi' ELSE 'New-York' END || "
+            "'/Role-' || CAST(ord AS VARCHAR) || '_R' || CAST(ord AS VARCHAR)")
+_WD_PREFIX = "'https://co' || CAST(source_id AS VARCHAR) || '.wd5.myworkdayjobs.com/en-US/Board' || CAST(source_id AS VARCHAR)"
+_WD_SQL = O.pay_with() + f""",
+wd AS (SELECT *, {_WD_PATH} AS path, {_WD_PREFIX} AS prefix FROM pf2 WHERE pplat = 'workday' AND title_ok),
+wd_single AS (SELECT source_id, 'R' || CAST(ord AS VARCHAR) AS id, title, prefix || path AS url,
+                     nullif(location, '') AS location FROM wd WHERE (ord // 20) % 4 <> 0),
+wd_var AS (
+  SELECT source_id, 'R' || CAST(ord AS VARCHAR) AS id, title,
+         prefix || regexp_replace(path, '^/job/[^/]+/', '/job/' || regexp_replace(trim(v), '\\s+', '-', 'g') || '/') AS url,
+         v AS location
+  FROM wd, unnest(['Lehi', 'Remote - US']) AS t(v) WHERE (ord // 20) % 8 = 0),
+wd_none AS (SELECT source_id, 'R' || CAST(ord AS VARCHAR) AS id, title, prefix || path AS url, CAST(NULL AS VARCHAR) AS location
+            FROM wd WHERE (ord // 20) % 4 = 0 AND (ord // 20) % 8 <> 0),
+wd_all AS (SELECT * FROM wd_single UNION ALL SELECT * FROM wd_var UNION ALL SELECT * FROM wd_none)
+"""
+
+
+def _workday(spark, d):
+    return N.workday(_by(_payloads(spark, d), "workday"), CFG_A.locations)
+
+
+@register("nrm_9", _WD_SQL + "SELECT * FROM wd_single")
+def nrm_9(spark, d):
+    return _workday(spark, d).where(~F.col("url").contains("Role-") | (F.floor(F.col("id").substr(2, 12).try_cast("bigint") / 20) % 4 != 0)).select(
+        "source_id", "id", "title", "url", "location")
+
+
+@register("nrm_10", _WD_SQL + "SELECT * FROM wd_var UNION ALL SELECT * FROM wd_none")
+def nrm_10(spark, d):
+    return _workday(spark, d).where(F.floor(F.col("id").substr(2, 12).try_cast("bigint") / 20) % 4 == 0).select(
+        "source_id", "id", "title", "url", "location")
+
+
+@register("jn_4", _WD_SQL + "SELECT * FROM wd_all")
+def jn_4(spark, d):
+    return _workday(spark, d).select("source_id", "id", "title", "url", "location")
+
+
+@register("win_4", _WD_SQL + "SELECT id, count(*) AS n FROM wd_all GROUP BY id")
+def win_4(spark, d):
+    return _workday(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("arr_4", _WD_SQL + "SELECT id, location FROM wd_var")
+def arr_4(spark, d):
+    return _workday(spark, d).where(F.col("location").isin("Lehi", "Remote - US")).select("id", "location")
+
+
+@register("str_22", _WD_SQL + "SELECT url FROM wd_var")
+def str_22(spark, d):
+    return _workday(spark, d).where(F.col("location").isin("Lehi", "Remote - US")).select("url")
+
+
+@register("str_24", _WD_SQL + "SELECT url FROM wd_single")
+def str_24(spark, d):
+    return nrm_9(spark, d).select("url")
+
+
+_PHENOM_SQL = O.pay_with() + """,
+ph0 AS (
+  SELECT *, CASE ord % 3 WHEN 2 THEN 'https://co' || CAST(source_id AS VARCHAR) || '.phenompeople.com/job/SEQ' || CAST(ord AS VARCHAR)
+                 ELSE url END AS eurl
+  FROM pf2 WHERE pplat = 'phenom' AND title_ok AND ord // 200 < 20),
+ph AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, eurl ORDER BY ord) AS rn FROM ph0) WHERE rn = 1)
+"""
+
+
+@register("nrm_13", _PHENOM_SQL + """
+SELECT source_id, 'SEQ' || CAST(ord AS VARCHAR) AS id, title, eurl AS url,
+       CASE WHEN (ord // 20) % 5 = 0 THEN coalesce(location, 'Unknown') || ' | Remote' ELSE location END AS location,
+       'Full time' AS job_type FROM ph""")
+def nrm_13(spark, d):
+    return N.phenom(_by(_payloads(spark, d), "phenom"), convert=False).select(
+        "source_id", "id", "title", "url", "location", "job_type")
+
+
+@register("win_3", _PHENOM_SQL + "SELECT source_id, eurl AS url FROM ph")
+def win_3(spark, d):
+    return N.phenom(_by(_payloads(spark, d), "phenom"), convert=False).select("source_id", "url")
+
+
+@register("str_23", _PHENOM_SQL + "SELECT eurl AS url FROM ph WHERE ord % 3 = 0")
+def str_23(spark, d):
+    return N.phenom(_by(_payloads(spark, d), "phenom"), convert=False).where(
+        F.col("id").substr(4, 12).try_cast("bigint") % 3 == 0).select("url")
+
+
+@register("win_6", _PHENOM_SQL + "SELECT source_id, count(DISTINCT ord // 200) AS pages_used FROM ph0 GROUP BY source_id")
+def win_6(spark, d):
+    pay = _by(_payloads(spark, d), "phenom")
+    p = pay.withColumn("_n", F.coalesce(F.size(F.from_json("body", N.PHENOM_SCHEMA)["data"]["jobs"]), F.lit(0)))
+    used = N.page_run(p, ["source_id"], stop=F.col("_n") < N.PHENOM_PAGE_SIZE, max_pages=N.PHENOM_MAX_PAGES)
+    return used.groupBy("source_id").agg(F.count_distinct("page_no").alias("pages_used"))
+
+
+_ORACLE_SQL = O.pay_with() + """,
+orc AS (SELECT * FROM pf2 WHERE pplat = 'oracle' AND title_ok AND ord % 29 <> 0 AND (ord // 20) % 5 <> 0)
+"""
+
+
+@register("nrm_16", _ORACLE_SQL + """
+SELECT source_id, CAST(ord AS VARCHAR) AS id, title,
+       'https://careers.oracle.com/en/sites/jobsearch/jobs/preview/' || CAST(ord AS VARCHAR) AS url,
+       CASE WHEN (ord // 20) % 6 = 0 THEN 'Remote - United States' ELSE location END AS location FROM orc""")
+def nrm_16(spark, d):
+    return N.oracle(_by(_payloads(spark, d), "oracle"), _run_ts(spark), convert=False).select(
+        "source_id", "id", "title", "url", "location")
+
+
+@register("flt_10", _ORACLE_SQL + "SELECT CAST(ord AS VARCHAR) AS id FROM orc")
+def flt_10(spark, d):
+    return N.oracle(_by(_payloads(spark, d), "oracle"), _run_ts(spark), convert=False).select("id")
+
+
+@register("dt_1", O.pay_with() + """
+SELECT CAST(ord AS VARCHAR) AS id, CASE (ord // 20) % 5 WHEN 0 THEN 45 WHEN 3 THEN 3 WHEN 4 THEN 10 END AS age_days
+FROM pf2 WHERE pplat = 'oracle' AND title_ok AND ord % 29 <> 0""")
+def dt_1(spark, d):
+    pay = _by(_payloads(spark, d), "oracle")
+    p = pay.withColumn("_p", F.from_json("body", N.ORACLE_SCHEMA))
+    j = p.select(F.posexplode(F.element_at("_p.items", 1)["requisitionList"]).alias("pos", "j"))
+    j = j.where((F.coalesce(F.col("j.Id"), F.lit("")) != "") & (F.coalesce(T.strip(F.col("j.Title")), F.lit("")) != ""))
+    ts = F.try_to_timestamp(F.col("j.PostedDate"))
+    age = F.datediff(_run_ts(spark), ts).cast("int")
+    return j.select(F.col("j.Id").alias("id"), age.alias("age_days"))
+
+
+@register("dt_3", O.pay_with() + f"SELECT TIMESTAMP '{fx.RUN_TS}' - INTERVAL 30 DAYS AS cutoff")
+def dt_3(spark, d):
+    one = _sources(spark, d).agg(F.max("id").alias("_m"))
+    return one.select((_run_ts(spark) - F.make_interval(days=F.lit(30))).alias("cutoff"))
+
+
+@register("dt_2", O.pay_with() + f"SELECT DISTINCT TIMESTAMP '{fx.RUN_TS}' AS run_ts FROM newjobs_ts" if False else
+          O.with_cascade() + _NEWJOBS_SQL + "SELECT DISTINCT scraped_at AS run_ts FROM newjobs WHERE scraped_at IS NOT NULL")
+def dt_2(spark, d):
+    return _new_jobs(spark, d).where(F.col("scraped_at").isNotNull()).select(F.col("scraped_at").alias("run_ts")).distinct()
+
+
+_NETFLIX_SQL = O.pay_with() + """,
+nf AS (SELECT *, CASE WHEN (ord // 20) % 4 = 1 THEN title ELSE CASE WHEN ord % 23 = 0 THEN '' ELSE title END END AS etitle
+       FROM pf2 WHERE pplat = 'netflix')
+"""
+
+
+@register("nrm_17", _NETFLIX_SQL + """
+SELECT source_id, CASE WHEN ord % 37 = 0 THEN 'JR' || CAST(ord AS VARCHAR) ELSE CAST(ord AS VARCHAR) END AS id, etitle AS title,
+       CASE WHEN ord % 3 <> 0 THEN url
+            ELSE 'https://explore.jobs.netflix.net/careers/job/' || CASE WHEN ord % 37 = 0 THEN 'JR' ELSE '' END || CAST(ord AS VARCHAR) END AS url
+FROM nf WHERE etitle <> ''""")
+def nrm_17(spark, d):
+    return N.netflix(_by(_payloads(spark, d), "netflix")).select("source_id", "id", "title", "url")
+
+
+@register("mth_3", O.pay_with() + """
+SELECT source_id, CAST(count(*) AS INT) AS total, CAST((count(*) + 19) // 20 AS INT) AS n_pages
+FROM pf2 WHERE pplat = 'workday' GROUP BY source_id""")
+def mth_3(spark, d):
+    pay = _by(_payloads(spark, d), "workday").where(F.col("kind") == "list")
+    tot = pay.select("source_id", F.from_json("body", N.WD_LIST)["total"].alias("total")).groupBy("source_id").agg(
+        F.max("total").cast("int").alias("total"))
+    return tot.select("source_id", "total", F.size(N.pages_complete(F.col("total"), 20)).cast("int").alias("n_pages"))
+
+
+_ALL_SQL = O.pay_with() + """,
+expect AS (
+  SELECT pplat AS platform, count(*) AS n FROM pf2 GROUP BY 1)
+"""
+
+
+@register("prj_1", _GH_SQL + "SELECT source_id, title, url FROM gh")
+def prj_1(spark, d):
+    return N.as_listing(N.greenhouse(_by(_payloads(spark, d), "greenhouse"), convert=False)).select("source_id", "title", "url")
+
+
+@register("prj_2", _GH_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS job_type, CAST(NULL AS VARCHAR) AS salary FROM gh")
+def prj_2(spark, d):
+    return N.greenhouse(_by(_payloads(spark, d), "greenhouse"), convert=False).select("id", "company", "job_type", "salary")
+
+
+@register("flt_9", O.pay_with() + "SELECT pplat AS platform, count(*) AS n_valid FROM pf2 WHERE title_ok AND pplat IN ('greenhouse', 'lever') GROUP BY 1")
+def flt_9(spark, d):
+    pay = _payloads(spark, d)
+    g = N.greenhouse(_by(pay, "greenhouse"), convert=False).withColumn("platform", F.lit("greenhouse"))
+    lv = N.lever(_by(pay, "lever"), convert=False).withColumn("platform", F.lit("lever"))
+    return g.unionByName(lv).groupBy("platform").agg(F.count(F.lit(1)).alias("n_valid"))
+
+
+_COUNT_EXPECT = O.pay_with() + """,
+cnt AS (
+  SELECT 'greenhouse' AS platform, count(*) AS n FROM pf2 WHERE pplat = 'greenhouse' AND title_ok
+  UNION ALL SELECT 'lever', count(*) FROM pf2 WHERE pplat = 'lever' AND title_ok
+  UNION ALL SELECT 'ashby', count(*) FROM pf2 WHERE pplat = 'ashby' AND title_ok AND ord % 9 <> 0
+  UNION ALL SELECT 'bamboohr', count(*) FROM pf2 WHERE pplat = 'bamboohr' AND title_ok AND ord % 19 <> 0
+  UNION ALL SELECT 'workday', count(*) + count(*) FILTER (WHERE (ord // 20) % 8 = 0) FROM pf2 WHERE pplat = 'workday' AND title_ok
+  UNION ALL SELECT 'phenom', count(*) FROM (SELECT DISTINCT source_id, CASE ord % 3 WHEN 2 THEN 'SEQ' || CAST(ord AS VARCHAR) ELSE url END
+                                            FROM pf2 WHERE pplat = 'phenom' AND title_ok AND ord // 200 < 20)
+  UNION ALL SELECT 'oracle', count(*) FROM pf2 WHERE pplat = 'oracle' AND title_ok AND ord % 29 <> 0 AND (ord // 20) % 5 <> 0
+  UNION ALL SELECT 'netflix', count(*) FROM pf2 WHERE pplat = 'netflix' AND ((ord // 20) % 4 = 1 OR ord % 23 <> 0))
+"""
+
+
+def _all_norm(spark, d):
+    return N.normalise_all(_payloads(spark, d), _run_ts(spark), CFG_A.locations, convert=False)
+
+
+@register("set_3_payloads", _COUNT_EXPECT + "SELECT platform, n FROM cnt")
+def set_3_payloads(spark, d):
+    return _all_norm(spark, d).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ext_1", _COUNT_EXPECT + "SELECT CAST(sum(n) AS BIGINT) AS n FROM cnt")
+def ext_1(spark, d):
+    return _all_norm(spark, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("src_7", _COUNT_EXPECT + "SELECT platform, n FROM cnt")
+def src_7(spark, d):
+    path = _scratch(spark, "payloads")
+    _payloads(spark, d).write.mode("overwrite").parquet(path)
+    landed = N.read_payloads(spark, path)
+    return N.normalise_all(landed, _run_ts(spark), CFG_A.locations, convert=False).groupBy("platform").agg(
+        F.count(F.lit(1)).alias("n"))

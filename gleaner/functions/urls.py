@@ -75,7 +75,7 @@ def workday_source(url: Column) -> Column:
     base = F.concat(F.lit("https://"), h)
     parts = F.filter(_path_parts(url), lambda p: ~p.isin("en-US", "recruiting"))
     c1 = _extract(h, r"^([^.]+)\.(wd\d+)\.myworkday(?:jobs|site)\.com")
-    p1 = F.when(F.lower(F.element_at(parts, 1)) == F.lower(c1), F.slice(parts, 2, 1 << 20)).otherwise(parts)
+    p1 = F.when(F.lower(F.try_element_at(parts, F.lit(1))) == F.lower(c1), F.slice(parts, 2, 1 << 20)).otherwise(parts)
     board1 = F.coalesce(F.try_element_at(p1, F.lit(1)), c1)
     shape2 = h.rlike(r"^(wd\d+)\.myworkday(?:jobs|site)\.com")
     c2 = F.try_element_at(parts, F.lit(1))
@@ -94,11 +94,11 @@ def workday_job(url: Column) -> Column:
     idx = F.array_position(parts, "job")
     job_path = F.when(idx > 0, F.concat(F.lit("/"), F.array_join(F.slice(parts, F.greatest(idx, F.lit(1)).cast("int"), 1 << 20), "/")))
     c1 = _extract(h, r"^([^.]+)\.(wd\d+)\.myworkday(?:jobs|site)\.com")
-    board1 = F.when(idx > 1, F.element_at(parts, (idx - 1).cast("int"))).otherwise(c1)
+    board1 = F.when(idx > 1, F.try_element_at(parts, (idx - 1).cast("int"))).otherwise(c1)
     clean = F.filter(parts, lambda p: ~p.isin("recruiting", "en-US"))
     shape2 = h.rlike(r"^(wd\d+)\.myworkday(?:jobs|site)\.com") & (F.size(clean) >= 2)
-    company = F.when(c1.isNotNull(), c1).when(shape2, F.element_at(clean, 1))
-    board = F.when(c1.isNotNull(), board1).when(shape2, F.element_at(clean, 2))
+    company = F.when(c1.isNotNull(), c1).when(shape2, F.try_element_at(clean, F.lit(1)))
+    board = F.when(c1.isNotNull(), board1).when(shape2, F.try_element_at(clean, F.lit(2)))
     ok = (idx > 0) & company.isNotNull()
     return F.struct(F.when(ok, F.concat(F.lit("https://"), h)).alias("base_url"),
                     F.when(ok, company).alias("company"), F.when(ok, board).alias("board"),

@@ -186,3 +186,20 @@ runlog AS (
   SELECT p.id * {stride}, '{ts_text},000 [INFO] [' || p.company || '] Found ' || CAST(coalesce(c.found, 0) AS VARCHAR) || ' listings'
   FROM planned p LEFT JOIN counts c ON c.source_id = p.id WHERE p.status = 'success')
 """
+
+
+PAY_PLATFORMS = ["greenhouse", "lever", "ashby", "bamboohr", "workday", "phenom", "oracle", "netflix"]
+
+
+def thousands(x: str) -> str:
+    """'123,456' text of a 4..6 digit integer expression."""
+    return (f"CASE WHEN ({x}) >= 1000 THEN CAST(({x}) // 1000 AS VARCHAR) || ',' || "
+            f"lpad(CAST(({x}) % 1000 AS VARCHAR), 3, '0') ELSE CAST(({x}) AS VARCHAR) END")
+
+
+def pay_with() -> str:
+    """pf2: F2 with its payload platform (source_id % 8) and the valid-title flag."""
+    whens = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PAY_PLATFORMS))
+    return duck_with() + f""",
+pf2 AS (SELECT f2.*, CASE source_id % 8 {whens} END AS pplat, (ord % 23 <> 0) AS title_ok FROM f2)
+"""
