@@ -851,8 +851,9 @@ def nrm_7(spark, d):
 
 _BAMBOO_DETAIL = """
 SELECT CAST(ord AS VARCHAR) AS id, title,
-       CASE ord % 3 WHEN 0 THEN 'Lehi, UT' WHEN 1 THEN 'CA' ELSE nullif(location, '') END AS location,
-       'Full-Time' AS job_type, 'About ' || title || chr(10) || 'One' || chr(10) || 'Two' AS description
+       CASE WHEN ord % 7 = 0 THEN NULL WHEN ord % 3 = 0 THEN 'Lehi, UT' WHEN ord % 3 = 1 THEN 'CA' ELSE nullif(location, '') END AS location,
+       CASE WHEN ord % 7 <> 0 THEN 'Full-Time' END AS job_type,
+       CASE WHEN ord % 7 <> 0 THEN 'About ' || title || chr(10) || 'One' || chr(10) || 'Two' END AS description
 FROM bb"""
 
 
@@ -868,13 +869,13 @@ def jn_2(spark, d):
     return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "title", "location", "job_type", "description")
 
 
-@register("str_27", _BAMBOO_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CASE ord % 3 WHEN 0 THEN 'Lehi, UT' WHEN 1 THEN 'CA' ELSE nullif(location, '') END AS location FROM bb")
+@register("str_27", _BAMBOO_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CASE WHEN ord % 7 = 0 THEN NULL WHEN ord % 3 = 0 THEN 'Lehi, UT' WHEN ord % 3 = 1 THEN 'CA' ELSE nullif(location, '') END AS location FROM bb")
 def str_27(spark, d):
     pay = _by(_payloads(spark, d), "bamboohr")
     return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "location")
 
 
-@register("str_11", _BAMBOO_SQL + "SELECT CAST(ord AS VARCHAR) AS id, 'About ' || title || chr(10) || 'One' || chr(10) || 'Two' AS description FROM bb")
+@register("str_11", _BAMBOO_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CASE WHEN ord % 7 <> 0 THEN 'About ' || title || chr(10) || 'One' || chr(10) || 'Two' END AS description FROM bb")
 def str_11(spark, d):
     pay = _by(_payloads(spark, d), "bamboohr")
     return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "description")
@@ -1104,3 +1105,355 @@ def src_7(spark, d):
     landed = N.read_payloads(spark, path)
     return N.normalise_all(landed, _run_ts(spark), CFG_A.locations, convert=False).groupBy("platform").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ pages (F3)
+from .functions import html as HT  # noqa: E402
+from .functions import urls as U  # noqa: E402
+from .operators import pages as PG  # noqa: E402
+
+
+def _f3(spark, d):
+    return fx.job_pages_df(spark, d)
+
+
+_WD_LOC = """CASE WHEN json_type(ldt, '$.jobLocation') = 'OBJECT' THEN nullif(json_extract_string(ldt, '$.jobLocation.address.addressLocality'), '')
+                 WHEN json_type(ldt, '$.jobLocation') = 'ARRAY' THEN nullif(array_to_string(list_filter(list_transform(
+                      TRY_CAST(json_extract(ldt, '$.jobLocation') AS JSON[]), lambda e: json_extract_string(e, '$.address.addressLocality')),
+                      lambda x: coalesce(x, '') <> ''), ' | '), '') END"""
+
+
+@register("nrm_11", O.pages_with() + f"""
+SELECT page_id, {O.tele_sql(_WD_LOC, "json_extract_string(ldt, '$.jobLocationType')")} AS location,
+       json_extract_string(ldt, '$.employmentType') AS job_type, {O.salary_sql('ldt', False)} AS salary
+FROM pg WHERE ldt IS NOT NULL""")
+def nrm_11(spark, d):
+    return PG.workday_page(_f3(spark, d), convert=False).select("page_id", "location", "job_type", "salary")
+
+
+@register("str_17", O.pages_with() + f"SELECT page_id, {O.salary_sql('ldt', False)} AS salary FROM pg WHERE ldt IS NOT NULL")
+def str_17(spark, d):
+    return PG.workday_page(_f3(spark, d), convert=False).select("page_id", "salary")
+
+
+@register("mth_1", O.pages_with() + f"""
+SELECT page_id, {O.thousands("CAST(floor(TRY_CAST(json_extract_string(obj, '$.baseSalary.value.minValue') AS DOUBLE)) AS BIGINT)")} AS min_text
+FROM pj WHERE TRY_CAST(json_extract_string(obj, '$.baseSalary.value.minValue') AS DOUBLE) IS NOT NULL""")
+def mth_1(spark, d):
+    p = _f3(spark, d).withColumn("_o", PG.unwrap_graph(PG.json_ld(F.col("html"))))
+    bs = F.from_json(F.get_json_object("_o", "$.baseSalary.value"), "struct<minValue:string>")
+    return p.where(bs["minValue"].isNotNull()).select("page_id", PG._int_commas(bs["minValue"]).alias("min_text"))
+
+
+_PH_LOC = """CASE WHEN json_type(ldt, '$.jobLocation') = 'OBJECT' THEN nullif(json_extract_string(ldt, '$.jobLocation.address.addressLocality'), '') END"""
+_PH_SQL = O.pages_with() + f""",
+ph AS (
+  SELECT page_id, {O.tele_sql(_PH_LOC, "json_extract_string(ldt, '$.jobLocationType')")} AS location,
+         json_extract_string(ldt, '$.employmentType') AS job_type, trim(json_extract_string(ldt, '$.description')) AS description,
+         coalesce(json_extract_string(ldt, '$."@type"') = 'JobPosting' AND coalesce(trim(json_extract_string(ldt, '$.description')), '') <> '', false) AS use_ld
+  FROM pg)
+"""
+
+
+@register("nrm_14", _PH_SQL + "SELECT page_id, location, job_type, description FROM ph WHERE use_ld")
+def nrm_14(spark, d):
+    return PG.phenom_page(_f3(spark, d)).where(F.col("via") == "json_ld").select("page_id", "location", "job_type", "description")
+
+
+@register("nrm_15", _PH_SQL + "SELECT page_id, 'page' AS via FROM ph WHERE NOT use_ld")
+def nrm_15(spark, d):
+    return PG.phenom_page(_f3(spark, d)).where(F.col("via") == "page").select("page_id", "via")
+
+
+_NF_LOC = """CASE WHEN json_type(obj, '$.jobLocation') = 'OBJECT' THEN nullif(concat_ws(', ',
+                 nullif(trim(coalesce(json_extract_string(obj, '$.jobLocation.address.addressLocality'), '')), ''),
+                 nullif(trim(coalesce(json_extract_string(obj, '$.jobLocation.address.addressRegion'), '')), '')), '') END"""
+_NF_SQL = O.pages_with() + f""",
+nf AS (
+  SELECT page_id, {O.tele_sql(_NF_LOC, "upper(json_extract_string(obj, '$.jobLocationType'))")} AS location,
+         json_extract_string(obj, '$.employmentType') AS job_type, {O.salary_sql('obj', True)} AS salary,
+         coalesce(json_extract_string(obj, '$."@type"') = 'JobPosting', false) AS is_post
+  FROM pj)
+"""
+
+
+@register("nrm_18", _NF_SQL + "SELECT page_id, location, job_type, salary FROM nf WHERE is_post")
+def nrm_18(spark, d):
+    return PG.netflix_page(_f3(spark, d), convert=False).where(F.col("via") == "json_ld").select(
+        "page_id", "location", "job_type", "salary")
+
+
+@register("nrm_19", _NF_SQL + "SELECT page_id, 'page' AS via FROM nf WHERE NOT is_post")
+def nrm_19(spark, d):
+    return PG.netflix_page(_f3(spark, d)).where(F.col("via") == "page").select("page_id", "via")
+
+
+@register("str_16", _NF_SQL + ", wdl AS (SELECT page_id, " + O.tele_sql(_WD_LOC, "json_extract_string(ldt, '$.jobLocationType')") +
+          """ AS wd_location FROM pg WHERE ldt IS NOT NULL)
+SELECT w.page_id, w.wd_location, n.location AS nf_location FROM wdl w JOIN nf n ON n.page_id = w.page_id AND n.is_post""")
+def str_16(spark, d):
+    pg = _f3(spark, d)
+    w = PG.workday_page(pg, convert=False).select("page_id", F.col("location").alias("wd_location"))
+    n = PG.netflix_page(pg, convert=False).where(F.col("via") == "json_ld").select("page_id", F.col("location").alias("nf_location"))
+    return w.join(n, "page_id")
+
+
+@register("jsn_1", O.pages_with() + "SELECT page_id, ldt AS json_ld FROM pg")
+def jsn_1(spark, d):
+    return _f3(spark, d).select("page_id", PG.json_ld(F.col("html")).alias("json_ld"))
+
+
+@register("jsn_2", O.pages_with() + "SELECT page_id, json_extract_string(obj, '$.title') AS title, json_extract_string(obj, '$.\"@type\"') AS type FROM pj")
+def jsn_2(spark, d):
+    o = PG.unwrap_graph(PG.json_ld(F.col("html")))
+    t = F.from_json(o, "struct<title:string,`@type`:string>")
+    return _f3(spark, d).select("page_id", t["title"].alias("title"), t["@type"].alias("type"))
+
+
+_BLOB_SQL = O.pages_with() + """,
+blob AS (
+  SELECT page_id AS source_id, 'Phenom role ' || CAST(page_id AS VARCHAR) || '-1' AS title,
+         'https://co.example.org/job/' || CAST(page_id AS VARCHAR) || '-1' AS url, 'Lehi, UT' AS location FROM pg WHERE page_id % 2 = 0
+  UNION ALL
+  SELECT page_id, 'Phenom role ' || CAST(page_id AS VARCHAR) || '-2', scheme || '://' || host || '/job/S' || CAST(page_id AS VARCHAR),
+         'Austin, TX | Remote' FROM pg WHERE page_id % 2 = 0)
+"""
+
+
+@register("nrm_12", _BLOB_SQL + "SELECT CAST(source_id AS INT) AS source_id, title, url, location FROM blob")
+def nrm_12(spark, d):
+    return PG.phenom_blob_listing(_f3(spark, d)).select("source_id", "title", "url", "location")
+
+
+@register("jsn_3", _BLOB_SQL + "SELECT CAST(source_id AS INT) AS source_id, count(*) AS n_jobs FROM blob GROUP BY 1")
+def jsn_3(spark, d):
+    return PG.phenom_blob_listing(_f3(spark, d)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+_JOB_FRAG = " OR ".join(f"contains(lower(job_url), '{p}')" for p in FL.JOB_PATH_PATTERNS)
+_GL_SQL = O.pages_with() + f""",
+gl0 AS (SELECT * FROM anc2 WHERE length(text) BETWEEN 4 AND 120 AND job_url IS NOT NULL AND ({_JOB_FRAG})),
+gl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, job_url ORDER BY pos) AS rn FROM gl0) WHERE rn = 1)
+"""
+
+
+@register("nrm_20", _GL_SQL + "SELECT page_id, job_url, pos, text AS title FROM gl")
+def nrm_20(spark, d):
+    return PG.generic_listing(_f3(spark, d)).select("page_id", "job_url", "pos", "title")
+
+
+@register("win_2", _GL_SQL + "SELECT page_id, count(*) AS n_links FROM gl GROUP BY page_id")
+def win_2(spark, d):
+    return PG.generic_listing(_f3(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+@register("udtf_1", O.pages_with() + "SELECT page_id, pos, text, href FROM anc2")
+def udtf_1(spark, d):
+    return PG.page_anchors(_f3(spark, d)).select("page_id", "pos", "text", "href")
+
+
+@register("flt_11", O.pages_with() + f"SELECT page_id, pos, ({_JOB_FRAG}) AS is_job FROM anc2 WHERE job_url IS NOT NULL")
+def flt_11(spark, d):
+    a = PG.page_anchors(_f3(spark, d)).withColumn("job_url", U.resolve_href(F.col("href"), F.col("url")))
+    return a.where(F.col("job_url").isNotNull()).select("page_id", "pos", FL.is_job_link(F.col("job_url")).alias("is_job"))
+
+
+@register("flt_12", O.pages_with() + "SELECT page_id, pos, coalesce(length(text) BETWEEN 4 AND 120, false) AS anchor_ok FROM anc2")
+def flt_12(spark, d):
+    return PG.page_anchors(_f3(spark, d)).select("page_id", "pos", FL.anchor_ok(F.col("text")).alias("anchor_ok"))
+
+
+@register("str_25", O.pages_with() + "SELECT page_id, pos, job_url FROM anc2")
+def str_25(spark, d):
+    a = PG.page_anchors(_f3(spark, d))
+    return a.select("page_id", "pos", U.resolve_href(F.col("href"), F.col("url")).alias("job_url"))
+
+
+@register("src_8", O.duck_with() + "SELECT page_id, url, length(html) AS n_chars FROM pages")
+def src_8(spark, d):
+    from .operators.normalize import read_pages
+    return read_pages(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
+
+
+@register("str_13", O.duck_with() + "SELECT page_id, 'article' AS content_tag FROM f3")
+def str_13(spark, d):
+    return _f3(spark, d).select("page_id", HT.content_tag(F.col("html")).alias("content_tag"))
+
+
+@register("str_9", O.duck_with() + """
+SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1),
+       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""")
+def str_9(spark, d):
+    t = F.regexp_extract(F.col("html"), "<title>(.*?)</title>", 1)
+    return fx.load(spark, d, "pages").select("page_id", HT.unescape(t).alias("title"))
+
+
+@register("str_9_native", O.duck_with() + """
+SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1),
+       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""")
+def str_9_native(spark, d):
+    t = F.regexp_extract(F.col("html"), "<title>(.*?)</title>", 1)
+    return fx.load(spark, d, "pages").select("page_id", T.decode_basic_entities(t).alias("title"))
+
+
+# Markdown / text of pages and documents: no SQL form (rows-only check)
+@register("udf_1")
+def udf_1(spark, d):
+    return _f3(spark, d).select("page_id", HT.page_markdown(F.col("html"), mode=None).alias("markdown"))
+
+
+@register("udf_2")
+def udf_2(spark, d):
+    return _f3(spark, d).select("page_id", HT.page_text(F.col("html")).alias("text"))
+
+
+@register("nrm_21")
+def nrm_21(spark, d):
+    return PG.generic_detail(_f3(spark, d)).select("page_id", "description")
+
+
+@register("str_6")
+def str_6(spark, d):
+    return _f3(spark, d).select("page_id", HT.clean_html(F.col("html")).alias("markdown"))
+
+
+@register("str_7")
+def str_7(spark, d):
+    return fx.load(spark, d, "documents").select("doc_id", HT.clean_html(F.col("text")).alias("markdown"))
+
+
+@register("str_12")
+def str_12(spark, d):
+    return _f3(spark, d).select("page_id", HT.page_markdown(F.col("html"), mode="generic").alias("markdown"))
+
+
+@register("flt_13", O.pages_with() + "SELECT page_id FROM pg")
+def flt_13(spark, d):
+    md = HT.page_markdown(F.col("html"), mode=None)
+    return _f3(spark, d).select("page_id", F.length(FL.min_text(md)).alias("kept_chars")).select("page_id")
+
+
+# ------------------------------------------------------------ documents text
+@register("str_2", O.duck_with() + "SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents")
+def str_2(spark, d):
+    return fx.load(spark, d, "documents").select("doc_id", F.length(T.strip(F.col("text"))).alias("n"))
+
+
+@register("str_10", O.duck_with() + """
+SELECT doc_id, length(nullif(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'),
+                     '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '')) AS n FROM documents""")
+def str_10(spark, d):
+    return fx.load(spark, d, "documents").select("doc_id", F.length(T.collapse_text(F.col("text"))).alias("n"))
+
+
+@register("str_8", O.duck_with() + """
+SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[^\\x{00}-\\x{ff}]|[\\x{81}\\x{8d}\\x{8f}\\x{90}\\x{9d}]') THEN text
+       ELSE translate(text, chr(128)||chr(130)||chr(131)||chr(132)||chr(133)||chr(134)||chr(135)||chr(136)||chr(137)||chr(138)||chr(139)||chr(140)||chr(142)||chr(145)||chr(146)||chr(147)||chr(148)||chr(149)||chr(150)||chr(151)||chr(152)||chr(153)||chr(154)||chr(155)||chr(156)||chr(158)||chr(159),
+                      '€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ') END) AS h FROM documents""")
+def str_8(spark, d):
+    return fx.load(spark, d, "documents").select("doc_id", F.md5(T.repair_cp1252(F.col("text"))).alias("h"))
+
+
+# ------------------------------------------------------ URLs and facets
+_WD_SRC_SQL = O.duck_with() + """,
+wdu AS (
+  SELECT id, url, regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/'),
+                     lambda x: x <> '' AND x NOT IN ('en-US', 'recruiting')) AS parts
+  FROM f1 WHERE contains(url, 'myworkday')),
+wdp AS (
+  SELECT id, host, parts, nullif(regexp_extract(host, '^([^.]+)\\.(wd[0-9]+)\\.myworkday(jobs|site)\\.com', 1), '') AS c1,
+         regexp_matches(host, '^(wd[0-9]+)\\.myworkday(jobs|site)\\.com') AS shape2
+  FROM wdu)
+"""
+
+
+@register("str_20", _WD_SRC_SQL + """
+SELECT id, 'https://' || host AS base_url, CASE WHEN c1 IS NOT NULL THEN c1 WHEN shape2 THEN parts[1] END AS company,
+       CASE WHEN c1 IS NOT NULL THEN coalesce(CASE WHEN lower(parts[1]) = lower(c1) THEN parts[2] ELSE parts[1] END, c1)
+            WHEN shape2 THEN coalesce(parts[2], parts[1]) END AS board
+FROM wdp""")
+def str_20(spark, d):
+    s = _sources(spark, d).where(F.col("url").contains("myworkday"))
+    w = U.workday_source(F.col("url"))
+    return s.select("id", w["base_url"].alias("base_url"), w["company"].alias("company"), w["board"].alias("board"))
+
+
+@register("str_21", _WD_SQL + """
+SELECT 'https://co' || CAST(source_id AS VARCHAR) || '.wd5.myworkdayjobs.com' AS base_url, 'co' || CAST(source_id AS VARCHAR) AS company,
+       'Board' || CAST(source_id AS VARCHAR) AS board, substr(url, strpos(url, '/job/')) AS job_path, url
+FROM wd_all""")
+def str_21(spark, d):
+    j = _workday(spark, d)
+    w = U.workday_job(F.col("url"))
+    return j.select(w["base_url"].alias("base_url"), w["company"].alias("company"), w["board"].alias("board"),
+                    w["job_path"].alias("job_path"), "url")
+
+
+_QP_SQL = O.duck_with() + """,
+qs AS (SELECT id, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS kvs FROM f1 WHERE contains(url, '?')),
+qp AS (SELECT id, unnest(kvs) AS kv, unnest(range(len(kvs))) AS i FROM qs),
+qd AS (
+  SELECT id, i, url_decode(replace(split_part(kv, '=', 1), '+', ' ')) AS k,
+         url_decode(replace(CASE WHEN strpos(kv, '=') > 0 THEN substr(kv, strpos(kv, '=') + 1) ELSE '' END, '+', ' ')) AS v
+  FROM qp)
+"""
+
+
+@register("str_26", _QP_SQL + "SELECT id, k AS key, string_agg(v, '|' ORDER BY i) AS vals FROM qd WHERE v <> '' GROUP BY id, k")
+def str_26(spark, d):
+    s = _sources(spark, d).select("id", F.explode(U.query_map(F.col("url"))).alias("key", "v"))
+    return s.select("id", "key", F.array_join("v", "|").alias("vals"))
+
+
+@register("map_1", _QP_SQL + "SELECT id, k AS key, string_agg(v, '|' ORDER BY i) AS vals FROM qd WHERE v <> '' AND k IN (" +
+          ", ".join(f"'{k}'" for k in U.WORKDAY_FACETS) + ") GROUP BY id, k")
+def map_1(spark, d):
+    s = _sources(spark, d).select("id", F.explode(U.query_map(F.col("url"), U.WORKDAY_FACETS)).alias("key", "v"))
+    return s.select("id", "key", F.array_join("v", "|").alias("vals"))
+
+
+# ---------------------------------------------------- departments (JOB-6)
+_DEPT_SQL = O.pay_with() + """,
+dep AS (
+  SELECT source_id, source_id * 100 + CASE department WHEN 'Engineering' THEN 1 WHEN 'Data Science' THEN 2
+                                                     WHEN 'Product' THEN 3 WHEN 'Sales' THEN 4 END AS dept_id,
+         department AS name, count(DISTINCT ord // 400) AS n_jobs
+  FROM pf2 WHERE pplat = 'greenhouse' AND department IS NOT NULL GROUP BY source_id, department)
+"""
+
+
+def _depts(spark, d):
+    return DS.greenhouse_departments(PL.greenhouse_departments(_postings(spark, d)))
+
+
+@register("nrm_22", _DEPT_SQL + "SELECT source_id, dept_id, name, CAST(n_jobs AS INT) AS n_jobs FROM dep")
+def nrm_22(spark, d):
+    return _depts(spark, d).select("source_id", "dept_id", "name", "n_jobs")
+
+
+@register("job_6", _DEPT_SQL + "SELECT source_id, dept_id, name, CAST(n_jobs AS INT) AS n_jobs FROM dep ORDER BY name")
+def job_6(spark, d):
+    return _depts(spark, d).select("source_id", "dept_id", "name", "n_jobs")
+
+
+@register("srt_4", _DEPT_SQL + "SELECT DISTINCT name FROM dep ORDER BY name")
+def srt_4(spark, d):
+    return _depts(spark, d).select("name").distinct().orderBy("name")
+
+
+# ------------------------------------------------ last detail per URL (WIN-5)
+@register("win_5", _LEVER_SQL + """
+SELECT source_id, url, CAST(max(ord) AS VARCHAR) AS id FROM lv GROUP BY source_id, url""")
+def win_5(spark, d):
+    det = N.lever(_by(_payloads(spark, d), "lever"), convert=False)
+    return N.last_detail_per_url(det).select("source_id", "url", "id")
+
+
+@register("nrm_23", _BAMBOO_SQL + """
+SELECT CAST(ord AS VARCHAR) AS id, title, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS description
+FROM bb WHERE ord % 7 = 0""")
+def nrm_23(spark, d):
+    pay = _by(_payloads(spark, d), "bamboohr")
+    out = N.bamboohr_detail(N.bamboohr_listing(pay), pay)
+    return out.where(F.col("job_type").isNull()).select("id", "title", "location", "description")

@@ -156,6 +156,52 @@ FROM (SELECT {_sha('url', dialect)} AS url_hash, min(ord) AS o, {first}(title, o
 """
 
 
+def f3_template() -> str:
+    """F3 job pages: every page of ``pages`` with job links, one JSON-LD block
+    and (even ids) a listing script blob inserted before ``</article>``.
+    Values come from page_id. Braces are doubled for the SQL formatter."""
+    p = "CAST(page_id AS STRING)"
+    loc_obj = '{{"address": {{"addressLocality": "Lehi", "addressRegion": " UT "}}}}'
+    loc_list = ('[{{"address": {{"addressLocality": "Lehi", "addressRegion": "UT"}}}}, '
+                '{{"address": {{"addressLocality": "Provo"}}}}, {{"address": {{}}}}]')
+    posting = f"""'{{{{"@type": "' || CASE WHEN page_id % 13 = 0 THEN 'WebPage' ELSE 'JobPosting' END
+      || '", "title": "Role ' || {p} || '", "description": "<p>About role ' || {p} || '</p><ul><li>Build things</li></ul>"'
+      || CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 3 = 0 THEN ', "jobLocation": {loc_list}'
+              ELSE ', "jobLocation": {loc_obj}' END
+      || CASE WHEN page_id % 5 = 0 THEN ', "jobLocationType": "TELECOMMUTE"'
+              WHEN page_id % 10 = 1 THEN ', "jobLocationType": "telecommute"' ELSE '' END
+      || ', "employmentType": "FULL_TIME"'
+      || CASE WHEN page_id % 7 = 0 THEN ''
+              WHEN page_id % 7 = 1 THEN ', "baseSalary": {{{{"currency": "USD", "value": {{{{"minValue": 120000.75}}}}}}}}'
+              ELSE ', "baseSalary": {{{{"currency": "USD", "value": {{{{"minValue": ' || CAST(100000 + page_id AS STRING)
+                   || '.9, "maxValue": ' || CAST(150000 + page_id AS STRING) || ', "unitText": "YEAR"}}}}}}}}' END
+      || '}}}}'"""
+    ld = f"""CASE WHEN page_id % 4 = 0
+      THEN '{{{{"@context": "https://schema.org", "@graph": [{{{{"@type": "Organization", "name": "Acme"}}}}, ' || {posting} || ']}}}}'
+      ELSE {posting} END"""
+    blob = f"""CASE WHEN page_id % 2 = 0 THEN
+      '<script type="text/javascript">var phApp = phApp || {{{{}}}}; phApp.ddo = {{{{"siteConfig": {{{{"a": 1}}}}, "eagerLoadRefineSearch": {{{{"status": 200, "data": {{{{"jobs": ['
+      || '{{{{"title": "Phenom role ' || {p} || '-1", "applyUrl": "https://co.example.org/job/' || {p} || '-1/apply", "cityState": "Lehi, UT"}}}}, '
+      || '{{{{"title": "Phenom role ' || {p} || '-2", "jobSeqNo": "S' || {p} || '", "multi_location": ["Austin, TX", "Remote"]}}}}'
+      || ']}}}}, "totalHits": 2}}}}}}}}; track(' || {p} || ');</script>' ELSE '' END"""
+    links = f"""'<div class="job-links">'
+      || '<a href="/jobs/' || {p} || '">Open role ' || {p} || '</a>'
+      || '<a href="/jobs/' || {p} || '">Open role again ' || {p} || '</a>'
+      || '<a href="/careers/x' || {p} || '">Go</a>'
+      || '<a href="https://jobs.example.org/positions/' || {p} || '">' || repeat('Long title ', 12) || '</a>'
+      || '<a href=" https://jobs.example.org/positions/' || {p} || '?ref=1 ">Position ' || {p} || ' at example</a>'
+      || '<a href="//cdn.example.org/openings/' || {p} || '">CDN opening ' || {p} || '</a>'
+      || '<a href="apply/' || {p} || '">Relative apply link</a>'
+      || '<a href="/about">About us page</a>'
+      || '</div>'"""
+    return f"""
+SELECT page_id, url,
+       replace(html, '</article>', {links}
+               || '<script type="application/ld+json">' || {ld} || '</script>' || {blob} || '</article>') AS html
+FROM {{pages}}
+"""
+
+
 # ---------------------------------------------------------------- Spark side
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -183,6 +229,11 @@ def stored_df(postings: DataFrame) -> DataFrame:
     return postings.where(F.col("ord") % 13 == 0).select(hash_url(F.col("url")).alias("url_hash")).distinct()
 
 
+def job_pages_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 job pages."""
+    return spark.sql(f3_template(), pages=load(spark, sf_dir, "pages"))
+
+
 def details_df(spark: SparkSession, postings: DataFrame) -> DataFrame:
     """F3b details."""
     return spark.sql(f3b_sql("spark", "{f2}"), f2=postings.select("ord", "title", "url"))
@@ -194,5 +245,6 @@ def duck_with(extra: str = "") -> str:
     return f"""WITH f1 AS ({f1_sql('duckdb')}),
 f2 AS ({f2_sql('duckdb')}),
 stored AS ({stored_sql('f2', 'duckdb')}),
-details AS ({f3b_sql('duckdb', 'f2')}){extra}
+details AS ({f3b_sql('duckdb', 'f2')}),
+f3 AS ({f3_template().format(pages='pages')}){extra}
 """

@@ -203,3 +203,54 @@ def pay_with() -> str:
     return duck_with() + f""",
 pf2 AS (SELECT f2.*, CASE source_id % 8 {whens} END AS pplat, (ord % 23 <> 0) AS title_ok FROM f2)
 """
+
+
+LD_RE_SQL = "'(?s)<script[^>]*type=\"application/ld\\+json\"[^>]*>(.*?)</script>'"
+ANCHOR_RE_SQL = "'<a href=\"([^\"]*)\">([^<]*)</a>'"
+
+
+def pages_with() -> str:
+    """pg: F3 pages with scheme, host and the first JSON-LD block; obj: the
+    @graph-unwrapped posting."""
+    return duck_with() + f""",
+pg AS (
+  SELECT page_id, url, html, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme,
+         regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) AS host,
+         nullif(regexp_extract(html, {LD_RE_SQL}, 1), '') AS ldt
+  FROM f3),
+pj AS (
+  SELECT *, CASE WHEN json_type(ldt, '$."@graph"') = 'ARRAY'
+                 THEN coalesce(list_filter(TRY_CAST(json_extract(ldt, '$."@graph"') AS JSON[]),
+                                           lambda g: json_extract_string(g, '$."@type"') = 'JobPosting')[1], ldt)
+                 ELSE ldt END AS obj
+  FROM pg),
+anc AS (
+  SELECT page_id, url, scheme, host,
+         unnest(regexp_extract_all(html, {ANCHOR_RE_SQL}, 1)) AS href0,
+         unnest(regexp_extract_all(html, {ANCHOR_RE_SQL}, 2)) AS text0,
+         unnest(range(len(regexp_extract_all(html, {ANCHOR_RE_SQL}, 1)))) AS pos
+  FROM pg),
+anc2 AS (
+  SELECT page_id, CAST(pos AS INT) AS pos, trim(text0) AS text, trim(href0) AS href,
+         CASE WHEN starts_with(trim(href0), '/') THEN scheme || '://' || host || trim(href0)
+              WHEN starts_with(trim(href0), 'http') THEN trim(href0) END AS job_url
+  FROM anc)
+"""
+
+
+def salary_sql(j: str, open_ended: bool) -> str:
+    mn = f"TRY_CAST(json_extract_string({j}, '$.baseSalary.value.minValue') AS DOUBLE)"
+    mx = f"TRY_CAST(json_extract_string({j}, '$.baseSalary.value.maxValue') AS DOUBLE)"
+    unit = f"json_extract_string({j}, '$.baseSalary.value.unitText')"
+    cur = f"coalesce(json_extract_string({j}, '$.baseSalary.currency'), 'USD')"
+    rng = (f"{cur} || ' ' || {thousands(f'CAST(floor({mn}) AS BIGINT)')} || '–' || {thousands(f'CAST(floor({mx}) AS BIGINT)')}"
+           f" || CASE WHEN coalesce({unit}, '') <> '' THEN ' / ' || lower({unit}) ELSE '' END")
+    out = f"CASE WHEN coalesce({mn}, 0) <> 0 AND coalesce({mx}, 0) <> 0 THEN {rng}"
+    if open_ended:
+        out += f" WHEN coalesce({mn}, 0) <> 0 THEN {cur} || ' ' || {thousands(f'CAST(floor({mn}) AS BIGINT)')} || '+'"
+    return out + " END"
+
+
+def tele_sql(loc: str, flag: str) -> str:
+    return (f"CASE WHEN {flag} = 'TELECOMMUTE' THEN CASE WHEN coalesce({loc}, '') <> '' THEN {loc} || ' | Remote, US' "
+            f"ELSE 'Remote, US' END ELSE {loc} END")

@@ -142,7 +142,7 @@ def bamboohr(rows: DataFrame) -> DataFrame:
         F.when(o % 3 == 2, F.coalesce(F.col("location"), F.lit(""))).alias("location__str"),
         F.lit("Full-Time").alias("employmentType")))
     det_body = _rename_keys(det_body, [("location__obj", "location"), ("location__str", "location")])
-    detail = rows.select(F.col("source_id").cast("int"), F.lit("bamboohr").alias("platform"),
+    detail = rows.where(o % 7 != 0).select(F.col("source_id").cast("int"), F.lit("bamboohr").alias("platform"),
                          F.lit("detail").alias("kind"), F.lit(0).alias("page_no"),
                          o.cast("string").alias("key"), det_body.alias("body"))
     return listing.unionByName(detail)
@@ -252,3 +252,22 @@ def payloads(postings: DataFrame, run_ts: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def greenhouse_departments(postings: DataFrame) -> DataFrame:
+    """Departments payload per Greenhouse source (JOB-6 input): one entry per
+    department with the pages its jobs appear on (a bounded list), plus one
+    nameless entry."""
+    rows = postings.where(platform_of(F.col("source_id")) == "greenhouse")
+    per = rows.groupBy("source_id", "department").agg(
+        F.array_sort(F.collect_set(F.floor(F.col("ord") / PAGE_SPAN).cast("int"))).alias("jobs"))
+    idx = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ["Engineering", "Data Science", "Product", "Sales"]]),
+                                      F.col("department")), F.lit(9))
+    entry = F.struct((F.col("source_id") * 100 + idx).alias("id"),
+                     F.concat(F.lit("  "), F.coalesce(F.col("department"), F.lit("")), F.lit(" ")).alias("name"),
+                     F.col("jobs").alias("jobs"))
+    g = per.groupBy("source_id").agg(F.array_sort(F.collect_list(entry)).alias("departments"))
+    return g.select(F.col("source_id").cast("int"), F.lit("greenhouse").alias("platform"),
+                    F.lit("departments").alias("kind"), F.lit(0).alias("page_no"),
+                    F.concat(F.lit("board"), F.col("source_id")).alias("key"),
+                    F.to_json(F.struct("departments")).alias("body"))

@@ -64,3 +64,16 @@ def consolidated(values: DataFrame, kind: str) -> DataFrame:
     platform, sorted (code-point order)."""
     return (values.where(F.col("kind") == kind).select("platform_label", "value").distinct()
             .orderBy("platform_label", "value"))
+
+
+GH_DEPARTMENTS = "struct<departments:array<struct<id:bigint,name:string,jobs:array<string>>>>"
+
+
+def greenhouse_departments(payloads: DataFrame) -> DataFrame:
+    """NRM-22 / JOB-6 / SRT-4: (source, id, stripped name, number of jobs),
+    id and name present, ordered by name."""
+    d = payloads.select("source_id", F.explode(F.from_json("body", GH_DEPARTMENTS)["departments"]).alias("d"))
+    name = strip(F.coalesce(F.col("d.name"), F.lit("")))
+    out = d.select("source_id", F.col("d.id").alias("dept_id"), name.alias("name"),
+                   F.size(F.coalesce(F.col("d.jobs"), F.array().cast("array<string>"))).alias("n_jobs"))
+    return out.where(F.col("dept_id").isNotNull() & (F.col("dept_id") != 0) & (F.col("name") != "")).orderBy("name")
