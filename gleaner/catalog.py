@@ -1457,3 +1457,47 @@ def nrm_23(spark, d):
     pay = _by(_payloads(spark, d), "bamboohr")
     out = N.bamboohr_detail(N.bamboohr_listing(pay), pay)
     return out.where(F.col("job_type").isNull()).select("id", "title", "location", "description")
+
+
+# ------------------------------------------------------------ streaming
+from .streaming import intake as ST  # noqa: E402
+
+_STM_GROUPS = 4
+
+
+def _stream_intake(spark, d):
+    """Land the postings in source-order groups and let an availableNow
+    stream take each landing in turn (as repeated runs would)."""
+    p = _postings(spark, d)
+    planned = C.plan(S.active_sources(_sources(spark, d)))
+    base = _scratch(spark, "stm")
+    landing, jobs, ck = f"{base}/landing", f"{base}/jobs", f"{base}/ck-intake"
+    prior = fx.stored_df(_postings(spark, d))
+    for g in range(_STM_GROUPS):
+        part = p.where(F.floor((F.col("source_id") - 1) * _STM_GROUPS / 20) == g)
+        part.write.mode("append").parquet(landing)
+        q = ST.start_intake(spark, landing, p.schema, planned, CFG_A, jobs, ck, _run_ts(spark), prior=prior,
+                            files_per_batch=1 << 20)
+        q.awaitTermination()
+    return base, jobs
+
+
+@register("stm_1", O.with_cascade() + _NEWJOBS_SQL + "SELECT url_hash, source_id, title, scrape_status FROM newjobs")
+def stm_1(spark, d):
+    _, jobs = _stream_intake(spark, d)
+    return spark.read.parquet(jobs).select("url_hash", "source_id", "title", "scrape_status")
+
+
+@register("stm_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
+          "SELECT url_hash, location, job_type, salary, scrape_status, scrape_error FROM pass2")
+def stm_2(spark, d):
+    base, jobs = _stream_intake(spark, d)
+    det = fx.details_df(spark, _postings(spark, d))
+    landing, snaps = f"{base}/details", f"{base}/snapshots"
+    for g in range(2):
+        det.where(F.abs(F.hash("url_hash")) % 2 == g).write.mode("append").parquet(landing)
+        q = ST.start_details(spark, landing, det.schema, jobs, snaps, f"{base}/ck-details", _run_ts(spark),
+                             files_per_batch=1 << 20)
+        q.awaitTermination()
+    return ST.latest_snapshot(spark, snaps).select("url_hash", "location", "job_type", "salary", "scrape_status",
+                                                   "scrape_error")
