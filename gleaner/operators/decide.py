@@ -64,13 +64,13 @@ class FilterConfig:
 
 def add_flags(postings: DataFrame, cfg: FilterConfig) -> DataFrame:
     """Role (STR-3) and the four tests (FLT-2..5) as columns."""
-    return (postings
-            .withColumn("url_hash", hash_url(F.col("url")))
-            .withColumn("role", classify_role(F.col("title")))
-            .withColumn("role_ok", role_targeted(F.col("role"), cfg.roles))
-            .withColumn("blocked", title_blocked(F.col("title"), cfg.blocked))
-            .withColumn("location_ok", location_targeted(F.col("location"), cfg.locations))
-            .withColumn("department_ok", department_targeted(F.col("departments"), cfg.departments)))
+    with_role = postings.select("*", hash_url(F.col("url")).alias("url_hash"),
+                                classify_role(F.col("title")).alias("role"))
+    return with_role.select(
+        "*", role_targeted(F.col("role"), cfg.roles).alias("role_ok"),
+        title_blocked(F.col("title"), cfg.blocked).alias("blocked"),
+        location_targeted(F.col("location"), cfg.locations).alias("location_ok"),
+        department_targeted(F.col("departments"), cfg.departments).alias("department_ok"))
 
 
 def _pos() -> Column:
@@ -92,9 +92,9 @@ def mark_duplicates(flagged: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Adds ``already_stored`` and ``earlier_twin`` (WIN-1) flags."""
     keys = duplicate_keys(flagged, stored)
     out = flagged.join(keys, "url_hash", "left")
-    return (out.withColumn("already_stored", F.coalesce(F.col("stored"), F.lit(False)))
-               .withColumn("earlier_twin", F.coalesce(F.col("first_ok") < _pos(), F.lit(False)))
-               .drop("stored", "first_ok"))
+    keep = [c for c in out.columns if c not in ("stored", "first_ok")]
+    return out.select(*keep, F.coalesce(F.col("stored"), F.lit(False)).alias("already_stored"),
+                      F.coalesce(F.col("first_ok") < _pos(), F.lit(False)).alias("earlier_twin"))
 
 
 def decide(postings: DataFrame, cfg: FilterConfig, stored: DataFrame | None = None,
@@ -114,7 +114,7 @@ def decide(postings: DataFrame, cfg: FilterConfig, stored: DataFrame | None = No
     step = (F.when(~F.col("role_ok"), "role").when(F.col("blocked"), "blocked_title").when(dup, "duplicate")
              .when(~F.col("location_ok"), "location").when(~F.col("department_ok"), "department")
              .otherwise("added"))
-    df = df.withColumn("step", step)
+    df = df.select("*", step.alias("step"))
     added = "WOULD ADD" if dry_run else "ADDED"
     decision = (F.when(F.col("step") == "added", F.lit(added))
                  .when(F.col("step") == "duplicate", F.lit("SKIPPED")).otherwise(F.lit("FILTERED")))
@@ -125,7 +125,7 @@ def decide(postings: DataFrame, cfg: FilterConfig, stored: DataFrame | None = No
                .when(F.col("step") == "location", F.concat(F.lit("location="), py_repr(F.col("location"))))
                .when(F.col("step") == "department", F.concat(F.lit("dept="), py_list_repr(F.col("departments"))))
                .otherwise(F.concat(F.lit("role="), role_txt, F.lit(" location="), py_repr(F.col("location")))))
-    return df.withColumn("decision", decision).withColumn("reason", reason)
+    return df.select("*", decision.alias("decision"), reason.alias("reason"))
 
 
 def decision_line(company: Column, decision: Column, reason: Column, title: Column) -> Column:

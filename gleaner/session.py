@@ -17,6 +17,10 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HTML rows can be large; keep Arrow batches small enough for the Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Partition sizing: AQE coalesces small shuffle partitions and splits
+    # skewed ones toward this size; scans are cut at the same size.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "128m",
 }
 
 
@@ -64,6 +68,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor
+    loss). The frame is persisted first so the checkpoint write does not
+    compute it a second time; the persisted copy is released afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist(blocking=False)
