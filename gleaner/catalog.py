@@ -905,14 +905,12 @@ def _workday(spark, d):
 
 @register("nrm_9", _WD_SQL + "SELECT * FROM wd_single")
 def nrm_9(spark, d):
-    return _workday(spark, d).where(~F.col("url").contains("Role-") | (F.floor(F.col("id").substr(2, 12).try_cast("bigint") / 20) % 4 != 0)).select(
-        "source_id", "id", "title", "url", "location")
+    return _workday(spark, d).where(~F.col("multi_location")).select("source_id", "id", "title", "url", "location")
 
 
 @register("nrm_10", _WD_SQL + "SELECT * FROM wd_var UNION ALL SELECT * FROM wd_none")
 def nrm_10(spark, d):
-    return _workday(spark, d).where(F.floor(F.col("id").substr(2, 12).try_cast("bigint") / 20) % 4 == 0).select(
-        "source_id", "id", "title", "url", "location")
+    return _workday(spark, d).where(F.col("multi_location")).select("source_id", "id", "title", "url", "location")
 
 
 @register("jn_4", _WD_SQL + "SELECT * FROM wd_all")
@@ -963,10 +961,12 @@ def win_3(spark, d):
     return N.phenom(_by(_payloads(spark, d), "phenom"), convert=False).select("source_id", "url")
 
 
-@register("str_23", _PHENOM_SQL + "SELECT eurl AS url FROM ph WHERE ord % 3 = 0")
+@register("str_23", O.pay_with() + """
+SELECT source_id, url FROM pf2 WHERE pplat = 'phenom' AND ord % 3 = 0""")
 def str_23(spark, d):
-    return N.phenom(_by(_payloads(spark, d), "phenom"), convert=False).where(
-        F.col("id").substr(4, 12).try_cast("bigint") % 3 == 0).select("url")
+    pay = _by(_payloads(spark, d), "phenom")
+    j = pay.select("source_id", F.explode(F.from_json("body", N.PHENOM_SCHEMA)["data"]["jobs"]).alias("j"))
+    return j.where(F.col("j.applyUrl").isNotNull()).select("source_id", U.strip_apply(F.col("j.applyUrl")).alias("url"))
 
 
 @register("win_6", _PHENOM_SQL + "SELECT source_id, count(DISTINCT ord // 200) AS pages_used FROM ph0 GROUP BY source_id")
@@ -1009,14 +1009,15 @@ def dt_1(spark, d):
     return j.select(F.col("j.Id").alias("id"), age.alias("age_days"))
 
 
-@register("dt_3", O.pay_with() + f"SELECT TIMESTAMP '{fx.RUN_TS}' - INTERVAL 30 DAYS AS cutoff")
+@register("dt_3", O.pay_with() + f"""
+SELECT CAST(ord AS VARCHAR) AS id, TIMESTAMP '{fx.RUN_TS}' - INTERVAL 30 DAYS AS cutoff
+FROM pf2 WHERE pplat = 'oracle' AND title_ok AND ord % 29 <> 0 AND (ord // 20) % 5 <> 0""")
 def dt_3(spark, d):
-    one = _sources(spark, d).agg(F.max("id").alias("_m"))
-    return one.select((_run_ts(spark) - F.make_interval(days=F.lit(30))).alias("cutoff"))
+    kept = N.oracle(_by(_payloads(spark, d), "oracle"), _run_ts(spark), convert=False)
+    return kept.select("id", (_run_ts(spark) - F.make_interval(days=F.lit(30))).alias("cutoff"))
 
 
-@register("dt_2", O.pay_with() + f"SELECT DISTINCT TIMESTAMP '{fx.RUN_TS}' AS run_ts FROM newjobs_ts" if False else
-          O.with_cascade() + _NEWJOBS_SQL + "SELECT DISTINCT scraped_at AS run_ts FROM newjobs WHERE scraped_at IS NOT NULL")
+@register("dt_2", O.with_cascade() + _NEWJOBS_SQL + "SELECT DISTINCT scraped_at AS run_ts FROM newjobs WHERE scraped_at IS NOT NULL")
 def dt_2(spark, d):
     return _new_jobs(spark, d).where(F.col("scraped_at").isNotNull()).select(F.col("scraped_at").alias("run_ts")).distinct()
 
@@ -1046,12 +1047,6 @@ def mth_3(spark, d):
     return tot.select("source_id", "total", F.size(N.pages_complete(F.col("total"), 20)).cast("int").alias("n_pages"))
 
 
-_ALL_SQL = O.pay_with() + """,
-expect AS (
-  SELECT pplat AS platform, count(*) AS n FROM pf2 GROUP BY 1)
-"""
-
-
 @register("prj_1", _GH_SQL + "SELECT source_id, title, url FROM gh")
 def prj_1(spark, d):
     return N.as_listing(N.greenhouse(_by(_payloads(spark, d), "greenhouse"), convert=False)).select("source_id", "title", "url")

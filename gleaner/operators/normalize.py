@@ -318,7 +318,7 @@ def workday(payloads: DataFrame, target_locations: Sequence[str] | None) -> Data
                    F.col("job_id").alias("id"), "title", F.concat(F.col("key"), url_path).alias("url"),
                    _null().alias("company"), loc.alias("location"), _null().alias("job_type"),
                    _null().alias("salary"), _null().alias("description"), _empty().alias("requirements"),
-                   _empty().alias("departments"))
+                   _empty().alias("departments"), F.col("_multi").alias("multi_location"))
     return out
 
 

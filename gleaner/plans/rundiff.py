@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import diff as DF
-from ..functions.text import py_repr
 from ..operators.decide import FilterConfig, decision_line
 from ..sources.logs import log_lines, tail
 from .collection import dry_run
@@ -61,13 +60,9 @@ def run_diff(lines: DataFrame) -> DataFrame:
 def run_log_lines(decided: DataFrame, results: DataFrame, ts_text: str) -> DataFrame:
     """The collection run's log (timestamped, levelled lines) as (line_no, line)."""
     prefix = F.lit(f"{ts_text},000 [INFO] ")
-    msg = F.when(F.col("decision") == "ADDED",
-                 F.concat(F.lit("["), F.col("source_company"), F.lit("] ADDED "), F.col("reason"), F.lit(": "),
-                          F.col("_t"))).otherwise(
-        decision_line(F.col("source_company"), F.col("decision"), F.col("reason"), F.col("title")))
-    dl = decided.withColumn("_t", py_repr(F.col("title"))).select(
-        (F.col("source_order") * LINE_STRIDE + F.col("ord") * 2 + 1).alias("line_no"),
-        F.concat(prefix, msg).alias("line"))
+    msg = decision_line(F.col("source_company"), F.col("decision"), F.col("reason"), F.col("title"))
+    dl = decided.select((F.col("source_order") * LINE_STRIDE + F.col("ord") * 2 + 1).alias("line_no"),
+                        F.concat(prefix, msg).alias("line"))
     err = results.where(F.col("status") == "failed").select(
         (F.col("source_id") * LINE_STRIDE).alias("line_no"),
         F.concat(F.lit(f"{ts_text},000 [ERROR] ["), F.col("company"), F.lit("] Scrape failed: "), F.col("error")).alias("line"))
