@@ -1,4 +1,9 @@
-"""Source selection (SRC-1..6, SRT-1) and size-checked broadcast of small sides."""
+"""Source selection (SRC-1..6, SRT-1) and size-checked broadcast of small sides.
+
+Predicates are plain comparisons (``active = true``, ``requires_js = false``)
+so they reach the Parquet/JDBC scan as pushed filters; in a WHERE clause a
+NULL flag drops the row, as the reference's SQL does.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +41,7 @@ def active_sources(sources: DataFrame, source_id: int | None = None) -> DataFram
     The reference also reads a falsy id (0) as "all"; we keep that quirk
     explicit (Q15): ``None`` and ``0`` both mean all sources.
     """
-    cond = F.coalesce(F.col("active"), F.lit(False))
+    cond = F.col("active") == F.lit(True)
     if source_id:
         cond = cond & (F.col("id") == F.lit(source_id))
     return sources.where(cond)
@@ -44,9 +49,9 @@ def active_sources(sources: DataFrame, source_id: int | None = None) -> DataFram
 
 def sources_of_type(sources: DataFrame, extractor_type: str, include_js: bool = False) -> DataFrame:
     """SRC-3 / SRC-6: active sources of one platform ordered by company."""
-    cond = F.coalesce(F.col("active"), F.lit(False)) & (F.col("extractor_type") == F.lit(extractor_type))
+    cond = (F.col("active") == F.lit(True)) & (F.col("extractor_type") == F.lit(extractor_type))
     if not include_js:
-        cond = cond & ~F.coalesce(F.col("requires_js"), F.lit(False))
+        cond = cond & (F.col("requires_js") == F.lit(False))
     return sources.where(cond).orderBy("company")
 
 
@@ -56,12 +61,12 @@ def sources_like(sources: DataFrame, patterns: Sequence[str]) -> DataFrame:
     if not patterns:
         return sources.limit(0)
     match = reduce(lambda a, b: a | b, [F.col("company").ilike(f"%{p}%") for p in patterns])
-    cond = F.coalesce(F.col("active"), F.lit(False)) & ~F.coalesce(F.col("requires_js"), F.lit(False)) & match
+    cond = (F.col("active") == F.lit(True)) & (F.col("requires_js") == F.lit(False)) & match
     return sources.where(cond).orderBy("company")
 
 
 def sources_all(sources: DataFrame, by_type: bool = False) -> DataFrame:
     """SRC-5 / SRT-1: active non-JS sources ordered by company or (type, company)."""
-    cond = F.coalesce(F.col("active"), F.lit(False)) & ~F.coalesce(F.col("requires_js"), F.lit(False))
+    cond = (F.col("active") == F.lit(True)) & (F.col("requires_js") == F.lit(False))
     order = ["extractor_type", "company"] if by_type else ["company"]
     return sources.where(cond).orderBy(*order)

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from gleaner.fixtures import TABLES
 
 QUICK = ["src_1", "jn_8", "str_3", "flt_8", "win_1", "agg_1", "job_3", "str_4", "job_5", "nrm_2", "nrm_6",
-         "nrm_10", "nrm_11", "nrm_20", "str_26", "agg_4", "job_2"]
+         "nrm_10", "nrm_11", "nrm_20", "str_26", "agg_4", "job_2", "stm_1", "stm_2"]
 
 
 def test_entry_runs(spark):

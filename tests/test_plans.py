@@ -40,3 +40,15 @@ def test_scan_prunes_columns(spark, sf_small):
 
 def test_second_pass_uses_semi_join(spark, sf_small):
     assert "LeftSemi" in _plan(QUERIES["jn_6"](spark, sf_small))
+
+
+def test_source_filters_reach_the_scan(spark, sf_small, tmp_path):
+    from gleaner.sources.sources import sources_of_type
+    path = str(tmp_path / "sources")
+    fx.sources_df(spark, sf_small).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = sources_of_type(spark.read.parquet(path), "workday")
+    p = _plan(df)
+    pushed = p.split("PushedFilters: [")[1].split("]")[0]
+    assert "EqualTo(active,true)" in pushed and "requires_js" in pushed
+    assert "EqualTo(extractor_type,workday)" in pushed
