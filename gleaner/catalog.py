@@ -216,8 +216,8 @@ def flt_7(spark, d):
 
 # ------------------------------------------------------ cascade, dedup, runs
 def _decided(spark, d, cfg=CFG_A):
-    decided, _ = C.collection_run(_sources(spark, d), _postings(spark, d),
-                                  fx.stored_df(_postings(spark, d)), cfg)
+    p = _postings(spark, d)
+    decided, _ = C.collection_run(_sources(spark, d), p, fx.stored_df(p), cfg)
     return decided
 
 
@@ -259,8 +259,8 @@ results AS (
 
 
 def _results(spark, d, cfg=CFG_A):
-    _, results = C.collection_run(_sources(spark, d), _postings(spark, d),
-                                  fx.stored_df(_postings(spark, d)), cfg)
+    p = _postings(spark, d)
+    _, results = C.collection_run(_sources(spark, d), p, fx.stored_df(p), cfg)
     return results
 
 
@@ -495,8 +495,8 @@ _TS = fx.RUN_TS
 
 
 def _runlog(spark, d):
-    decided, results = C.collection_run(_sources(spark, d), _postings(spark, d),
-                                        fx.stored_df(_postings(spark, d)), CFG_A)
+    p = _postings(spark, d)
+    decided, results = C.collection_run(_sources(spark, d), p, fx.stored_df(p), CFG_A)
     return RD.run_log_lines(decided, results, _TS)
 
 
@@ -1467,7 +1467,7 @@ def _stream_intake(spark, d):
     planned = C.plan(S.active_sources(_sources(spark, d)))
     base = _scratch(spark, "stm")
     landing, jobs, ck = f"{base}/landing", f"{base}/jobs", f"{base}/ck-intake"
-    prior = fx.stored_df(_postings(spark, d))
+    prior = fx.stored_df(p)
     for g in range(_STM_GROUPS):
         part = p.where(F.floor((F.col("source_id") - 1) * _STM_GROUPS / 20) == g)
         part.write.mode("append").parquet(landing)

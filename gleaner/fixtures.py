@@ -96,24 +96,27 @@ JOIN {supplier} sp ON sp.s_suppkey = n.sk
 
 def f2_sql(dialect: str, documents: str = "documents") -> str:
     """F2 postings: one row per document; url carries the SHA-256 of the whole
-    text, so exact copies of a document share a URL (real duplicates)."""
+    text, so exact copies of a document share a URL (real duplicates). Title
+    template, department and salary phrase follow the position within the
+    source, so every source sees all of them."""
+    k = "CAST(floor(d.doc_id / 20) AS BIGINT)"  # position within the source (sources take every 20th id)
     a = "(90 + d.doc_id % 97)"
     b = "(120 + d.doc_id % 97 + d.doc_id % 13)"
     sa, sb = f"CAST({a} AS STRING)", f"CAST({b} AS STRING)"
-    phrase = f"""CASE d.doc_id % 16
+    phrase = f"""CASE {k} % 16
       WHEN 0 THEN 'Salary: $' || {sa} || ',000 - $' || {sb} || ',000 per year.'
       WHEN 4 THEN 'Rate $' || CAST(20 + d.doc_id % 30 AS STRING) || '/hr or base $' || {sa} || ',500+ total.'
       WHEN 8 THEN 'Pay ' || {sa} || ',000 USD - ' || {sb} || ',000 USD yearly.'
       ELSE 'Range: $' || {sa} || 'K-$' || {sb} || 'K.' END"""
-    expected = f"""CASE d.doc_id % 16
+    expected = f"""CASE {k} % 16
       WHEN 0 THEN '$' || {sa} || ',000 - $' || {sb} || ',000'
       WHEN 4 THEN '$' || {sa} || ',500+'
       WHEN 8 THEN {sa} || ',000 USD - ' || {sb} || ',000 USD'
       ELSE '$' || {sa} || 'K-$' || {sb} || 'K' END"""
-    title = _case("d.doc_id % 12", [t for t, _ in TITLES])
-    role = _case("d.doc_id % 12", [r for _, r in TITLES])
+    title = _case(f"{k} % 12", [t for t, _ in TITLES])
+    role = _case(f"{k} % 12", [r for _, r in TITLES])
     loc = _case("d.doc_id % 3", LOCATIONS)
-    dept = _case("d.doc_id % 5", DEPARTMENTS)
+    dept = _case(f"{k} % 5", DEPARTMENTS)
     return f"""
 SELECT d.doc_id AS ord,
        CAST(CAST(substr(d.source, 4) AS BIGINT) + 1 AS INT) AS source_id,
@@ -123,10 +126,10 @@ SELECT d.doc_id AS ord,
        CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE {loc} END AS location,
        {dept} AS department,
        CASE WHEN d.doc_id % 7 = 0 THEN NULL
-            WHEN d.doc_id % 4 = 0 THEN {phrase} || ' ' || d.text
+            WHEN {k} % 4 = 0 THEN {phrase} || ' ' || d.text
             ELSE d.text END AS description,
        CASE WHEN d.doc_id % 7 = 0 THEN NULL
-            WHEN d.doc_id % 4 = 0 THEN {expected}
+            WHEN {k} % 4 = 0 THEN {expected}
             ELSE NULL END AS salary_expected
 FROM {documents} d
 """
@@ -204,7 +207,9 @@ FROM {{pages}}
 
 # ---------------------------------------------------------------- Spark side
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from .session import balance_input
+    path = f"{sf_dir}/{name}.parquet"
+    return balance_input(spark.read.parquet(path), key=path)
 
 
 def sources_df(spark: SparkSession, sf_dir: str) -> DataFrame:

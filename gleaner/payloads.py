@@ -254,20 +254,23 @@ def payloads(postings: DataFrame, run_ts: str) -> DataFrame:
     return out
 
 
-def greenhouse_departments(postings: DataFrame) -> DataFrame:
-    """Departments payload per Greenhouse source (JOB-6 input): one entry per
-    department with the pages its jobs appear on (a bounded list), plus one
-    nameless entry."""
+def greenhouse_departments(postings: DataFrame, block: int = 256) -> DataFrame:
+    """Departments payload per Greenhouse source (JOB-6 input), landed in
+    bounded chunks: each row lists, per department, the pages (at most
+    ``block``) its jobs appear on, plus a nameless entry. A department's job
+    count is the sum over its chunks."""
     rows = postings.where(platform_of(F.col("source_id")) == "greenhouse")
-    per = rows.groupBy("source_id", "department").agg(
-        F.array_sort(F.collect_set(F.floor(F.col("ord") / PAGE_SPAN).cast("int"))).alias("jobs"))
+    page = F.floor(F.col("ord") / PAGE_SPAN).cast("int")
+    per = (rows.select("source_id", "department", page.alias("page")).distinct()
+           .groupBy("source_id", "department", F.floor(F.col("page") / block).cast("int").alias("chunk"))
+           .agg(F.array_sort(F.collect_list("page")).alias("jobs")))
     idx = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ["Engineering", "Data Science", "Product", "Sales"]]),
                                       F.col("department")), F.lit(9))
     entry = F.struct((F.col("source_id") * 100 + idx).alias("id"),
                      F.concat(F.lit("  "), F.coalesce(F.col("department"), F.lit("")), F.lit(" ")).alias("name"),
                      F.col("jobs").alias("jobs"))
-    g = per.groupBy("source_id").agg(F.array_sort(F.collect_list(entry)).alias("departments"))
+    g = per.groupBy("source_id", "chunk").agg(F.array_sort(F.collect_list(entry)).alias("departments"))
     return g.select(F.col("source_id").cast("int"), F.lit("greenhouse").alias("platform"),
-                    F.lit("departments").alias("kind"), F.lit(0).alias("page_no"),
+                    F.lit("departments").alias("kind"), F.col("chunk").alias("page_no"),
                     F.concat(F.lit("board"), F.col("source_id")).alias("key"),
                     F.to_json(F.struct("departments")).alias("body"))

@@ -71,9 +71,12 @@ GH_DEPARTMENTS = "struct<departments:array<struct<id:bigint,name:string,jobs:arr
 
 def greenhouse_departments(payloads: DataFrame) -> DataFrame:
     """NRM-22 / JOB-6 / SRT-4: (source, id, stripped name, number of jobs),
-    id and name present, ordered by name."""
+    id and name present, ordered by name. A board's departments may be
+    landed in several chunks; the job counts are summed (partial aggregate)."""
     d = payloads.select("source_id", F.explode(F.from_json("body", GH_DEPARTMENTS)["departments"]).alias("d"))
     name = strip(F.coalesce(F.col("d.name"), F.lit("")))
     out = d.select("source_id", F.col("d.id").alias("dept_id"), name.alias("name"),
-                   F.size(F.coalesce(F.col("d.jobs"), F.array().cast("array<string>"))).alias("n_jobs"))
-    return out.where(F.col("dept_id").isNotNull() & (F.col("dept_id") != 0) & (F.col("name") != "")).orderBy("name")
+                   F.size(F.coalesce(F.col("d.jobs"), F.array().cast("array<string>"))).alias("n"))
+    out = out.where(F.col("dept_id").isNotNull() & (F.col("dept_id") != 0) & (F.col("name") != ""))
+    return (out.groupBy("source_id", "dept_id", "name").agg(F.sum("n").cast("int").alias("n_jobs"))
+            .orderBy("name"))

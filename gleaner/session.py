@@ -82,3 +82,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist(blocking=False)
+
+
+_SPLITS: dict[tuple, int] = {}
+
+
+def balance_input(df: DataFrame, target: int | None = None, key: str | None = None) -> DataFrame:
+    """Spread a scan that has fewer partitions than the session can run at
+    once (e.g. one Parquet row group per file) so per-row work -- hashing
+    whole texts, regex rules, Arrow UDFs over HTML -- is not stuck in one
+    task. On a cluster input with thousands of splits this is a no-op; only
+    the pruned columns cross the exchange."""
+    spark = df.sparkSession
+    try:
+        par = target or spark.sparkContext.defaultParallelism
+    except Exception:
+        par = target or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    memo = (id(spark), key) if key else None
+    n = _SPLITS.get(memo) if memo else None
+    if n is None:
+        n = df.rdd.getNumPartitions()  # plans the scan only; nothing runs
+        if memo:
+            _SPLITS[memo] = n
+    if n >= par:
+        return df
+    return df.repartition(par)
