@@ -122,3 +122,42 @@ def test_location_and_department_filters(spark):
 def test_role_targeted(spark, roles, expected, role):
     df = spark.createDataFrame([(role,)], "r STRING")
     assert df.select(FL.role_targeted(F.col("r"), roles)).first()[0] is expected
+
+
+def test_workday_ids_and_rewrites(spark):
+    from gleaner.functions import urls as U
+    df = spark.createDataFrame([("/job/San-Jose/Principal-Product-Manager_R164308/",)], "p STRING")
+    row = df.select(U.workday_job_id(F.col("p")).alias("id"),
+                    U.rewrite_city(F.col("p"), U.location_slug(F.lit(" Lehi "))).alias("lehi"),
+                    U.location_slug(F.lit("Remote - US")).alias("slug")).first()
+    assert row["id"] == "R164308"
+    assert row["lehi"] == "/job/Lehi/Principal-Product-Manager_R164308/"
+    assert row["slug"] == "Remote---US"
+
+
+def test_slugs_and_errors(spark):
+    from gleaner.functions import urls as U
+    from gleaner.operators.routing import route, source_error
+    urls = ["https://boards.greenhouse.io/acme?x=1", "https://acme.greenhouse.io/", "https://jobs.lever.co/acme/",
+            "https://jobs.ashbyhq.com/acme", "https://acme.bamboohr.com/careers", "https://careers.acme.com/",
+            "https://acme.wd5.myworkdayjobs.com/en-US/acme/External", "https://wd1.myworkdaysite.com/recruiting/acme/Ext"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i INT, u STRING")
+    got = df.orderBy("i").select(
+        U.greenhouse_slug(F.col("u")), U.lever_slug(F.col("u")), U.ashby_slug(F.col("u")),
+        U.bamboohr_subdomain(F.col("u")), U.workday_source(F.col("u"))["company"], U.workday_source(F.col("u"))["board"],
+        route(F.col("u"), F.lit(None).cast("string")), source_error(F.lit("ashby"), F.col("u"))).collect()
+    assert [r[0] for r in got][:2] == ["acme", "acme"]
+    assert got[2][1] == "acme" and got[3][2] == "acme" and got[4][3] == "acme"
+    assert (got[6][4], got[6][5]) == ("acme", "External")
+    assert (got[7][4], got[7][5]) == ("acme", "Ext")
+    assert [r[6] for r in got] == ["greenhouse", "greenhouse", "lever", "ashby", "bamboohr", "generic", "workday", "generic"]
+    assert got[5][7] == "Could not extract Ashby slug from URL: https://careers.acme.com/"
+    assert got[3][7] is None
+
+
+def test_query_params(spark):
+    from gleaner.functions import urls as U
+    df = spark.createDataFrame([("https://x.example/a?locations=a1&locations=c3+d4&q=&timeType=full%20time&z",)], "u STRING")
+    m = df.select(U.query_map(F.col("u"), U.WORKDAY_FACETS).alias("m")).first()["m"]
+    assert m == {"locations": ["a1", "c3 d4"], "timeType": ["full time"]}
+    assert df.select(U.query_first(F.col("u"), "locations")).first()[0] == "a1"
