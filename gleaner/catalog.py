@@ -557,9 +557,19 @@ def prj_3(spark, d):
     return _new_jobs(spark, d).select("url_hash", "company", "scrape_status")
 
 
-@register("jsn_4", O.with_cascade() + _NEWJOBS_SQL + "SELECT url_hash, requirements FROM newjobs")
+def _jsn_4_sql() -> str:
+    return (O.pay_with() + ", lv AS (SELECT * FROM pf2 WHERE pplat = 'lever' AND title_ok)\n"
+            + """SELECT CAST(ord AS VARCHAR) AS id,
+       CASE WHEN (ord // 20) % 2 = 0 THEN '["Q1","Q2"]' ELSE '["Need A"]' END AS requirements FROM lv""")
+
+
+@register("jsn_4", _jsn_4_sql())
 def jsn_4(spark, d):
-    return _new_jobs(spark, d).select("url_hash", "requirements")
+    from .operators import normalize as NZ
+    from . import payloads as PLD
+    pay = PLD.payloads(_postings(spark, d), fx.RUN_TS).where(F.col("platform") == "lever")
+    det = NZ.lever(pay, convert=False)
+    return det.select("id", SK.requirements_json(F.col("requirements")).alias("requirements"))
 
 
 _PASS2_SQL = f""",

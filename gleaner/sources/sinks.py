@@ -23,6 +23,12 @@ LOCATION_CAP = 500
 ERROR_CAP = 500
 
 
+def requirements_json(req: Column) -> Column:
+    """JSN-4: requirement lines as JSON array text (NULL when none). Spark
+    writes compact JSON (no blank after commas) and raw UTF-8."""
+    return F.when(F.size(req) > 0, F.to_json(req))
+
+
 def _col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
@@ -47,7 +53,7 @@ def as_job(accepted: DataFrame, run_ts: Column) -> DataFrame:
         _col_or_null(accepted, "job_type").alias("job_type"),
         salary.alias("salary"),
         F.when(has_desc, desc).alias("description"),
-        F.when(F.size(req) > 0, F.to_json(req)).alias("requirements"),
+        requirements_json(req).alias("requirements"),
         "role",
         F.when(has_desc, F.lit("scraped")).otherwise(F.lit("pending")).alias("scrape_status"),
         F.when(has_desc, run_ts).alias("scraped_at"))
