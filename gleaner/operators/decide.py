@@ -79,13 +79,22 @@ def _pos() -> Column:
 
 def duplicate_keys(flagged: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Per url_hash: ``stored`` (JN-1) and ``first_ok`` = earliest position
-    whose posting passes every non-duplicate test (WIN-1)."""
+    whose posting passes every non-duplicate test (WIN-1).
+
+    The postings side is a partial aggregate (hot URLs combine map-side);
+    the stored side is reduced to distinct hashes and left-joined on
+    ``url_hash``. When ``jobs`` is a table bucketed by ``url_hash`` (see
+    ``sources.sinks.append_jobs_table``) with as many buckets as shuffle
+    partitions, its scan already has that partitioning, so the growing
+    history is never shuffled."""
     passes = F.col("role_ok") & ~F.col("blocked") & F.col("location_ok") & F.col("department_ok")
-    cand = flagged.select("url_hash", F.when(passes, _pos()).alias("first_ok"), F.lit(False).alias("stored"))
-    if stored is not None:
-        cand = cand.unionByName(stored.select(
-            "url_hash", F.lit(None).cast("struct<s:bigint,o:bigint>").alias("first_ok"), F.lit(True).alias("stored")))
-    return cand.groupBy("url_hash").agg(F.min("first_ok").alias("first_ok"), F.max("stored").alias("stored"))
+    first = flagged.groupBy("url_hash").agg(F.min(F.when(passes, _pos())).alias("first_ok"))
+    if stored is None:
+        return first.withColumn("stored", F.lit(False))
+    s = stored.select("url_hash").distinct().withColumn("stored", F.lit(True))
+    # left join: keeps the run's hashes (and their partitioning); history
+    # that does not match is dropped where it lies
+    return first.join(s, "url_hash", "left")
 
 
 def mark_duplicates(flagged: DataFrame, stored: DataFrame | None) -> DataFrame:

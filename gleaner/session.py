@@ -33,6 +33,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    builder = builder.config("spark.sql.warehouse.dir",
+                             tempfile.mkdtemp(prefix="gleaner-wh-", dir=os.environ.get("TMPDIR", "/tmp")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

@@ -105,6 +105,15 @@ def reported_errors(details: DataFrame) -> DataFrame:
     return details.where(reportable(F.col("error")))
 
 
+def append_jobs_table(df: DataFrame, table: str, buckets: int) -> None:
+    """SNK-1 into a catalog table bucketed and sorted by ``url_hash``: later
+    runs read the stored hashes already partitioned for the dedup join
+    (JN-1), so the history is not shuffled again. Use as many buckets as the
+    job's shuffle partitions."""
+    (df.write.mode("append").format("parquet").bucketBy(buckets, "url_hash").sortBy("url_hash")
+       .saveAsTable(table))
+
+
 def write_snapshot(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a table snapshot (or append for SNK-1 with ``mode='append'``)."""
     df.write.mode(mode).parquet(path)

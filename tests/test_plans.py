@@ -52,3 +52,32 @@ def test_source_filters_reach_the_scan(spark, sf_small, tmp_path):
     pushed = p.split("PushedFilters: [")[1].split("]")[0]
     assert "EqualTo(active,true)" in pushed and "requires_js" in pushed
     assert "EqualTo(extractor_type,workday)" in pushed
+
+
+def test_bucketed_jobs_table_is_not_shuffled(spark, sf_small):
+    from gleaner.operators.decide import FilterConfig
+    from gleaner.plans.collection import collection_run
+    from gleaner.sources.sinks import append_jobs_table
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = fx.postings_df(spark, sf_small)
+    spark.sql("DROP TABLE IF EXISTS gleaner_jobs_bucketed")
+    append_jobs_table(fx.stored_df(postings), "gleaner_jobs_bucketed", n)
+    stored = spark.table("gleaner_jobs_bucketed")
+    cfg = FilterConfig.from_dict(fx.CONFIG_A)
+    decided, _ = collection_run(fx.sources_df(spark, sf_small), postings, stored, cfg)
+    # emulate a large history: no broadcast, no runtime re-plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = decided._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = [ln for ln in plan.splitlines() if "gleaner_jobs_bucketed" in ln or "SelectedBucketsCount" in ln]
+    assert any("Bucketed: true" in ln or "SelectedBucketsCount" in ln for ln in scan), scan
+    # the stored side reaches the join without an exchange of its own
+    lines = plan.splitlines()
+    i = max(k for k, ln in enumerate(lines) if "FileScan" in ln and "url_hash" in ln and "Bucketed" in ln)
+    above = lines[max(0, i - 4):i]
+    assert not any("Exchange" in ln for ln in above), "\n".join(lines[max(0, i - 6):i + 1])
+    spark.sql("DROP TABLE IF EXISTS gleaner_jobs_bucketed")
