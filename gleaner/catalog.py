@@ -873,10 +873,15 @@ def nrm_8(spark, d):
     return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "title", "location", "job_type", "description")
 
 
-@register("jn_2", _BAMBOO_SQL + _BAMBOO_DETAIL)
+@register("jn_2", _LEVER_SQL + """,
+lastd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY ord DESC) AS rn FROM lv) WHERE rn = 1)
+SELECT l.source_id, CAST(l.ord AS VARCHAR) AS id, l.url, d.location,
+       CASE WHEN (d.ord // 20) % 2 = 0 THEN 'Full-time' ELSE 'Contract' END AS job_type
+FROM lv l JOIN lastd d ON d.source_id = l.source_id AND d.url = l.url""")
 def jn_2(spark, d):
-    pay = _by(_payloads(spark, d), "bamboohr")
-    return N.bamboohr_detail(N.bamboohr_listing(pay), pay).select("id", "title", "location", "job_type", "description")
+    det = N.lever(_by(_payloads(spark, d), "lever"), convert=False)
+    listings = det.select("source_id", "page_no", "pos", "id", "title", "url")
+    return N.attach_detail(listings, det).select("source_id", "id", "url", "location", "job_type")
 
 
 @register("str_27", _BAMBOO_SQL + "SELECT CAST(ord AS VARCHAR) AS id, CASE WHEN ord % 7 = 0 THEN NULL WHEN ord % 3 = 0 THEN 'Lehi, UT' WHEN ord % 3 = 1 THEN 'CA' ELSE nullif(location, '') END AS location FROM bb")

@@ -84,10 +84,12 @@ def touch_sources(sources: DataFrame, results: DataFrame, run_ts: Column) -> Dat
 
 
 # ----------------------------------------------------------------- dry run
-def dry_run(sources: DataFrame, postings: DataFrame, cfg: FilterConfig) -> tuple[DataFrame, DataFrame]:
+def dry_run(sources: DataFrame, postings: DataFrame, cfg: FilterConfig,
+            planned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """JOB-3: the cascade without the duplicate step. ``sources`` is already
-    the selection (SRC-3/4/5). Returns (decisions, per-source + total counters)."""
-    planned = plan(sources)
+    the selection (SRC-3/4/5); ``planned`` reuses routed sources from an
+    earlier call. Returns (decisions, per-source + total counters)."""
+    planned = planned if planned is not None else plan(sources)
     decided = decide(listings_of(planned, postings), cfg, None, dedup=False, dry_run=True)
     per_source = decided.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("found"),

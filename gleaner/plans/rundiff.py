@@ -18,9 +18,11 @@ LINE_STRIDE = 1_000_000_000_000  # line numbers: source order, then posting orde
 
 def decisions(sources: DataFrame, postings: DataFrame, runs: list[tuple[int, FilterConfig]]) -> DataFrame:
     """(run_id, source_id, line_no, company, title, decision, reason) of dry runs."""
+    from .collection import plan
+    planned = plan(sources)
     out = None
     for run_id, cfg in runs:
-        decided, _ = dry_run(sources, postings, cfg)
+        decided, _ = dry_run(sources, postings, cfg, planned)
         d = decided.select(F.lit(run_id).alias("run_id"), "source_id", "ord",
                            (F.col("ord") * 2 + 1).alias("line_no"),
                            F.col("source_company").alias("company"), "title", "decision", "reason", "step")
