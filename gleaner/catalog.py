@@ -1295,7 +1295,7 @@ SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<t
        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""")
 def str_9(spark, d):
     t = F.regexp_extract(F.col("html"), "<title>(.*?)</title>", 1)
-    return fx.load(spark, d, "pages").select("page_id", HT.unescape(t).alias("title"))
+    return fx.load(spark, d, "pages", balance=True).select("page_id", HT.unescape(t).alias("title"))
 
 
 @register("str_9_native", O.duck_with() + """
@@ -1329,7 +1329,7 @@ def str_6(spark, d):
 
 @register("str_7")
 def str_7(spark, d):
-    return fx.load(spark, d, "documents").select("doc_id", HT.clean_html(F.col("text")).alias("markdown"))
+    return fx.load(spark, d, "documents", balance=True).select("doc_id", HT.clean_html(F.col("text")).alias("markdown"))
 
 
 @register("str_12")

@@ -206,10 +206,15 @@ FROM {{pages}}
 
 
 # ---------------------------------------------------------------- Spark side
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from .session import balance_input
+def load(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+    """A driver table. ``balance`` spreads an under-split scan before
+    per-row Python work (the HTML UDFs); native-only plans skip it."""
     path = f"{sf_dir}/{name}.parquet"
-    return balance_input(spark.read.parquet(path), key=path)
+    df = spark.read.parquet(path)
+    if not balance:
+        return df
+    from .session import balance_input
+    return balance_input(df, key=path)
 
 
 def sources_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +241,7 @@ def stored_df(postings: DataFrame) -> DataFrame:
 
 def job_pages_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 job pages."""
-    return spark.sql(f3_template(), pages=load(spark, sf_dir, "pages"))
+    return spark.sql(f3_template(), pages=load(spark, sf_dir, "pages", balance=True))
 
 
 def details_df(spark: SparkSession, postings: DataFrame) -> DataFrame:
