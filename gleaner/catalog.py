@@ -1262,6 +1262,13 @@ def udtf_1(spark, d):
     return PG.page_anchors(_f3(spark, d)).select("page_id", "pos", "text", "href")
 
 
+@register("udtf_1_lateral", O.pages_with() + "SELECT page_id, pos, text, href FROM anc2")
+def udtf_1_lateral(spark, d):
+    HT.register_anchor_udtf(spark)
+    return spark.sql("SELECT p.page_id, a.pos, a.text, a.href FROM {pg} p, LATERAL html_anchors(p.html) a",
+                     pg=_f3(spark, d))
+
+
 @register("flt_11", O.pages_with() + f"SELECT page_id, pos, ({_JOB_FRAG}) AS is_job FROM anc2 WHERE job_url IS NOT NULL")
 def flt_11(spark, d):
     a = PG.page_anchors(_f3(spark, d)).withColumn("job_url", U.resolve_href(F.col("href"), F.col("url")))

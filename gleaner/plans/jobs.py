@@ -35,7 +35,8 @@ def run_collection(spark: SparkSession, sources: DataFrame, postings: DataFrame,
     (``jobs_path/run_id=N``), append the run log and write the re-stamped
     sources. Returns the per-source results."""
     current = read_jobs(spark, jobs_path)
-    stored = current.select("url_hash") if current is not None else None
+    # a retried run must not count its own earlier output as stored
+    stored = current.where(F.col("run_id") != run_id).select("url_hash") if current is not None else None
     decided, results = collection_run(sources, postings, stored, cfg, source_id)
     new_jobs(decided, run_ts).write.mode("overwrite").parquet(f"{jobs_path}/run_id={run_id}")
     results = results.persist()

@@ -43,7 +43,9 @@ def intake_batch(planned: DataFrame, cfg: FilterConfig, jobs_path: str, run_ts:
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         current = _read_jobs(spark, jobs_path)
-        stored = current.select("url_hash") if current is not None else None
+        # a replayed batch must not see its own earlier (partial) output
+        stored = (current.where(F.col("batch_id") != batch_id).select("url_hash")
+                  if current is not None else None)
         if prior is not None:
             stored = prior if stored is None else stored.unionByName(prior)
         decided = decide(listings_of(planned, batch), cfg, stored, dedup=True)
@@ -76,7 +78,8 @@ def details_batch(jobs_path: str, snapshots_path: str, run_ts: Column):
     """foreachBatch body for STM-2: apply details to the latest snapshot."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = latest_snapshot(spark, snapshots_path)
+        # the state before this batch: never the directory this batch rewrites
+        latest = latest_snapshot(spark, snapshots_path, before=batch_id)
         base = latest if latest is not None else _read_jobs(spark, jobs_path).drop("batch_id")
         out = apply_details(base, batch, run_ts)
         # materialise before the next batch reads it as its base
@@ -84,13 +87,16 @@ def details_batch(jobs_path: str, snapshots_path: str, run_ts: Column):
     return run
 
 
-def latest_snapshot(spark: SparkSession, snapshots_path: str) -> DataFrame | None:
+def latest_snapshot(spark: SparkSession, snapshots_path: str, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot ``v=N`` (only versions below ``before`` if given)."""
     if not _exists(spark, snapshots_path):
         return None
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(snapshots_path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
+    if before is not None:
+        names = [n for n in names if int(n[2:]) < before]
     if not names:
         return None
     return spark.read.parquet(f"{snapshots_path}/{names[-1]}")

@@ -17,6 +17,8 @@ def test_two_runs_then_second_pass(spark, sf_small, tmp_path):
     r1 = J.run_collection(spark, sources, postings, f"{base}/jobs", f"{base}/log", f"{base}/src1", cfg, 1, ts)
     added1 = r1.agg(F.sum("jobs_added")).first()[0]
     assert added1 > 0
+    retry = J.run_collection(spark, sources, postings, f"{base}/jobs", f"{base}/log", f"{base}/src1", cfg, 1, ts)
+    assert retry.agg(F.sum("jobs_added")).first()[0] == added1  # a retried run reproduces itself
     r2 = J.run_collection(spark, sources, postings, f"{base}/jobs", f"{base}/log", f"{base}/src2", cfg, 2, ts)
     assert r2.agg(F.sum("jobs_added")).first()[0] == 0
     jobs = spark.read.parquet(f"{base}/jobs")
