@@ -634,7 +634,7 @@ def flt_16(spark, d):
 
 
 @register("lim_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
-          "SELECT url_hash, length(scrape_error) AS error_len, length(location) AS location_len FROM pass2")
+          "SELECT url_hash, CAST(length(scrape_error) AS INTEGER) AS error_len, CAST(length(location) AS INTEGER) AS location_len FROM pass2")
 def lim_2(spark, d):
     return _pass2(spark, d).select("url_hash", F.length("scrape_error").alias("error_len"),
                                    F.length("location").alias("location_len"))
@@ -1286,7 +1286,7 @@ def str_25(spark, d):
     return a.select("page_id", "pos", U.resolve_href(F.col("href"), F.col("url")).alias("job_url"))
 
 
-@register("src_8", O.duck_with() + "SELECT page_id, url, length(html) AS n_chars FROM pages")
+@register("src_8", O.duck_with() + "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_chars FROM pages")
 def src_8(spark, d):
     from .operators.normalize import read_pages
     return read_pages(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
@@ -1351,14 +1351,14 @@ def flt_13(spark, d):
 
 
 # ------------------------------------------------------------ documents text
-@register("str_2", O.duck_with() + "SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents")
+@register("str_2", O.duck_with() + "SELECT doc_id, CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS INTEGER) AS n FROM documents")
 def str_2(spark, d):
     return fx.load(spark, d, "documents").select("doc_id", F.length(T.strip(F.col("text"))).alias("n"))
 
 
 @register("str_10", O.duck_with() + """
-SELECT doc_id, length(nullif(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'),
-                     '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '')) AS n FROM documents""")
+SELECT doc_id, CAST(length(nullif(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'),
+                     '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '')) AS INTEGER) AS n FROM documents""")
 def str_10(spark, d):
     return fx.load(spark, d, "documents").select("doc_id", F.length(T.collapse_text(F.col("text"))).alias("n"))
 
@@ -1433,8 +1433,8 @@ def map_1(spark, d):
 # ---------------------------------------------------- departments (JOB-6)
 _DEPT_SQL = O.pay_with() + """,
 dep AS (
-  SELECT source_id, source_id * 100 + CASE department WHEN 'Engineering' THEN 1 WHEN 'Data Science' THEN 2
-                                                     WHEN 'Product' THEN 3 WHEN 'Sales' THEN 4 END AS dept_id,
+  SELECT source_id, CAST(source_id * 100 + CASE department WHEN 'Engineering' THEN 1 WHEN 'Data Science' THEN 2
+                                                     WHEN 'Product' THEN 3 WHEN 'Sales' THEN 4 END AS BIGINT) AS dept_id,
          department AS name, count(DISTINCT ord // 400) AS n_jobs
   FROM pf2 WHERE pplat = 'greenhouse' AND department IS NOT NULL GROUP BY source_id, department)
 """

@@ -45,3 +45,8 @@ def test_query_matches_oracle(spark, sf_small, duck, name):
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
     assert _digest(sdf.columns, srows) == _digest(dcols, drows)
+    canon = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN",
+             "timestamp": "TIMESTAMP", "double": "DOUBLE"}
+    dtypes = {c[0]: str(c[1]).upper() for c in cur.description}
+    for f in sdf.schema.fields:
+        assert canon.get(f.dataType.simpleString(), f.dataType.simpleString()).upper() == dtypes[f.name], f.name
