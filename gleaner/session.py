@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the jobs depend on for correct results (UTC clock, ANSI with try_*
-# functions) and for scale (AQE re-plans joins and partition counts at run time).
+# Settings the jobs depend on for correct results (UTC clock) and for scale
+# (AQE re-plans joins and partition counts at run time).
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,8 +17,11 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HTML rows can be large; keep Arrow batches small enough for the Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    # Partition sizing: AQE coalesces small shuffle partitions and splits
-    # skewed ones toward this size; scans are cut at the same size.
+}
+
+# Partition sizing of sessions that this library starts itself. A session that
+# the cluster hands over keeps its own sizes: they follow its executors' memory.
+OWN_SESSION_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
 }
@@ -30,7 +33,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in BASE_CONF.items():
+    for k, v in (BASE_CONF | OWN_SESSION_CONF).items():
         builder = builder.config(k, v)
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.warehouse.dir",
