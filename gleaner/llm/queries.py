@@ -78,3 +78,16 @@ FROM f
 def op5_quality_rules(spark, sf_dir):
     from .rules import apply_policy, ledger
     return apply_policy(ledger(table(spark, sf_dir, "documents")))
+
+
+# ------------------------------------------------- 7 BPE encoding and decoding
+@register("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .bpe import encode_documents
+    coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
