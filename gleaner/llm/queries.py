@@ -91,3 +91,15 @@ def op7_bpe(spark, sf_dir):
     return coded.select("doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+# --------------------------------------------------------- 1 suffix-array dedup
+@register("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .suffix import dedup_substrings
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return dedup_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
