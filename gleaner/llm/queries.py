@@ -103,3 +103,10 @@ def op1_suffix_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------ 10 n-gram Jaccard join
+@register("op10_jaccard_join")
+def op10_jaccard_join(spark, sf_dir):
+    from .jaccard import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
