@@ -110,3 +110,13 @@ def op1_suffix_dedup(spark, sf_dir):
 def op10_jaccard_join(spark, sf_dir):
     from .jaccard import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+# ------------------------------------------------------------ 2 best-fit packing
+@register("op2_pack")
+def op2_pack(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack_documents
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
