@@ -272,6 +272,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     numbered = (dealt.withColumn("number", F.row_number().over(order).cast("long"))
                 .join(before, ["length", "share"]).withColumn("number", F.col("number") - 1 + F.col("before")))
 
+    columns = pieces.columns
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = slots.value
         key = s["length"] << 48 | s["first"]
@@ -279,13 +281,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
             at = np.searchsorted(key, length << 48 | number, "right") - 1
             nth = number - s["first"][at]
-            arrays = {n: batch.column(n) for n in pieces.columns}
+            arrays = {n: batch.column(n) for n in columns}
             arrays["sequence_id"] = pa.array(s["sequence"][at] + nth // s["per"][at])
             arrays["offset"] = pa.array(s["offset"][at] + nth % s["per"][at] * length)
             yield pa.RecordBatch.from_pydict(arrays)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return numbered.select(*pieces.columns, "number").mapInArrow(place, schema)
+    return numbered.select(*columns, "number").mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
