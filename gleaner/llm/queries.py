@@ -120,3 +120,24 @@ def op2_pack(spark, sf_dir):
     from .packing import pack_documents
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# ------------------------------------------------------------------------ 6 PII
+@register("op6_pii")
+def op6_pii(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .pii import KINDS, detect_pii
+    found = detect_pii(table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank(s), s["end"], s["kind"].alias("kind"))))
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"),
+                        listed(F.concat("spans", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
