@@ -141,3 +141,13 @@ def op6_pii(spark, sf_dir):
     counts = [count(kind) for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"),
                         listed(F.concat("spans", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+# ---------------------------------------------------------------- 3 LM scoring
+@register("op3_lm_score")
+def op3_lm_score(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .ppm import score_documents
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return score_documents(table(spark, sf_dir, "documents"), held_out)
