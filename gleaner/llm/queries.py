@@ -151,3 +151,11 @@ def op3_lm_score(spark, sf_dir):
     from .ppm import score_documents
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
+# ------------------------------------------------ 9 approximate nearest neighbours
+@register("op9_ann")
+def op9_ann(spark, sf_dir):
+    from .graph_ann import nearest, usable
+    vectors = usable(table(spark, sf_dir, "embeddings"))
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
