@@ -159,3 +159,10 @@ def op9_ann(spark, sf_dir):
     from .graph_ann import nearest, usable
     vectors = usable(table(spark, sf_dir, "embeddings"))
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+# ------------------------------------------------------------ 4 substring dedup
+@register("op4_paragraph_dedup")
+def op4_paragraph_dedup(spark, sf_dir):
+    from .paragraphs import repeated_paragraphs
+    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("row_key")
