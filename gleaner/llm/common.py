@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, row_key, text)``: null texts are empty, and ``row_key`` tells
     rows apart that share a ``doc_id`` (or have none) but not a text. Rows equal
-    in both get equal keys, so they share one result. Other columns are left out."""
+    in both get equal keys, so they share one result. Of the other columns only
+    those in ``carry`` come along, as one struct ``row``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), text.alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), text.alias("text"), *row)
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:

@@ -3,11 +3,12 @@
 1. *Screen.* A document whose partner shares 80 % of its set must share some of
    its ``p`` least tokens. These prefixes are counted once; a document with too
    few shared ones has no partner. It leaves with its own id.
-2. *Groups.* Equal sets become one. Documents with one least token form a group,
-   which is clustered where it lies; a cluster is a group of the matrix.
-3. *Matrix.* Each group's union of prefix tokens, against all other groups'. The
-   shared tokens of a pair bound every overlap between its members; only pairs
-   whose bound reaches the threshold are opened and verified on whole sets.
+2. *Groups.* Documents with one least token form a group of similar ones, in blocks
+   of a bounded size; each block is clustered where it lies.
+3. *Matrix.* Each block's union of prefix tokens, against the prefixes of the
+   documents of other blocks. What a document shares with the union bounds its
+   overlap with every member; only blocks whose bound reaches the threshold are
+   opened, and their members verified on whole sets.
 4. *Components.* Verified links and clusters give the components.
 
 Tokens that a large share of documents have come last in every prefix, so that
@@ -32,6 +33,10 @@ PERCENT = 80  # fixed by the query contract
 EXTRA = 0.1
 #: Members of a group that are clustered in one task; a larger group is dealt out.
 BLOCK = 400
+#: Groups over this share of all sets are dealt out by a list that all tasks get.
+LARGE_SHARE = 1 / 200_000
+#: Sets of a task that are remembered to send equal ones once.
+SEEN = 1_000_000
 #: A token that more than this share of sampled sets have comes last; the list is
 #: at most the mean set size times its inverse.
 FREQUENT = 1 / 1000
@@ -39,7 +44,7 @@ FREQUENT = 1 / 1000
 FREQUENT_SETS = 20_000
 NO_ID = (1 << 63) - 1  # a null doc_id: never the smallest of its component
 
-SCHEMA = "did long, row_key long, n int, rid long, rid2 long, tokens binary"
+SCHEMA = "did long, row_key long, n int, rid long, tokens binary"
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -80,77 +85,100 @@ def screen(rows: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
     def pack(values: np.ndarray, width: int) -> bytes:
         return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
+    def wide(blobs, width: int) -> np.ndarray:
+        data = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
+        out = np.zeros((len(data), 8), np.uint8)
+        out[:, :width] = data
+        return out.view("<u8")[:, 0].astype(np.int64)
+
+    def row(part=None, batch=None, tokens=None, owners=None, flags=None):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([batch], pa.int64()), pa.array([tokens], pa.binary()),
+                                           pa.array([owners], pa.binary()), pa.array([flags], pa.binary())], SENT)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text")) if len(batch) else []
             if not sets:
                 continue
             sizes = np.array([len(s) for s in sets])
-            keys = batch.column("row_key").to_numpy().view(np.uint64) & np.uint64((1 << 40) - 1)
+            keys = batch.column("row_key").to_numpy().view(np.uint64)
+            name = int(scramble(keys + np.arange(len(keys), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
             lengths = prefix_length(sizes, percent)
             token = np.concatenate([s[:k] for s, k in zip(sets, lengths)])
             owner = np.repeat(np.arange(len(sets)), lengths)
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
-            new = np.append(True, token[1:] != token[:-1]) if len(token) else np.zeros(0, bool)
-            last = np.append(token[1:] != token[:-1], True) if len(token) else np.zeros(0, bool)
+            new, last = np.ones(len(token), bool), np.ones(len(token), bool)
+            new[1:] = last[:-1] = token[1:] != token[:-1]
             several = ~(new & last)
-            # what is known here: minus the shared tokens that a document needs, plus those found
+            # found so far, less the shared tokens that a document needs
             have = np.bincount(owner[several], minlength=len(sets)) - slack(sizes)
-            have = np.where(sizes > 0, have, -1)
-            token, owner, shared = token[new], keys[owner[new]], several[new]
+            have = np.where(sizes > 0, have, -(1 << 30))
+            yield row(int(name % parts), name, None, pack(keys, 5), have.astype("<i4").tobytes())
+            token, owner, shared = token[new], owner[new], several[new]
             part = (token >> np.uint64(40)) % np.uint64(parts)
             for p in range(parts):
                 at = np.flatnonzero(part == p)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p], pa.int32()), pa.array([pack(token[at], 6)]), pa.array([pack(owner[at], 5)]),
-                         pa.array([shared[at].tobytes()]), pa.array([None], pa.binary()), pa.array([None], pa.binary())],
-                        ["part", "tokens", "owners", "shared", "keys", "have"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(keys[0] % np.uint64(parts))], pa.int32()), *[pa.array([None], pa.binary())] * 3,
-                 pa.array([pack(keys, 5)]), pa.array([have.astype("<i4").tobytes()])],
-                ["part", "tokens", "owners", "shared", "keys", "have"])
-
-    def wide(blobs, width: int) -> np.ndarray:
-        data = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
-        out = np.zeros((len(data), 8), np.uint8)
-        out[:, :width] = data
-        return out.view("<u8")[:, 0]
+                    yield row(p, name, pack(token[at], 6), pack(owner[at], 3), shared[at].tobytes())
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _partition(batches)
         if table is None:
             return
-        token = wide(table.column("tokens").drop_null().to_pylist(), 6)
-        owner = wide(table.column("owners").drop_null().to_pylist(), 5)
-        shared = np.frombuffer(b"".join(table.column("shared").drop_null().to_pylist()), bool)
+        lists = table.filter(table.column("tokens").is_valid())
+        for r in table.filter(table.column("tokens").is_null()).to_pylist():
+            yield row(**r)
+        token = wide(lists.column("tokens").to_pylist(), 6)
+        owner = wide(lists.column("owners").to_pylist(), 3)
+        shared = np.frombuffer(b"".join(lists.column("flags").to_pylist()), bool)
+        sender = np.repeat(np.arange(len(lists)), [len(x) for x in lists.column("flags").to_pylist()])
         order = np.argsort(token)
-        t = token[order]
-        twice = np.zeros(len(t), bool)
-        if len(t):
-            same = t[1:] == t[:-1]
-            twice[1:] |= same
-            twice[:-1] |= same
+        same = token[order[1:]] == token[order[:-1]]
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
         found = order[twice]
-        # a token already counted in its batch adds nothing, one of a single owner adds one
-        key, n = np.unique(owner[found[~shared[found]]], return_counts=True)
-        keys = wide(table.column("keys").drop_null().to_pylist(), 5)
-        have = np.frombuffer(b"".join(table.column("have").drop_null().to_pylist()), "<i4")
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, keys)).astype(np.int64)),
-                                          pa.array(np.concatenate((n, have)).astype(np.int64))], ["key", "have"])
+        found = found[~shared[found]]  # a token that its batch holds twice is counted there
+        names = lists.column("batch").to_numpy()
+        pair, n = np.unique(sender[found] << 24 | owner[found], return_counts=True)
+        for i in np.unique(pair >> 24):
+            mine = pair >> 24 == i
+            yield row(None, int(names[i]), None, pack(pair[mine] & 0xFFFFFF, 3), n[mine].astype("<u4").tobytes())
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _partition(batches)
+        if table is None:
+            return
+        have: dict[int, list] = {}
+        replies = []
+        for r in table.to_pylist():
+            if r["part"] is None:
+                replies.append(r)
+            else:
+                have.setdefault(r["batch"], []).append((wide([r["owners"]], 5), np.frombuffer(r["flags"], "<i4").copy()))
+        for r in replies:
+            for _, count in have[r["batch"]]:
+                count[wide([r["owners"]], 3)] += np.frombuffer(r["flags"], "<u4").astype(np.int32)
+        for known in have.values():
+            for keys, count in known:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[count >= 0])], ["key"])
+
+    kinds = "part int, batch long, tokens binary, owners binary, flags binary"
+    sent = rows.select("row_key", "text").mapInArrow(send, kinds)
+    return (sent.repartition("part").mapInArrow(receive, kinds)
+            .repartition("batch").mapInArrow(tally, "key long").distinct())
 
-    sent = rows.select("row_key", "text").mapInArrow(
-        send, "part int, tokens binary, owners binary, shared binary, keys binary, have binary")
-    return (sent.repartition("part").mapInArrow(receive, "key long, have long")
-            .groupBy("key").agg(F.sum("have").alias("have")).where("have >= 0").select("key"))
+
+SENT = ["part", "batch", "tokens", "owners", "flags"]
 
 
 def with_sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """All documents with their set sizes; those that passed the screen with their
-    sets too. ``rid`` and ``rid2`` identify a set by 128 bits."""
+    sets too, unless the task has sent an equal set. ``rid`` identifies a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             if not len(batch):
                 continue
@@ -159,11 +187,15 @@ def with_sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
             a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             for i, s in enumerate(sets):
                 a[i], b[i] = s.sum(dtype=np.uint64), scramble(s + np.uint64(0x5851F42D)).sum(dtype=np.uint64)
+            rid = scramble(a ^ b)
+            sent: list[bytes | None] = []
+            for number, s, p in zip(rid.tolist(), sets, passed):
+                sent.append(s.tobytes() if p and len(s) and number not in seen else None)
+                if sent[-1] and len(seen) < SEEN:
+                    seen.add(number)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("did"), batch.column("row_key"), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(scramble(a).view(np.int64)), pa.array(b.view(np.int64)),
-                 pa.array([s.tobytes() if p and len(s) else None for s, p in zip(sets, passed)], pa.binary())],
-                ["did", "row_key", "n", "rid", "rid2", "tokens"])
+                 pa.array(rid.view(np.int64)), pa.array(sent, pa.binary())], ["did", "row_key", "n", "rid", "tokens"])
 
     key = F.col("row_key").bitwiseAND(F.lit((1 << 40) - 1))
     joined = rows.join(keys.withColumn("passed", F.lit(True)), key == F.col("key"), "left")
@@ -208,51 +240,96 @@ def _overlaps(sets: list[np.ndarray]):
     return count
 
 
-def cluster_groups(reps: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``rid, label``: sets grouped by one token and clustered by verified links.
+def dealt_groups(sets: DataFrame, frequent: np.ndarray, n_sets: int) -> DataFrame:
+    """``block, rid, leader, tokens``: sets grouped by one token, in blocks.
 
     The token is the least one, among the frequent ones if these make up the set.
-    A group over BLOCK is dealt out in blocks, each with the group's leader, so the
-    leader's cluster has one label in all of them."""
+    A group over BLOCK (or over its share of all sets, so that the list of such
+    groups stays bounded) is dealt out; its leader goes to each of its blocks."""
+
+    def key_of(tokens: np.ndarray) -> int:
+        common = tokens[_is_frequent(tokens, frequent)]
+        return (common if 2 * len(common) >= len(tokens) else tokens)[:1].view(np.int64)[0]
 
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            keys = []
-            for s in _sets(batch.column("tokens")):
-                common = s[_is_frequent(s, frequent)]
-                keys.append(common[0] if 2 * len(common) >= len(s) else s[0])
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(np.array(keys, np.uint64).view(np.int64)),
-                                              batch.column("tokens")], ["rid", "token", "tokens"])
-
-    grouped = reps.select("rid", "tokens").mapInArrow(tokens_of, "rid long, token long, tokens binary")
-    sizes = (grouped.groupBy("token").agg(F.count("*").alias("size"), F.min("rid").alias("leader"))
-             .where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")))
-    member = grouped.join(sizes, "token")
-    # the leader goes to every block, any other member to one
-    blocks = F.when(F.col("rid") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(
-        F.array(F.pmod("rid", "blocks")))
-    dealt = member.select("token", "rid", "leader", "tokens", F.explode(blocks).alias("block"))
-
-    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), pa.array([key_of(s) for s in _sets(batch.column("tokens"))], pa.int64())],
+                ["rid", "token"])
+
+    sizes = sets.select("rid", "tokens").mapInArrow(keys, "rid long, token long").groupBy("token").agg(
+        F.count("*").alias("size"), F.min("rid").alias("leader"))
+    large = sizes.where(F.col("size") > max(BLOCK, n_sets * LARGE_SHARE)).toPandas()
+    dealt = {t: (-(-size // BLOCK), leader) for t, size, leader in large.itertuples(index=False)}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, blocks, leaders = [], [], []
+            for i, (rid, s) in enumerate(zip(batch.column("rid").to_pylist(), _sets(batch.column("tokens")))):
+                token = key_of(s)
+                n, leader = dealt.get(token, (1, rid))
+                for k in range(n) if rid == leader else (rid % n,):
+                    at.append(i)
+                    blocks.append(token ^ (k * _STEP & _ODD))
+                    leaders.append(n > 1 and rid == leader)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("rid").take(pa.array(at, pa.int64())),
+                                              pa.array(leaders, pa.bool_()), batch.column("tokens").take(pa.array(at, pa.int64()))],
+                                             ["block", "rid", "leader", "tokens"])
+
+    return sets.select("rid", "tokens").mapInArrow(deal, "block long, rid long, leader boolean, tokens binary")
+
+
+_STEP, _ODD = 0x9E3779B97F4A7C15, (1 << 62) - 1
+
+
+def _blocks(table: pa.Table, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers of each block of a table, those with ``first`` before the others."""
+    block, rid = table.column("block").to_numpy(), table.column("rid").to_numpy()
+    order = np.lexsort((rid, ~first, block))
+    yield from np.split(order, np.flatnonzero(block[order[1:]] != block[order[:-1]]) + 1)
+
+
+def group_matrix(sets: DataFrame, frequent: np.ndarray, n_sets: int, percent: int = PERCENT) -> DataFrame:
+    """Cluster the sets of each block, and list the tokens of their prefixes.
+
+    Rows of KIND_MEMBER: ``rid, label, block, pure, need`` (``pure``: the block is one
+    cluster; ``need``: tokens that a partner must share in the prefix). Rows of
+    KIND_TOKEN: ``token, rid, block``. A hot group's leader is a member of its own
+    block only; it just ties the clusters of the others together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _partition(batches)
         if table is None:
             return
-        token, block, rid, leader = (table.column(c).to_numpy() for c in ("token", "block", "rid", "leader"))
+        block, rid, leader = (table.column(c).to_numpy() for c in ("block", "rid", "leader"))
         sets = _sets(table.column("tokens"))
-        order = np.lexsort((rid, rid != leader, block, token))
-        new = np.append(True, (token[order[1:]] != token[order[:-1]]) | (block[order[1:]] != block[order[:-1]]))
-        out_rid, out_label = [], []
-        for at in np.split(order, np.flatnonzero(new)[1:]):
-            label = _clusters([sets[i] for i in at], percent)
-            out_rid.append(rid[at])
-            out_label.append(rid[at][label])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_rid)), pa.array(np.concatenate(out_label))],
-                                         ["rid", "label"])
+        for at in _blocks(table, leader):
+            label = rid[at][_clusters([sets[i] for i in at], percent)]
+            pure = bool((label == label[0]).all())
+            sizes = np.array([len(sets[i]) for i in at])
+            yield _rows(kind=KIND_MEMBER, rid=rid[at], label=label, block=block[at], pure=pure, need=slack(sizes))
+            token, owner = [], []
+            for i, n in zip(at, prefix_length(sizes, percent)):
+                late = _is_frequent(sets[i], frequent)
+                token.append(np.concatenate((sets[i][~late], sets[i][late]))[:n])
+                owner.append(np.full(len(token[-1]), rid[i]))
+            token = np.concatenate(token).view(np.int64)
+            yield _rows(kind=KIND_TOKEN, token=token, rid=np.concatenate(owner), block=np.full(len(token), block[at[0]]))
+
+    return dealt_groups(sets, frequent, n_sets).repartition("block").mapInArrow(run, MATRIX)
+
 
-    found = dealt.repartition("token", "block").mapInArrow(cluster, "rid long, label long").distinct()
-    return reps.select("rid").join(found, "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"))
+KIND_MEMBER, KIND_TOKEN = 0, 1
+MATRIX = "kind int, rid long, label long, block long, pure boolean, need long, token long"
+
+
+def _rows(kind: int, rid: np.ndarray, block: np.ndarray, label=None, pure=None, need=None, token=None) -> pa.RecordBatch:
+    n = len(rid)
+    of = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x.astype(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), of(rid), of(label), of(block),
+         pa.nulls(n, pa.bool_()) if pure is None else pa.array(np.full(n, pure)), of(need), of(token)],
+        ["kind", "rid", "label", "block", "pure", "need", "token"])
 
 
 def _clusters(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -274,92 +351,71 @@ def _clusters(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
-def open_pairs(reps: DataFrame, labels: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``a, b, blocks``: pairs of groups whose unions of prefix tokens share enough
-    to hold a link; ``a`` is the smaller group, ``b`` lies in ``blocks`` blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            token, row = [], []
-            sets = _sets(batch.column("tokens"))
-            for i, s in enumerate(sets):
-                late = _is_frequent(s, frequent)
-                token.append(np.concatenate((s[~late], s[late]))[:prefix_length(len(s), percent)])
-                row.append(np.full(len(token[-1]), i))
-            row = np.concatenate(row)
-            sizes = np.array([len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(token).view(np.int64)), pa.array(batch.column("label").to_numpy()[row])],
-                ["token", "label"])
-
-    rows = reps.join(labels, "rid")
-    needs = rows.groupBy("label").agg(
-        F.min(F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA))).alias("need"), F.min("n").alias("low"),
-        F.max("n").alias("high"), F.count("*").alias("size"))
-    matrix = rows.select("tokens", "label").mapInArrow(run, "token long, label long").distinct()
-    # a token of one group only can open nothing; dropping those first keeps the self-join small
-    several = matrix.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    matrix = landed(matrix.join(several.select("token"), "token"), "matrix")
-    shared = (matrix.select("token", F.col("label").alias("x")).join(matrix.select("token", F.col("label").alias("y")), "token")
-              .where("x < y").groupBy("x", "y").agg(F.count("*").alias("shared")))
-    x = needs.select(*[F.col(c).alias(f"x_{c}" if c != "label" else "x") for c in needs.columns])
-    y = needs.select(*[F.col(c).alias(f"y_{c}" if c != "label" else "y") for c in needs.columns])
-    opened = (shared.where("shared >= 1").join(x, "x").join(y, "y")
-              .where("shared >= least(x_need, y_need)")
-              .where(f"100 * x_high >= {percent} * y_low AND 100 * y_high >= {percent} * x_low"))
-    small_x = F.struct("x_size", "x") <= F.struct(F.col("y_size").alias("x_size"), F.col("y").alias("x"))
-    return opened.select(F.when(small_x, F.col("x")).otherwise(F.col("y")).alias("a"),
-                         F.when(small_x, F.col("y")).otherwise(F.col("x")).alias("b"),
-                         F.ceil(F.greatest("x_size", "y_size") / BLOCK).cast("long").alias("blocks"))
-
-
-def verify_pairs(reps: DataFrame, labels: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges ``a, b`` between linked sets of opened pairs, one for each set of the
-    smaller group and block of the larger one."""
-    members = reps.join(labels, "rid").select("rid", "label", "tokens")
-    sizes = pairs.groupBy(F.col("b").alias("label")).agg(F.first("blocks").alias("blocks"))
-    target = members.join(sizes, "label").select(
-        "label", F.pmod("rid", "blocks").alias("block"), "rid", "tokens", F.lit(True).alias("target"))
-    query = (members.join(pairs.withColumnRenamed("a", "label"), "label")
-             .select(F.col("b").alias("label"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-                     "rid", "tokens", F.lit(False).alias("target")))
+def opened_blocks(matrix: DataFrame) -> DataFrame:
+    """``rid, block``: sets and the blocks that may hold a partner of theirs, by
+    the tokens they share with the union of the block's prefixes. A pair of blocks
+    is looked at from the lesser one. A block that is one cluster is not opened for
+    members of that cluster."""
+    members = matrix.where(F.col("kind") == KIND_MEMBER)
+    tokens = matrix.where(F.col("kind") == KIND_TOKEN).select("token", "rid", "block")
+    # most tokens lie in one block: they go before anything is joined
+    several = tokens.groupBy("token").agg(F.min("block").alias("a"), F.max("block").alias("z")).where("a < z")
+    tokens = landed(tokens.join(several.select("token"), "token"), "tokens")
+    own = members.groupBy("rid").agg(F.min("label").alias("label"), F.min("need").alias("need"))
+    unions = (members.groupBy("block").agg(F.min("need").alias("least"), F.when(F.min("pure"), F.min("label")).alias("pure"))
+              .join(tokens.select("token", "block").distinct(), "block").withColumnRenamed("block", "other"))
+    query = tokens.join(own, "rid").distinct()
+    met = query.join(unions, "token").where("block < other AND NOT (pure <=> label)")
+    return (met.groupBy("rid", "other").agg(F.countDistinct("token").alias("shared"), F.min("need").alias("need"),
+                                            F.min("least").alias("least"))
+            .where("shared >= least(need, least)").select("rid", F.col("other").alias("block")))
+
+
+def verified(sets: DataFrame, matrix: DataFrame, opened: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges ``a, b``: a set of an opened block for each cluster in it that the
+    query is linked with; the cluster's other members follow."""
+    members = matrix.where(F.col("kind") == KIND_MEMBER).select("rid", "block", "label")
+    wanted = members.join(opened.select("block").distinct(), "block").select(
+        "rid", F.struct("block", "label").alias("to"))
+    asked = opened.select("rid", F.struct("block", F.lit(None).cast("long").alias("label")).alias("to"))
+    places = wanted.union(asked).distinct().groupBy("rid").agg(F.collect_list("to").alias("to"))
+    sent = sets.select("rid", "tokens").join(places, "rid").select("rid", "tokens", F.explode("to").alias("to")).select(
+        "rid", "tokens", "to.block", "to.label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _partition(batches)
         if table is None:
             return
-        label, block, rid = (table.column(c).to_numpy() for c in ("label", "block", "rid"))
-        target = table.column("target").to_numpy()
+        rid = table.column("rid").to_numpy()
+        member = np.array(table.column("label").is_valid())
+        label = np.array(table.column("label").fill_null(0))
         sets = _sets(table.column("tokens"))
-        order = np.lexsort((rid, block, label))
-        new = np.append(True, (label[order[1:]] != label[order[:-1]]) | (block[order[1:]] != block[order[:-1]]))
         a, b = [], []
-        for at in np.split(order, np.flatnonzero(new)[1:]):
-            there, asked = at[target[at]], at[~target[at]]
+        for at in _blocks(table, member):
+            there, asked = at[member[at]], at[~member[at]]
             if not len(there) or not len(asked):
                 continue
             count = _overlaps([sets[i] for i in there])
             sizes = np.array([len(sets[i]) for i in there])
             for i in asked:
-                hit = np.flatnonzero(linked(count(sets[i]), len(sets[i]), sizes, percent))
-                if len(hit):
+                hit = there[linked(count(sets[i]), len(sets[i]), sizes, percent)]
+                for j in hit[np.unique(label[hit], return_index=True)[1]]:
                     a.append(rid[i])
-                    b.append(rid[there[hit[0]]])
+                    b.append(rid[j])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return target.union(query).repartition("label", "block").mapInArrow(run, "a long, b long")
+    return sent.repartition("block").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, row_key, n_shingles, set_id, component_id`` of each row.
+    """``doc_id, row_key, n_shingles, set_id, component_id, keeper`` of each row.
 
     Rows link when their shingle sets have a Jaccard similarity of ``percent`` or
     more; ``component_id`` is the smallest ``doc_id`` that links reach. Null and
     empty texts, and texts without words, have an empty set and link with nothing,
-    not even with each other. A null ``doc_id`` is never the smallest; it stays
+    not even with each other. ``keeper`` marks one document of each component, and
+    all without words (equal rows are marked together). A null ``doc_id`` is never the smallest; it stays
     null when nothing else is reached. Equal rows link like any equal texts. Other
     columns are not read; an empty table gives an empty one.
     """
@@ -367,24 +423,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "row_key", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     sets = landed(with_sets(rows, screen(rows, parts, percent)), "sets")
-    # one set stands for all equal ones
-    chosen = (sets.where("tokens IS NOT NULL").groupBy("rid", "rid2").agg(F.min("row_key").alias("row_key")))
-    reps = landed(sets.where("tokens IS NOT NULL").join(chosen, ["rid", "rid2", "row_key"])
-                  .dropDuplicates(["rid"]).select("rid", "n", "tokens"), "reps")
-    n_sets = reps.count()
-    frequent = frequent_tokens(reps, n_sets) if n_sets else np.zeros(0, np.uint64)
-    labels = landed(cluster_groups(reps, frequent, percent), "labels")
-    pairs = landed(open_pairs(reps, labels, frequent, percent), "pairs")
-    links = verify_pairs(reps, labels, pairs, percent).union(labels.where("rid <> label").select("rid", "label"))
+    # a set stands for its equals, here those of a task; the rest meet in one block
+    full = sets.where("tokens IS NOT NULL").select("rid", "n", "tokens")
+    n_sets = full.count()
+    frequent = frequent_tokens(full, n_sets) if n_sets else np.zeros(0, np.uint64)
+    matrix = landed(group_matrix(full, frequent, n_sets, percent), "matrix")
+    members = matrix.where(F.col("kind") == KIND_MEMBER)
+    links = (verified(full, matrix, landed(opened_blocks(matrix), "opened"), percent)
+             .union(members.where("rid <> label").select("rid", "label")))
     roots = connected(links)
-    ids = (sets.where("tokens IS NOT NULL").groupBy(F.col("rid").alias("node")).agg(F.min("did").alias("did"))
-           .join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "did"))
-    smallest = ids.groupBy("root").agg(F.min("did").alias("least"))
-    component = ids.join(smallest, "root").select(F.col("node").alias("rid"), "least")
-    alone = sets.where("tokens IS NULL").select("did", "row_key", "n", "rid", F.col("did").alias("least"))
-    together = sets.where("tokens IS NOT NULL").select("did", "row_key", "n", "rid").join(component, "rid").select(
-        "did", "row_key", "n", "rid", "least")
+    ids = (sets.where("n > 0").groupBy(F.col("rid").alias("node")).agg(F.min(F.struct("did", "row_key")).alias("first"))
+           .join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
+    first = F.col("first.did").alias("least")
+    firsts = ids.groupBy("root").agg(F.min("first").alias("first"))
+    component = ids.select("node", "root").join(firsts, "root").select(F.col("node").alias("rid"), "first")
+    alone = sets.where("n = 0").select("did", "row_key", "n", "rid", F.col("did").alias("least"), F.lit(True).alias("keeper"))
+    together = sets.where("n > 0").select("did", "row_key", "n", "rid").join(component, "rid").select(
+        "did", "row_key", "n", "rid", first, (F.struct("did", "row_key") == F.col("first")).alias("keeper"))
     null_id = F.lit(NO_ID)
     return alone.union(together).select(
         F.nullif("did", null_id).alias("doc_id"), "row_key", F.col("n").cast("long").alias("n_shingles"),
-        F.col("rid").alias("set_id"), F.nullif("least", null_id).alias("component_id"))
+        F.col("rid").alias("set_id"), F.nullif("least", null_id).alias("component_id"), "keeper")
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates: the
+    document with the smallest ``doc_id`` of each component stays, once."""
+    found = near_duplicates(docs, percent).where("keeper").select("row_key", "n_shingles").distinct()
+    kept = keyed(docs, tuple(docs.columns)).select("row_key", "row").join(found, "row_key")
+    # equal rows share a key: one of them stays, but all of those that link with nothing
+    one = kept.where("n_shingles > 0").groupBy("row_key").agg(F.first("row").alias("row")).select("row.*")
+    return one.union(kept.where("n_shingles = 0").select("row.*"))

@@ -219,8 +219,15 @@ SHAPES = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re
           CARD, PHONE)
 
 
-def find_pii(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
-    """``doc_id, row_key, spans, added``: arrays of ``(start, end, kind)`` in code
+def _plausible(text: str, a: int, kind: int, z: int) -> bool:
+    """A tagged span is a whole match of its kind, and no part of a longer number or word."""
+    part = str.isalnum if kind == 0 else str.isdigit
+    cut = (a > 0 and part(text[a - 1])) or (z < len(text) and part(text[z]))
+    return not cut and bool(SHAPES[kind].fullmatch(text, a, z)) and valid(KINDS[kind], text[a:z])
+
+
+def find_pii(docs: DataFrame, model: BiLstmCrf | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``row, spans, added``: the columns ``carry`` as a struct, and arrays of ``(start, end, kind)`` in code
     points, by start and kind. ``spans`` are the patterns' matches, ``added`` what
     the tagger adds. A null or empty text has none; equal rows have equal spans;
     an empty table gives an empty one; other columns are not read."""
@@ -242,17 +249,16 @@ def find_pii(docs: DataFrame, model: BiLstmCrf | None) -> DataFrame:
                             end += 1
                         own = [(a, z) for _, a, z in cuts[at:end]]
                         added[i] += [s for s in reconciled(len(texts[i]), own, tags[at:end])
-                                     if SHAPES[s[1]].fullmatch(texts[i], s[0], s[2])
-                                     and valid(KINDS[s[1]], texts[i][s[0]:s[2]])
+                                     if _plausible(texts[i], *s)
                                      and not any(a < s[2] and s[0] < z for a, _, z in base[i])]
                         at = end
             pack = lambda rows: pa.array([[{"start": a, "end": z, "kind": KINDS[k]} for a, k, z in r] for r in rows],
                                          pa.list_(item))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pack(base), pack(added)],
-                                             ["doc_id", "row_key", "spans", "added"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pack(base), pack(added)], ["row", "spans", "added"])
 
     kind = "array<struct<start:long,end:long,kind:string>>"
-    return keyed(docs).mapInArrow(run, f"doc_id long, row_key long, spans {kind}, added {kind}")
+    rows = keyed(docs, carry).select("text", "row")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, spans {kind}, added {kind}")
 
 
 def _groups(texts: list[str], size: int = 4096) -> Iterator[list[tuple[int, int, int]]]:
@@ -287,6 +293,6 @@ def masked(text, spans):
     return F.concat(end["out"], F.substr(text, (end["at"] + 1).cast("int"), F.length(text)))
 
 
-def detect_pii(docs: DataFrame) -> DataFrame:
+def detect_pii(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Train on a sample of ``docs``, then tag all of them (see ``find_pii``)."""
-    return find_pii(docs, train_tagger(training_windows(keyed(docs))))
+    return find_pii(docs, train_tagger(training_windows(keyed(docs))), carry)

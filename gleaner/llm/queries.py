@@ -101,7 +101,7 @@ def op1_suffix_dedup(spark, sf_dir):
     from .suffix import dedup_substrings
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return dedup_substrings(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -139,7 +139,7 @@ def op6_pii(spark, sf_dir):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"),
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"),
                         listed(F.concat("spans", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 

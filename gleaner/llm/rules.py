@@ -56,18 +56,27 @@ def ledger(docs: DataFrame) -> DataFrame:
     A null text has no words and fails ``too_few_words``; an empty table gives an
     empty ledger; repeated rows give repeated rows; other columns are not read.
     """
+    return _entries(docs, F.col("doc_id").cast("long")).withColumnRenamed("key", "doc_id")
+
+
+def keep_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a policy keeps."""
+    return apply_policy(_entries(docs, F.struct("*")), policy).where("kept").select("key.*")
+
+
+def _entries(docs: DataFrame, key: Column) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
-    m = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    m = docs.select(key.alias("key"), text.alias("t"))
     # One generated struct keeps the arrays bound once; they never leave the row.
     measured = bind(words(F.col("t")), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words")))
     lined = bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
                                            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    m = m.select("doc_id", measured.alias("w"), lined.alias("l"),
+    m = m.select("key", measured.alias("w"), lined.alias("l"),
                  F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
                  (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"))
-    m = m.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    m = m.select("key", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
     fails = {
         "too_few_words": F.col("n_words") < 50,
         "repeated_windows": 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),

@@ -372,20 +372,20 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     return whole.union(few).union(later)
 
 
-OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+OUT = "n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, spans, kept`` of each row of ``docs``: the removed byte
-    ranges (maximal, in order) and the bytes that are left.
+def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``row, n_bytes, spans, kept`` of each row of ``docs``: a struct of its columns
+    ``carry``, the removed byte ranges (maximal, in order) and the bytes left.
 
     A null text is empty; a null ``doc_id`` counts as smaller than all others.
     Rows equal in ``doc_id`` and text are one document at one place: neither
     removes from the other. Texts under ``WIDTH`` bytes stay whole. Other columns
     are not read; an empty table gives an empty one.
     """
-    rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"),
-                              F.col("row_key").bitwiseAND(F.lit(0xFFFF)).alias("tag"), "text")
+    rows = keyed(docs, carry).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"),
+                                     F.col("row_key").bitwiseAND(F.lit(0xFFFF)).alias("tag"), "text", "row")
     ranges = repeated_ranges(rows).groupBy("did", "tag").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +393,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             data, starts, ends = _texts(batch.column("text"))
-            ids, sizes, spans, kept = [], [], [], []
+            sizes, spans, kept = [], [], []
             for i, found in enumerate(batch.column("ranges")):
                 text = data[starts[i]:ends[i]]
                 cover = np.zeros(len(text) + 1, np.int32)
@@ -403,14 +403,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                     np.add.at(cover, a + found.values.field("length").to_numpy(), -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                did = batch.column("did")[i].as_py()
-                ids.append(None if did == NO_ID else did)
                 sizes.append(len(text))
                 spans.append([{"start": a, "end": z} for a, z in edge.reshape(-1, 2).tolist()])
                 kept.append(text[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column("row"), pa.array(sizes, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                 pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"])
 
-    return rows.join(ranges, ["did", "tag"], "left").select("did", "text", "ranges").mapInArrow(run, OUT)
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, {OUT}"
+    return rows.join(ranges, ["did", "tag"], "left").select("row", "text", "ranges").mapInArrow(run, schema)
