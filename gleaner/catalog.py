@@ -508,14 +508,15 @@ def flt_15(spark, d):
     return LG.log_lines(_runlog(spark, d), "Supplier#000000004", "info", True).select("line_no", "line")
 
 
-@register("lim_1", O.runlog_ctes(_TS) + "SELECT line_no, line FROM runlog ORDER BY line_no DESC LIMIT 200")
+@register("lim_1", O.runlog_ctes(_TS) + "SELECT line_no, line FROM (SELECT line_no, line FROM runlog ORDER BY line_no DESC LIMIT 200) ORDER BY line_no")
 def lim_1(spark, d):
     return LG.tail(_runlog(spark, d), 200).select("line_no", "line")
 
 
 @register("job_7", O.runlog_ctes(_TS) + """
 SELECT line_no, line, count(*) OVER () AS total FROM (
-  SELECT line_no, line FROM runlog WHERE contains(line, 'FILTERED') ORDER BY line_no DESC LIMIT 2000)""")
+  SELECT line_no, line FROM runlog WHERE contains(line, 'FILTERED') ORDER BY line_no DESC LIMIT 2000)
+ORDER BY line_no""")
 def job_7(spark, d):
     return RD.log_query(_runlog(spark, d), filtered_only=True, limit=2000).select("line_no", "line", "total")
 
@@ -532,7 +533,7 @@ from .plans import discovery as DS  # noqa: E402
 _NEWJOBS_SQL = f""",
 newjobs AS (
   SELECT source_id, title, url AS job_url, url_hash, source_company AS company,
-         CASE WHEN location <> '' THEN substr(location, 1, 500) END AS location,
+         CASE WHEN location <> '' THEN location END AS location,
          CAST(NULL AS VARCHAR) AS job_type,
          CASE WHEN coalesce(trim(description) <> '', false) THEN salary_expected END AS salary,
          CASE WHEN coalesce(trim(description) <> '', false) THEN description END AS description,
@@ -584,7 +585,7 @@ pass2 AS (
          WHEN h.url_hash IS NOT NULL AND coalesce(trim(h.description) <> '', false) THEN 'scraped'
          WHEN h.url_hash IS NOT NULL THEN 'failed' ELSE j.scrape_status END AS scrape_status,
     CASE WHEN h.url_hash IS NOT NULL THEN TIMESTAMP '{fx.RUN_TS}' ELSE j.scraped_at END AS scraped_at,
-    CASE WHEN h.error IS NOT NULL THEN substr(h.error, 1, 500) END AS scrape_error
+    CASE WHEN h.error IS NOT NULL THEN h.error END AS scrape_error
   FROM newjobs j LEFT JOIN hit h ON h.url_hash = j.url_hash)
 """
 
@@ -634,10 +635,14 @@ def flt_16(spark, d):
 
 
 @register("lim_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
-          "SELECT url_hash, CAST(length(scrape_error) AS INTEGER) AS error_len, CAST(length(location) AS INTEGER) AS location_len FROM pass2")
+          """SELECT p.url_hash, substr(p.scrape_error, 1, 30) AS scrape_error,
+       CASE WHEN h.url_hash IS NOT NULL AND h.error IS NULL THEN coalesce(h.location, substr(p.location, 1, 4))
+            ELSE substr(p.location, 1, 4) END AS location
+FROM pass2 p LEFT JOIN hit h ON h.url_hash = p.url_hash""")
 def lim_2(spark, d):
-    return _pass2(spark, d).select("url_hash", F.length("scrape_error").alias("error_len"),
-                                   F.length("location").alias("location_len"))
+    jobs = SK.new_jobs(_decided(spark, d), _run_ts(spark), location_cap=4)
+    out = SK.apply_details(jobs, fx.details_df(spark, _postings(spark, d)), _run_ts(spark), error_cap=30)
+    return out.select("url_hash", "scrape_error", "location")
 
 
 # ------------------------------------------------------ discovery (JOB-4)
@@ -957,7 +962,7 @@ _PHENOM_SQL = O.pay_with() + """,
 ph0 AS (
   SELECT *, CASE ord % 3 WHEN 2 THEN 'https://co' || CAST(source_id AS VARCHAR) || '.phenompeople.com/job/SEQ' || CAST(ord AS VARCHAR)
                  ELSE url END AS eurl
-  FROM pf2 WHERE pplat = 'phenom' AND title_ok AND ord // 200 < 20),
+  FROM pf2 WHERE pplat = 'phenom' AND title_ok),
 ph AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, eurl ORDER BY ord) AS rn FROM ph0) WHERE rn = 1)
 """
 
@@ -984,11 +989,14 @@ def str_23(spark, d):
     return j.where(F.col("j.applyUrl").isNotNull()).select("source_id", U.strip_apply(F.col("j.applyUrl")).alias("url"))
 
 
-@register("win_6", _PHENOM_SQL + "SELECT source_id, count(DISTINCT ord // 200) AS pages_used FROM ph0 GROUP BY source_id")
+@register("win_6", _PHENOM_SQL + """, sized AS (SELECT source_id, ord // 200 AS page_no, count(*) AS n FROM pf2 WHERE pplat = 'phenom' GROUP BY 1, 2),
+stops AS (SELECT source_id, min(page_no) FILTER (WHERE n < 10) AS stop FROM sized WHERE page_no < 3 GROUP BY 1)
+SELECT source_id, count(*) AS pages_used FROM sized JOIN stops USING (source_id)
+WHERE page_no < 3 AND page_no <= coalesce(stop, page_no) GROUP BY source_id""")
 def win_6(spark, d):
     pay = _by(_payloads(spark, d), "phenom")
     p = pay.withColumn("_n", F.coalesce(F.size(F.from_json("body", N.PHENOM_SCHEMA)["data"]["jobs"]), F.lit(0)))
-    used = N.page_run(p, ["source_id"], stop=F.col("_n") < N.PHENOM_PAGE_SIZE, max_pages=N.PHENOM_MAX_PAGES)
+    used = N.page_run(p, ["source_id"], stop=F.col("_n") < 10, max_pages=3)
     return used.groupBy("source_id").agg(F.count_distinct("page_no").alias("pages_used"))
 
 
@@ -1072,12 +1080,6 @@ def prj_2(spark, d):
     return N.greenhouse(_by(_payloads(spark, d), "greenhouse"), convert=False).select("id", "company", "job_type", "salary")
 
 
-@register("flt_9", O.pay_with() + "SELECT pplat AS platform, count(*) AS n_valid FROM pf2 WHERE title_ok AND pplat IN ('greenhouse', 'lever') GROUP BY 1")
-def flt_9(spark, d):
-    pay = _payloads(spark, d)
-    g = N.greenhouse(_by(pay, "greenhouse"), convert=False).withColumn("platform", F.lit("greenhouse"))
-    lv = N.lever(_by(pay, "lever"), convert=False).withColumn("platform", F.lit("lever"))
-    return g.unionByName(lv).groupBy("platform").agg(F.count(F.lit(1)).alias("n_valid"))
 
 
 _COUNT_EXPECT = O.pay_with() + """,
@@ -1088,12 +1090,18 @@ cnt AS (
   UNION ALL SELECT 'bamboohr', count(*) FROM pf2 WHERE pplat = 'bamboohr' AND title_ok AND ord % 19 <> 0
   UNION ALL SELECT 'workday', count(*) + count(*) FILTER (WHERE (ord // 20) % 8 = 0) FROM pf2 WHERE pplat = 'workday' AND title_ok
   UNION ALL SELECT 'phenom', count(*) FROM (SELECT DISTINCT source_id, CASE ord % 3 WHEN 2 THEN 'SEQ' || CAST(ord AS VARCHAR) ELSE url END
-                                            FROM pf2 WHERE pplat = 'phenom' AND title_ok AND ord // 200 < 20)
+                                            FROM pf2 WHERE pplat = 'phenom' AND title_ok)
   UNION ALL SELECT 'oracle', count(*) FROM pf2 WHERE pplat = 'oracle' AND title_ok AND ord % 29 <> 0 AND (ord // 20) % 5 <> 0
   UNION ALL SELECT 'netflix', count(*) FROM pf2 WHERE pplat = 'netflix' AND ((ord // 20) % 4 = 1 OR ord % 23 <> 0))
 """
 
 
+@register("flt_9", _COUNT_EXPECT + "SELECT platform, n AS n_valid FROM cnt")
+def flt_9(spark, d):
+    return _all_norm(spark, d).where(FL.valid_record(F.col("title"), F.col("url"))).groupBy("platform").agg(
+        F.count(F.lit(1)).alias("n_valid"))
+
+
 def _all_norm(spark, d):
     return N.normalise_all(_payloads(spark, d), _run_ts(spark), CFG_A.locations, convert=False)
 
@@ -1103,9 +1111,29 @@ def set_3_payloads(spark, d):
     return _all_norm(spark, d).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("ext_1", _COUNT_EXPECT + "SELECT CAST(sum(n) AS BIGINT) AS n FROM cnt")
+@register("ext_1", O.pay_with() + """
+SELECT 'mine' AS platform, source_id, title, url, location FROM pf2 WHERE pplat = 'netflix'""")
 def ext_1(spark, d):
-    return _all_norm(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    """A platform that the library does not know, added by its function; its
+    payloads carry the postings of one fixture platform as plain rows."""
+    own = "array<struct<title:string,url:string,location:string>>"
+    p = _postings(spark, d).join(_sources_by_platform(spark, d, "netflix"), "source_id")
+    body = F.to_json(F.collect_list(F.struct("title", "url", "location")))
+    pay = p.groupBy("source_id", (F.col("ord") / 200).cast("int").alias("page_no")).agg(body.alias("body")).select(
+        "source_id", F.lit("mine").alias("platform"), F.lit("list").alias("kind"), "page_no",
+        F.lit("").alias("key"), "body")
+
+    def mine(payloads):
+        j = payloads.select("source_id", "page_no", F.posexplode(F.from_json("body", own)).alias("pos", "j"))
+        return j.select("source_id", "page_no", "pos", "j.title", "j.url", "j.location")
+
+    out = N.normalise_all(_payloads(spark, d).unionByName(pay), _run_ts(spark), CFG_A.locations,
+                          extra={"mine": mine}, convert=False)
+    return out.where(F.col("platform") == "mine").select("platform", "source_id", "title", "url", "location")
+
+
+def _sources_by_platform(spark, d, platform):
+    return _by(_payloads(spark, d), platform).select("source_id").distinct()
 
 
 @register("src_7", _COUNT_EXPECT + "SELECT platform, n FROM cnt")
@@ -1292,9 +1320,15 @@ def src_8(spark, d):
     return read_pages(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
 
 
-@register("str_13", O.duck_with() + "SELECT page_id, 'article' AS content_tag FROM f3")
+@register("str_13", O.duck_with() + "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'article' WHEN 1 THEN 'main' WHEN 4 THEN 'body' ELSE 'div' END AS content_tag FROM f3")
 def str_13(spark, d):
-    return _f3(spark, d).select("page_id", HT.content_tag(F.col("html")).alias("content_tag"))
+    # the content element under another name in four of five pages, so that each choice is taken
+    name = F.element_at(F.array(*[F.lit(x) for x in ('article', 'main', 'div id="Job-box"', 'div class="a jobs"', 'section')]),
+                        (F.col("page_id") % 5 + 1).cast("int"))
+    html = F.regexp_replace(F.regexp_replace(F.col("html"), F.lit("<article"), F.concat(F.lit("<"), name)),
+                            F.lit("</article"), F.concat(F.lit("</"), F.split_part(name, F.lit(" "), F.lit(1))))
+    html = F.when(F.col("page_id") % 5 == 4, F.regexp_replace(html, "job-links", "links")).otherwise(html)
+    return _f3(spark, d).select("page_id", HT.content_tag(html).alias("content_tag"))
 
 
 @register("str_9", O.duck_with() + """
@@ -1344,23 +1378,22 @@ def str_12(spark, d):
     return _f3(spark, d).select("page_id", HT.page_markdown(F.col("html"), mode="generic").alias("markdown"))
 
 
-@register("flt_13", O.pages_with() + "SELECT page_id FROM pg")
+@register("flt_13", O.duck_with() + "SELECT doc_id, CASE WHEN length(text) >= 500 THEN text END AS description FROM documents")
 def flt_13(spark, d):
-    md = HT.page_markdown(F.col("html"), mode=None)
-    return _f3(spark, d).select("page_id", F.length(FL.min_text(md)).alias("kept_chars")).select("page_id")
+    return fx.load(spark, d, "documents").select("doc_id", FL.min_text(F.col("text"), 500).alias("description"))
 
 
 # ------------------------------------------------------------ documents text
-@register("str_2", O.duck_with() + "SELECT doc_id, CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS INTEGER) AS n FROM documents")
+@register("str_2", O.duck_with() + "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def str_2(spark, d):
-    return fx.load(spark, d, "documents").select("doc_id", F.length(T.strip(F.col("text"))).alias("n"))
+    return fx.load(spark, d, "documents").select("doc_id", T.strip(F.col("text")).alias("text"))
 
 
 @register("str_10", O.duck_with() + """
-SELECT doc_id, CAST(length(nullif(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'),
-                     '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '')) AS INTEGER) AS n FROM documents""")
+SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'),
+                     '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '') AS text FROM documents""")
 def str_10(spark, d):
-    return fx.load(spark, d, "documents").select("doc_id", F.length(T.collapse_text(F.col("text"))).alias("n"))
+    return fx.load(spark, d, "documents").select("doc_id", T.collapse_text(F.col("text")).alias("text"))
 
 
 @register("str_8", O.duck_with() + """

@@ -111,12 +111,20 @@ def requirement_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
+def _numbered(odd: str, shown: str):
+    return lambda x: F.when(x.rlike(odd), F.format_string(shown, F.ascii(x))).otherwise(x)
+
+
 def py_repr(c: Column) -> Column:
     """Python ``repr`` of a str (or ``None``), as written into decision lines."""
     esc = F.regexp_replace(c, r"\\", r"\\\\")
     esc = F.regexp_replace(esc, "\n", r"\\n")
     esc = F.regexp_replace(esc, "\r", r"\\r")
     esc = F.regexp_replace(esc, "\t", r"\\t")
+    # other control, format and blank characters appear by number
+    for shown, low, high in ((r"\\x%02x", 0, 0xFF), (r"\\u%04x", 0x100, 0xFFFF)):
+        odd = rf"[\p{{Cc}}\p{{Cf}}\p{{Zl}}\p{{Zp}}\p{{Zs}}&&[^ ]&&[\x{{{low:x}}}-\x{{{high:x}}}]]"
+        esc = F.when(esc.rlike(odd), F.array_join(F.transform(F.split(esc, ""), _numbered(odd, shown)), "")).otherwise(esc)
     dq = F.concat(F.lit('"'), esc, F.lit('"'))
     sq = F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'"))
     use_dq = c.contains("'") & ~c.contains('"')

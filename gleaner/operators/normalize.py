@@ -176,9 +176,9 @@ def pay_range(min_v: Column, max_v: Column, currency: Column, unit: Column, deci
     def fmt(v: Column) -> Column:
         d = v.try_cast("decimal(38,6)")
         if not decimals:
-            return F.format_number(F.floor(d).try_cast("bigint"), 0)
+            return F.format_number(d.try_cast("bigint"), 0)
         frac = F.regexp_extract(v, r"\.(\d+)$", 1)
-        whole = F.format_number(F.floor(d).try_cast("bigint"), 0)
+        whole = F.format_number(d.try_cast("bigint"), 0)
         return F.when(frac != "", F.concat(whole, F.lit("."), frac)).otherwise(whole)
     return F.concat(F.coalesce(currency, F.lit("USD")), F.lit(" "), fmt(min_v), F.lit("–"), fmt(max_v))
 
@@ -227,7 +227,6 @@ def ashby(payloads: DataFrame, convert: bool = True) -> DataFrame:
 # ------------------------------------------------------------------ BambooHR
 BAMBOO_LIST = "struct<result:array<struct<id:string,jobOpeningName:string>>>"
 BAMBOO_DETAIL = "struct<jobOpeningName:string,title:string,description:string,location:string,employmentType:string>"
-TEXT_CAP = 5000
 
 
 def bamboohr_listing(payloads: DataFrame) -> DataFrame:
@@ -239,9 +238,9 @@ def bamboohr_listing(payloads: DataFrame) -> DataFrame:
     return _detail(j, id=F.col("j.id"), title=X.strip(F.col("j.jobOpeningName")), url=url)
 
 
-def bamboohr_detail(listing: DataFrame, payloads: DataFrame) -> DataFrame:
-    """NRM-8 (+ JN-2 / NRM-23): detail by job id; text description cut to
-    5000; 'city, state' stripped of commas/blanks; no detail -> bare listing."""
+def bamboohr_detail(listing: DataFrame, payloads: DataFrame, text_cap: int | None = None) -> DataFrame:
+    """NRM-8 (+ JN-2 / NRM-23): detail by job id; text description, cut to
+    ``text_cap`` when one is given (LIM-2); 'city, state' stripped of commas/blanks; no detail -> bare listing."""
     det = payloads.where(F.col("kind") == "detail").select(
         F.col("source_id").alias("_sid"), F.col("key").alias("_id"),
         F.from_json("body", BAMBOO_DETAIL).alias("d"))
@@ -251,7 +250,7 @@ def bamboohr_detail(listing: DataFrame, payloads: DataFrame) -> DataFrame:
     loc = F.when(F.ltrim(raw_loc).startswith("{"), X.city_state(obj["city"], obj["state"])) \
            .when(F.coalesce(raw_loc, F.lit("")) != "", raw_loc)
     text = H.html_text(F.col("d.description"))
-    desc = F.when(F.coalesce(text, F.lit("")) != "", X.cut(text, TEXT_CAP))
+    desc = F.when(F.coalesce(text, F.lit("")) != "", text if text_cap is None else X.cut(text, text_cap))
     has = F.col("_id").isNotNull()
     return j.select(*[c for c in ("source_id", "page_no", "pos", "id") if c in listing.columns],
                     F.when(has, X.strip(F.coalesce(F.col("d.jobOpeningName"), F.col("d.title"), F.lit(""))))
@@ -314,7 +313,7 @@ def workday(payloads: DataFrame, target_locations: Sequence[str] | None) -> Data
                 .otherwise(F.col("path"))
     loc = F.when(F.col("_v").isNotNull(), F.col("_v")).when(F.col("_multi"), _null()) \
            .otherwise(F.when(F.coalesce(F.col("loc_text"), F.lit("")) != "", F.col("loc_text")))
-    out = j.select("source_id", "page_no", (F.col("pos") * 1000 + F.coalesce(F.col("_vpos"), F.lit(0))).alias("pos"),
+    out = j.select("source_id", "page_no", (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce(F.col("_vpos"), F.lit(0))).alias("pos"),
                    F.col("job_id").alias("id"), "title", F.concat(F.col("key"), url_path).alias("url"),
                    _null().alias("company"), loc.alias("location"), _null().alias("job_type"),
                    _null().alias("salary"), _null().alias("description"), _empty().alias("requirements"),
@@ -327,18 +326,18 @@ PHENOM_SCHEMA = ("struct<data:struct<jobs:array<struct<title:string,applyUrl:str
                  "jobSeqNo:string,jobId:string,descriptionTeaser:string,"
                  "ml_job_parser:struct<descriptionTeaser_first200:string>,multi_location:array<string>,"
                  "cityState:string,type:string>>>>")
-PHENOM_MAX_PAGES = 20
-PHENOM_PAGE_SIZE = 10
 
 
-def phenom(payloads: DataFrame, convert: bool = True) -> DataFrame:
-    """NRM-13 (+ WIN-3 fixed form, WIN-6): apply URL, else absolute, else
-    built from the sequence number; trailing '/apply' stripped; first
-    sighting of a URL per source kept; pages cut at the first short page and
-    at 20 pages."""
+def phenom(payloads: DataFrame, convert: bool = True, page_size: int | None = None,
+           max_pages: int | None = None) -> DataFrame:
+    """NRM-13 (+ WIN-3 fixed form): apply URL, else absolute, else built from
+    the sequence number; trailing '/apply' stripped; first sighting of a URL
+    per source kept. All landed pages count; ``page_size`` (stop at the first
+    shorter page) and ``max_pages`` cut the run only when given (WIN-6)."""
     p = payloads.withColumn("_p", F.from_json("body", PHENOM_SCHEMA))
-    p = p.withColumn("_n", F.coalesce(F.size("_p.data.jobs"), F.lit(0)))
-    p = page_run(p, ["source_id"], stop=F.col("_n") < PHENOM_PAGE_SIZE, max_pages=PHENOM_MAX_PAGES)
+    if page_size is not None or max_pages is not None:
+        short = F.lit(False) if page_size is None else F.coalesce(F.size("_p.data.jobs"), F.lit(0)) < page_size
+        p = page_run(p, ["source_id"], stop=short, max_pages=max_pages)
     j = p.select("*", F.posexplode_outer("_p.data.jobs").alias("pos", "j")).where(F.col("j").isNotNull())
     seq = F.coalesce(F.when(F.col("j.jobSeqNo") != "", F.col("j.jobSeqNo")), F.when(F.col("j.jobId") != "", F.col("j.jobId")))
     built = F.when(seq.isNotNull(), F.concat(F.col("key"), F.lit("/job/"), seq))
@@ -383,13 +382,14 @@ ORACLE_SCHEMA = ("struct<items:array<struct<TotalJobsCount:bigint,requisitionLis
 ORACLE_JOB_URL = "https://careers.oracle.com/en/sites/jobsearch/jobs/preview/"
 
 
-def oracle(payloads: DataFrame, now: Column, page_size: int = 20, days: int = 30, convert: bool = True) -> DataFrame:
-    """NRM-16 (+ FLT-10, STR-15, WIN-6 offset rule): items[0].requisitionList,
-    URL from id, recency cut, 'United States' rewrite, short description."""
+def oracle(payloads: DataFrame, now: Column, page_size: int | None = None, days: int = 30, convert: bool = True) -> DataFrame:
+    """NRM-16 (+ FLT-10, STR-15): items[0].requisitionList, URL from id, recency
+    cut, 'United States' rewrite, short description. All landed pages count; with
+    ``page_size``, pages whose offset lies beyond a stated total do not (WIN-6)."""
     p = payloads.withColumn("_p", F.from_json("body", ORACLE_SCHEMA))
     item = F.try_element_at(F.col("_p.items"), F.lit(1))
-    p = p.withColumn("_total", F.coalesce(item["TotalJobsCount"], F.lit(0)))
-    p = p.where(F.col("page_no") * page_size < F.col("_total"))
+    if page_size is not None:
+        p = p.where(F.coalesce(F.col("page_no") * page_size < item["TotalJobsCount"], F.lit(True)))
     j = p.select("*", F.posexplode_outer(item["requisitionList"]).alias("pos", "j")).where(F.col("j").isNotNull())
     jid = X.strip(F.coalesce(F.col("j.Id"), F.lit("")))
     j = j.where((jid != "") & (F.coalesce(X.strip(F.col("j.Title")), F.lit("")) != ""))
@@ -403,7 +403,6 @@ def oracle(payloads: DataFrame, now: Column, page_size: int = 20, days: int = 30
 NETFLIX_SCHEMA = ("struct<count:bigint,positions:array<struct<id:string,name:string,posting_name:string,"
                   "ats_job_id:string,canonicalPositionUrl:string>>>")
 NETFLIX_JOB_URL = "https://explore.jobs.netflix.net/careers/job/"
-NETFLIX_PAGE_SIZE = 100
 
 
 def netflix(payloads: DataFrame) -> DataFrame:
@@ -420,35 +419,45 @@ def netflix(payloads: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- EXT-1
-NORMALISERS: dict[str, Callable[..., DataFrame]] = {
-    "greenhouse": greenhouse, "lever": lever, "ashby": ashby, "phenom": phenom, "netflix": netflix,
-}
-
-
 def normalise_all(payloads: DataFrame, now: Column, target_locations: Sequence[str] | None = None,
                   extra: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
                   convert: bool = True) -> DataFrame:
     """SET-3 / EXT-1: every platform's postings as one uniform detail frame.
     A new platform is one more entry in ``extra`` (platform -> function)."""
-    by = lambda p: payloads.where(F.col("platform") == p)
-    parts = [
-        greenhouse(by("greenhouse"), convert).withColumn("platform", F.lit("greenhouse")),
-        lever(by("lever"), convert=convert).withColumn("platform", F.lit("lever")),
-        ashby(by("ashby"), convert).withColumn("platform", F.lit("ashby")),
-        bamboohr_detail(bamboohr_listing(by("bamboohr")), by("bamboohr")).withColumn("platform", F.lit("bamboohr")),
-        workday(by("workday"), target_locations).withColumn("platform", F.lit("workday")),
-        phenom(by("phenom"), convert).withColumn("platform", F.lit("phenom")),
-        oracle(by("oracle"), now, convert=convert).withColumn("platform", F.lit("oracle")),
-        netflix(by("netflix")).withColumn("platform", F.lit("netflix")),
-    ]
-    for name, fn in (extra or {}).items():
-        parts.append(fn(by(name)).withColumn("platform", F.lit(name)))
+    registry: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "greenhouse": lambda p: greenhouse(p, convert),
+        "lever": lambda p: lever(p, convert=convert),
+        "ashby": lambda p: ashby(p, convert),
+        "bamboohr": lambda p: bamboohr_detail(bamboohr_listing(p), p),
+        "workday": lambda p: workday(p, target_locations),
+        "phenom": lambda p: phenom(p, convert),
+        "oracle": lambda p: oracle(p, now, convert=convert),
+        "netflix": netflix,
+        **(extra or {}),
+    }
+    known = F.col("platform").isin(list(registry))
+    parts = [fn(payloads.where(F.col("platform") == name)).withColumn("platform", F.lit(name))
+             for name, fn in registry.items()]
+    # rows of any other platform are landed pages: their job links (NRM-20)
+    parts.append(generic_payload(payloads.where(F.coalesce(~known, F.lit(True)))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def generic_payload(payloads: DataFrame) -> DataFrame:
+    """Payload rows of unknown platforms: ``body`` is a page, ``key`` its address.
+    Each job link is a posting with its text as the title; the first link to a URL
+    per source counts (WIN-2)."""
+    a = payloads.select("source_id", "platform", "page_no", "key", F.posexplode(H.html_anchors(F.col("body"))).alias("pos", "a"))
+    a = a.withColumn("url", U.resolve_href(F.col("a.href"), F.col("key")))
+    a = a.where(FL.anchor_ok(F.col("a.text")) & F.col("url").isNotNull() & FL.is_job_link(F.col("url")))
+    a = first_per_key(a.select("source_id", "platform", "page_no", "pos", F.col("a.text").alias("title"), "url"),
+                      ["source_id", "url"], ["page_no", "pos"])
+    return _detail(a, title=F.col("title"), url=F.col("url")).withColumn("platform", F.lit("generic"))
+
+
 def last_detail_per_url(details: DataFrame, order: list[str] | None = None) -> DataFrame:
     """WIN-5 / JN-2 helper: the last detail seen for a URL within a source wins."""
     order = order or ["page_no", "pos"]

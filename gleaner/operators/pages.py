@@ -69,7 +69,7 @@ def _num_true(v: Column) -> Column:
 
 def _int_commas(v: Column) -> Column:
     """MTH-1: truncate to an integer, thousands separators."""
-    return F.format_number(F.floor(v.try_cast("decimal(38,6)")).try_cast("bigint"), 0)
+    return F.format_number(v.try_cast("decimal(38,6)").try_cast("bigint"), 0)
 
 
 def salary_range(base_salary_raw: Column, open_ended: bool = False) -> Column:
@@ -206,8 +206,9 @@ def generic_listing(pages: DataFrame, fragments: list[str] | None = None) -> Dat
     return first_per_key(a, ["page_id", "job_url"], ["pos"])
 
 
-def generic_detail(pages: DataFrame) -> DataFrame:
-    """NRM-21: drop noise elements, choose the content node, newline text,
-    cut to 5000 characters (UDF-2 + LIM-2)."""
+def generic_detail(pages: DataFrame, text_cap: int | None = None) -> DataFrame:
+    """NRM-21: drop noise elements, choose the content node, newline text, cut
+    to ``text_cap`` characters when given (UDF-2 + LIM-2)."""
     t = H.page_text(F.col("html"))
-    return pages.select("page_id", "url", F.when(F.coalesce(t, F.lit("")) != "", X.cut(t, 5000)).alias("description"))
+    kept = t if text_cap is None else X.cut(t, text_cap)
+    return pages.select("page_id", "url", F.when(F.coalesce(t, F.lit("")) != "", kept).alias("description"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +59,9 @@ def apply_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we set our own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose
+    tasks share this machine's disk, gets a folder of its own when that is unset;
+    on a cluster a missing setting is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -70,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        if sc is None or not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="gleaner-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None:

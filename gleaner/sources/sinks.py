@@ -18,9 +18,6 @@ from ..functions.text import cut, strip
 
 JOB_COLUMNS = ["source_id", "title", "job_url", "url_hash", "company", "location", "job_type", "salary",
                "description", "requirements", "role", "scrape_status", "scraped_at"]
-# Text caps.
-LOCATION_CAP = 500
-ERROR_CAP = 500
 
 
 def requirements_json(req: Column) -> Column:
@@ -33,11 +30,16 @@ def _col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
 
-def as_job(accepted: DataFrame, run_ts: Column) -> DataFrame:
+def _cut(c: Column, cap: int | None) -> Column:
+    return c if cap is None else cut(c, cap)
+
+
+def as_job(accepted: DataFrame, run_ts: Column, location_cap: int | None = None) -> DataFrame:
     """PRJ-3 / SNK-1: the 13 inserted columns of an accepted posting.
 
     Status ``scraped`` when the description is nonblank, else ``pending``;
-    salary falls back to the description text; location cut to 500;
+    salary falls back to the description text; location cut to
+    ``location_cap`` characters when given;
     ``scraped_at`` only when described; company = detail company else source
     company; requirements kept as JSON text (JSN-4)."""
     desc = _col_or_null(accepted, "description")
@@ -49,7 +51,7 @@ def as_job(accepted: DataFrame, run_ts: Column) -> DataFrame:
         "source_id", "title", F.col("url").alias("job_url"), "url_hash",
         F.coalesce(F.when(_col_or_null(accepted, "company") != "", _col_or_null(accepted, "company")),
                    F.col("source_company")).alias("company"),
-        F.when(F.col("location") != "", cut(F.col("location"), LOCATION_CAP)).alias("location"),
+        F.when(F.col("location") != "", _cut(F.col("location"), location_cap)).alias("location"),
         _col_or_null(accepted, "job_type").alias("job_type"),
         salary.alias("salary"),
         F.when(has_desc, desc).alias("description"),
@@ -59,9 +61,9 @@ def as_job(accepted: DataFrame, run_ts: Column) -> DataFrame:
         F.when(has_desc, run_ts).alias("scraped_at"))
 
 
-def new_jobs(decided: DataFrame, run_ts: Column) -> DataFrame:
+def new_jobs(decided: DataFrame, run_ts: Column, location_cap: int | None = None) -> DataFrame:
     """SNK-1: jobs to append from a decided run."""
-    return as_job(decided.where(F.col("step") == "added"), run_ts)
+    return as_job(decided.where(F.col("step") == "added"), run_ts, location_cap)
 
 
 def pending_details(details: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -70,11 +72,11 @@ def pending_details(details: DataFrame, jobs: DataFrame) -> DataFrame:
     return details.join(pending, "url_hash", "left_semi")
 
 
-def apply_details(jobs: DataFrame, details: DataFrame, run_ts: Column) -> DataFrame:
+def apply_details(jobs: DataFrame, details: DataFrame, run_ts: Column, error_cap: int | None = None) -> DataFrame:
     """SNK-2 + SNK-3 via JN-7 (left join on url_hash), giving the new snapshot.
 
     details: url_hash, location, job_type, salary, description, error. A row
-    with ``error`` is marked failed (error cut to 500); otherwise location,
+    with ``error`` is marked failed (error cut to ``error_cap`` when given); otherwise location,
     job_type, salary are ``COALESCE(new, old)``, description is replaced and
     the status is scraped / failed by the description (Q17)."""
     d = pending_details(details, jobs).select(
@@ -97,7 +99,7 @@ def apply_details(jobs: DataFrame, details: DataFrame, run_ts: Column) -> DataFr
         F.when(err, F.lit("failed")).when(upd & described, F.lit("scraped")).when(upd, F.lit("failed"))
          .otherwise(F.col("scrape_status")).alias("scrape_status"),
         F.when(hit, run_ts).otherwise(F.col("scraped_at")).alias("scraped_at"),
-        F.when(err, cut(F.col("_err"), ERROR_CAP)).otherwise(base_err).alias("scrape_error"))
+        F.when(err, _cut(F.col("_err"), error_cap)).otherwise(base_err).alias("scrape_error"))
 
 
 def reported_errors(details: DataFrame) -> DataFrame:

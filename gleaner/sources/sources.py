@@ -1,4 +1,4 @@
-"""Source selection (SRC-1..6, SRT-1) and size-checked broadcast of small sides.
+"""Source selection (SRC-1..6, SRT-1).
 
 Predicates are plain comparisons (``active = true``, ``requires_js = false``)
 so they reach the Parquet/JDBC scan as pushed filters; in a WHERE clause a
@@ -13,36 +13,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a row count proves it small.
-BROADCAST_MAX_ROWS = 100_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows (checked by
-    a bounded count); otherwise leave the join to AQE (shuffle join, or a
-    runtime broadcast if the shuffled side turns out small)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise a small side (e.g. the planned sources) with a reliable
-    checkpoint in the shared checkpoint folder, then broadcast it only if a
-    bounded count proves it small. Cutting the lineage also keeps Catalyst
-    from inlining the side's derivation into every predicate pushed into it."""
+def small_table(df: DataFrame) -> DataFrame:
+    """Materialise a side that many plans use (the planned sources) with a
+    reliable checkpoint in the shared folder. Whether a join broadcasts it is
+    left to Spark, which goes by its bytes. Cutting the lineage also keeps
+    Catalyst from inlining the side's derivation into every pushed predicate."""
     from ..session import cut_lineage
-    df = cut_lineage(df)
-    return broadcast_if_small(df, max_rows)
+    return cut_lineage(df)
 
 
 def active_sources(sources: DataFrame, source_id: int | None = None) -> DataFrame:
-    """SRC-1 / SRC-2: all active sources, or one by id (NULL id = all).
-
-    The reference also reads a falsy id (0) as "all"; we keep that quirk
-    explicit (Q15): ``None`` and ``0`` both mean all sources.
-    """
+    """SRC-1 / SRC-2: all active sources, or one by id. Only ``None`` means all;
+    0 is an id like any other (Q15)."""
     cond = F.col("active") == F.lit(True)
-    if source_id:
+    if source_id is not None:
         cond = cond & (F.col("id") == F.lit(source_id))
     return sources.where(cond)
 
