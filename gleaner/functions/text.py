@@ -122,7 +122,7 @@ def py_repr(c: Column) -> Column:
     esc = F.regexp_replace(esc, "\r", r"\\r")
     esc = F.regexp_replace(esc, "\t", r"\\t")
     # other control, format and blank characters appear by number
-    for shown, low, high in ((r"\\x%02x", 0, 0xFF), (r"\\u%04x", 0x100, 0xFFFF)):
+    for shown, low, high in ((r"\x%02x", 0, 0xFF), (r"\u%04x", 0x100, 0xFFFF)):
         odd = rf"[\p{{Cc}}\p{{Cf}}\p{{Zl}}\p{{Zp}}\p{{Zs}}&&[^ ]&&[\x{{{low:x}}}-\x{{{high:x}}}]]"
         esc = F.when(esc.rlike(odd), F.array_join(F.transform(F.split(esc, ""), _numbered(odd, shown)), "")).otherwise(esc)
     dq = F.concat(F.lit('"'), esc, F.lit('"'))
