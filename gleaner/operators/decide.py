@@ -74,7 +74,7 @@ def add_flags(postings: DataFrame, cfg: FilterConfig) -> DataFrame:
 
 
 def _pos() -> Column:
-    return F.struct(F.col("source_order").cast("bigint").alias("s"), F.col("ord").cast("bigint").alias("o"))
+    return F.struct(F.col("source_order").cast("bigint").alias("s"), F.col("ord").alias("o"))
 
 
 def duplicate_keys(flagged: DataFrame, stored: DataFrame | None) -> DataFrame:
