@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import FilterConfig, decide
 from ..operators.normalize import normalise_all
+from ..session import cut_lineage
 from ..sources.sources import active_sources
 from .collection import dry_run_counters, listings_of, plan, run_counters, run_results
 from .discovery import profile_counts, profile_values
@@ -47,7 +48,8 @@ def collection_run(sources: DataFrame, payloads: DataFrame, stored: DataFrame |
                    convert: bool = True) -> tuple[DataFrame, DataFrame]:
     """JOB-1 from payloads: (decided postings, per-source results)."""
     planned = plan_with_payloads(active_sources(sources, source_id), payloads)
-    postings = payload_postings(payloads, now, cfg.locations, extra, convert)
+    # the cascade reads its postings more than once: they are normalised once and landed
+    postings = cut_lineage(payload_postings(payloads, now, cfg.locations, extra, convert))
     decided = decide(listings_of(planned, postings), cfg, stored, dedup=True)
     return decided, run_results(planned, run_counters(decided))
 
