@@ -26,13 +26,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that an earlier place holds too. A
-    character that a cut splits goes; so does a document that loses all its words."""
+    character that a cut splits goes; so does a document that loses all its words.
+    A null text becomes an empty one."""
     from gleaner.llm.suffix import dedup_substrings
-    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    cut = F.size("spans") > 0
-    out = dedup_substrings(docs, tuple(docs.columns)).withColumn("left", F.when(cut, left))
-    out = out.where(~cut | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
-    return _with_text(docs, out, F.when(cut, F.col("left")).otherwise(F.col("row.text")))
+    cut, kept = F.size("spans") > 0, F.col("kept").cast("string")
+    left = F.when(cut, F.regexp_replace(F.make_valid_utf8(kept), "\ufffd", "")).otherwise(kept)
+    # the text comes back from the bytes that are kept: it need not travel twice
+    out = dedup_substrings(docs, tuple(c for c in docs.columns if c != "text")).withColumn("left", left)
+    return _with_text(docs, out.where(~cut | F.col("left").rlike(r"[^\x20\x09-\x0D]")), F.col("left"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
