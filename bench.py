@@ -23,7 +23,7 @@ HEADLINE = {
     "job_5_run_diff": "job_5",
     "job_2_second_pass": "job_2",
     "udf_1_pages_markdown": "udf_1",
-    "nrm_all_payloads": "ext_1",
+    "nrm_all_payloads": "all_payloads",
     "nrm_20_generic_links": "nrm_20",
 }
 
@@ -32,12 +32,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    from gleaner.catalog import QUERIES
+    from gleaner import catalog
     from gleaner.session import get_spark
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="gleaner-bench")
     times: dict[str, float] = {}
     for label, name in HEADLINE.items():
-        fn = QUERIES[name]
+        fn = catalog.QUERIES.get(name) or getattr(catalog, name)
         samples = []
         for i in range(runs + 1):
             t0 = time.perf_counter()

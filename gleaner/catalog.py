@@ -1134,6 +1134,13 @@ def job_1_payloads(spark, d):
     return results.select("source_id", "company", "status", "jobs_found", "error")
 
 
+def all_payloads(spark, d):
+    """Every column of every platform's postings, descriptions converted, from
+    payload rows that are landed once (the benchmark's EXT-1 job)."""
+    from .session import cut_lineage
+    return N.normalise_all(cut_lineage(_payloads(spark, d)), _run_ts(spark), CFG_A.locations)
+
+
 def _all_norm(spark, d):
     return N.normalise_all(_payloads(spark, d), _run_ts(spark), CFG_A.locations, convert=False)
 
