@@ -1558,12 +1558,17 @@ def _stream_intake(spark, d):
     """Land the postings in source-order groups and let an availableNow
     stream take each landing in turn (as repeated runs would)."""
     p = _postings(spark, d)
-    planned = C.plan(S.active_sources(_sources(spark, d)))
+    sources = _sources(spark, d)
+
+    def planned():
+        return C.plan(S.active_sources(sources))
+
     base = _scratch(spark, "stm")
     landing, jobs, ck = f"{base}/landing", f"{base}/jobs", f"{base}/ck-intake"
     prior = fx.stored_df(p)
+    low, high = p.agg(F.min("source_id"), F.max("source_id")).first()
     for g in range(_STM_GROUPS):
-        part = p.where(F.floor((F.col("source_id") - 1) * _STM_GROUPS / 20) == g)
+        part = p.where(F.floor((F.col("source_id") - low) * _STM_GROUPS / (high - low + 1)) == g)
         part.write.mode("append").parquet(landing)
         q = ST.start_intake(spark, landing, p.schema, planned, CFG_A, jobs, ck, _run_ts(spark), prior=prior,
                             files_per_batch=1 << 20)

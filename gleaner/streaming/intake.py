@@ -39,16 +39,19 @@ def _read_jobs(spark: SparkSession, path: str) -> DataFrame | None:
 
 def intake_batch(planned: DataFrame, cfg: FilterConfig, jobs_path: str, run_ts: Column,
                  prior: DataFrame | None = None):
-    """foreachBatch body for STM-1."""
+    """foreachBatch body for STM-1. ``planned`` may be a function that gives the
+    planned sources; it is asked for each batch, so that sources added after the
+    stream's start are taken in."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        sources = planned() if callable(planned) else planned
         current = _read_jobs(spark, jobs_path)
         # a replayed batch must not see its own earlier (partial) output
         stored = (current.where(F.col("batch_id") != batch_id).select("url_hash")
                   if current is not None else None)
         if prior is not None:
             stored = prior if stored is None else stored.unionByName(prior)
-        decided = decide(listings_of(planned, batch), cfg, stored, dedup=True)
+        decided = decide(listings_of(sources, batch), cfg, stored, dedup=True)
         (new_jobs(decided, run_ts).write.mode("overwrite")
          .parquet(f"{jobs_path}/batch_id={batch_id}"))
     return run
@@ -66,14 +69,6 @@ def start_intake(spark: SparkSession, landing_path: str, schema, planned: DataFr
     return w.start()
 
 
-def dedup_stream(postings_stream: DataFrame) -> DataFrame:
-    """STM-1 pure-stream form: first sighting of a URL hash, no watermark.
-    The state keeps every hash ever seen (unbounded by design), which is why
-    the table-backed form above is the default."""
-    from ..functions.text import hash_url
-    return postings_stream.withColumn("url_hash", hash_url(F.col("url"))).dropDuplicates(["url_hash"])
-
-
 def details_batch(jobs_path: str, snapshots_path: str, run_ts: Column):
     """foreachBatch body for STM-2: apply details to the latest snapshot."""
     def run(batch: DataFrame, batch_id: int) -> None:
