@@ -128,11 +128,13 @@ def score_strings(strings: DataFrame, order: int = ORDER) -> DataFrame:
     def tail(level: int):
         return F.col("key").bitwiseAND(F.lit((1 << 8 * (level + 1)) - 1))
 
+    # levels are landed, longest first: each is read several times, and the driver
+    # holds a plan of one level's size
     symbols = [None] * (order + 1)
     symbols[order] = strings.where("n > 0").select(F.col("key").alias("sym"), F.col("n").alias("c"))
     for j in range(order - 1, -1, -1):
         low = F.col("sym").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
-        symbols[j] = symbols[j + 1].groupBy(low.alias("sym")).agg(F.sum("c").alias("c"))
+        symbols[j] = landed(symbols[j + 1].groupBy(low.alias("sym")).agg(F.sum("c").alias("c")), "level")
     contexts = []
     for j in range(order + 1):
         own = symbols[j]
@@ -141,8 +143,8 @@ def score_strings(strings: DataFrame, order: int = ORDER) -> DataFrame:
             own = own.withColumn("low", F.col("sym").bitwiseAND(F.lit((1 << 8 * j) - 1))).join(low, "low")
         else:
             own = own.withColumn("e", F.lit(0).cast("long"))
-        contexts.append(own.groupBy(F.shiftright("sym", 8).alias("ctx")).agg(
-            F.sum("c").alias("all"), F.count("*").alias("kinds"), F.sum("e").alias("e")))
+        contexts.append(landed(own.groupBy(F.shiftright("sym", 8).alias("ctx")).agg(
+            F.sum("c").alias("all"), F.count("*").alias("kinds"), F.sum("e").alias("e")), "contexts"))
     top = contexts[order].select("ctx", "all")
     seen = (strings.where("n > 0").withColumn("ctx", F.shiftright("key", 8)).join(top, "ctx")
             .select("key", F.log10((2 * F.col("n") - 1) / (2 * F.col("all"))).alias("lp")))
@@ -177,13 +179,15 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_broadcast
     total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     base_of = lambda c: math.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-    heavy = tokens.where(F.col("c") >= max(2, math.ceil(total * HEAVY_SHARE))).toPandas()
+    heavy = tokens.where(F.col("c") >= max(2, math.ceil(total * HEAVY_SHARE))).toArrow()
     scored = landed(score_strings(stats.where(F.col("kind") == STRING).select("key", "n"), order), "strings")
     small = scored.count() <= max_broadcast
-    table = scored.toPandas() if small else None
+    table = scored.toArrow() if small else None
     sent = spark.sparkContext.broadcast((
-        heavy["token"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64),
-        table["key"].to_numpy(np.int64) if small else None, table["lp"].to_numpy(np.float64) if small else None))
+        heavy["token"].to_numpy(), heavy["c"].to_numpy(),
+        table["key"].to_numpy() if small else None, table["lp"].to_numpy() if small else None))
+    del heavy, table
+    pa.default_memory_pool().release_unused()
     end_base, end_known = base_of(ends), int(ends > 0)
     scale = total + 0.5 * (kinds + 1)
     names = ["kind", "row", "doc_id", "held_out", "key", "n", "known", "base", "lp"]
