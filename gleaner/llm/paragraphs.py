@@ -1,10 +1,14 @@
-"""Near-duplicate paragraphs across documents: MinHash bands, exact verification.
-
-Paragraphs are lines of ``MIN_WORDS`` words or more. Equal shingle sets count
-once. The bands are tuned so that a pair at the threshold is missed with at most
-``MISS`` probability. Paragraphs that collide in a band meet in one bucket,
-where their exact Jaccard similarity is verified on whole sets; verified links
-make components, and all but a component's first paragraph are to be removed.
+"""Near-duplicate paragraphs across documents: candidates, exact verification.
+
+Paragraphs are all lines with words, and also runs of neighbouring lines under
+``SHORT`` words joined to one (a line without words or a longer one ends a run), so
+hard-wrapped text is compared as a whole too. Equal shingle sets count once. Sets of
+up to ``FEW`` shingles share one of their least tokens with any partner: no pair of
+them is missed. Larger ones meet in MinHash bands, tuned so that a pair at the
+threshold is missed with at most ``MISS`` probability. Paragraphs that collide meet
+in one bucket, where their exact Jaccard similarity is verified on whole sets;
+verified links make components, and all but a component's first paragraph are to be
+removed.
 
 Buckets with equal members are one. A bucket over ``BLOCK`` paragraphs is dealt
 out, each part with the bucket's leader; what does not join the leader's
@@ -17,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, landed
 from .components import connected
-from .jaccard import BLOCK, NO_ID, PERCENT, _blocks, _clusters, _overlaps, _partition, _sets, linked
+from .jaccard import BLOCK, NO_ID, PERCENT, _blocks, _clusters, _overlaps, _partition, _sets, least_overlap, linked
 from .shingles import scramble, shingle_sets
 
-MIN_WORDS = 40
+MIN_WORDS = 1
+#: Neighbouring lines under so many words are also joined to one paragraph.
+SHORT = 40
+#: Sets of up to so many shingles meet by their least tokens, larger ones in bands.
+FEW = 35
 MISS, MOST_BANDS = 1e-4, 20
 
 
@@ -59,13 +67,50 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _lines(text: str, min_words: int) -> list[tuple[int, int, int]]:
-    """``(number, start, end)`` in code points of the paragraphs of a text."""
-    out, at = [], 0
+def buckets_of(sets: list[np.ndarray], bands: int, per_band: int, percent: int) -> pa.ListArray:
+    """The buckets of each set. A set that only an equal one can reach has none."""
+    sizes = np.array([len(s) for s in sets])
+    # a partner of a set of FEW may itself be larger: it goes by least tokens as well
+    short = np.where(sizes <= 100 * FEW // percent, sizes - least_overlap(sizes, percent) + 1, 0)
+    short[(sizes * 100 < (sizes + 1) * percent) & (least_overlap(sizes, percent) == sizes)] = 0
+    large = np.flatnonzero(sizes > FEW)
+    counts = short + np.where(sizes > FEW, bands, 0)
+    first = np.cumsum(counts) - counts
+    out = np.zeros(counts.sum(), np.uint64)
+    tokens, start = np.concatenate(sets), np.cumsum(sizes) - sizes
+    step = np.arange(short.sum()) - np.repeat(np.cumsum(short) - short, short)
+    out[np.repeat(first, short) + step] = tokens[np.repeat(start, short) + step]
+    if len(large):
+        marks = signatures([sets[i] for i in large], bands, per_band)
+        marks ^= scramble(np.arange(1, bands + 1, dtype=np.uint64))
+        out[(first + short)[large][:, None] + np.arange(bands)] = marks
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(out)), pa.int32()), pa.array(out.view(np.int64)))
+
+
+def _units(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """``(number, last, run, start, end)`` of the paragraphs of a text: numbers of
+    the first and last line and of the run's first line; places in code points."""
+    out: list[tuple[int, int, int, int, int]] = []
+    run: list[tuple[int, int, int]] = []
+
+    def close():
+        if len(run) > 1:
+            (first, a, _), (last, _, z) = run[0], run[-1]
+            if min_words <= 1 or len(text[a:z].encode().split()) >= min_words:
+                out.append((first, last, first, a, z))
+        run.clear()
+
+    at = 0
     for number, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * min_words - 1 and len(line.encode().split()) >= min_words:
-            out.append((number, at, at + len(line)))
+        n = len(line.encode().split())
+        if 0 < n < SHORT:
+            run.append((number, at, at + len(line)))
+        else:
+            close()
+        if n >= max(min_words, 1):
+            out.append((number, number, run[0][0] if run else number, at, at + len(line)))
         at += len(line) + 1
+    close()
     return out
 
 
@@ -73,18 +118,24 @@ def _paragraphs(batch: pa.RecordBatch, min_words: int):
     """Paragraphs of a batch: document numbers, places, sets and set ids."""
     doc, places, lines = [], [], []
     for i, text in enumerate(batch.column("text").to_pylist()):
-        for number, a, z in _lines(text, min_words):
+        for place in _units(text, min_words):
             doc.append(i)
-            places.append((number, a, z))
-            lines.append(text[a:z])
+            places.append(place)
+            lines.append(text[place[3]:place[4]])
     sets = shingle_sets(pa.array(lines, pa.string())) if lines else []
-    ids = np.array([scramble(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-    return np.array(doc, np.int64), np.array(places, np.int64).reshape(-1, 3), sets, ids
+    ids = np.zeros(0, np.int64)
+    if sets:
+        sizes = np.array([len(s) for s in sets])
+        ids = np.add.reduceat(scramble(np.concatenate(sets)), np.cumsum(sizes) - sizes).view(np.int64)
+    return np.array(doc, np.int64), np.array(places, np.int64).reshape(-1, 5), sets, ids
+
 
+PLACE = ["paragraph", "last", "run", "start", "end"]
 
-def find_paragraphs(rows: DataFrame, bands: int, per_band: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """``did, row_key, paragraph, start, end, pid, buckets`` of all paragraphs; the
-    buckets come with the first of equal ones of a task."""
+
+def find_paragraphs(rows: DataFrame, bands: int, per_band: int, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``did, row_key, paragraph, last, run, start, end, pid, buckets`` of all
+    paragraphs; the buckets come with the first of equal ones of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,23 +143,24 @@ def find_paragraphs(rows: DataFrame, bands: int, per_band: int, min_words: int =
             if not len(doc):
                 continue
             _, first = np.unique(ids, return_index=True)
-            marks = signatures([sets[i] for i in first], bands, per_band).view(np.int64)
-            buckets: list = [None] * len(doc)
-            for i, m in zip(first.tolist(), marks):
-                buckets[i] = m
+            at = np.full(len(doc), -1)
+            at[first] = np.arange(len(first))
+            buckets = buckets_of([sets[i] for i in first], bands, per_band, percent).take(pa.array(at, mask=at < 0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("did").take(pa.array(doc)), batch.column("row_key").take(pa.array(doc)),
-                 *[pa.array(places[:, k]) for k in range(3)], pa.array(ids), pa.array(buckets, pa.list_(pa.int64()))],
-                ["did", "row_key", "paragraph", "start", "end", "pid", "buckets"])
+                 *[pa.array(places[:, k]) for k in range(5)], pa.array(ids), buckets],
+                ["did", "row_key", *PLACE, "pid", "buckets"])
 
-    return rows.mapInArrow(run, "did long, row_key long, paragraph long, start long, end long, pid long, buckets array<long>")
+    return rows.mapInArrow(run, "did long, row_key long, paragraph long, last long, run long, start long, end long, "
+                                "pid long, buckets array<long>")
 
 
 def colliding(found: DataFrame) -> DataFrame:
     """``bucket, pid`` of buckets with two paragraphs or more, each set of members
     once; with the bucket's size and leader."""
-    pairs = (found.where("buckets IS NOT NULL").select("pid", F.posexplode("buckets").alias("band", "mark"))
-             .select(F.xxhash64("band", "mark").alias("bucket"), "pid").distinct())
+    # dealt by bucket once: distinct, count and join need no other exchange
+    pairs = (found.where("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "pid")
+             .repartition("bucket").distinct())
     sizes = (pairs.groupBy("bucket").agg(F.count("*").alias("size"), F.min("pid").alias("leader"),
                                          F.sum(F.xxhash64("pid").cast("decimal(38,0)")).alias("members"))
              .where("size > 1").groupBy("size", "leader", "members").agg(F.min("bucket").alias("bucket")))
@@ -139,86 +191,100 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     part = F.when(F.col("pid") == F.col("leader"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("pid", "bucket"), parts)))
     dealt = (members.withColumn("part", F.explode(part)).join(sets, "pid")
-             .select(F.xxhash64("bucket", "part").alias("block"), F.col("pid").alias("rid"),
+             .select(F.xxhash64("bucket", "part").alias("block"), "bucket", F.col("pid").alias("rid"),
                      (F.col("pid") == F.col("leader")).alias("leader"), "tokens"))
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _partition(batches)
         if table is None:
             return
-        rid, leader = table.column("rid").to_numpy(), table.column("leader").to_numpy()
+        rid, leader, bucket = (table.column(c).to_numpy() for c in ("rid", "leader", "bucket"))
         sets = _sets(table.column("tokens"))
         for at in _blocks(table, leader):
             label = _clusters([sets[i] for i in at], percent)
-            far = np.flatnonzero(label > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[at[far]]), pa.array(rid[at[label[far]]]),
-                                              pa.array(np.ones(len(far), bool))], ["a", "b", "far"])
-            near = np.flatnonzero(label == 0)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[at[near]]), pa.array(np.full(len(near), rid[at[0]])),
-                                              pa.array(np.zeros(len(near), bool))], ["a", "b", "far"])
-
-    within = landed(dealt.repartition("block").mapInArrow(cluster, "a long, b long, far boolean"), "within")
+            for some, far in ((np.flatnonzero(label > 0), True), (np.flatnonzero(label == 0)[1:], False)):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[some]]), pa.array(rid[at[some]]), pa.array(rid[at[label[some]]]),
+                                                  pa.array(np.full(len(some), far))], ["bucket", "a", "b", "far"])
+
+    within = landed(dealt.repartition("block").mapInArrow(cluster, "bucket long, a long, b long, far boolean"), "within")
     # what the leader does not reach, in buckets of several parts, meets all parts
-    far = within.where("far").select(F.col("a").alias("pid")).distinct()
-    large = members.where(F.col("size") > BLOCK)
-    asked = (large.join(far, "pid").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-             .select("bucket", "part", "pid", F.lit(False).alias("leader")))
+    far = within.where("far").select("bucket", F.col("a").alias("pid"), F.col("b").alias("label"))
+    large = members.where(F.col("size") > BLOCK).join(far, ["bucket", "pid"], "left")
+    label = F.coalesce("label", "leader").alias("label")
+    asked = (large.where("label IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+             .select("bucket", "part", "pid", label, F.lit(False).alias("leader")))
     there = (large.withColumn("part", F.pmod(F.xxhash64("pid", "bucket"), parts))
-             .select("bucket", "part", "pid", F.lit(True).alias("leader")))
+             .select("bucket", "part", "pid", label, F.lit(True).alias("leader")))
     both = there.union(asked).join(sets, "pid").select(
-        F.xxhash64("bucket", "part").alias("block"), F.col("pid").alias("rid"), "leader", "tokens")
+        F.xxhash64("bucket", "part").alias("block"), F.col("pid").alias("rid"), "label", "leader", "tokens")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _partition(batches)
         if table is None:
             return
-        rid, member = table.column("rid").to_numpy(), table.column("leader").to_numpy()
+        label, member = table.column("label").to_numpy(), table.column("leader").to_numpy()
         sets = _sets(table.column("tokens"))
         for at in _blocks(table, member):
             here, guests = at[member[at]], at[~member[at]]
             if not len(here) or not len(guests):
                 continue
             count, sizes = _overlaps([sets[i] for i in here]), np.array([len(sets[i]) for i in here])
-            for i in guests:
-                hit = here[linked(count(sets[i]), len(sets[i]), sizes, percent)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), rid[i])), pa.array(rid[hit])], ["a", "b"])
+            # two clusters are tied once; what is tied already is not compared
+            for name in np.unique(label[guests]):
+                open_ = label[here] != name
+                for i in guests[label[guests] == name]:
+                    if not open_.any():
+                        break
+                    hit = np.unique(label[here[open_ & linked(count(sets[i]), len(sets[i]), sizes, percent)]])
+                    if len(hit):
+                        open_ &= ~np.isin(label[here], hit)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), name)), pa.array(hit)], ["a", "b"])
 
     return within.select("a", "b").union(both.repartition("block").mapInArrow(meet, "a long, b long")).where("a <> b")
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row_key, paragraph, start, end, class_doc_id, class_paragraph,
+    """``doc_id, row_key, paragraph, last, start, end, class_doc_id, class_paragraph,
     removed`` of each paragraph whose class has another member.
 
-    ``paragraph`` counts lines from 0, ``start`` and ``end`` are code points. A class
-    is named by its first paragraph (smallest ``doc_id``, then line), which stays;
-    the others are ``removed``. Null and empty texts have no paragraph; a null
-    ``doc_id`` comes after all others; equal rows hold equal paragraphs, so the second
-    goes; an empty table gives an empty one; other columns are not read.
+    ``paragraph`` and ``last`` are its first and last line, counted from 0; ``start``
+    and ``end`` are code points. A class is named by its first paragraph (smallest
+    ``doc_id``, then line), which stays; the others are ``removed``. Joined lines do
+    not count in a class that one of them is in by itself: they would repeat only
+    themselves. Null and empty texts have no paragraph; a null ``doc_id`` comes after
+    all others; equal rows hold equal paragraphs, so the second goes; an empty table
+    gives an empty one; other columns are not read.
     """
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "row_key", "text")
     bands, per_band = tuned_bands(percent)
-    found = landed(find_paragraphs(rows, bands, per_band, min_words), "paragraphs")
+    found = landed(find_paragraphs(rows, bands, per_band, min_words, percent), "paragraphs")
     members = landed(colliding(found), "buckets")
     places = found.drop("buckets")
     sets = landed(cut_sets(rows, places, members.select("pid").distinct(), min_words), "sets")
     roots = connected(bucket_links(members, sets, percent))
-    classed = places.join(roots, places["pid"] == roots["node"], "left").withColumn("class", F.coalesce("root", "pid"))
-    firsts = classed.groupBy("class").agg(F.min(F.struct("did", "paragraph")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = classed.join(firsts, "class")
+    # most paragraphs stand alone: they leave before places are sorted into classes
+    again = places.groupBy("pid").agg(F.count("*").alias("n")).join(roots, F.col("pid") == F.col("node"), "left").where(
+        "n > 1 OR node IS NOT NULL").select("pid", F.coalesce("root", "pid").alias("class"))
     # equal rows share doc_id and line: all but one of them go as well
-    again = out.groupBy("did", "row_key", "paragraph", "start", "end", "first").agg(F.count("*").alias("copies"))
-    out = again.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    classed = places.join(again, "pid").groupBy("class", "did", "row_key", *PLACE).agg(F.count("*").alias("copies"))
+    alone = Window.partitionBy("class", "did", "row_key", "run")
+    classed = (classed.withColumn("line", F.max(F.col("paragraph") == F.col("last")).over(alone))
+               .where("paragraph = last OR NOT line"))
+    at = F.struct("did", "paragraph", "last")
+    firsts = classed.groupBy("class").agg(F.min(at).alias("first"), F.sum("copies").alias("n")).where("n > 1")
+    out = classed.join(firsts, "class").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     null_id = F.lit(NO_ID)
-    return out.select(F.nullif("did", null_id).alias("doc_id"), "row_key", "paragraph", "start", "end",
+    return out.select(F.nullif("did", null_id).alias("doc_id"), "row_key", "paragraph", "last", "start", "end",
                       F.nullif(F.col("first.did"), null_id).alias("class_doc_id"),
                       F.col("first.paragraph").alias("class_paragraph"),
-                      ((F.struct("did", "paragraph") > F.col("first")) | (F.col("copy") > 1)).alias("removed"))
+                      ((at > F.col("first")) | (F.col("copy") > 1)).alias("removed"))
 
 
 def without_paragraphs(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """``doc_id, text`` without the lines that ``repeated`` marks as removed."""
-    gone = repeated.where("removed").groupBy("row_key").agg(F.collect_set("paragraph").alias("gone"))
+    gone = repeated.where("removed").withColumn("line", F.explode(F.sequence("paragraph", "last"))).groupBy("row_key").agg(
+        F.collect_set("line").alias("gone"))
     lines = F.split("text", "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull())
     return keyed(docs).join(gone, "row_key", "left").select(

@@ -176,6 +176,74 @@ def test_paragraphs_removed(docs, no_docs):
     assert left[9].count("\n") == 2 and left[10].count("\n") == 0
 
 
+def wrapped_rows():
+    """Repeats in short lines, near copies of them, and passages set in short lines."""
+    import itertools
+    import random
+
+    from .conftest import prose
+    rng, rows = random.Random(4), []
+    for i in range(40):  # lines of every length, each copied with one word changed at an end
+        words = prose(100 + i, i + 1).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, prose(200 + i, 50) + "\n" + " ".join([*words[:-1], "other"]))]
+    hard = lambda words, n: "\n".join(" ".join(x for x in part if x) for part in itertools.zip_longest(*[iter(words)] * n))
+    for i in range(12):
+        words = prose(300 + i, 60 + 5 * i).split()
+        changed = list(words)
+        changed[rng.randrange(len(words))] = "changed"
+        rows += [(500 + i, prose(400 + i, 45) + "\n\n" + hard(words, 9) + "\n \n" + prose(500 + i, 12)),
+                 (600 + i, hard(changed, 7)), (700 + i, " ".join(words)), (800 + i, "a\n" + prose(500 + i, 12) + "\n\na")]
+    return rows + [(900, hard(prose(9, 38).split() + ["end"], 38)), (None, "a"), (901, None), (902, " \n\t\n")]
+
+
+def plain_units(text):
+    """``(first line, last line, text)``: lines with words, and runs of lines under 40."""
+    lines = (text or "").split("\n")
+    counts = [len(brute.words(x)) for x in lines]
+    out = [(i, i, x) for i, x in enumerate(lines) if counts[i]]
+    for i in range(len(lines)):
+        if 0 < counts[i] < 40 and not (i and 0 < counts[i - 1] < 40):
+            j = i
+            while j + 1 < len(lines) and 0 < counts[j + 1] < 40:
+                j += 1
+            if j > i:
+                out.append((i, j, "\n".join(lines[i:j + 1])))
+    return out
+
+
+@pytest.mark.parametrize("block", [400, 2])
+def test_short_lines_and_joined_lines(spark, monkeypatch, block):
+    from gleaner.llm import paragraphs
+    monkeypatch.setattr(paragraphs, "BLOCK", block)
+    rows = wrapped_rows()
+    items = [(d, *u) for d, t in rows for u in plain_units(t)]
+    root = brute.components([brute.shingles(x[3]) for x in items])
+    expected = []
+    for r in set(root):
+        members = [x[:3] for x, q in zip(items, root) if q == r]
+        members = [(d, i, j) for d, i, j in members if i == j or not any((d, k, k) in members for k in range(i, j + 1))]
+        members.sort(key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
+        if len(members) > 1:
+            expected += [(*m, *members[0][:2], k > 0) for k, m in enumerate(members)]
+    assert any(i < j for _, i, j, *_ in expected) and sum(gone for *_, gone in expected) > 40
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).cache()
+    assert listed(found, "doc_id", "paragraph", "last", "class_doc_id", "class_paragraph", "removed") == sorted(expected, key=key)
+    text = {d: t or "" for d, t in rows}
+    for r in found.collect():
+        assert text[r.doc_id][r.start:r.end].split("\n") == text[r.doc_id].split("\n")[r.paragraph:r.last + 1]
+
+
+def test_joined_lines_go_together(spark):
+    from gleaner.llm.paragraphs import repeated_paragraphs, without_paragraphs
+
+    from .conftest import prose
+    words = prose(1, 60).split()
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "\n".join(["top " * 50, *(" ".join(words[i:i + 10]) for i in range(0, 60, 10)), "",
+                                                                    "last line"]))], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in without_paragraphs(docs, repeated_paragraphs(docs)).collect()}
+    assert left == {1: " ".join(words), 2: "top " * 50 + "\n\nlast line"}
+
+
 def test_bands_reach_the_recall():
     from gleaner.llm.paragraphs import tuned_bands
     for percent in (50, 80, 95, 100):
