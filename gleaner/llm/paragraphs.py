@@ -261,7 +261,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
     members = landed(colliding(found), "buckets")
     places = found.drop("buckets")
     sets = landed(cut_sets(rows, places, members.select("pid").distinct(), min_words), "sets")
-    roots = connected(bucket_links(members, sets, percent))
+    # read twice: for the rounds and for the nodes
+    roots = connected(landed(bucket_links(members, sets, percent), "links"))
     # most paragraphs stand alone: they leave before places are sorted into classes
     again = places.groupBy("pid").agg(F.count("*").alias("n")).join(roots, F.col("pid") == F.col("node"), "left").where(
         "n > 1 OR node IS NOT NULL").select("pid", F.coalesce("root", "pid").alias("class"))

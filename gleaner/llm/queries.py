@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -165,4 +166,8 @@ def op9_ann(spark, sf_dir):
 @register("op4_paragraph_dedup")
 def op4_paragraph_dedup(spark, sf_dir):
     from .paragraphs import repeated_paragraphs
-    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("row_key")
+    from .passages import repeated_passages
+    docs = table(spark, sf_dir, "documents")
+    unit = F.when(F.col("paragraph") == F.col("last"), "line").otherwise("lines")
+    return (repeated_paragraphs(docs).withColumn("unit", unit)
+            .unionByName(repeated_passages(docs).withColumn("unit", F.lit("passage"))).drop("row_key"))

@@ -244,6 +244,68 @@ def test_joined_lines_go_together(spark):
     assert left == {1: " ".join(words), 2: "top " * 50 + "\n\nlast line"}
 
 
+def plain_passages(rows, size=50):
+    """Per document the words of strings that stand twice, and of those that go."""
+    first, twice = {}, set()
+    texts = [(d, [m.span() for m in brute.WORD.finditer(t or "")], brute.lower(t)) for d, t in rows]
+    for step in (0, 1):
+        out = {}
+        for doc, at, t in texts:
+            there, gone = out.setdefault(doc, (set(), set()))
+            for i in range(len(at) - size + 1):
+                string, place = tuple(t[a:z] for a, z in at[i:i + size]), (doc, i)
+                if step == 0:
+                    if string in first:
+                        twice.add(string)
+                    first[string] = min(place, first.get(string, place))
+                elif string in twice:
+                    there.update(range(i, i + size))
+                    if first[string] != place:
+                        gone.update(range(i, i + size))
+    return out
+
+
+def test_embedded_passages(spark):
+    from gleaner.llm.passages import repeated_passages
+
+    from .conftest import prose
+    rows = [(0, prose(1, 30)), (1, None), (2, "ab " * 200)]
+    for i in range(30):  # passages of 46 to 75 words inside longer lines, some set in short lines
+        passage = prose(100 + i, 46 + i).split()
+        for k in range(3):
+            text = ("\n" if (i + k) % 3 == 0 else " é ").join([" ".join(passage[j:j + 8]) for j in range(0, len(passage), 8)])
+            if " é " in text:
+                text = " ".join(passage).upper() if k == 1 else " ".join(passage)
+            rows.append((10 + 3 * i + k, f"é日 {prose(1000 + 3 * i + k, 70 + i)} {text} {prose(2000 + 3 * i + k, 80)}"))
+    rows.append((500, rows[20][1] + "\n" + rows[30][1] + " " + rows[30][1]))
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {d: (set(), set()) for d, _ in rows}
+    spans = {d: [m.span() for m in brute.WORD.finditer(t or "")] for d, t in rows}
+    text = {d: t or "" for d, t in rows}
+    for r in found:
+        words = {i for i, (a, z) in enumerate(spans[r.doc_id]) if r.start <= a and z <= r.end}
+        assert len(words) >= 50 and (r.paragraph, r.last) == tuple(text[r.doc_id][:x].count("\n") for x in (r.start, r.end))
+        got[r.doc_id][0].update(words)
+        got[r.doc_id][1].update(words if r.removed else ())
+    expected = plain_passages(rows)
+    assert got == expected and sum(bool(gone) for _, gone in expected.values()) > 50
+    assert repeated_passages(spark.createDataFrame(rows[:2], "doc_id long, text string")).count() == 0
+    equal = repeated_passages(spark.createDataFrame([(1, prose(5, 70))] * 3, "doc_id long, text string"))
+    assert sorted((r.start, r.end, r.removed) for r in equal.collect()) == [(0, len(prose(5, 70)), x) for x in (False, True, True)]
+
+
+def test_query_has_paragraphs_and_passages(spark, monkeypatch):
+    from gleaner.llm import queries
+
+    from .conftest import prose
+    docs = spark.createDataFrame([(i, prose(i, 90) + " " + prose(7, 60) + " " + prose(50 + i, 90) + "\nshort line") for i in (1, 2)],
+                                 "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    found = queries.QUERIES["op4_paragraph_dedup"](spark, "").collect()
+    assert sorted((r.doc_id, r.unit, r.paragraph, r.class_doc_id, r.removed) for r in found) == [
+        (1, "line", 1, 1, False), (1, "passage", 0, 1, False), (2, "line", 1, 1, True), (2, "passage", 0, 1, True)]
+
+
 def test_bands_reach_the_recall():
     from gleaner.llm.paragraphs import tuned_bands
     for percent in (50, 80, 95, 100):
