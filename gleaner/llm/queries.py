@@ -171,3 +171,39 @@ def op4_paragraph_dedup(spark, sf_dir):
     unit = F.when(F.col("paragraph") == F.col("last"), "line").otherwise("lines")
     return (repeated_paragraphs(docs).withColumn("unit", unit)
             .unionByName(repeated_passages(docs).withColumn("unit", F.lit("passage"))).drop("row_key"))
+
+
+# ------------------------------------------------------- 11 source divergence audit
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS k,
+        1 + CAST((1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (n.n + 2 * v.v) AS BIGINT) AS p
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+ln AS (SELECT lang, sum(n) AS n FROM n GROUP BY lang),
+q AS (SELECT lang, term, 1 + CAST((1000000000::HUGEINT * (sum(k) + 2)) // (any_value(ln.n) + 2 * any_value(v.v)) AS BIGINT) AS q
+      FROM p JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pv.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+          FROM p JOIN q USING (lang, term) WHERE k > 0 AND p > q),
+x AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@register("op11_source_divergence", OP11_SQL)
+def op11_source_divergence(spark, sf_dir):
+    from .divergence import source_divergence
+    return source_divergence(table(spark, sf_dir, "documents"))

@@ -137,3 +137,34 @@ class Ppm:
                 cost += math.log10(len(left) / (2 * sum(left.values())))
             out = set(here)
         return cost - math.log10(max(1, 256 - len(out)))
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(rows, min_docs=10, top=10):
+    """(lang, source, part, item, value, rank) from (text, lang, source) rows."""
+    found = [(lang or "", source or "", collections.Counter(TERM.findall(lower(text)))) for text, lang, source in rows]
+    held, counts = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for lang, source, terms in found:
+        held[lang].update(terms.keys())
+        counts[lang, source].update(terms)
+    out = []
+    utf8 = lambda r: (-r[1], r[0].encode())
+    for lang in held.keys() | {g[0] for g in counts}:
+        kept = [t for t, n in held[lang].items() if n >= min_docs]
+
+        def shares(of):
+            total = sum(of[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10**9 * (of[t] + 2) // total for t in kept}
+
+        groups = {s: shares(c) for (g, s), c in counts.items() if g == lang}
+        whole = shares(sum((c for (g, _), c in counts.items() if g == lang), collections.Counter()))
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        for source, p in groups.items():
+            pairs = sorted(((o, sum(f(p[t], q[t]) for t in kept)) for o, q in groups.items() if o != source), key=utf8)
+            terms = sorted(((t, f(p[t], whole[t])) for t in kept
+                            if counts[lang, source][t] > 0 and p[t] > whole[t]), key=utf8)[:top]
+            out += [(lang, source, part, item, value, i) for part, xs in (("pair", pairs), ("term", terms))
+                    for i, (item, value) in enumerate(xs, 1)]
+    return out
