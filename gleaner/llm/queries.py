@@ -207,3 +207,10 @@ SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank
 def op11_source_divergence(spark, sf_dir):
     from .divergence import source_divergence
     return source_divergence(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------ 13 conversation structure repair
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    from .repair import damaged, repair_conversations
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))

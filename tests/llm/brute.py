@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import heapq
 import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,3 +170,64 @@ def divergence(rows, min_docs=10, top=10):
             out += [(lang, source, part, item, value, i) for part, xs in (("pair", pairs), ("term", terms))
                     for i, (item, value) in enumerate(xs, 1)]
     return out
+
+
+def cheapest_repair(turns):
+    """(cost, letters, lines) by Dijkstra over (cost, letters); turns are (role, text, fault)."""
+    heap, done = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, letters, at, roles, lines = heapq.heappop(heap)
+        if at == len(turns) and re.fullmatch("(s?(ua)+)?", roles):
+            return cost, letters, lines
+        state = (at, roles[-1:], len(roles) == 0)
+        if state in done:
+            continue
+        done.add(state)
+        nexts = [("I", 5, w, (w, "")) for w in ("user", "assistant")]
+        if at < len(turns):
+            role, text, fault = turns[at]
+            nexts.append(("D", 2, None, None))
+            if fault not in ("blank", "duplicate"):
+                more = 5 * (fault == "truncated")
+                nexts += [("K", more, role, (role, text))] + [("R", 1 + more, w, (w, text)) for w in ("user", "assistant")]
+        for letter, price, role, line in nexts:
+            now = roles + (role[:1] or " " if role is not None else "")
+            if re.fullmatch("s?(ua)*u?", now):
+                heapq.heappush(heap, (cost + price, letters + letter, at + (letter != "I"), now, lines + ((line,) if line else ())))
+
+
+def damage(rows):
+    """(conv_id, turn, role, text) rows after the contract's damage."""
+    out = []
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def repair(rows):
+    """Result rows of the conversation repair, sorted."""
+    left = damage(rows)
+    out = []
+    for conv in {r[0] for r in rows}:
+        now = sorted((r for r in left if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+        turns, seen = [], set()
+        for _, _, role, text in now:
+            said = re.findall(r"[^\x20\x09-\x0D]", text)
+            fault = ("blank" if not said else "duplicate" if (role, text) in seen
+                     else "truncated" if said[-1] not in ".!?" else None)
+            turns.append((role, text, fault))
+            seen.add((role, text))
+        numbers = {r[1] for r in now} - {None}
+        initials = [(r[:1] or " ") for r, _, _ in turns]
+        cost, letters, lines = cheapest_repair(turns)
+        out.append((conv, max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0,
+                    *[sum(t[2] == f for t in turns) for f in ("blank", "duplicate", "truncated")],
+                    sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, letters,
+                    hashlib.sha256("\n".join(f"{r}:{t}" for r, t in lines).encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0))
