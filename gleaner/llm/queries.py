@@ -214,3 +214,17 @@ def op11_source_divergence(spark, sf_dir):
 def op13_conversation_repair(spark, sf_dir):
     from .repair import damaged, repair_conversations
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+# --------------------------------------------------- 12 token-id / binary output
+@register("op12_token_files")
+def op12_token_files(spark, sf_dir):
+    import uuid
+
+    import public_tokenizers
+
+    from ..session import ensure_checkpoint_dir
+    from .token_files import read_token_files, write_token_files
+    folder = f"{ensure_checkpoint_dir(spark)}/gleaner-token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, folder)
