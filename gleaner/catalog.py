@@ -378,7 +378,7 @@ def mth_2(spark, d):
 from .operators import diff as DIF  # noqa: E402
 from .plans import rundiff as RD  # noqa: E402
 from .sources import logs as LG  # noqa: E402
-from .session import ensure_checkpoint_dir  # noqa: E402
+from .session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 
 
 def _f5(spark, d):
@@ -528,7 +528,9 @@ def agg_8_log(spark, d):
 
 # ------------------------------------------------------- sinks, second pass
 from .sources import sinks as SK  # noqa: E402
+from .sources import updates as UP  # noqa: E402
 from .plans import discovery as DS  # noqa: E402
+from .plans import second_pass as P2  # noqa: E402
 
 _NEWJOBS_SQL = f""",
 newjobs AS (
@@ -591,15 +593,78 @@ pass2 AS (
 
 
 def _pass2(spark, d):
+    """The jobs after a second pass whose changed rows were written and read back."""
     p = _postings(spark, d)
-    return SK.apply_details(_new_jobs(spark, d), fx.details_df(spark, p), _run_ts(spark))
+    path, jobs = _scratch(spark, "updates"), _new_jobs(spark, d)
+    UP.write_update(SK.updated_rows(jobs, fx.details_df(spark, p), _run_ts(spark)), path, 1)
+    return UP.current_rows(jobs, UP.read_updates(spark, path, "url_hash"), "url_hash")
 
 
-@register("job_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
-          "SELECT url_hash, location, job_type, salary, description, scrape_status, scraped_at, scrape_error FROM pass2")
+_PASS2_COLS = ["url_hash", "location", "job_type", "salary", "description", "scrape_status", "scraped_at", "scrape_error"]
+
+
+@register("job_2_details", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL + f"SELECT {', '.join(_PASS2_COLS)} FROM pass2")
+def job_2_details(spark, d):
+    return _pass2(spark, d).select(*_PASS2_COLS)
+
+
+#: JOB-2 from pages: nothing is filtered, and the platforms with job pages list no descriptions.
+CFG_ALL = D.FilterConfig()
+_PAGED = "('workday', 'phenom', 'netflix', 'generic')"
+
+
+def _page_jobs(spark, d):
+    p = _postings(spark, d)
+    planned = C.plan(S.active_sources(_sources(spark, d)))
+    decided = D.decide(C.listings_of(planned, p), CFG_ALL, fx.stored_df(p), dedup=True)
+    bare = F.when(~F.expr(f"platform IN {_PAGED}"), F.col("description"))
+    return planned, SK.new_jobs(decided.withColumn("description", bare), _run_ts(spark))
+
+
+def _page_pass(spark, d):
+    planned, jobs = _page_jobs(spark, d)
+    jobs = cut_lineage(jobs)
+    platforms = planned.select(F.col("id").alias("source_id"), "platform")
+    details = P2.page_details(P2.pending_pages(jobs, platforms, fx.detail_pages_df(spark, _postings(spark, d))))
+    path = _scratch(spark, "updates")
+    UP.write_update(SK.updated_rows(jobs, details, _run_ts(spark)), path, 1)
+    return UP.current_rows(jobs, UP.read_updates(spark, path, "url_hash"), "url_hash")
+
+
+def _page_pass_sql() -> str:
+    """Expected rows in closed form: what each platform's reader makes of each kind of page."""
+    tele = lambda loc: O.tele_sql(loc, "json_extract_string(ldt, '$.jobLocationType')")
+    return O.duck_with(O.cascade_ctes(CFG_ALL, True)) + f""",
+nj AS (SELECT *, CASE WHEN platform IN {_PAGED} THEN NULL ELSE description END AS d1, CASE WHEN location <> '' THEN location END AS l1
+       FROM decided WHERE step = 'added'),
+jobs AS (SELECT *, coalesce(trim(d1) <> '', false) AS described FROM nj),
+kinds AS ({fx.page_kinds_sql('duckdb')}),
+ld AS (SELECT *, CASE WHEN kind IN (0, 2) THEN {fx.page_block('duckdb')} END AS ldt FROM kinds),
+x AS (SELECT j.url_hash, j.platform, j.l1, k.kind, k.ldt, k.t, k.u FROM jobs j JOIN ld k ON k.url_hash = j.url_hash WHERE NOT j.described),
+got AS (
+  SELECT url_hash,
+    CASE WHEN platform = 'workday' AND kind IN (0, 2) THEN {tele("coalesce(l1, 'Lehi')")}
+         WHEN platform = 'netflix' AND kind = 0 THEN {tele("'Lehi, UT'")} END AS loc,
+    CASE WHEN platform IN ('workday', 'netflix') AND (kind = 0 OR kind = 2 AND platform = 'workday') THEN 'FULL_TIME' END AS jt,
+    CASE WHEN platform IN ('workday', 'netflix') AND (kind = 0 OR kind = 2 AND platform = 'workday') THEN {O.salary_sql('ldt', False)} END AS sal,
+    CASE WHEN platform = 'workday' AND kind IN (0, 2) OR platform = 'netflix' AND kind = 0
+           THEN 'About ' || t || chr(10) || chr(10) || '- Build things'
+         WHEN platform IN ('netflix', 'generic') AND kind = 1 THEN {fx.page_body('duckdb')}
+         WHEN platform = 'generic' AND kind IN (0, 2) THEN 'Short note' END AS descr,
+    CASE WHEN platform = 'generic' AND kind = 4 THEN 'Timeout after 20 s: ' || u END AS err
+  FROM x)
+SELECT j.url_hash, CASE WHEN g.err IS NULL THEN coalesce(g.loc, j.l1) ELSE j.l1 END AS location, g.jt AS job_type,
+       CASE WHEN j.described THEN j.salary_expected ELSE g.sal END AS salary,
+       CASE WHEN j.described THEN j.d1 ELSE g.descr END AS description,
+       CASE WHEN j.described OR g.descr IS NOT NULL THEN 'scraped' ELSE 'failed' END AS scrape_status,
+       TIMESTAMP '{fx.RUN_TS}' AS scraped_at, g.err AS scrape_error
+FROM jobs j LEFT JOIN got g ON g.url_hash = j.url_hash"""
+
+
+@register("job_2", _page_pass_sql())
 def job_2(spark, d):
-    return _pass2(spark, d).select("url_hash", "location", "job_type", "salary", "description",
-                                   "scrape_status", "scraped_at", "scrape_error")
+    """The second pass from landed pages, over all platforms."""
+    return _page_pass(spark, d).select(*_PASS2_COLS)
 
 
 @register("snk_2", O.with_cascade() + _NEWJOBS_SQL + _PASS2_SQL +
@@ -1587,11 +1652,11 @@ def stm_1(spark, d):
 def stm_2(spark, d):
     base, jobs = _stream_intake(spark, d)
     det = fx.details_df(spark, _postings(spark, d))
-    landing, snaps = f"{base}/details", f"{base}/snapshots"
+    landing, updates = f"{base}/details", f"{base}/updates"
     for g in range(2):
         det.where(F.abs(F.hash("url_hash")) % 2 == g).write.mode("append").parquet(landing)
-        q = ST.start_details(spark, landing, det.schema, jobs, snaps, f"{base}/ck-details", _run_ts(spark),
+        q = ST.start_details(spark, landing, det.schema, jobs, updates, f"{base}/ck-details", _run_ts(spark),
                              files_per_batch=1 << 20)
         q.awaitTermination()
-    return ST.latest_snapshot(spark, snaps).select("url_hash", "location", "job_type", "salary", "scrape_status",
-                                                   "scrape_error")
+    return ST.latest_jobs(spark, jobs, updates).select("url_hash", "location", "job_type", "salary", "scrape_status",
+                                                       "scrape_error")

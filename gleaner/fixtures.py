@@ -159,6 +159,46 @@ FROM (SELECT {_sha('url', dialect)} AS url_hash, min(ord) AS o, {first}(title, o
 """
 
 
+def page_kinds_sql(dialect: str, f2: str = "f2") -> str:
+    """F7 the kind of detail page of each distinct URL of F2: 0 a job posting block,
+    1 a long text, 2 a block of another type, 3 an empty page, 4 a failed fetch, 5 a
+    short text. Every fifth URL was fetched before, in vain."""
+    first = "min_by" if dialect == "spark" else "arg_min"
+    return f"""
+SELECT url_hash, o, replace(t, '"', '') AS t, u, o % 6 AS kind
+FROM (SELECT {_sha('url', dialect)} AS url_hash, min(ord) AS o, {first}(title, ord) AS t, {first}(url, ord) AS u
+      FROM {f2} GROUP BY {_sha('url', dialect)}) g"""
+
+
+def page_block(dialect: str) -> str:
+    """The JSON-LD text of kinds 0 and 2."""
+    o = "CAST(o AS STRING)" if dialect == "spark" else "CAST(o AS VARCHAR)"
+    return f"""('{{"@type": "' || CASE kind WHEN 0 THEN 'JobPosting' ELSE 'WebPage' END || '", "description": "<p>About ' || t
+      || '</p><ul><li>Build things</li></ul>", "employmentType": "FULL_TIME", '
+      || '"jobLocation": {{"address": {{"addressLocality": "Lehi", "addressRegion": "UT"}}}}, '
+      || CASE WHEN o % 4 = 0 THEN '"jobLocationType": "TELECOMMUTE", ' ELSE '' END
+      || '"baseSalary": {{"currency": "USD", "value": {{"minValue": ' || {o} || '100, "maxValue": ' || {o} || '900, "unitText": "YEAR"}}}}}}')"""
+
+
+def page_body(dialect: str) -> str:
+    """The text of kind 1: over 500 characters."""
+    return "('Role of ' || t || repeat(' and more', 60))"
+
+
+def f7_sql(dialect: str, f2: str = "f2") -> str:
+    """F7 detail pages ``(url, fetch_no, html, error)`` of all URLs of F2."""
+    return f"""
+WITH kinds AS ({page_kinds_sql(dialect, f2)})
+SELECT u AS url, CAST(1 AS INT) AS fetch_no,
+  CASE WHEN kind IN (0, 2) THEN '<html><head><script type="application/ld+json">' || {page_block(dialect)}
+         || '</script></head><body><nav>Menu</nav><main><p>Short note</p></main></body></html>'
+       WHEN kind = 1 THEN '<html><body><nav>Menu</nav><main><p>' || {page_body(dialect)} || '</p></main></body></html>'
+       WHEN kind = 3 THEN '' WHEN kind = 5 THEN '<html><body><main></main></body></html>' END AS html,
+  CASE WHEN kind = 4 THEN 'Timeout after 20 s: ' || u END AS error
+FROM kinds
+UNION ALL SELECT u, CAST(0 AS INT), NULL, 'First try failed' FROM kinds WHERE o % 5 = 0"""
+
+
 def f3_template() -> str:
     """F3 job pages: every page of ``pages`` with job links, one JSON-LD block
     and (even ids) a listing script blob inserted before ``</article>``.
@@ -244,6 +284,12 @@ def job_pages_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f3_template(), pages=load(spark, sf_dir, "pages", balance=True))
 
 
+def detail_pages_df(spark: SparkSession, postings: DataFrame) -> DataFrame:
+    """F7 detail pages."""
+    return spark.sql(f7_sql("spark", "{f2}").replace("{", "{{").replace("}", "}}").replace("{{f2}}", "{f2}"),
+                     f2=postings.select("ord", "title", "url"))
+
+
 def details_df(spark: SparkSession, postings: DataFrame) -> DataFrame:
     """F3b details."""
     return spark.sql(f3b_sql("spark", "{f2}"), f2=postings.select("ord", "title", "url"))

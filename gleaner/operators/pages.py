@@ -91,6 +91,8 @@ def salary_range(base_salary_raw: Column, open_ended: bool = False) -> Column:
 
 
 def _with_listing(pages: DataFrame, listing: DataFrame | None) -> DataFrame:
+    if "l_location" in pages.columns:  # the listing's values came with the page
+        return pages
     if listing is None:
         return pages.withColumn("l_location", F.lit(None).cast("string")).withColumn(
             "l_job_type", F.lit(None).cast("string"))

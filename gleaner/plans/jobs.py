@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import FilterConfig
 from ..sources.logs import read_log, write_lines
-from ..sources.sinks import apply_details, new_jobs
-from .collection import collection_run, dry_run, run_log, touch_sources
+from ..sources.sinks import new_jobs, updated_rows
+from ..sources.updates import current_rows, read_updates, write_update
+from .collection import collection_run, dry_run, plan, run_log, touch_sources
 from .rundiff import run_diff
+from .second_pass import page_details, pending_pages
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -45,13 +47,28 @@ def run_collection(spark: SparkSession, sources: DataFrame, postings: DataFrame,
     return results
 
 
-def run_second_pass(spark: SparkSession, jobs_path: str, details: DataFrame, snapshot_out: str,
+def current_jobs(spark: SparkSession, jobs_path: str, updates_path: str, before: int | None = None) -> DataFrame | None:
+    """The stored jobs as they stand: the rows that runs appended, with the latest updates."""
+    jobs = read_jobs(spark, jobs_path)
+    return None if jobs is None else current_rows(jobs, read_updates(spark, updates_path, "url_hash", before), "url_hash")
+
+
+def run_second_pass(spark: SparkSession, jobs_path: str, updates_path: str, details: DataFrame, version: int,
                     run_ts: Column) -> DataFrame:
-    """JOB-2: complete pending rows from second-pass details into a new snapshot."""
-    jobs = spark.read.parquet(jobs_path)
-    out = apply_details(jobs, details, run_ts)
-    out.write.mode("overwrite").parquet(snapshot_out)
-    return spark.read.parquet(snapshot_out)
+    """JOB-2: complete pending rows from second-pass details; only the rows that change
+    are written, as version ``version``. A repeated pass writes the same version again."""
+    jobs = current_jobs(spark, jobs_path, updates_path, before=version)
+    write_update(updated_rows(jobs, details, run_ts), updates_path, version)
+    return current_jobs(spark, jobs_path, updates_path)
+
+
+def run_second_pass_from_pages(spark: SparkSession, sources: DataFrame, jobs_path: str, updates_path: str,
+                               pages: DataFrame, version: int, run_ts: Column) -> DataFrame:
+    """JOB-2 from landed detail pages ``(url, fetch_no, html, error)``."""
+    jobs = current_jobs(spark, jobs_path, updates_path, before=version)
+    platforms = plan(sources).select(F.col("id").alias("source_id"), "platform")
+    details = page_details(pending_pages(jobs, platforms, pages))
+    return run_second_pass(spark, jobs_path, updates_path, details, version, run_ts)
 
 
 def run_dry(sources: DataFrame, postings: DataFrame, cfg: FilterConfig, lines_out: str | None = None):

@@ -2,9 +2,8 @@
 failures, PRJ-3 job projection, JN-6 / JN-7 (pending restriction and update
 join), FLT-16.
 
-Parquet has no row-level UPDATE, so SNK-2/3 produce a new snapshot of the
-``jobs`` table (left join + ``coalesce``); ``write_snapshot`` writes it to a
-new directory that readers switch to.
+Parquet has no row-level UPDATE, so SNK-2/3 give the changed rows, which
+``updates`` keeps as small files by version beside the ``jobs`` table.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import reportable
 from ..functions.salary import extract_salary
 from ..functions.text import cut, strip
+from .updates import current_rows
 
 JOB_COLUMNS = ["source_id", "title", "job_url", "url_hash", "company", "location", "job_type", "salary",
                "description", "requirements", "role", "scrape_status", "scraped_at"]
@@ -72,34 +72,33 @@ def pending_details(details: DataFrame, jobs: DataFrame) -> DataFrame:
     return details.join(pending, "url_hash", "left_semi")
 
 
-def apply_details(jobs: DataFrame, details: DataFrame, run_ts: Column, error_cap: int | None = None) -> DataFrame:
-    """SNK-2 + SNK-3 via JN-7 (left join on url_hash), giving the new snapshot.
-
-    details: url_hash, location, job_type, salary, description, error. A row
-    with ``error`` is marked failed (error cut to ``error_cap`` when given); otherwise location,
-    job_type, salary are ``COALESCE(new, old)``, description is replaced and
-    the status is scraped / failed by the description (Q17)."""
-    d = pending_details(details, jobs).select(
-        "url_hash", F.lit(True).alias("_hit"),
-        F.col("location").alias("_loc"), F.col("job_type").alias("_jt"), F.col("salary").alias("_sal"),
+def updated_rows(jobs: DataFrame, details: DataFrame, run_ts: Column, error_cap: int | None = None) -> DataFrame:
+    """SNK-2 + SNK-3 via JN-7: the rows that second-pass details change, whole.
+
+    details: url_hash, location, job_type, salary, description, error. Only rows
+    pending from pass 1 are touched (JN-6). A row with ``error`` is marked failed
+    (error cut to ``error_cap`` when given); otherwise location, job_type, salary are
+    ``COALESCE(new, old)``, description is replaced and the status is scraped / failed
+    by the description (Q17)."""
+    d = details.select(
+        "url_hash", F.col("location").alias("_loc"), F.col("job_type").alias("_jt"), F.col("salary").alias("_sal"),
         F.col("description").alias("_desc"), F.col("error").alias("_err"))
-    j = jobs.join(d, "url_hash", "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    err = hit & F.col("_err").isNotNull()
-    upd = hit & F.col("_err").isNull()
+    j = jobs.where(F.col("scrape_status") == "pending").join(d, "url_hash")
+    err, upd = F.col("_err").isNotNull(), F.col("_err").isNull()
     described = F.coalesce(strip(F.col("_desc")) != "", F.lit(False))
-    base_err = F.col("scrape_error") if "scrape_error" in jobs.columns else F.lit(None).cast("string")
-    return j.select(
-        *[c for c in jobs.columns if c not in ("location", "job_type", "salary", "description",
-                                               "scrape_status", "scraped_at", "scrape_error")],
-        F.when(upd, F.coalesce("_loc", "location")).otherwise(F.col("location")).alias("location"),
-        F.when(upd, F.coalesce("_jt", "job_type")).otherwise(F.col("job_type")).alias("job_type"),
-        F.when(upd, F.coalesce("_sal", "salary")).otherwise(F.col("salary")).alias("salary"),
-        F.when(upd, F.col("_desc")).otherwise(F.col("description")).alias("description"),
-        F.when(err, F.lit("failed")).when(upd & described, F.lit("scraped")).when(upd, F.lit("failed"))
-         .otherwise(F.col("scrape_status")).alias("scrape_status"),
-        F.when(hit, run_ts).otherwise(F.col("scraped_at")).alias("scraped_at"),
-        F.when(err, _cut(F.col("_err"), error_cap)).otherwise(base_err).alias("scrape_error"))
+    new = {"location": F.when(upd, F.coalesce("_loc", "location")).otherwise(F.col("location")),
+           "job_type": F.when(upd, F.coalesce("_jt", "job_type")).otherwise(F.col("job_type")),
+           "salary": F.when(upd, F.coalesce("_sal", "salary")).otherwise(F.col("salary")),
+           "description": F.when(upd, F.col("_desc")).otherwise(F.col("description")),
+           "scrape_status": F.when(upd & described, F.lit("scraped")).otherwise(F.lit("failed")),
+           "scraped_at": run_ts, "scrape_error": F.when(err, _cut(F.col("_err"), error_cap))}
+    columns = [*jobs.columns, *(["scrape_error"] if "scrape_error" not in jobs.columns else [])]
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+
+
+def apply_details(jobs: DataFrame, details: DataFrame, run_ts: Column, error_cap: int | None = None) -> DataFrame:
+    """The jobs after SNK-2 and SNK-3: untouched rows, and those of ``updated_rows``."""
+    return current_rows(jobs, updated_rows(jobs, details, run_ts, error_cap), "url_hash")
 
 
 def reported_errors(details: DataFrame) -> DataFrame:
@@ -114,8 +113,3 @@ def append_jobs_table(df: DataFrame, table: str, buckets: int) -> None:
     job's shuffle partitions."""
     (df.write.mode("append").format("parquet").bucketBy(buckets, "url_hash").sortBy("url_hash")
        .saveAsTable(table))
-
-
-def write_snapshot(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a table snapshot (or append for SNK-1 with ``mode='append'``)."""
-    df.write.mode(mode).parquet(path)

@@ -7,7 +7,7 @@ batch, and appends the accepted rows. The dedup state lives in the ``jobs``
 table, not in the state store, so it does not grow with the stream.
 
 STM-2 status life cycle: second-pass details arrive as files; each batch
-applies them to the pending rows (JN-6, SNK-2/3) and writes a new snapshot.
+writes the pending rows that they change (JN-6, SNK-2/3) as an update by batch id.
 
 Both sinks are idempotent by ``batchId``: batch N always (over)writes the
 same directory, so a batch replayed after a failure yields the same files.
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import FilterConfig, decide
 from ..plans.collection import listings_of
-from ..sources.sinks import apply_details, new_jobs
+from ..sources.sinks import new_jobs, updated_rows
+from ..sources.updates import current_rows, read_updates, write_update
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -69,40 +70,30 @@ def start_intake(spark: SparkSession, landing_path: str, schema, planned: DataFr
     return w.start()
 
 
-def details_batch(jobs_path: str, snapshots_path: str, run_ts: Column):
-    """foreachBatch body for STM-2: apply details to the latest snapshot."""
+def details_batch(jobs_path: str, updates_path: str, run_ts: Column):
+    """foreachBatch body for STM-2: write the rows that a batch of details changes as
+    the update of its batch id, judged on the jobs as they were before this batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # the state before this batch: never the directory this batch rewrites
-        latest = latest_snapshot(spark, snapshots_path, before=batch_id)
-        base = latest if latest is not None else _read_jobs(spark, jobs_path).drop("batch_id")
-        out = apply_details(base, batch, run_ts)
-        # materialise before the next batch reads it as its base
-        out.write.mode("overwrite").parquet(f"{snapshots_path}/v={batch_id:09d}")
+        jobs = latest_jobs(batch.sparkSession, jobs_path, updates_path, before=batch_id)
+        if jobs is not None:
+            write_update(updated_rows(jobs, batch, run_ts), updates_path, batch_id)
     return run
 
 
-def latest_snapshot(spark: SparkSession, snapshots_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot ``v=N`` (only versions below ``before`` if given)."""
-    if not _exists(spark, snapshots_path):
-        return None
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(snapshots_path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
-    if before is not None:
-        names = [n for n in names if int(n[2:]) < before]
-    if not names:
+def latest_jobs(spark: SparkSession, jobs_path: str, updates_path: str, before: int | None = None) -> DataFrame | None:
+    """The stored jobs with their latest updates (only versions below ``before`` if given)."""
+    jobs = _read_jobs(spark, jobs_path)
+    if jobs is None:
         return None
-    return spark.read.parquet(f"{snapshots_path}/{names[-1]}")
+    return current_rows(jobs.drop("batch_id"), read_updates(spark, updates_path, "url_hash", before), "url_hash")
 
 
-def start_details(spark: SparkSession, landing_path: str, schema, jobs_path: str, snapshots_path: str,
+def start_details(spark: SparkSession, landing_path: str, schema, jobs_path: str, updates_path: str,
                   checkpoint: str, run_ts: Column, files_per_batch: int = 1, available_now: bool = True):
-    """STM-2: file-source stream of second-pass details -> new snapshots."""
+    """STM-2: file-source stream of second-pass details -> updates by batch."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .parquet(landing_path))
-    w = (stream.writeStream.foreachBatch(details_batch(jobs_path, snapshots_path, run_ts))
+    w = (stream.writeStream.foreachBatch(details_batch(jobs_path, updates_path, run_ts))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

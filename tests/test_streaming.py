@@ -35,7 +35,7 @@ def test_replayed_details_batch_is_idempotent(spark, sf_small, tmp_path):
     details = fx.details_df(spark, postings)
     run = ST.details_batch(jobs, snaps, ts)
     run(details, 0)
-    once = {tuple(r) for r in ST.latest_snapshot(spark, snaps).select("url_hash", "scrape_status").collect()}
+    once = {tuple(r) for r in ST.latest_jobs(spark, jobs, snaps).select("url_hash", "scrape_status").collect()}
     run(details, 0)  # replay
-    again = {tuple(r) for r in ST.latest_snapshot(spark, snaps).select("url_hash", "scrape_status").collect()}
+    again = {tuple(r) for r in ST.latest_jobs(spark, jobs, snaps).select("url_hash", "scrape_status").collect()}
     assert once == again and len(once) > 0
