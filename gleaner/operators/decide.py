@@ -12,9 +12,9 @@ location and department" (the first such twin cannot itself be a duplicate).
 Scale: instead of a window partitioned by ``url_hash`` (one task would sort
 every copy of a hot URL), the earliest passing position and the stored flag
 are computed by one aggregate over ``(url_hash, position)`` pairs (map-side
-partial aggregation, so a URL with a third of all rows costs nothing extra)
-and joined back on ``url_hash``; AQE splits a skewed join partition. Only the
-narrow key columns enter the aggregate's shuffle.
+partial aggregation, so a URL with a third of all rows costs nothing extra).
+Hashes and positions alone are grouped and joined; whole postings meet only the
+positions of the duplicates.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import department_targeted, location_targeted, role_targeted, title_blocked
 from ..functions.roles import classify_role
 from ..functions.text import hash_url, py_list_repr, py_repr
+from ..session import cut_lineage
 
 
 def _parse(raw: str | None, trim: bool, lower: bool) -> list[str] | None:
@@ -77,37 +78,60 @@ def _pos() -> Column:
     return F.struct(F.col("source_order").cast("bigint").alias("s"), F.col("ord").alias("o"))
 
 
-def duplicate_keys(flagged: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Per url_hash: ``stored`` (JN-1) and ``first_ok`` = earliest position
-    whose posting passes every non-duplicate test (WIN-1).
+def _candidates(flagged: DataFrame) -> DataFrame:
+    """URL hash and position of every posting, and whether it passes the other tests."""
+    return flagged.select(
+        "url_hash", F.col("source_order").cast("bigint").alias("source_order"), "ord",
+        (F.col("role_ok") & ~F.col("blocked") & F.col("location_ok") & F.col("department_ok")).alias("passes"))
 
-    The postings side is a partial aggregate (hot URLs combine map-side);
-    the stored side is reduced to distinct hashes and left-joined on
-    ``url_hash``. When ``jobs`` is a table bucketed by ``url_hash`` (see
-    ``sources.sinks.append_jobs_table``) with as many buckets as shuffle
-    partitions, its scan already has that partitioning, so the growing
-    history is never shuffled."""
-    passes = F.col("role_ok") & ~F.col("blocked") & F.col("location_ok") & F.col("department_ok")
-    first = flagged.groupBy("url_hash").agg(F.min(F.when(passes, _pos())).alias("first_ok"))
-    if stored is None:
-        return first.withColumn("stored", F.lit(False))
-    s = stored.select("url_hash").distinct().withColumn("stored", F.lit(True))
-    # left join: keeps the run's hashes (and their partitioning); history
-    # that does not match is dropped where it lies
-    return first.join(s, "url_hash", "left")
+
+def stored_hits(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """JN-1: the distinct hashes of this run that are stored already. The history is only
+    filtered by the run's hashes: where those are few enough to be broadcast, or the
+    history is bucketed by ``url_hash`` (see ``sources.sinks.append_hashes``), it is
+    read once and not shuffled."""
+    return stored.select("url_hash").join(candidates.select("url_hash").distinct(), "url_hash", "left_semi").distinct()
 
 
-def mark_duplicates(flagged: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Adds ``already_stored`` and ``earlier_twin`` (WIN-1) flags."""
-    keys = duplicate_keys(flagged, stored)
-    out = flagged.join(keys, "url_hash", "left")
-    keep = [c for c in out.columns if c not in ("stored", "first_ok")]
-    return out.select(*keep, F.coalesce(F.col("stored"), F.lit(False)).alias("already_stored"),
-                      F.coalesce(F.col("first_ok") < _pos(), F.lit(False)).alias("earlier_twin"))
+def duplicate_positions(candidates: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """``url_hash, source_order, ord, already_stored, earlier_twin`` of the postings that are
+    duplicates: stored in an earlier run (JN-1), or after a posting of this run with
+    the same URL that passes every test (WIN-1). A URL that holds a third of all rows
+    is one row per task in the aggregate, and its postings go by their positions."""
+    pos = F.struct(F.col("source_order").alias("s"), F.col("ord").alias("o"))
+    keys = candidates.groupBy("url_hash").agg(F.min(F.when(F.col("passes"), pos)).alias("first_ok"), F.count("*").alias("n"))
+    if stored is None:
+        keys = keys.withColumn("stored", F.lit(None).cast("boolean"))
+    else:
+        keys = keys.join(stored_hits(candidates, stored).withColumn("stored", F.lit(True)), "url_hash", "left")
+    # only keys that can make a duplicate meet the postings again
+    keys = keys.where(F.col("stored") | (F.col("first_ok").isNotNull() & (F.col("n") > 1))).drop("n")
+    twin = F.coalesce(F.col("first_ok") < pos, F.lit(False))
+    out = candidates.join(keys, "url_hash").select(
+        "url_hash", "source_order", "ord", F.coalesce(F.col("stored"), F.lit(False)).alias("already_stored"), twin.alias("earlier_twin"))
+    return out.where("already_stored OR earlier_twin").distinct()
+
+
+def mark_duplicates(flagged: DataFrame, stored: DataFrame | None, land: bool = False) -> DataFrame:
+    """Adds ``already_stored`` and ``earlier_twin`` (WIN-1) flags.
+
+    Hashes and positions alone are grouped and joined; whole postings meet the
+    positions of the duplicates in the end. With ``land`` both narrow tables are
+    written first, so that Spark knows their sizes when it plans: few duplicates are
+    broadcast, and then no description crosses an exchange."""
+    candidates = _candidates(flagged)
+    candidates = cut_lineage(candidates) if land else candidates
+    found = duplicate_positions(candidates, stored)
+    found = cut_lineage(found) if land else found
+    flags = ["already_stored", "earlier_twin"]
+    found = found.select(F.col("url_hash").alias("_u"), F.col("source_order").alias("_s"), F.col("ord").alias("_o"), *flags)
+    same = ((F.col("url_hash") == F.col("_u")) & (F.col("source_order").cast("bigint") == F.col("_s")) & (F.col("ord") == F.col("_o")))
+    out = flagged.join(found, same, "left")
+    return out.select(*flagged.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
 
 
 def decide(postings: DataFrame, cfg: FilterConfig, stored: DataFrame | None = None,
-           dedup: bool = True, dry_run: bool = False) -> DataFrame:
+           dedup: bool = True, dry_run: bool = False, land: bool = False) -> DataFrame:
     """FLT-8. ``postings`` needs source_id, source_order, ord, title, url,
     location, departments. Adds url_hash, role, step, decision, reason.
 
@@ -116,7 +140,7 @@ def decide(postings: DataFrame, cfg: FilterConfig, stored: DataFrame | None = No
     """
     df = add_flags(postings, cfg)
     if dedup:
-        df = mark_duplicates(df, stored)
+        df = mark_duplicates(df, stored, land)
         dup = F.col("already_stored") | F.col("earlier_twin")
     else:
         dup = F.lit(False)

@@ -50,10 +50,10 @@ def plan(sources: DataFrame) -> DataFrame:
 
 
 def collection_run(sources: DataFrame, postings: DataFrame, stored: DataFrame | None,
-                   cfg: FilterConfig, source_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+                   cfg: FilterConfig, source_id: int | None = None, land: bool = False) -> tuple[DataFrame, DataFrame]:
     """JOB-1 (pass 1): returns (decided postings, per-source results)."""
     planned = plan(active_sources(sources, source_id))
-    decided = decide(listings_of(planned, postings), cfg, stored, dedup=True)
+    decided = decide(listings_of(planned, postings), cfg, stored, dedup=True, land=land)
     return decided, run_results(planned, run_counters(decided))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import FilterConfig
 from ..sources.logs import read_log, write_lines
-from ..sources.sinks import new_jobs, updated_rows
+from ..sources.sinks import append_hashes, new_jobs, stored_hashes, updated_rows
 from ..sources.updates import current_rows, read_updates, write_update
 from .collection import collection_run, dry_run, plan, run_log, touch_sources
 from .rundiff import run_diff
@@ -32,15 +32,23 @@ def read_jobs(spark: SparkSession, jobs_path: str) -> DataFrame | None:
 
 def run_collection(spark: SparkSession, sources: DataFrame, postings: DataFrame, jobs_path: str,
                    log_path: str, sources_out: str, cfg: FilterConfig, run_id: int, run_ts: Column,
-                   source_id: int | None = None) -> DataFrame:
+                   source_id: int | None = None, hashes_table: str | None = None, buckets: int = 200) -> DataFrame:
     """JOB-1: decide against the stored jobs, append the accepted rows
     (``jobs_path/run_id=N``), append the run log and write the re-stamped
-    sources. Returns the per-source results."""
-    current = read_jobs(spark, jobs_path)
+    sources. Returns the per-source results. ``hashes_table`` names the catalog table
+    of stored hashes, which is probed in place of the jobs and kept up to date; give
+    it from the first run on, with as many ``buckets`` as shuffle partitions."""
     # a retried run must not count its own earlier output as stored
-    stored = current.where(F.col("run_id") != run_id).select("url_hash") if current is not None else None
-    decided, results = collection_run(sources, postings, stored, cfg, source_id)
-    new_jobs(decided, run_ts).write.mode("overwrite").parquet(f"{jobs_path}/run_id={run_id}")
+    if hashes_table is not None:
+        stored = stored_hashes(spark, hashes_table, run_id)
+    else:
+        current = read_jobs(spark, jobs_path)
+        stored = current.where(F.col("run_id") != run_id).select("url_hash") if current is not None else None
+    decided, results = collection_run(sources, postings, stored, cfg, source_id, land=True)
+    written = f"{jobs_path}/run_id={run_id}"
+    new_jobs(decided, run_ts).write.mode("overwrite").parquet(written)
+    if hashes_table is not None:
+        append_hashes(spark.read.parquet(written), hashes_table, run_id, buckets)
     results = results.persist()
     run_log(results, run_id, run_ts).write.mode("overwrite").parquet(f"{log_path}/run_id={run_id}")
     touch_sources(sources, results, run_ts).write.mode("overwrite").parquet(sources_out)

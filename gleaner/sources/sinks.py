@@ -8,7 +8,7 @@ Parquet has no row-level UPDATE, so SNK-2/3 give the changed rows, which
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import reportable
@@ -113,3 +113,23 @@ def append_jobs_table(df: DataFrame, table: str, buckets: int) -> None:
     job's shuffle partitions."""
     (df.write.mode("append").format("parquet").bucketBy(buckets, "url_hash").sortBy("url_hash")
        .saveAsTable(table))
+
+
+def append_hashes(accepted: DataFrame, table: str, run_id: int, buckets: int) -> None:
+    """The URL hashes that a run stored, into a catalog table partitioned by run and
+    bucketed by ``url_hash``. A repeated run replaces its own hashes. Write it after the
+    run's jobs: a hash must not be known before its job is."""
+    spark = accepted.sparkSession
+    rows = accepted.select("url_hash", F.lit(run_id).cast("long").alias("run_id"))
+    if not spark.catalog.tableExists(table):
+        (rows.limit(0).write.format("parquet").partitionBy("run_id").bucketBy(buckets, "url_hash")
+         .sortBy("url_hash").saveAsTable(table))
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (run_id = {int(run_id)})")
+    rows.write.mode("append").insertInto(table)
+
+
+def stored_hashes(spark: SparkSession, table: str, but_run: int) -> DataFrame | None:
+    """The hashes that other runs than ``but_run`` stored, as bucketed by ``append_hashes``."""
+    if not spark.catalog.tableExists(table):
+        return None
+    return spark.table(table).where(F.col("run_id") != but_run).select("url_hash")

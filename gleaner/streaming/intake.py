@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.decide import FilterConfig, decide
 from ..plans.collection import listings_of
-from ..sources.sinks import new_jobs, updated_rows
+from ..sources.sinks import append_hashes, new_jobs, stored_hashes, updated_rows
 from ..sources.updates import current_rows, read_updates, write_update
 
 
@@ -39,22 +39,27 @@ def _read_jobs(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def intake_batch(planned: DataFrame, cfg: FilterConfig, jobs_path: str, run_ts: Column,
-                 prior: DataFrame | None = None):
-    """foreachBatch body for STM-1. ``planned`` may be a function that gives the
+                 prior: DataFrame | None = None, hashes_table: str | None = None, buckets: int = 200):
+    """foreachBatch body for STM-1. ``hashes_table``: as in ``plans.jobs.run_collection``. ``planned`` may be a function that gives the
     planned sources; it is asked for each batch, so that sources added after the
     stream's start are taken in."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         sources = planned() if callable(planned) else planned
-        current = _read_jobs(spark, jobs_path)
         # a replayed batch must not see its own earlier (partial) output
-        stored = (current.where(F.col("batch_id") != batch_id).select("url_hash")
-                  if current is not None else None)
+        if hashes_table is not None:
+            stored = stored_hashes(spark, hashes_table, batch_id)
+        else:
+            current = _read_jobs(spark, jobs_path)
+            stored = (current.where(F.col("batch_id") != batch_id).select("url_hash")
+                      if current is not None else None)
         if prior is not None:
             stored = prior if stored is None else stored.unionByName(prior)
-        decided = decide(listings_of(sources, batch), cfg, stored, dedup=True)
-        (new_jobs(decided, run_ts).write.mode("overwrite")
-         .parquet(f"{jobs_path}/batch_id={batch_id}"))
+        decided = decide(listings_of(sources, batch), cfg, stored, dedup=True, land=True)
+        written = f"{jobs_path}/batch_id={batch_id}"
+        new_jobs(decided, run_ts).write.mode("overwrite").parquet(written)
+        if hashes_table is not None:
+            append_hashes(spark.read.parquet(written), hashes_table, batch_id, buckets)
     return run
 
 

@@ -42,3 +42,14 @@ def test_dry_run_logs_diff(spark, sf_small, tmp_path):
     diff = J.diff_logs(spark, f"{tmp_path}/a", f"{tmp_path}/b")
     buckets = {r[0] for r in diff.select("bucket").distinct().collect()}
     assert {"newly_added", "newly_filtered", "unchanged"} <= buckets
+
+
+def test_runs_against_the_table_of_hashes(spark, sf_small, tmp_path):
+    cfg, ts = FilterConfig.from_dict(fx.CONFIG_A), F.lit(fx.RUN_TS).cast("timestamp")
+    sources, postings = fx.sources_df(spark, sf_small), fx.postings_df(spark, sf_small)
+    spark.sql("DROP TABLE IF EXISTS gleaner_run_hashes")
+    added = [J.run_collection(spark, sources, postings, f"{tmp_path}/jobs", f"{tmp_path}/log", f"{tmp_path}/src", cfg, run, ts,
+                              hashes_table="gleaner_run_hashes", buckets=8).agg(F.sum("jobs_added")).first()[0] for run in (1, 1, 2)]
+    assert added[0] == added[1] > 0 and added[2] == 0
+    assert spark.table("gleaner_run_hashes").count() == spark.read.parquet(f"{tmp_path}/jobs").count()
+    spark.sql("DROP TABLE IF EXISTS gleaner_run_hashes")

@@ -81,3 +81,67 @@ def test_bucketed_jobs_table_is_not_shuffled(spark, sf_small):
     above = lines[max(0, i - 4):i]
     assert not any("Exchange" in ln for ln in above), "\n".join(lines[max(0, i - 6):i + 1])
     spark.sql("DROP TABLE IF EXISTS gleaner_jobs_bucketed")
+
+
+def _decided_with_history(spark, sf_small, stored, land=True):
+    from gleaner.operators.decide import FilterConfig
+    from gleaner.plans.collection import collection_run
+    postings = fx.postings_df(spark, sf_small)
+    return collection_run(fx.sources_df(spark, sf_small), postings, stored, FilterConfig.from_dict(fx.CONFIG_A), land=land)[0]
+
+
+def test_duplicates_are_found_without_moving_descriptions(spark, sf_small):
+    plan = _plan(_decided_with_history(spark, sf_small, fx.stored_df(fx.postings_df(spark, sf_small))))
+    assert "description" in plan
+    assert not [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln], plan
+
+
+def test_whole_postings_never_enter_the_duplicate_aggregates(spark, sf_small):
+    stored = fx.stored_df(fx.postings_df(spark, sf_small))
+    plan = _decided_with_history(spark, sf_small, stored, land=False)._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [ln for ln in plan.splitlines() if "Aggregate [url_hash" in ln]
+    assert aggregates and not any("description" in ln for ln in aggregates)
+
+
+def test_history_is_probed_without_an_exchange(spark, sf_small, tmp_path):
+    """Few candidates are broadcast; many meet the history in its buckets."""
+    from gleaner.operators.decide import stored_hits
+    from gleaner.session import cut_lineage
+    from gleaner.sources.sinks import append_hashes, stored_hashes
+    postings = fx.postings_df(spark, sf_small)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.sql("DROP TABLE IF EXISTS gleaner_hashes")
+    for _ in range(2):  # a repeated run replaces its own hashes
+        append_hashes(fx.stored_df(postings), "gleaner_hashes", 1, n)
+    append_hashes(fx.stored_df(postings).limit(0), "gleaner_hashes", 2, n)
+    assert spark.table("gleaner_hashes").count() == fx.stored_df(postings).count()
+    assert stored_hashes(spark, "gleaner_hashes", 1).count() == 0
+    stored = stored_hashes(spark, "gleaner_hashes", 3)
+    from gleaner.functions.text import hash_url
+    candidates = cut_lineage(postings.select(hash_url(F.col("url")).alias("url_hash")))
+
+    def exchanges_over_history():
+        lines = _plan(stored_hits(candidates, stored)).splitlines()
+        scan = next(i for i, ln in enumerate(lines) if "gleaner_hashes" in ln)
+        depth = lambda ln: len(ln) - len(ln.lstrip(" :|+-*(0123456789)"))
+        above, out = depth(lines[scan]), []
+        for ln in reversed(lines[:scan]):  # the nodes on the way from the scan to the join
+            if depth(ln) < above:
+                above = depth(ln)
+                if "Join" in ln:
+                    return out, ln
+                if "Exchange" in ln:
+                    out.append(ln)
+        return out, ""
+
+    found, join = exchanges_over_history()
+    assert not found and "BroadcastHashJoin" in join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found, join = exchanges_over_history()
+        assert not found and "SortMergeJoin" in join
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE IF EXISTS gleaner_hashes")
