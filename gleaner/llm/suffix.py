@@ -150,16 +150,17 @@ def _texts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets[:-1], offsets[1:]
 
 
-# ``at`` of a stretch: 32 bits first offset, 7 strings, 7 bytes to the anchor, 16 tag of the row
-def _pack(start, count, lead, tag):
-    return start | count << 32 | lead << 39 | tag << 48
+# ``at`` of a stretch: 32 bits first offset, 7 strings, 7 bytes to the anchor
+def _pack(start, count, lead):
+    return start | count << 32 | lead << 39
 
 
 def _unpack(at):
-    return at & 0xFFFFFFFF, at >> 32 & 0x7F, at >> 39 & 0x7F, at >> 48
+    return at & 0xFFFFFFFF, at >> 32 & 0x7F, at >> 39 & 0x7F
 
 
-STRETCH = "anchor long, shape long, did long, at long"
+#: ``did`` orders documents; ``rid`` tells rows apart that share it.
+STRETCH = "anchor long, shape long, did long, rid long, at long"
 
 
 def find_stretches(rows: DataFrame, hot: frozenset = frozenset()) -> DataFrame:
@@ -170,26 +171,26 @@ def find_stretches(rows: DataFrame, hot: frozenset = frozenset()) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            did, tag = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
+            did, rid = batch.column("did").to_numpy(), batch.column("rid").to_numpy()
             for number, start, count, lead, anchor, shape in stretches(*_texts(batch.column("text"))):
                 anchor = anchor.view(np.int64)
                 key = anchor
                 if len(hot_ids):
                     near = np.searchsorted(hot_ids, anchor).clip(max=len(hot_ids) - 1)
-                    key = np.where(hot_ids[near] == anchor, anchor + 1 + tag[number] % SHARES, anchor)
+                    key = np.where(hot_ids[near] == anchor, anchor + 1 + rid[number] % SHARES, anchor)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key, anchor, shape.view(np.int64), did[number],
-                                           _pack(start, count, lead, tag[number]))],
-                    ["key", "anchor", "shape", "did", "at"])
+                    [pa.array(x) for x in (key, anchor, shape.view(np.int64), did[number], rid[number],
+                                           _pack(start, count, lead))],
+                    ["key", "anchor", "shape", "did", "rid", "at"])
 
-    return rows.select("did", "tag", "text").mapInArrow(run, "key long, " + STRETCH)
+    return rows.select("did", "rid", "text").mapInArrow(run, "key long, " + STRETCH)
 
 
 def hot_anchors(rows: DataFrame) -> frozenset:
     """Anchors with a large share of all stretches, estimated on every 64th
     document. At most ``1 / HOT_SHARE`` of them exist. It decides who sorts what,
     never what is found."""
-    some = find_stretches(rows.where(F.col("tag") % HOT_SAMPLE == 0)).groupBy("anchor").count()
+    some = find_stretches(rows.where(F.pmod("rid", F.lit(HOT_SAMPLE)) == 0)).groupBy("anchor").count()
     total = some.agg(F.sum("count")).first()[0] or 0
     least = max(200, int(total * HOT_SHARE))
     return frozenset(r[0] for r in some.where(F.col("count") > least).select("anchor").collect())
@@ -209,7 +210,7 @@ def sort_buckets(found: DataFrame, hot: frozenset) -> DataFrame:
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        anchor, shape, did, at = (table.column(c).to_numpy() for c in ("anchor", "shape", "did", "at"))
+        anchor, shape, did, rid, at = (table.column(c).to_numpy() for c in ("anchor", "shape", "did", "rid", "at"))
         # most anchors have one stretch: leave them out before the full sort
         order = np.argsort(anchor)
         a = anchor[order]
@@ -221,10 +222,10 @@ def sort_buckets(found: DataFrame, hot: frozenset) -> DataFrame:
         rows = order[several | at_hot[order]]
         if not len(rows):
             return
-        anchor, shape, did, at, at_hot = anchor[rows], shape[rows], did[rows], at[rows], at_hot[rows]
+        anchor, shape, did, rid, at, at_hot = (x[rows] for x in (anchor, shape, did, rid, at, at_hot))
         start = at & 0xFFFFFFFF
         order = np.lexsort((start, did, shape, anchor))
-        anchor, shape, did, at, at_hot, start = (x[order] for x in (anchor, shape, did, at, at_hot, start))
+        anchor, shape, did, rid, at, at_hot, start = (x[order] for x in (anchor, shape, did, rid, at, at_hot, start))
         bucket = np.append(True, anchor[1:] != anchor[:-1])
         kind = bucket | np.append(True, shape[1:] != shape[:-1])
         lead = np.flatnonzero(kind)[np.cumsum(kind) - 1]
@@ -238,8 +239,8 @@ def sort_buckets(found: DataFrame, hot: frozenset) -> DataFrame:
                 whole = code[k] == REPEATED
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(code[k].astype(np.int32)), pa.array(np.where(whole, 0, anchor[k])),
-                     pa.array(np.where(code[k] == SHARE, shape[k], 0)), pa.array(did[k]), pa.array(at[k])],
-                    ["code", "anchor", "shape", "did", "at"])
+                     pa.array(np.where(code[k] == SHARE, shape[k], 0)), pa.array(did[k]), pa.array(rid[k]), pa.array(at[k])],
+                    ["code", "anchor", "shape", "did", "rid", "at"])
 
     return found.repartition("key").mapInArrow(run, "code int, " + STRETCH)
 
@@ -252,15 +253,14 @@ def merge_shares(coded: DataFrame) -> DataFrame:
     merged = (shares.join(firsts, ["anchor", "shape"]).join(kinds, "anchor")
               .withColumn("code", F.when(F.struct("did", "start") > F.col("first"), REPEATED)
                           .when(F.col("kinds") > 1, KIND).otherwise(SINGLE)))
-    cols = ["code", "anchor", "did", "at"]
+    cols = ["code", "anchor", "did", "rid", "at"]
     return coded.where(F.col("code") != SHARE).select(cols).union(merged.select(cols))
 
 
 def cut_strings(rows: DataFrame, kinds: DataFrame, one_by_one: bool) -> DataFrame:
     """The bytes of each stretch of ``kinds``, or, ``one_by_one``, the identifiers
     of its strings."""
-    wanted = kinds.groupBy("did", F.expr("shiftrightunsigned(at, 48)").alias("tag")).agg(
-        F.collect_list(F.struct("anchor", "at")).alias("kinds"))
+    wanted = kinds.groupBy("did", "rid").agg(F.collect_list(F.struct("anchor", "at")).alias("kinds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,8 +271,8 @@ def cut_strings(rows: DataFrame, kinds: DataFrame, one_by_one: bool) -> DataFram
             item = lists.flatten()
             doc = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
             anchor, at = item.field("anchor").to_numpy(), item.field("at").to_numpy()
-            did = batch.column("did").to_numpy()[doc]
-            start, count, _, _ = _unpack(at)
+            did, rid = batch.column("did").to_numpy()[doc], batch.column("rid").to_numpy()[doc]
+            start, count, _ = _unpack(at)
             low = starts[doc] + start
             if one_by_one:
                 for i in range(0, len(at), 2000):
@@ -283,19 +283,19 @@ def cut_strings(rows: DataFrame, kinds: DataFrame, one_by_one: bool) -> DataFram
                                                   np.arange(count[j])) for j in range(i, min(i + 2000, len(at)))])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(anchor[k]), pa.array(ids.view(np.int64)), pa.array(did[k]),
-                         pa.array(start[k] + step), pa.array(at[k] >> 48 & 0xFFFF)],
-                        ["anchor", "string", "did", "start", "tag"])
+                         pa.array(start[k] + step), pa.array(rid[k])],
+                        ["anchor", "string", "did", "start", "rid"])
             else:
                 cut = [data[a:a + n + WIDTH - 1].tobytes() for a, n in zip(low.tolist(), count.tolist())]
                 for i in range(0, len(cut), 20_000):
                     s = slice(i, i + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[s]), pa.array(did[s]), pa.array(at[s]), pa.array(cut[s], pa.binary())],
-                        ["anchor", "did", "at", "cut"])
+                        [pa.array(anchor[s]), pa.array(did[s]), pa.array(rid[s]), pa.array(at[s]), pa.array(cut[s], pa.binary())],
+                        ["anchor", "did", "rid", "at", "cut"])
 
-    out = ("anchor long, string long, did long, start long, tag long" if one_by_one
-           else "anchor long, did long, at long, cut binary")
-    return rows.join(wanted, ["did", "tag"]).select("did", "text", "kinds").mapInArrow(run, out)
+    out = ("anchor long, string long, did long, start long, rid long" if one_by_one
+           else "anchor long, did long, rid long, at long, cut binary")
+    return rows.join(wanted, ["did", "rid"]).select("did", "rid", "text", "kinds").mapInArrow(run, out)
 
 
 def sort_strings(cuts: DataFrame) -> DataFrame:
@@ -307,8 +307,8 @@ def sort_strings(cuts: DataFrame) -> DataFrame:
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        anchor, did, at = (table.column(c).to_numpy() for c in ("anchor", "did", "at"))
-        start, count, _, tag = _unpack(at)
+        anchor, did, rid, at = (table.column(c).to_numpy() for c in ("anchor", "did", "rid", "at"))
+        start, count, _ = _unpack(at)
         ids = np.empty(int(count.sum()), np.int64)
         done = 0
         for chunk in table.column("cut").chunks:  # identifiers of all strings, batch by batch
@@ -344,22 +344,21 @@ def sort_strings(cuts: DataFrame) -> DataFrame:
         length = np.diff(np.append(np.flatnonzero(run_start), len(again)))
         r = row[first]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(did[r]), pa.array(tag[r] & 0xFFFF), pa.array(where[first]), pa.array(length + WIDTH - 1)],
-            ["did", "tag", "start", "length"])
+            [pa.array(did[r]), pa.array(rid[r]), pa.array(where[first]), pa.array(length + WIDTH - 1)],
+            ["did", "rid", "start", "length"])
 
-    return cuts.repartition("anchor").mapInArrow(run, "did long, tag long, start long, length long")
+    return cuts.repartition("anchor").mapInArrow(run, "did long, rid long, start long, length long")
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
-    """``did, tag, start, length`` of byte ranges made of strings that start
+    """``did, rid, start, length`` of byte ranges made of strings that start
     earlier too. Ranges may overlap."""
     hot = hot_anchors(rows)
     coded = merge_shares(landed(sort_buckets(find_stretches(rows, hot), hot), "buckets"))
     whole = (coded.where(F.col("code") == REPEATED)
-             .select("did", F.expr("shiftrightunsigned(at, 48)").alias("tag"),
-                     F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"),
+             .select("did", "rid", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"),
                      F.expr(f"(shiftright(at, 32) & 127) + {WIDTH - 1}").alias("length")))
-    kinds = coded.where(F.col("code") == KIND).select("anchor", "did", "at")
+    kinds = coded.where(F.col("code") == KIND).select("anchor", "did", "rid", "at")
     if not hot:
         return whole.union(sort_strings(cut_strings(rows, kinds, False)))
     many = kinds.groupBy("anchor").count().where(F.col("count") > MOST_KINDS).select("anchor")
@@ -368,7 +367,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     firsts = strings.groupBy("anchor", "string").agg(F.min(F.struct("did", "start")).alias("first"),
                                                      F.count("*").alias("n")).where("n > 1")
     later = (strings.join(firsts, ["anchor", "string"]).where(F.struct("did", "start") > F.col("first"))
-             .select("did", "tag", "start", F.lit(WIDTH).cast("long").alias("length")))
+             .select("did", "rid", "start", F.lit(WIDTH).cast("long").alias("length")))
     return whole.union(few).union(later)
 
 
@@ -385,8 +384,8 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> D
     are not read; an empty table gives an empty one.
     """
     rows = keyed(docs, carry).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"),
-                                     F.col("row_key").bitwiseAND(F.lit(0xFFFF)).alias("tag"), "text", "row")
-    ranges = repeated_ranges(rows).groupBy("did", "tag").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
+                                     F.col("row_key").alias("rid"), "text", "row")
+    ranges = repeated_ranges(rows).groupBy("did", "rid").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,4 +411,4 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> D
                  pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"])
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, {OUT}"
-    return rows.join(ranges, ["did", "tag"], "left").select("row", "text", "ranges").mapInArrow(run, schema)
+    return rows.join(ranges, ["did", "rid"], "left").select("row", "text", "ranges").mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import brute
+from .conftest import prose as brute_prose
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,7 +39,7 @@ def test_suffix_dedup_matches_brute_force(docs, rows):
 def test_suffix_dedup_with_anchors_dealt_out(docs, rows, monkeypatch, most_kinds):
     from gleaner.llm import suffix
     some = frozenset(r[0] for r in suffix.find_stretches(
-        suffix.keyed(docs).select(F.lit(1).cast("long").alias("did"), F.lit(0).cast("long").alias("tag"), "text"))
+        suffix.keyed(docs).select(F.lit(1).cast("long").alias("did"), F.lit(0).cast("long").alias("rid"), "text"))
         .groupBy("anchor").count().where("count > 1").collect())
     monkeypatch.setattr(suffix, "hot_anchors", lambda _: some)
     monkeypatch.setattr(suffix, "MOST_KINDS", most_kinds)
@@ -55,6 +56,16 @@ def test_long_text_in_overlapping_parts(spark, monkeypatch):
     assert sorted(found) == list(range(901))
 
 
+def test_suffix_dedup_of_many_rows_without_id(spark):
+    """Rows that share an id (or have none) keep their own ranges, however many they are."""
+    passage, rng = brute_prose(1, 40), __import__("random").Random(4)
+    rows = [(None, f"{i} x" + (" " + passage if i % 50 == 7 else "")) for i in range(3000)]
+    rows += [(5, f"{i} {passage[:130]} {rng.random()}" if i % 3 else f"{i}") for i in range(60)]
+    got = suffix_result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == sorted(brute.removed_bytes(rows), key=key)
+    assert sum(r[2] > 0 for r in got) > 50
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_result(no_docs) == []
 
