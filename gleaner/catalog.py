@@ -19,7 +19,9 @@ from .functions import roles as R
 from .functions import salary as SAL
 from .functions import text as T
 from .operators import decide as D
+from .operators import paging as PGN
 from .operators import routing as RT
+from .operators import source_filters as SF
 from .plans import collection as C
 from .sources import sources as S
 
@@ -859,9 +861,38 @@ def str_31(spark, d):
     return df.select("id", F.when(F.col("description").contains("Perks\nPerk one"), F.lit("Perks")).alias("other_section"))
 
 
-@register("flt_14", _LEVER_SQL + "SELECT CAST(ord AS VARCHAR) AS id, location FROM lv WHERE location = 'Lehi, UT'")
+@register("flt_14", O.pay_with() + """
+SELECT source_id, CAST(ord AS VARCHAR) AS id, location FROM pf2 WHERE pplat = 'lever' AND title_ok
+  AND CASE source_id % 3 WHEN 0 THEN location = 'Remote - United States' WHEN 1 THEN location = 'Lehi, UT' ELSE true END
+UNION ALL
+SELECT source_id, 'R' || CAST(ord AS VARCHAR), nullif(location, '') FROM pf2 WHERE pplat = 'workday' AND title_ok AND (ord // 20) % 4 <> 0
+  AND (source_id % 3 <> 0 OR location IN ('Remote - United States', 'Lehi, UT'))""")
 def flt_14(spark, d):
-    return N.lever(_by(_payloads(spark, d), "lever"), location="Lehi, UT", convert=False).select("id", "location")
+    """Postings of Lever and Workday sources, each held to its own URL's parameters."""
+    pay = _payloads(spark, d)
+    urls = F.expr("""CASE WHEN platform = 'lever' THEN 'https://jobs.lever.co/co' || id ||
+        CASE id % 3 WHEN 0 THEN '?location=Remote+-+United+States&location=Lehi%2C%20UT' WHEN 1 THEN '?x=1&location=Lehi%2C%20UT' ELSE '?team=a' END
+      ELSE 'https://co' || id || '.wd5.myworkdayjobs.com/Board' ||
+        CASE id % 3 WHEN 0 THEN '?locations=Remote%20-%20United%20States&locations=Lehi%2C+UT&workerSubType=z' ELSE '?q=b' END END""")
+    sources = (pay.where("platform IN ('lever', 'workday')").select(F.col("source_id").alias("id"), "platform").distinct()
+               .withColumn("url", urls))
+    cols = ["source_id", "id", "location", "job_type", "departments"]
+    wd = N.workday(_by(pay, "workday"), CFG_A.locations)
+    postings = N.lever(_by(pay, "lever"), convert=False).select(*cols).unionByName(wd.where(~F.col("multi_location")).select(*cols))
+    return SF.apply_source_filters(postings, SF.source_filters(sources)).select("source_id", "id", "location")
+
+
+@register("flt_14_table", O.duck_with() + """,
+u AS (SELECT id, CASE WHEN contains(lower(url), 'lever') THEN 'lever' ELSE 'workday' END AS platform, url FROM f1
+      WHERE contains(url, 'jobs.lever.co') OR contains(url, 'myworkday'))
+SELECT id AS source_id, platform, 'location' AS field, 'Lehi, UT' AS wanted FROM u WHERE platform = 'lever'
+UNION ALL SELECT id, platform, 'locations', 'a1b2|c3 d4' FROM u WHERE id % 10 = 4
+UNION ALL SELECT id, platform, 'timeType', 'full' FROM u WHERE id % 10 = 4
+UNION ALL SELECT id, platform, 'jobFamilyGroup', 'x y|z' FROM u WHERE id % 10 = 5""")
+def flt_14_table(spark, d):
+    sources = _sources(spark, d).withColumn("platform", F.expr(
+        "CASE WHEN contains(url, 'jobs.lever.co') THEN 'lever' WHEN contains(url, 'myworkday') THEN 'workday' END"))
+    return SF.source_filters(sources).withColumn("wanted", F.array_join("wanted", "|"))
 
 
 _ASHBY_SQL = O.pay_with() + """,
@@ -1054,15 +1085,42 @@ def str_23(spark, d):
     return j.where(F.col("j.applyUrl").isNotNull()).select("source_id", U.strip_apply(F.col("j.applyUrl")).alias("url"))
 
 
-@register("win_6", _PHENOM_SQL + """, sized AS (SELECT source_id, ord // 200 AS page_no, count(*) AS n FROM pf2 WHERE pplat = 'phenom' GROUP BY 1, 2),
-stops AS (SELECT source_id, min(page_no) FILTER (WHERE n < 10) AS stop FROM sized WHERE page_no < 3 GROUP BY 1)
-SELECT source_id, count(*) AS pages_used FROM sized JOIN stops USING (source_id)
-WHERE page_no < 3 AND page_no <= coalesce(stop, page_no) GROUP BY source_id""")
+@register("win_6", _PHENOM_SQL + """,
+doubled AS (SELECT DISTINCT source_id FROM pf2 WHERE source_id % 16 = 13),
+sized AS (SELECT source_id, ord // 200 AS page_no, count(*) AS n FROM pf2 WHERE pplat = 'phenom' GROUP BY 1, 2),
+heads AS (SELECT source_id, ord // 200 AS page_no, count(*) AS n_jobs FROM ph GROUP BY 1, 2),
+landed AS (
+  SELECT s.source_id, CASE WHEN d.source_id IS NULL THEN page_no ELSE 2 * page_no END AS page_no, n, coalesce(n_jobs, 0) AS n_jobs
+  FROM sized s LEFT JOIN doubled d USING (source_id) LEFT JOIN heads USING (source_id, page_no)
+  UNION ALL SELECT source_id, 2 * page_no + 1, n, 0 FROM sized SEMI JOIN doubled USING (source_id)),
+stops AS (SELECT source_id, min(page_no) AS stop FROM landed WHERE page_no < 3 AND (n < 10 OR n_jobs = 0) GROUP BY 1)
+SELECT source_id, CAST(sum(n_jobs) AS BIGINT) AS n_jobs, CAST(max(page_no) AS INT) AS last_page
+FROM (SELECT l.* FROM landed l LEFT JOIN stops USING (source_id) WHERE page_no < 3 AND page_no <= coalesce(stop, page_no) AND n_jobs > 0)
+GROUP BY source_id""")
 def win_6(spark, d):
+    """Short page, page limit, and nothing new: some sources land every page twice."""
     pay = _by(_payloads(spark, d), "phenom")
-    p = pay.withColumn("_n", F.coalesce(F.size(F.from_json("body", N.PHENOM_SCHEMA)["data"]["jobs"]), F.lit(0)))
-    used = N.page_run(p, ["source_id"], stop=F.col("_n") < 10, max_pages=3)
-    return used.groupBy("source_id").agg(F.count_distinct("page_no").alias("pages_used"))
+    twice = F.col("source_id") % 16 == 13
+    first = F.when(twice, 2 * F.col("page_no")).otherwise(F.col("page_no")).cast("int")
+    again = pay.where(twice).withColumn("page_no", (2 * F.col("page_no") + 1).cast("int"))
+    pay = pay.withColumn("page_no", first).unionByName(again)
+    jobs = N.phenom(pay, convert=False, page_size=10, max_pages=3, stop_without_news=True)
+    return jobs.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.max("page_no").alias("last_page"))
+
+
+@register("win_6_offsets", O.pay_with() + """,
+sized AS (SELECT pplat AS platform, source_id, ord // 400 AS page_no, count(*) AS n FROM pf2 WHERE pplat IN ('workday', 'netflix') GROUP BY ALL),
+totals AS (SELECT source_id, sum(n) AS total FROM sized GROUP BY 1),
+stops AS (SELECT source_id, min(page_no) AS stop FROM sized JOIN totals USING (source_id)
+          WHERE CASE platform WHEN 'workday' THEN (page_no + 1) * 50 >= total ELSE n < 15 OR page_no * 15 + n >= total END GROUP BY 1)
+SELECT platform, source_id, count(*) AS pages_used FROM sized LEFT JOIN stops USING (source_id)
+WHERE page_no <= coalesce(stop, page_no) GROUP BY ALL""")
+def win_6_offsets(spark, d):
+    """The offset rules of Workday and Netflix, with other page sizes than the landed ones."""
+    pay = _payloads(spark, d)
+    wd = N.workday_run(_by(pay, "workday").where(F.col("kind") == "list"), 50)
+    used = wd.unionByName(N.netflix_run(_by(pay, "netflix"), 15))
+    return used.groupBy("platform", "source_id").agg(F.count(F.lit(1)).alias("pages_used"))
 
 
 _ORACLE_SQL = O.pay_with() + """,
@@ -1125,10 +1183,28 @@ def nrm_17(spark, d):
     return N.netflix(_by(_payloads(spark, d), "netflix")).select("source_id", "id", "title", "url")
 
 
-@register("mth_3", O.pay_with() + """
+@register("mth_3", O.pay_with() + """,
+sized AS (SELECT source_id, ord // 400 AS page_no, count(*) AS n FROM pf2 WHERE pplat = 'workday' GROUP BY 1, 2),
+totals AS (SELECT source_id, sum(n) AS total FROM sized GROUP BY 1),
+landed AS (SELECT source_id, page_no FROM sized WHERE page_no % 3 <> 1 UNION ALL SELECT source_id, page_no + 1000000 FROM sized WHERE page_no % 4 = 0),
+wanted AS (SELECT source_id, unnest(generate_series(0, (CAST(total AS BIGINT) - 1) // 20)) AS page_no FROM totals)
+SELECT CAST(coalesce(w.source_id, l.source_id) AS INT) AS source_id, CAST(coalesce(w.page_no, l.page_no) AS BIGINT) AS page_no,
+       CASE WHEN l.source_id IS NULL THEN 'missing' ELSE 'surplus' END AS state
+FROM wanted w FULL JOIN landed l ON l.source_id = w.source_id AND l.page_no = w.page_no
+WHERE w.source_id IS NULL OR l.source_id IS NULL""")
+def mth_3(spark, d):
+    """Landed Workday pages with holes and pages too many, against the stated totals."""
+    pay = _by(_payloads(spark, d), "workday").where(F.col("kind") == "list")
+    totals = pay.groupBy("source_id").agg(F.max(F.get_json_object("body", "$.total").cast("long")).alias("total"))
+    landed = pay.where("page_no % 3 <> 1").select("source_id", "page_no").unionByName(
+        pay.where("page_no % 4 = 0").select("source_id", (F.col("page_no") + 1000000).alias("page_no")))
+    return PGN.page_gaps(totals, landed, 20)
+
+
+@register("mth_3_pages", O.pay_with() + """
 SELECT source_id, CAST(count(*) AS INT) AS total, CAST((count(*) + 19) // 20 AS INT) AS n_pages
 FROM pf2 WHERE pplat = 'workday' GROUP BY source_id""")
-def mth_3(spark, d):
+def mth_3_pages(spark, d):
     pay = _by(_payloads(spark, d), "workday").where(F.col("kind") == "list")
     tot = pay.select("source_id", F.from_json("body", N.WD_LIST)["total"].alias("total")).groupBy("source_id").agg(
         F.max("total").cast("int").alias("total"))
@@ -1177,24 +1253,71 @@ good AS (
   UNION ALL SELECT source_id, count(*) FROM pf2 WHERE pplat = 'workday' AND title_ok AND (ord // 20) % 8 = 0 GROUP BY 1
   UNION ALL SELECT source_id, count(DISTINCT CASE ord % 3 WHEN 2 THEN 'SEQ' || CAST(ord AS VARCHAR) ELSE url END)
   FROM pf2 WHERE pplat = 'phenom' AND title_ok GROUP BY 1)
-SELECT id AS source_id, company, CASE WHEN id % 9 = 4 AND status = 'success' THEN 'failed' ELSE status END AS status,
-  CASE WHEN status = 'success' AND id % 9 <> 4 THEN CAST(coalesce((SELECT sum(n) FROM good g WHERE g.source_id = p.id), 0) AS BIGINT)
-       ELSE 0 END AS jobs_found,
-  CASE WHEN id % 9 = 4 AND status = 'success' THEN 'Unreadable payload on page 0' ELSE error END AS error
+SELECT id AS source_id, company, CASE WHEN id % 9 IN (1, 2, 3, 4) AND status = 'success' THEN 'failed' ELSE status END AS status,
+  CASE WHEN status = 'success' AND id % 9 NOT IN (1, 2, 3, 4)
+         THEN CAST(coalesce((SELECT sum(n) FROM good g WHERE g.source_id = p.id), 0) AS BIGINT) ELSE 0 END AS jobs_found,
+  CASE WHEN id % 9 IN (1, 2, 3, 4) AND status = 'success' THEN
+         CASE id % 9 WHEN 2 THEN 'Empty' WHEN 3 THEN 'Unexpected' ELSE 'Unreadable' END || ' payload on page 0' ELSE error END AS error
 FROM planned p"""
 
 
+from .plans import payload_runs as PR  # noqa: E402
+
+
+def _spoilt_payloads(spark, d):
+    pay = _payloads(spark, d)
+    some = F.col("source_id") % 9
+    spoilt = some.isin(1, 2, 3, 4) & (F.col("page_no") == 0)
+    body = F.when(some == 1, "<html><body>502 Bad Gateway</body></html>").when(some == 2, " ").when(some == 3, "[]") \
+        .otherwise('{"jobs": [{"title"')
+    extra = pay.where(some.isin(1, 2, 3, 4)).select("source_id", "platform").distinct().select(
+        "source_id", "platform", F.lit("list").alias("kind"), F.lit(0).alias("page_no"), F.lit("").alias("key"), body.alias("body"))
+    return cut_lineage(pay.where(~spoilt).unionByName(extra))  # landed once, read by every platform's branch
+
+
+_DRY_PAY_SQL = _PHENOM_SQL + O.planned_cte("active AND NOT requires_js") + f""",
+rows AS (
+  SELECT source_id, title, role_expected, CASE WHEN pplat = 'workday' AND (ord // 20) % 8 = 0 THEN 2 ELSE 1 END AS m FROM pf2 WHERE
+    CASE pplat WHEN 'netflix' THEN (ord // 20) % 4 = 1 OR ord % 23 <> 0
+               WHEN 'ashby' THEN title_ok AND ord % 9 <> 0 WHEN 'bamboohr' THEN title_ok AND ord % 19 <> 0
+               WHEN 'oracle' THEN title_ok AND ord % 29 <> 0 AND (ord // 20) % 5 <> 0
+               WHEN 'phenom' THEN false ELSE title_ok END
+  UNION ALL SELECT source_id, title, role_expected, 1 FROM ph),
+counts AS (
+  SELECT source_id, sum(m) AS found,
+    sum(m) FILTER (WHERE role_expected IN ('engineering_manager', 'product_manager')) AS ok,
+    sum(m) FILTER (WHERE role_expected IN ('engineering_manager', 'product_manager') AND {O.like_any('title', CFG_A.blocked)}) AS blocked
+  FROM rows GROUP BY 1),
+base AS (
+  SELECT p.id AS source_id, p.company, p.status = 'success' AND p.id % 9 NOT IN (1, 2, 3, 4) AS fine, c.*  EXCLUDE (source_id)
+  FROM planned p LEFT JOIN counts c ON c.source_id = p.id),
+b AS (SELECT source_id, company, CASE WHEN fine THEN coalesce(found, 0) ELSE 0 END AS found,
+             CASE WHEN fine THEN coalesce(ok, 0) - coalesce(blocked, 0) ELSE 0 END AS would_add,
+             CASE WHEN fine THEN coalesce(found, 0) - coalesce(ok, 0) ELSE 0 END AS filtered,
+             CASE WHEN fine THEN coalesce(blocked, 0) ELSE 0 END AS blocked FROM base)
+SELECT CASE WHEN grouping(source_id, company) > 0 THEN 'TOTAL' ELSE company END AS company, source_id,
+       CAST(sum(found) AS BIGINT) AS found, CAST(sum(would_add) AS BIGINT) AS would_add,
+       CAST(sum(filtered) AS BIGINT) AS filtered, CAST(sum(blocked) AS BIGINT) AS blocked
+FROM b GROUP BY GROUPING SETS ((source_id, company), ())"""
+
+
+def _payload_dry(spark, d):
+    """The dry run by role and blocklist; locations only choose among a job's variants."""
+    cfg = D.FilterConfig(roles=["engineering_manager", "product_manager"], blocked=CFG_A.blocked)
+    planned = S.sources_all(_sources(spark, d))
+    return PR.dry_run(planned, _spoilt_payloads(spark, d), cfg, _run_ts(spark), locations=CFG_A.locations)
+
+
+@register("job_3_payloads", _DRY_PAY_SQL)
+def job_3_payloads(spark, d):
+    return _payload_dry(spark, d)[1]
+
+
 @register("job_1_payloads", _FOUND_SQL)
 def job_1_payloads(spark, d):
-    """JOB-1 on landed payload rows; the payloads of some sources are cut short."""
-    from .plans import payload_runs as PR
-    pay = _payloads(spark, d)
-    spoilt = (F.col("source_id") % 9 == 4) & (F.col("page_no") == 0)
-    extra = pay.where("source_id % 9 = 4").groupBy("source_id").agg(F.first("platform").alias("platform")).select(
-        "source_id", "platform", F.lit("list").alias("kind"), F.lit(0).alias("page_no"), F.lit("").alias("key"),
-        F.lit('{"jobs": [{"title"').alias("body"))
-    from .session import cut_lineage
-    pay = cut_lineage(pay.where(~spoilt).unionByName(extra))  # landed once, read by every platform's branch
+    """JOB-1 on landed payload rows; the first payloads of some sources are an error
+    page, empty, of another shape, or cut short."""
+    pay = _spoilt_payloads(spark, d)
     _, results = PR.collection_run(_sources(spark, d), pay, None, CFG_A, _run_ts(spark), convert=False)
     return results.select("source_id", "company", "status", "jobs_found", "error")
 

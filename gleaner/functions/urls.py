@@ -75,7 +75,7 @@ def workday_source(url: Column) -> Column:
     base = F.concat(F.lit("https://"), h)
     parts = F.filter(_path_parts(url), lambda p: ~p.isin("en-US", "recruiting"))
     c1 = _extract(h, r"^([^.]+)\.(wd\d+)\.myworkday(?:jobs|site)\.com")
-    p1 = F.when(F.lower(F.try_element_at(parts, F.lit(1))) == F.lower(c1), F.slice(parts, 2, 1 << 20)).otherwise(parts)
+    p1 = F.when(F.lower(F.try_element_at(parts, F.lit(1))) == F.lower(c1), F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(0)))).otherwise(parts)
     board1 = F.coalesce(F.try_element_at(p1, F.lit(1)), c1)
     shape2 = h.rlike(r"^(wd\d+)\.myworkday(?:jobs|site)\.com")
     c2 = F.try_element_at(parts, F.lit(1))
@@ -92,7 +92,7 @@ def workday_job(url: Column) -> Column:
     h = host(url)
     parts = _path_parts(url)
     idx = F.array_position(parts, "job")
-    job_path = F.when(idx > 0, F.concat(F.lit("/"), F.array_join(F.slice(parts, F.greatest(idx, F.lit(1)).cast("int"), 1 << 20), "/")))
+    job_path = F.when(idx > 0, F.concat(F.lit("/"), F.array_join(F.slice(parts, F.greatest(idx, F.lit(1)).cast("int"), F.greatest(F.size(parts), F.lit(0))), "/")))
     c1 = _extract(h, r"^([^.]+)\.(wd\d+)\.myworkday(?:jobs|site)\.com")
     board1 = F.when(idx > 1, F.try_element_at(parts, (idx - 1).cast("int"))).otherwise(c1)
     clean = F.filter(parts, lambda p: ~p.isin("recruiting", "en-US"))
@@ -138,7 +138,7 @@ def query_pairs(url: Column) -> Column:
     # value = text after the first '='
     pairs = F.transform(F.split(q, "&"), lambda p: F.struct(
         F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
-        F.try_url_decode(F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, 1 << 20))
+        F.try_url_decode(F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p)))
                           .otherwise(F.lit(""))).alias("v")))
     return F.filter(pairs, lambda s: F.coalesce(s["v"], F.lit("")) != "")
 

@@ -23,6 +23,7 @@ from ..functions import filters as FL
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from .paging import at_total, before_stop, without_news
 
 DETAIL_COLS = ["source_id", "page_no", "pos", "id", "title", "url", "company", "location", "job_type",
                "salary", "description", "requirements", "departments"]
@@ -284,11 +285,23 @@ def facet_locations(facets_body: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
-def workday(payloads: DataFrame, target_locations: Sequence[str] | None) -> DataFrame:
+def workday_run(payloads: DataFrame, page_size: int) -> DataFrame:
+    """WIN-6 for Workday: listing pages up to the first empty one, or the one whose next
+    offset reaches the stated total; other rows stay."""
+    lists = payloads.where(F.col("kind") == "list")
+    p = lists.withColumn("_p", F.from_json("body", WD_LIST))
+    empty = F.coalesce(F.size("_p.jobPostings"), F.lit(0)) <= 0
+    stop = empty | at_total(F.col("page_no"), page_size, F.coalesce(F.col("_p.total"), F.lit(0)))
+    return before_stop(lists, p.where(stop)).unionByName(payloads.where(F.col("kind") != "list"))
+
+
+def workday(payloads: DataFrame, target_locations: Sequence[str] | None, page_size: int | None = None) -> DataFrame:
     """NRM-9 + NRM-10 (+ JN-4, WIN-4, STR-22): listing pages; a multi-location
     job is looked up once in its facet payload and expanded to one posting
     per targeted location (URL city rewritten); no variant -> original URL
-    with NULL location; later sightings of a resolved job are dropped."""
+    with NULL location; later sightings of a resolved job are dropped. All landed
+    pages count unless ``page_size`` asks for the offset rule (WIN-6)."""
+    payloads = payloads if page_size is None else workday_run(payloads, page_size)
     j = _explode(payloads.where(F.col("kind") == "list"), WD_LIST, lambda p: p["jobPostings"])
     j = j.where(FL.valid_record(F.col("j.title"), F.col("j.externalPath")))
     path = X.strip(F.col("j.externalPath"))
@@ -329,15 +342,16 @@ PHENOM_SCHEMA = ("struct<data:struct<jobs:array<struct<title:string,applyUrl:str
 
 
 def phenom(payloads: DataFrame, convert: bool = True, page_size: int | None = None,
-           max_pages: int | None = None) -> DataFrame:
+           max_pages: int | None = None, stop_without_news: bool = False) -> DataFrame:
     """NRM-13 (+ WIN-3 fixed form): apply URL, else absolute, else built from
     the sequence number; trailing '/apply' stripped; first sighting of a URL
     per source kept. All landed pages count; ``page_size`` (stop at the first
-    shorter page) and ``max_pages`` cut the run only when given (WIN-6)."""
+    shorter page), ``max_pages`` and ``stop_without_news`` (stop at the first page
+    without a URL that is new to the source) cut the run only when given (WIN-6)."""
     p = payloads.withColumn("_p", F.from_json("body", PHENOM_SCHEMA))
-    if page_size is not None or max_pages is not None:
-        short = F.lit(False) if page_size is None else F.coalesce(F.size("_p.data.jobs"), F.lit(0)) < page_size
-        p = page_run(p, ["source_id"], stop=short, max_pages=max_pages)
+    if max_pages is not None:
+        p = p.where(F.col("page_no") < max_pages)
+    landed = p
     j = p.select("*", F.posexplode_outer("_p.data.jobs").alias("pos", "j")).where(F.col("j").isNotNull())
     seq = F.coalesce(F.when(F.col("j.jobSeqNo") != "", F.col("j.jobSeqNo")), F.when(F.col("j.jobId") != "", F.col("j.jobId")))
     built = F.when(seq.isNotNull(), F.concat(F.col("key"), F.lit("/job/"), seq))
@@ -347,6 +361,8 @@ def phenom(payloads: DataFrame, convert: bool = True, page_size: int | None = No
         (F.coalesce(X.strip(F.col("j.title")), F.lit("")) != "") & F.col("_url").isNotNull() & (F.col("_url") != ""))
     j = j.select("source_id", "page_no", "pos", "key", "j", "_url")
     j = first_per_key(j, ["source_id", "_url"], ["page_no", "pos"])
+    stops = phenom_stops(landed, j, page_size, stop_without_news)
+    j = j if stops is None else before_stop(j, stops)
     teaser = F.coalesce(F.when(F.col("j.descriptionTeaser") != "", F.col("j.descriptionTeaser")),
                         F.when(F.col("j.ml_job_parser.descriptionTeaser_first200") != "",
                                F.col("j.ml_job_parser.descriptionTeaser_first200")), F.lit(""))
@@ -356,6 +372,17 @@ def phenom(payloads: DataFrame, convert: bool = True, page_size: int | None = No
                    job_type=F.col("j.type"), description=H.clean_html(teaser) if convert else teaser)
 
 
+def phenom_stops(landed: DataFrame, firsts: DataFrame, page_size: int | None, stop_without_news: bool) -> DataFrame | None:
+    """Pages that end a source's run: shorter than ``page_size``, or without a new URL."""
+    stops = []
+    if page_size is not None:
+        short = F.coalesce(F.size("_p.data.jobs"), F.lit(0)) < page_size
+        stops.append(landed.where(short).select("source_id", "page_no"))
+    if stop_without_news:
+        stops.append(without_news(landed, firsts))
+    return None if not stops else stops[0] if len(stops) == 1 else stops[0].unionByName(stops[1])
+
+
 def page_run(pages: DataFrame, keys: list[str], stop: Column, max_pages: int | None = None) -> DataFrame:
     """WIN-6: keep pages in order up to and including the first page that
     stops the run (empty / short / nothing new), at most ``max_pages``.
@@ -379,6 +406,7 @@ def pages_complete(total: Column, page_size: int) -> Column:
 # -------------------------------------------------------------------- Oracle
 ORACLE_SCHEMA = ("struct<items:array<struct<TotalJobsCount:bigint,requisitionList:array<struct<Id:string,Title:string,"
                  "PostedDate:string,PrimaryLocation:string,ShortDescriptionStr:string>>>>>")
+# Fixed value: the address of a posting before its id.
 ORACLE_JOB_URL = "https://careers.oracle.com/en/sites/jobsearch/jobs/preview/"
 
 
@@ -402,11 +430,23 @@ def oracle(payloads: DataFrame, now: Column, page_size: int | None = None, days:
 # ------------------------------------------------------------------- Netflix
 NETFLIX_SCHEMA = ("struct<count:bigint,positions:array<struct<id:string,name:string,posting_name:string,"
                   "ats_job_id:string,canonicalPositionUrl:string>>>")
+# Fixed value: where postings without an address of their own are shown.
 NETFLIX_JOB_URL = "https://explore.jobs.netflix.net/careers/job/"
 
 
-def netflix(payloads: DataFrame) -> DataFrame:
-    """NRM-17: name else posting_name; canonical URL else id URL."""
+def netflix_run(payloads: DataFrame, page_size: int) -> DataFrame:
+    """WIN-6 for Netflix: pages up to the first that is short, or whose items reach the
+    stated total."""
+    p = payloads.withColumn("_p", F.from_json("body", NETFLIX_SCHEMA))
+    n = F.greatest(F.coalesce(F.size("_p.positions"), F.lit(0)), F.lit(0))
+    stop = (n < page_size) | at_total(F.col("page_no"), page_size, F.coalesce(F.col("_p.count"), F.lit(0)), n)
+    return before_stop(payloads, p.where(stop))
+
+
+def netflix(payloads: DataFrame, page_size: int | None = None) -> DataFrame:
+    """NRM-17: name else posting_name; canonical URL else id URL. All landed pages
+    count unless ``page_size`` asks for the offset rule (WIN-6)."""
+    payloads = payloads if page_size is None else netflix_run(payloads, page_size)
     j = _explode(payloads, NETFLIX_SCHEMA, lambda p: p["positions"])
     name = F.coalesce(F.when(F.col("j.name") != "", F.col("j.name")),
                       F.when(F.col("j.posting_name") != "", F.col("j.posting_name")), F.lit(""))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.decide import FilterConfig
-from ..sources.logs import read_log, write_lines
+from ..sources.logs import number_lines, read_log, write_lines
 from ..sources.sinks import append_hashes, new_jobs, stored_hashes, updated_rows
 from ..sources.updates import current_rows, read_updates, write_update
 from .collection import collection_run, dry_run, plan, run_log, touch_sources
@@ -79,15 +79,29 @@ def run_second_pass_from_pages(spark: SparkSession, sources: DataFrame, jobs_pat
     return run_second_pass(spark, jobs_path, updates_path, details, version, run_ts)
 
 
+def export_decisions(decided: DataFrame, lines_out: str) -> None:
+    """The decision lines as text, numbered in run order (source, then place in it)."""
+    from ..operators.decide import decision_line
+    lines = decided.select("source_order", "ord", decision_line(F.col("source_company"), F.col("decision"), F.col("reason"),
+                                                                F.col("title")).alias("line"))
+    write_lines(number_lines(lines, ["source_order", "ord", "line"]), lines_out)
+
+
 def run_dry(sources: DataFrame, postings: DataFrame, cfg: FilterConfig, lines_out: str | None = None):
     """JOB-3: decisions and counters; optionally the decision lines as text."""
-    from ..operators.decide import decision_line
     decided, counters = dry_run(sources, postings, cfg)
     if lines_out:
-        lines = decided.select((F.col("source_order") * 1_000_000_000_000 + F.col("ord")).alias("line_no"),
-                               decision_line(F.col("source_company"), F.col("decision"), F.col("reason"),
-                                             F.col("title")).alias("line"))
-        write_lines(lines, lines_out)
+        export_decisions(decided, lines_out)
+    return decided, counters
+
+
+def run_dry_from_payloads(sources: DataFrame, payloads: DataFrame, cfg: FilterConfig, now: Column,
+                          lines_out: str | None = None):
+    """JOB-3 from landed payload rows; optionally the decision lines as text."""
+    from .payload_runs import dry_run as payload_dry_run
+    decided, counters = payload_dry_run(sources, payloads, cfg, now)
+    if lines_out:
+        export_decisions(decided, lines_out)
     return decided, counters
 
 

@@ -9,9 +9,11 @@ numbered by position, which keeps their order exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def read_log(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     """SRC-9: (file, line_no, line). ``numbered`` reads our own export format."""
@@ -27,6 +29,19 @@ def read_log(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame
                         ).select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
+def number_lines(lines: DataFrame, order: list[str], line_no: str = "line_no") -> DataFrame:
+    """Lines with their number from 1 in the order of ``order`` (of any sortable type):
+    sorted by ranges over all tasks, counted per range, and the counts added up. Lines
+    that share a place in the order keep one each."""
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged).withColumn("_part", F.shiftright("_id", 33))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # one row per range
+    lead = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.join(counts.select("_part", lead.alias("_lead")), "_part")
+    number = F.col("_lead") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return out.withColumn(line_no, number).drop("_id", "_part", "_lead")
+
+
 def write_lines(lines: DataFrame, path: str, line_no: str = "line_no", line: str = "line") -> None:
     """SNK-6 text export: ``<line_no>\\t<line>`` so order survives the round trip."""
     (lines.select(F.format_string("%d\t%s", F.col(line_no), F.col(line)).alias("value"))
