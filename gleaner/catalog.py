@@ -423,6 +423,20 @@ def job_5(spark, d):
     return _diff(spark, d).select(*_DIFF_COLS.split(", ")).orderBy("company", "title")
 
 
+@register("job_5_lossless", O.diff_ctes() + f""",
+ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, company, title ORDER BY source_id DESC, ord DESC) AS rn FROM dec) WHERE rn = 1)
+SELECT coalesce(a.company, b.company) AS company, coalesce(a.title, b.title) AS title, a.decision AS decision1, a.reason AS reason1,
+       b.decision AS decision2, b.reason AS reason2,
+       CASE WHEN b.decision IS NULL THEN 'only_in_run1' WHEN a.decision IS NULL THEN 'only_in_run2'
+            WHEN a.decision = 'FILTERED' AND b.decision = 'WOULD ADD' THEN 'newly_added'
+            WHEN a.decision = 'WOULD ADD' AND b.decision = 'FILTERED' THEN 'newly_filtered'
+            WHEN a.reason <> b.reason THEN 'reason_changed' ELSE 'unchanged' END AS bucket
+FROM (SELECT * FROM ends WHERE run_id = 1) a FULL JOIN (SELECT * FROM ends WHERE run_id = 2) b ON a.company = b.company AND a.title = b.title""")
+def job_5_lossless(spark, d):
+    """Two configurations decided in one pass, compared without the way through text."""
+    return DIF.compare_decisions(_f5(spark, d)).select(*_DIFF_COLS.split(", "))
+
+
 @register("srt_2", O.diff_ctes() + "SELECT company, title, bucket FROM diff WHERE bucket <> 'unchanged' ORDER BY company, title")
 def srt_2(spark, d):
     return _diff(spark, d).where(F.col("bucket") != "unchanged").select("company", "title", "bucket").orderBy("company", "title")
@@ -1425,9 +1439,33 @@ def nrm_14(spark, d):
     return PG.phenom_page(_f3(spark, d)).where(F.col("via") == "json_ld").select("page_id", "location", "job_type", "description")
 
 
-@register("nrm_15", _PH_SQL + "SELECT page_id, 'page' AS via FROM ph WHERE NOT use_ld")
+def _f7(spark, d):
+    """F7 detail pages that were fetched, the last fetch of each."""
+    pages = P2.last_pages(fx.detail_pages_df(spark, _postings(spark, d))).where("error IS NULL")
+    return pages.withColumn("url", F.lit("")).withColumnRenamed("url_hash", "page_id")
+
+
+_F7_SQL = O.duck_with() + f""",
+kinds AS ({fx.page_kinds_sql('duckdb')}),
+f7 AS (SELECT url_hash AS page_id, kind, t, {fx.page_body('duckdb')} AS body, 'About ' || t || chr(10) || chr(10) || '- Build things' AS about
+       FROM kinds WHERE kind <> 4)
+"""
+
+
+@register("nrm_11_text", _F7_SQL + "SELECT page_id, about AS description FROM f7 WHERE kind IN (0, 2)")
+def nrm_11_text(spark, d):
+    return PG.workday_page(_f7(spark, d)).select("page_id", "description")
+
+
+@register("nrm_15", _F7_SQL + """SELECT page_id, 'page' AS via, CASE WHEN kind = 1 THEN 'Menu' || chr(10) || chr(10) || body END AS description
+FROM f7 WHERE kind <> 0""")
 def nrm_15(spark, d):
-    return PG.phenom_page(_f3(spark, d)).where(F.col("via") == "page").select("page_id", "via")
+    return PG.phenom_page(_f7(spark, d)).where(F.col("via") == "page").select("page_id", "via", "description")
+
+
+@register("nrm_18_text", _F7_SQL + "SELECT page_id, about AS description FROM f7 WHERE kind = 0")
+def nrm_18_text(spark, d):
+    return PG.netflix_page(_f7(spark, d)).where(F.col("via") == "json_ld").select("page_id", "description")
 
 
 _NF_LOC = """CASE WHEN json_type(obj, '$.jobLocation') = 'OBJECT' THEN nullif(concat_ws(', ',
@@ -1448,9 +1486,9 @@ def nrm_18(spark, d):
         "page_id", "location", "job_type", "salary")
 
 
-@register("nrm_19", _NF_SQL + "SELECT page_id, 'page' AS via FROM nf WHERE NOT is_post")
+@register("nrm_19", _F7_SQL + "SELECT page_id, 'page' AS via, CASE WHEN kind = 1 THEN body END AS description FROM f7 WHERE kind <> 0")
 def nrm_19(spark, d):
-    return PG.netflix_page(_f3(spark, d)).where(F.col("via") == "page").select("page_id", "via")
+    return PG.netflix_page(_f7(spark, d)).where(F.col("via") == "page").select("page_id", "via", "description")
 
 
 @register("str_16", _NF_SQL + ", wdl AS (SELECT page_id, " + O.tele_sql(_WD_LOC, "json_extract_string(ldt, '$.jobLocationType')") +

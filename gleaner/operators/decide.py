@@ -144,6 +144,24 @@ def decide(postings: DataFrame, cfg: FilterConfig, stored: DataFrame | None = No
         dup = F.col("already_stored") | F.col("earlier_twin")
     else:
         dup = F.lit(False)
+    return _with_decision(df, dup, dry_run)
+
+
+def decide_runs(postings: DataFrame, runs: list[tuple[int, FilterConfig]]) -> DataFrame:
+    """Dry-run decisions of several configurations in one pass over the postings: a
+    posting's tests under each configuration are an array, which is exploded. Columns
+    as from ``decide``, and ``run_id``."""
+    tests = [F.struct(F.lit(run_id).alias("run_id"), role_targeted(F.col("role"), cfg.roles).alias("role_ok"),
+                      title_blocked(F.col("title"), cfg.blocked).alias("blocked"),
+                      location_targeted(F.col("location"), cfg.locations).alias("location_ok"),
+                      department_targeted(F.col("departments"), cfg.departments).alias("department_ok")) for run_id, cfg in runs]
+    # the role is worked out below the explode, once a posting
+    df = postings.select("*", classify_role(F.col("title")).alias("role")).select("*", F.explode(F.array(*tests)).alias("_t"))
+    return _with_decision(df.select("*", "_t.*").drop("_t"), F.lit(False), dry_run=True)
+
+
+def _with_decision(df: DataFrame, dup: Column, dry_run: bool) -> DataFrame:
+    """Step, decision and reason from the flags."""
     step = (F.when(~F.col("role_ok"), "role").when(F.col("blocked"), "blocked_title").when(dup, "duplicate")
              .when(~F.col("location_ok"), "location").when(~F.col("department_ok"), "department")
              .otherwise("added"))

@@ -42,7 +42,11 @@ def compare(run1: DataFrame, run2: DataFrame) -> DataFrame:
     tested in the order presence -> decision flip -> reason."""
     a = run1.select("company", "title", F.col("decision").alias("decision1"), F.col("reason").alias("reason1"))
     b = run2.select("company", "title", F.col("decision").alias("decision2"), F.col("reason").alias("reason2"))
-    j = a.join(b, ["company", "title"], "full")
+    return with_bucket(a.join(b, ["company", "title"], "full"))
+
+
+def with_bucket(j: DataFrame) -> DataFrame:
+    """SET-5: the bucket from the two runs' decisions and reasons."""
     bucket = (F.when(F.col("decision2").isNull(), "only_in_run1")
                .when(F.col("decision1").isNull(), "only_in_run2")
                .when((F.col("decision1") == "FILTERED") & (F.col("decision2") == "WOULD ADD"), "newly_added")
@@ -52,6 +56,18 @@ def compare(run1: DataFrame, run2: DataFrame) -> DataFrame:
     return j.withColumn("bucket", bucket)
 
 
+def compare_decisions(decisions: DataFrame) -> DataFrame:
+    """The diff of two runs from their decisions (``run_id`` 1 and 2), without the way
+    through text: no title is lost to the line pattern. One aggregate gives the last
+    decision of each run per (company, title); a hot key is combined map-side."""
+    def last(run: int, field: str):
+        mine = F.col("run_id") == run
+        return F.max_by(F.when(mine, F.col(field)), F.when(mine, F.struct("source_order", "ord")))
+
+    return with_bucket(decisions.groupBy("company", "title").agg(
+        *[last(run, field).alias(f"{field}{run}") for run in (1, 2) for field in ("decision", "reason")]))
+
+
 def bucket_sizes(diff: DataFrame) -> DataFrame:
     """AGG-6: rows per bucket plus the number of keys seen in each run."""
     return diff.agg(

@@ -8,25 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diff as DF
-from ..operators.decide import FilterConfig, decision_line
+from ..operators.decide import FilterConfig, decide_runs, decision_line
 from ..sources.logs import log_lines, tail
-from .collection import dry_run
+from .collection import listings_of, plan
 
 LINE_STRIDE = 1_000_000_000_000  # line numbers: source order, then posting order
 
 
 def decisions(sources: DataFrame, postings: DataFrame, runs: list[tuple[int, FilterConfig]]) -> DataFrame:
-    """(run_id, source_id, line_no, company, title, decision, reason) of dry runs."""
-    from .collection import plan
-    planned = plan(sources)
-    out = None
-    for run_id, cfg in runs:
-        decided, _ = dry_run(sources, postings, cfg, planned)
-        d = decided.select(F.lit(run_id).alias("run_id"), "source_id", "ord",
-                           (F.col("ord") * 2 + 1).alias("line_no"),
-                           F.col("source_company").alias("company"), "title", "decision", "reason", "step")
-        out = d if out is None else out.unionByName(d)
-    return out
+    """(run_id, source_id, line_no, company, title, decision, reason) of dry runs,
+    all decided in one pass over the postings."""
+    decided = decide_runs(listings_of(plan(sources), postings), runs)
+    return decided.select("run_id", "source_id", "source_order", "ord", (F.col("ord") * 2 + 1).alias("line_no"),
+                          F.col("source_company").alias("company"), "title", "decision", "reason", "step")
 
 
 def dry_run_log(dec: DataFrame) -> DataFrame:

@@ -145,3 +145,28 @@ def test_history_is_probed_without_an_exchange(spark, sf_small, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.sql("DROP TABLE IF EXISTS gleaner_hashes")
+
+
+def test_two_configurations_are_decided_in_one_scan(spark, sf_small):
+    diff = QUERIES["job_5_lossless"](spark, sf_small)
+    plan = diff._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [doc_id" in ln for ln in plan.splitlines()) <= 1, plan
+
+
+def test_titles_that_the_line_pattern_loses_stay_in_the_lossless_diff(spark):
+    from gleaner.operators import diff as DIF
+    from gleaner.operators.decide import FilterConfig, decide_runs, decision_line
+    postings = spark.createDataFrame(
+        [(1, i, "Co", t, "u", None, []) for i, t in enumerate(["Head of People's Team", "Product Manager", "Product Manager"])],
+        "source_order int, ord long, company string, title string, url string, location string, departments array<string>")
+    dec = decide_runs(postings, [(1, FilterConfig.parse(roles="product_manager")), (2, FilterConfig.parse(blocked="manager"))])
+    whole = DIF.compare_decisions(dec)
+    assert sorted((r.title, r.bucket) for r in whole.collect()) == [("Head of People's Team", "newly_added"), ("Product Manager", "newly_filtered")]
+    lines = dec.select("run_id", (F.col("ord") + 1).alias("line_no"), decision_line(F.col("company"), F.col("decision"), F.col("reason"), F.col("title")).alias("line"))
+    assert {r.title for r in DIF.parse_lines(lines).collect()} == {"Product Manager"}
+
+
+def test_descriptions_are_made_in_the_queries_that_claim_them(spark, sf_small):
+    for name in ("nrm_11_text", "nrm_15", "nrm_18_text", "nrm_19"):
+        df = QUERIES[name](spark, sf_small)
+        assert "description" in df.columns and "ArrowEvalPython" in _plan(df), name
