@@ -68,9 +68,14 @@ def test_encoder_gives_the_library_ids(rows):
     library = Tokenizer.from_file(PATH)
     encoder = TextEncoder(PATH)
     texts = [t or "" for _, t in rows] + TEXTS + ["ab " + t for t in TEXTS]
-    for _ in range(2):  # the second time from the caches
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [
-            library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.fast is not None
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts]
+    other = public_tokenizers.path("word_bpe_49k.json")  # not byte-level: by the library alone
+    library, encoder = Tokenizer.from_file(other), TextEncoder(other)
+    assert encoder.fast is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(TEXTS)] == [
+        library.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
 def expected(rows):
