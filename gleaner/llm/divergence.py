@@ -55,8 +55,11 @@ class TermCounts:
     def __init__(self, docs: DataFrame, min_docs: int = MIN_DOCS):
         text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
         rows = balance_input(docs.select(lang, source, text))
-        words = F.filter(F.split(lower_ascii(F.col("text")), BETWEEN), lambda w: w != "")
-        tagged = rows.select("lang", "source", F.transform(words, lambda w: F.concat("lang", F.lit(MARK), w)).alias("terms"))
+        # texts of ASCII alone are lowered as a whole; an empty word at an end leaves with the vocabulary
+        lower = F.when(F.octet_length("text") == F.char_length("text"), F.lower("text")).otherwise(lower_ascii(F.col("text")))
+        words = F.transform(F.split(lower, BETWEEN), lambda w: F.concat("lang", F.lit(MARK), w))
+        # read twice, by the fit and for the vectors
+        tagged = landed(rows.select("lang", "source", words.alias("terms")), "tagged-terms")
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MOST).fit(tagged)
         vector = F.unwrap_udt("vector")
         sums = (model.transform(tagged).select("lang", "source", vector.alias("v"))
@@ -85,7 +88,7 @@ def _vocabulary(docs: DataFrame, model) -> DataFrame:
     saved = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "tagged"))
     term = F.substring_index("tagged", MARK, -1)
     lang = F.left("tagged", F.length("tagged") - F.length(term) - 1)
-    return saved.select(lang.alias("lang"), "i", term.alias("term"))
+    return saved.select(lang.alias("lang"), "i", term.alias("term")).where("term <> ''")
 
 
 def pair_values(found: TermCounts) -> DataFrame:
