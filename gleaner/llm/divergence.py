@@ -62,12 +62,13 @@ class TermCounts:
         tagged = landed(rows.select("lang", "source", words.alias("terms")), "tagged-terms")
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MOST).fit(tagged)
         vector = F.unwrap_udt("vector")
-        sums = (model.transform(tagged).select("lang", "source", vector.alias("v"))
-                .select("lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))).alias("e"))
-                .groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n")))
+        # a term's number names its language too
+        sums = (model.transform(tagged).select("source", vector.alias("v"))
+                .select("source", F.explode(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))).alias("e"))
+                .groupBy("source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n")))
         vocabulary = _vocabulary(docs, model)
         kept = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"))
-        counts = landed(sums.join(vocabulary, ["lang", "i"]).select("lang", "source", "term", "n"), "term-counts")
+        counts = landed(sums.join(vocabulary, "i").select("lang", "source", "term", "n"), "term-counts")
         totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = (rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
                   .join(kept, "lang", "left").na.fill(0, ["total", "kept"]))
