@@ -21,7 +21,8 @@ HEADLINE = {
     "job_3_dry_run": "job_3",
     "job_4_discovery": "job_4",
     "job_5_run_diff": "job_5",
-    "job_2_second_pass": "job_2",
+    "job_2_second_pass": "job_2_details",
+    "job_2_from_pages": "job_2",
     "udf_1_pages_markdown": "udf_1",
     "nrm_all_payloads": "all_payloads",
     "nrm_20_generic_links": "nrm_20",
