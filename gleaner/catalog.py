@@ -8,6 +8,7 @@ match the oracle's.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,22 @@ def str_19(spark, d):
                     RT.source_error(p, F.col("url")).alias("error"))
 
 
+@register("str_19_ids", O.duck_with() + """
+SELECT ord, CASE WHEN ord % 4 = 0 THEN 'co' || source_id WHEN ord % 4 = 1 THEN 'board' || source_id END AS slug,
+       CASE ord % 4 WHEN 2 THEN 'R' || ord WHEN 3 THEN NULL ELSE CAST(ord AS VARCHAR) END AS job_id
+FROM f2""")
+def str_19_ids(spark, d):
+    """Job ids from the URLs of postings: BambooHR, Greenhouse, Workday, and a URL without one."""
+    p = _postings(spark, d).withColumn("u", F.expr("""CASE ord % 4
+        WHEN 0 THEN 'https://co' || source_id || '.bamboohr.com/careers/' || ord || '?source=x'
+        WHEN 1 THEN 'https://boards.greenhouse.io/board' || source_id || '/jobs/' || ord || '?gh_src=a'
+        WHEN 2 THEN '/job/Salt-Lake-City/Product-Manager_R' || ord || '/' ELSE url END"""))
+    u, kind = F.col("u"), F.col("ord") % 4
+    return p.select("ord", F.coalesce(U.bamboohr_subdomain(u), U.greenhouse_slug(u)).alias("slug"),
+                    F.when(kind == 2, U.workday_job_id(u)).otherwise(
+                        F.coalesce(U.bamboohr_job_id(u), U.greenhouse_job_id(u))).alias("job_id"))
+
+
 @register("flt_6", O.with_planned() + "SELECT id AS source_id, company, status, error FROM planned WHERE status = 'skipped'")
 def flt_6(spark, d):
     planned = RT.plan_sources(S.active_sources(_sources(spark, d)))
@@ -359,8 +376,13 @@ def str_29(spark, d):
 
 
 # ------------------------------------------------------------------ salary
-@register("str_4", O.duck_with() + "SELECT ord, salary_expected AS salary FROM f2")
+@register("str_4", O.duck_with() + "SELECT ord, CASE WHEN NOT contains(salary_expected, 'USD') THEN salary_expected END AS salary FROM f2")
 def str_4(spark, d):
+    return _postings(spark, d).select("ord", SAL.dollar_salary(F.regexp_replace(F.col("description"), r"\*", "")).alias("salary"))
+
+
+@register("str_4_5", O.duck_with() + "SELECT ord, salary_expected AS salary FROM f2")
+def str_4_5(spark, d):
     return _postings(spark, d).select("ord", SAL.extract_salary(F.col("description")).alias("salary"))
 
 
@@ -1197,6 +1219,27 @@ def nrm_17(spark, d):
     return N.netflix(_by(_payloads(spark, d), "netflix")).select("source_id", "id", "title", "url")
 
 
+def _with(*parts: str) -> str:
+    """Several of the payload oracles' CTEs after their common head."""
+    return O.pay_with() + "".join(p.removeprefix(O.pay_with()) for p in parts)
+
+
+@register("str_24_all", _with(_BAMBOO_SQL, _WD_SQL, _PHENOM_SQL, _ORACLE_SQL, _NETFLIX_SQL) + """
+SELECT 'bamboohr' AS platform, 'https://co' || source_id || '.bamboohr.com/careers/' || ord AS url FROM bb
+UNION ALL SELECT 'workday', url FROM wd_all
+UNION ALL SELECT 'phenom', eurl FROM ph
+UNION ALL SELECT 'oracle', 'https://careers.oracle.com/en/sites/jobsearch/jobs/preview/' || ord FROM orc
+UNION ALL SELECT 'netflix', CASE WHEN ord % 3 <> 0 THEN url ELSE 'https://explore.jobs.netflix.net/careers/job/' ||
+  CASE WHEN ord % 37 = 0 THEN 'JR' ELSE '' END || ord END FROM nf WHERE etitle <> ''""")
+def str_24_all(spark, d):
+    """The URL templates of all platforms that have one."""
+    pay = cut_lineage(_payloads(spark, d))
+    made = {"bamboohr": N.bamboohr_listing(_by(pay, "bamboohr")), "workday": N.workday(_by(pay, "workday"), CFG_A.locations),
+            "phenom": N.phenom(_by(pay, "phenom"), convert=False),
+            "oracle": N.oracle(_by(pay, "oracle"), _run_ts(spark), convert=False), "netflix": N.netflix(_by(pay, "netflix"))}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(p).alias("platform"), "url") for p, df in made.items()])
+
+
 @register("mth_3", O.pay_with() + """,
 sized AS (SELECT source_id, ord // 400 AS page_no, count(*) AS n FROM pf2 WHERE pplat = 'workday' GROUP BY 1, 2),
 totals AS (SELECT source_id, sum(n) AS total FROM sized GROUP BY 1),
@@ -1327,6 +1370,32 @@ def job_3_payloads(spark, d):
     return _payload_dry(spark, d)[1]
 
 
+_DISC_PAY_SQL = _with(_GH_SQL, _ASHBY_SQL, _BAMBOO_SQL, _PHENOM_SQL, _ORACLE_SQL) + O.planned_cte("active AND NOT requires_js") + f""",
+wanted AS (
+  SELECT source_id, {_GH_LOC} AS location, department FROM gh
+  UNION ALL SELECT source_id, location, department FROM pf2 WHERE pplat = 'lever' AND title_ok
+  UNION ALL SELECT source_id, array_to_string(parts, ' | '), department FROM ab
+  UNION ALL SELECT source_id, CASE WHEN ord % 7 = 0 THEN NULL WHEN ord % 3 = 0 THEN 'Lehi, UT' WHEN ord % 3 = 1 THEN 'CA' ELSE location END, NULL FROM bb
+  UNION ALL SELECT source_id, CASE (ord // 20) % 16 WHEN 0 THEN 'Lehi | San Jose | Remote - US' WHEN 8 THEN 'Lehi | San Jose | Remote - US'
+                                   WHEN 12 THEN 'Salt Lake City | Austin' WHEN 4 THEN NULL ELSE location END, NULL
+            FROM pf2 WHERE pplat = 'workday' AND title_ok
+  UNION ALL SELECT source_id, CASE WHEN (ord // 20) % 5 = 0 THEN coalesce(location, 'Unknown') || ' | Remote' ELSE location END, NULL FROM ph
+  UNION ALL SELECT source_id, CASE WHEN (ord // 20) % 6 = 0 THEN 'Remote - United States' ELSE location END, NULL FROM orc),
+listed AS (SELECT coalesce(s.extractor_type, 'unknown') AS platform_label, s.company, w.location, w.department
+           FROM wanted w JOIN planned s ON s.id = w.source_id AND s.status = 'success' AND s.id % 9 NOT IN (1, 2, 3, 4)),
+pvalues AS (
+  SELECT DISTINCT * FROM (
+    SELECT platform_label, company, 'location' AS kind, trim(unnest(string_split(location, ' | '))) AS value FROM listed
+    UNION ALL SELECT platform_label, company, 'department', department FROM listed) WHERE value IS NOT NULL AND value <> '')
+""" + _COUNTS_SQL
+
+
+@register("job_4_payloads", _DISC_PAY_SQL)
+def job_4_payloads(spark, d):
+    """JOB-4 on landed payload rows; sources with an unusable payload are left out."""
+    return PR.discovery(S.sources_all(_sources(spark, d)), _spoilt_payloads(spark, d), _run_ts(spark))
+
+
 @register("job_1_payloads", _FOUND_SQL)
 def job_1_payloads(spark, d):
     """JOB-1 on landed payload rows; the first payloads of some sources are an error
@@ -1733,7 +1802,7 @@ _DEPT_SQL = O.pay_with() + """,
 dep AS (
   SELECT source_id, CAST(source_id * 100 + CASE department WHEN 'Engineering' THEN 1 WHEN 'Data Science' THEN 2
                                                      WHEN 'Product' THEN 3 WHEN 'Sales' THEN 4 END AS BIGINT) AS dept_id,
-         department AS name, count(DISTINCT ord // 400) AS n_jobs
+         department AS name, count(*) AS n_jobs
   FROM pf2 WHERE pplat = 'greenhouse' AND department IS NOT NULL GROUP BY source_id, department)
 """
 

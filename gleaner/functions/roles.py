@@ -58,12 +58,25 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str]] | None = None)
     return spark.createDataFrame(rows, "priority INT, pattern STRING, role STRING")
 
 
+#: A table of rules is read as a list of at most so many.
+MOST_RULES = 1000
+
+
+def read_rules(rules: DataFrame, most: int = MOST_RULES) -> list:
+    """The rows of a rule table by priority; a table of more than ``most`` is an error."""
+    rows = rules.orderBy("priority").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a rule table may have {most} rows at most")
+    return rows
+
+
 def classify_role_by_table(df: DataFrame, title_col: str, key_cols: list[str],
                            rules: DataFrame) -> DataFrame:
-    """JN-9 table form: theta join on ``rlike`` against the (tiny, fixed-size)
-    rule table, then ``min_by(role, priority)`` per row. The rule table has a
-    proven size bound (one row per rule), so broadcasting it is safe; the
-    grouping is per input row key, never one hot group. Cross-check only."""
-    matched = df.select(*key_cols, F.lower(F.col(title_col)).alias("_t")).join(
-        F.broadcast(rules), F.expr("_t rlike pattern"), "left")
-    return matched.groupBy(*key_cols).agg(F.min_by("role", "priority").alias("role"))
+    """JN-9 table form: ``key_cols`` and ``role`` of each row, by rules that are kept in
+    a table. The table is read once, its size checked, and becomes an ordered ``CASE``:
+    no join, no grouping, and a title meets no rule after the first that fits."""
+    title = F.lower(F.col(title_col))
+    role = F.when(F.lit(False), F.lit(None).cast("string"))
+    for r in read_rules(rules):
+        role = role.when(F.rlike(title, F.lit(r.pattern)), F.lit(r.role))
+    return df.select(*key_cols, role.alias("role"))

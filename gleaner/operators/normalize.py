@@ -23,6 +23,7 @@ from ..functions import filters as FL
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from ..session import cut_lineage
 from .paging import at_total, before_stop, without_news
 
 DETAIL_COLS = ["source_id", "page_no", "pos", "id", "title", "url", "company", "location", "job_type",
@@ -499,11 +500,26 @@ def generic_payload(payloads: DataFrame) -> DataFrame:
 
 
 def last_detail_per_url(details: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """WIN-5 / JN-2 helper: the last detail seen for a URL within a source wins."""
+    """WIN-5 / JN-2 helper: the last detail seen for a URL within a source wins; of
+    details at one place (a page landed twice) one stays.
+
+    Keys and places alone are grouped. URLs seen more than once are landed, so Spark
+    knows their size when it joins them; details of other URLs pass as they are.
+    """
     order = order or ["page_no", "pos"]
-    cols = [c for c in details.columns if c not in ("source_id", "url")]
-    last = F.max_by(F.struct(*cols), F.struct(*order))
-    return details.groupBy("source_id", "url").agg(last.alias("_d")).select("source_id", "url", "_d.*")
+    keys = ["source_id", "url"]
+    places = details.groupBy(*keys, *order).agg(F.count("*").alias("n"))
+    at = F.struct(*order)
+    repeated = cut_lineage(places.groupBy(*keys).agg(F.max(at).alias("_at"), F.max_by("n", at).alias("_same"), F.sum("n").alias("_n"))
+                           .where("_n > 1").withColumnsRenamed({k: f"_{k}" for k in keys}).drop("_n"))
+    same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    kept = details.join(repeated, same_key, "left").where(F.col("_at").isNull() | (F.col("_at") == at))
+    cols = [c for c in details.columns if c not in keys]
+    out = kept.where(F.coalesce("_same", F.lit(1)) == 1).select(*keys, *cols)
+    if repeated.where("_same > 1").isEmpty():
+        return out
+    one = kept.where("_same > 1").groupBy(*keys).agg(F.first(F.struct(*cols)).alias("_d"))
+    return out.unionByName(one.select(*keys, "_d.*"))
 
 
 def attach_detail(listings: DataFrame, details: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.roles import read_rules
 
 # Explicit platform names, then URL domain fragments in order
 # (first match wins), then the fallback.
@@ -46,15 +47,13 @@ def domain_table(spark: SparkSession) -> DataFrame:
 
 
 def route_by_table(sources: DataFrame, domains: DataFrame) -> DataFrame:
-    """JN-8 table form (cross-check): theta join on ``contains`` against the
-    fixed 9-row domain table (broadcast, size bound = number of rules), then
-    ``min_by(platform, priority)`` per source."""
-    s = sources.select("id", "url", "extractor_type")
-    m = s.join(F.broadcast(domains), F.lower(s["url"]).contains(domains["domain"]), "left")
-    by_url = m.groupBy("id").agg(F.min_by("platform", "priority").alias("_url_platform"))
-    t = F.lower(F.col("extractor_type"))
-    return s.join(by_url, "id").select(
-        "id", F.when(t.isin(PLATFORMS), t).otherwise(F.coalesce("_url_platform", F.lit(FALLBACK))).alias("platform"))
+    """JN-8 table form: ``id`` and ``platform`` by domains that are kept in a table,
+    read once with its size checked; the first domain in the URL, by priority, counts."""
+    t, url = F.lower(F.col("extractor_type")), F.lower(F.col("url"))
+    platform = F.when(t.isin(PLATFORMS), t)
+    for r in read_rules(domains):
+        platform = platform.when(url.contains(F.lit(r.domain)), F.lit(r.platform))
+    return sources.select("id", F.coalesce(platform, F.lit(FALLBACK)).alias("platform"))
 
 
 def source_error(platform: Column, url: Column) -> Column:

@@ -256,14 +256,13 @@ def payloads(postings: DataFrame, run_ts: str) -> DataFrame:
 
 def greenhouse_departments(postings: DataFrame, block: int = 256) -> DataFrame:
     """Departments payload per Greenhouse source (JOB-6 input), landed in
-    bounded chunks: each row lists, per department, the pages (at most
-    ``block``) its jobs appear on, plus a nameless entry. A department's job
-    count is the sum over its chunks."""
+    bounded chunks: each row lists, per department, the jobs among ``block``
+    postings of the source, plus a nameless entry. A department's job count is
+    the sum over its chunks."""
     rows = postings.where(platform_of(F.col("source_id")) == "greenhouse")
-    page = F.floor(F.col("ord") / PAGE_SPAN).cast("int")
-    per = (rows.select("source_id", "department", page.alias("page")).distinct()
-           .groupBy("source_id", "department", F.floor(F.col("page") / block).cast("int").alias("chunk"))
-           .agg(F.array_sort(F.collect_list("page")).alias("jobs")))
+    chunk = F.floor(pos_in_source(F.col("ord")) / block).cast("int")
+    per = (rows.groupBy("source_id", "department", chunk.alias("chunk"))
+           .agg(F.array_sort(F.collect_list("ord")).alias("jobs")))
     idx = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ["Engineering", "Data Science", "Product", "Sales"]]),
                                       F.col("department")), F.lit(9))
     entry = F.struct((F.col("source_id") * 100 + idx).alias("id"),

@@ -13,7 +13,7 @@ from ..operators.normalize import normalise_all
 from ..session import cut_lineage
 from ..sources.sources import active_sources
 from .collection import dry_run_counters, listings_of, plan, run_counters, run_results
-from .discovery import profile_counts, profile_values
+from .discovery import platform_label, profile_counts, profile_values
 
 POSTING = ["source_id", "ord", "title", "url", "company", "location", "departments", "job_type", "salary",
            "description", "requirements"]
@@ -91,7 +91,7 @@ def dry_run(sources: DataFrame, payloads: DataFrame, cfg: FilterConfig, now: Col
 def discovery(sources: DataFrame, payloads: DataFrame, now: Column, extra: dict | None = None) -> DataFrame:
     """JOB-4 from payloads: distinct locations and departments per company and platform."""
     planned = plan_with_payloads(sources, payloads)
-    listings = listings_of(planned, payload_postings(payloads, now, None, extra, convert=False).drop("company"))
-    return profile_counts(profile_values(listings.select(
-        F.coalesce("extractor_type", F.lit("unknown")).alias("platform_label"),
-        F.col("source_company").alias("company"), "location", "departments")))
+    # read for the locations and for the departments: normalised once and landed
+    postings = cut_lineage(payload_postings(payloads, now, None, extra, convert=False).select("source_id", "location", "departments"))
+    return profile_counts(profile_values(listings_of(planned, postings).select(
+        platform_label().alias("platform_label"), F.col("source_company").alias("company"), "location", "departments")))

@@ -2,9 +2,9 @@
 LIM-1 tail, AGG-8 count.
 
 Line order is not a property of a distributed text read, so our exports
-write an explicit ``line_no`` with every line (``<line_no>\\t<line>``); plain
-log files (no numbers) are read one file per task with ``wholetext`` and
-numbered by position, which keeps their order exactly.
+write an explicit ``line_no`` with every line (``<line_no>\\t<line>``). Plain
+log files (no numbers) are read by splits, each line numbered by its place in
+its split and the lines of the file's splits before it.
 """
 
 from __future__ import annotations
@@ -23,10 +23,22 @@ def read_log(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame
             F.input_file_name().alias("file"),
             F.regexp_extract("value", r"^(\d+)\t", 1).cast("bigint").alias("line_no"),
             F.regexp_replace("value", r"^\d+\t", "").alias("line"))
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.input_file_name().alias("file"),
-                        F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line")
-                        ).select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+    return number_splits(spark.read.option("lineSep", "\n").text(path))
+
+
+def number_splits(raw: DataFrame) -> DataFrame:
+    """``file, line_no, line`` of files read as text, numbered from 1 in each file. Rows
+    of a split follow each other in one task, so a line's place in its split is its
+    distance from the split's first row; counts per split (a file has few) are added
+    up in the order of the splits. No task reads or numbers a whole file."""
+    split = ["file", "start"]
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                       F.col("value").alias("line"), F.monotonically_increasing_id().alias("_id"))
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_lead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return lines.join(sizes.drop("n"), split).select(
+        "file", (F.col("_lead") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
 
 
 def number_lines(lines: DataFrame, order: list[str], line_no: str = "line_no") -> DataFrame:
