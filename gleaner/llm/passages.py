@@ -3,8 +3,9 @@
 Every string of ``WORDS`` words is looked at, wherever it starts. Its anchor is the
 string of ``ANCHOR`` words in it whose first shingle has the least number, so equal
 strings have equal anchors. Only places whose anchor occurs twice send the digest of
-their whole string; equal digests are repeats. Neighbouring repeats that stand side
-by side in an earlier place too are one passage. Words compare lower-cased, as in
+their whole strings, gathered to stretches of neighbours with one anchor. Equal
+stretches are one kind, whose strings are compared once; equal digests are repeats.
+Neighbouring repeats that stand side by side in an earlier place too are one passage. Words compare lower-cased, as in
 shingles; line breaks are white space.
 """
 
@@ -67,61 +68,111 @@ def find_anchors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row_key long, mark long, n long")
 
 
-def find_strings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``did, row_key, pos, digest, paragraph, last, start, end`` of the strings whose
-    anchor is among the wanted ``marks`` of their row."""
+STRETCH = ("did long, row_key long, pos int, stretch long, digests array<long>, line int, start int, "
+           "lines array<int>, lasts array<int>, starts array<int>, ends array<int>")
+
+
+def find_stretches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``STRETCH``: neighbouring strings of one anchor that is among the
+    wanted ``marks`` of their row. ``stretch`` numbers what it reads, from its first
+    string to its last; the digests of its strings come with the first of equal ones of
+    a batch. Arrays hold, for each string, its lines and places (code points) counted
+    from those of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column("marks")
+            asked, seen = batch.column("marks"), set()
             for i, data, first, end, number in _texts(batch):
                 place, marks = anchors(number)
                 known = np.array(asked[i].as_py(), np.int64).view(np.uint64)
                 pos = np.flatnonzero(np.isin(marks[place], known))
+                if not len(pos):
+                    continue
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 lines = np.concatenate(([0], np.cumsum(data == 10)))
+                digest = digests(number, WORDS)[pos]
+                head = np.flatnonzero(np.concatenate(([True], place[pos][1:] != place[pos][:-1])))
+                tail = np.append(head[1:], len(pos)) - 1
+                name = scramble(digest[head] * _BASE + digest[tail] + (tail - head + 1).astype(np.uint64)).view(np.int64)
+                new = np.zeros(len(head), bool)
+                for k, x in enumerate(name.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        new[k] = True
+                size = tail - head + 1
                 a, z = first[pos], end[pos + WORDS - 1]
-                row = pa.array(np.full(len(pos), i))
+                line, start = lines[a][head], points[a][head]
+                bounds = pa.array(np.append(head, len(pos)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array((x - np.repeat(base, size)).astype(np.int32)))
+                         for x, base in ((lines[a], line), (lines[z], line), (points[a], start), (points[z], start))]
+                marked = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(size[new]))).astype(np.int32)),
+                    pa.array(digest[np.repeat(new, size)].view(np.int64))).take(
+                        pa.array(np.cumsum(new) - 1, mask=~new))
+                row = pa.array(np.full(len(head), i))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").take(row), batch.column("row_key").take(row), pa.array(pos),
-                     pa.array(digests(number, WORDS)[pos].view(np.int64)),
-                     *[pa.array(x) for x in (lines[a], lines[z], points[a], points[z])]],
-                    ["did", "row_key", "pos", "digest", "paragraph", "last", "start", "end"])
-
-    return rows.join(wanted, "row_key").select("did", "row_key", "text", "marks").mapInArrow(
-        run, "did long, row_key long, pos long, digest long, paragraph long, last long, start long, end long")
+                    [batch.column("did").take(row), batch.column("row_key").take(row), pa.array(pos[head].astype(np.int32)),
+                     pa.array(name), marked, pa.array(line.astype(np.int32)), pa.array(start.astype(np.int32)), *lists],
+                    [x.split()[0] for x in STRETCH.split(", ")])
+
+    return rows.join(wanted, "row_key").select("did", "row_key", "text", "marks").mapInArrow(run, STRETCH)
+
+
+def first_places(stretches: DataFrame) -> DataFrame:
+    """``stretch, i, j, class_did, class_key, class_pos, class_paragraph``: of each kind of
+    stretch, the strings from ``i`` to ``j`` that stand twice or more, side by side in
+    the row of their first place."""
+    at = F.struct("did", "row_key", "pos", "line", "lines")
+    kinds = landed(stretches.groupBy("stretch").agg(F.min(at).alias("at"), F.max("digests").alias("digests"), F.count("*").alias("n")),
+                   "kinds")
+    strings = kinds.select("stretch", "n", "at", F.posexplode("digests").alias("i", "digest"))
+    place = F.struct(F.col("at.did").alias("did"), F.col("at.row_key").alias("row_key"), (F.col("at.pos") + F.col("i")).alias("pos"),
+                     (F.col("at.line") + F.col("at.lines")[F.col("i")]).alias("line"))
+    firsts = strings.groupBy("digest").agg(F.min(place).alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    met = strings.select("stretch", "i", "digest").join(firsts, "digest").select(
+        "stretch", "i", F.col("first.did").alias("class_did"), F.col("first.row_key").alias("class_key"),
+        F.col("first.pos").alias("class_pos"), F.col("first.line").alias("class_paragraph"))
+    group = ["stretch", "class_did", "class_key", "shift"]
+    met = met.withColumn("shift", F.col("class_pos") - F.col("i"))
+    run = F.col("i") - F.row_number().over(Window.partitionBy(*group).orderBy("i"))  # a stretch has 19 strings at most
+    return met.withColumn("run", run).groupBy(*group, "run").agg(
+        F.min("i").alias("i"), F.max("i").alias("j"), F.min("class_pos").alias("class_pos"),
+        F.min("class_paragraph").alias("class_paragraph")).drop("shift", "run")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """The columns of ``repeated_paragraphs``, for each passage that occurs again.
 
-    The first place (smallest ``doc_id``, then line) of every string of ``WORDS``
-    words stays; the others are ``removed``, so of each word one place stays. A
-    passage is as long as it runs side by side with one first place. Null ``doc_id``
-    and equal rows are taken as there; null, empty and shorter texts and empty tables
-    have no passage.
+    The first place of every string of ``WORDS`` words stays (smallest ``doc_id``; of
+    rows that share it, the smaller row key; then the earlier place); the others are
+    ``removed``, so of each word one place stays. A passage is as long as it runs side
+    by side with one first place. Null ``doc_id`` and equal rows are taken as there;
+    null, empty and shorter texts and empty tables have no passage.
     """
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "row_key", "text")
     found = landed(find_anchors(rows), "anchors")
     again = found.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark")
     wanted = found.join(again, "mark").groupBy("row_key").agg(F.collect_set("mark").alias("marks"))
-    places = landed(find_strings(rows, wanted), "strings")
-    at = F.struct("did", "paragraph", "row_key", "pos")
-    firsts = places.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = places.join(firsts.drop("n"), "digest").select(
-        "did", "row_key", F.col("first.did").alias("class_did"), F.col("first.row_key").alias("class_key"),
-        (F.col("first.pos") - F.col("pos")).alias("shift"), "pos", "paragraph", "last", "start", "end",
-        F.col("first.paragraph").alias("class_paragraph"))
+    stretches = landed(find_stretches(rows, wanted), "stretches")
+    i, j = F.col("i"), F.col("j")
     group = ["did", "row_key", "class_did", "class_key", "shift"]
-    run = F.col("pos") - F.dense_rank().over(Window.partitionBy(*group).orderBy("pos"))
+    pieces = stretches.drop("digests").join(first_places(stretches), "stretch").select(
+        "did", "row_key", "class_did", "class_key", (F.col("class_pos") - F.col("pos") - i).alias("shift"),
+        (F.col("pos") + i).alias("low"), (F.col("pos") + j).alias("high"), "class_paragraph",
+        (F.col("line") + F.col("lines")[i]).alias("paragraph"), (F.col("line") + F.col("lasts")[j]).alias("last"),
+        (F.col("start") + F.col("starts")[i]).alias("start"), (F.col("start") + F.col("ends")[j]).alias("end"))
     # equal rows share all of this: all but one of them go as well
-    copies = (F.count("*") / (F.max("pos") - F.min("pos") + 1)).cast("long")
-    out = met.withColumn("run", run).groupBy(*group, "run").agg(
-        F.min("paragraph").alias("paragraph"), F.max("last").alias("last"), F.min("start").alias("start"),
-        F.max("end").alias("end"), F.min("class_paragraph").alias("class_paragraph"), copies.alias("copies"))
+    pieces = pieces.repartition(*group).groupBy(*pieces.columns).agg(F.count("*").alias("copies"))
+    by_place = Window.partitionBy(*group).orderBy("low")
+    apart = F.coalesce((F.col("low") > F.lag("high").over(by_place) + 1).cast("int"), F.lit(0))
+    pieces = pieces.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_place))
+    out = pieces.groupBy(*group, "run").agg(
+        F.min("paragraph").alias("paragraph"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min("class_paragraph").alias("class_paragraph"), F.max("copies").alias("copies"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     kept = (F.col("did") == F.col("class_did")) & (F.col("row_key") == F.col("class_key")) & (F.col("shift") == 0)
     null_id = F.lit(NO_ID)
-    return out.select(F.nullif("did", null_id).alias("doc_id"), "row_key", "paragraph", "last", "start", "end",
-                      F.nullif("class_did", null_id).alias("class_doc_id"), "class_paragraph",
+    return out.select(F.nullif("did", null_id).alias("doc_id"), "row_key",
+                      *[F.col(c).cast("long").alias(c) for c in ("paragraph", "last", "start", "end")],
+                      F.nullif("class_did", null_id).alias("class_doc_id"), F.col("class_paragraph").cast("long").alias("class_paragraph"),
                       (~kept | (F.col("copy") > 1)).alias("removed"))
