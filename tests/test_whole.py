@@ -92,3 +92,14 @@ def test_content_is_chosen_before_decoding():
 def test_repr_of_odd_characters(spark, value):
     frame = spark.createDataFrame([(value,)], "v string")
     assert frame.select(X.py_repr(F.col("v"))).first()[0] == repr(value)
+
+
+def test_str_4_takes_both_salary_forms(spark, sf_small):
+    """The USD form is read when there is no dollar form."""
+    import __spark_entry__ as E
+    from gleaner.fixtures import f2_sql
+    spark.read.parquet(f"{sf_small}/documents.parquet").createOrReplaceTempView("documents")
+    want = {r.ord: r.salary_expected for r in spark.sql(f2_sql("spark")).collect()}
+    got = {r.ord: r.salary for r in E.queries()["str_4"](spark, sf_small).collect()}
+    assert got == want
+    assert any("USD" in s for s in got.values() if s) and any(s.startswith("$") for s in got.values() if s)
