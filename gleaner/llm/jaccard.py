@@ -37,11 +37,11 @@ BLOCK = 400
 LARGE_SHARE = 1 / 200_000
 #: Sets of a task that are remembered to send equal ones once.
 SEEN = 1_000_000
-#: A token that more than this share of sampled sets have comes last; the list is
+#: A token that more than this share of all sets have comes last; the list is
 #: at most the mean set size times its inverse.
 FREQUENT = 1 / 1000
-#: Sets that the frequent tokens are counted on (every k-th, for about so many).
-FREQUENT_SETS = 20_000
+#: Bits of a token that name its cell in the first count, and of those that name the cell's part.
+CELL_BITS, PART_BITS = 20, 6
 NO_ID = (1 << 63) - 1  # a null doc_id: never the smallest of its component
 
 SCHEMA = "did long, row_key long, n int, rid long, tokens binary"
@@ -202,19 +202,49 @@ def with_sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.select("did", "row_key", "text", "passed").mapInArrow(run, SCHEMA)
 
 
-def frequent_tokens(reps: DataFrame, n_sets: int) -> np.ndarray:
-    """Tokens that a large share of the sets have, counted on a bounded sample of
-    sets. The list only orders tokens: no result depends on it."""
-    every = max(1, n_sets // FREQUENT_SETS)
+def frequent_tokens(sets: DataFrame, n_sets: int) -> np.ndarray:
+    """Tokens that more than a FREQUENT share of all sets have (8 sets at least).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every token of every set counts. Tokens are counted by cells first, a bounded
+    table per task: a cell that is not over the limit holds no token that is. Only
+    tokens of the other cells are then counted by themselves."""
+    least = max(8, int(FREQUENT * n_sets))
+    cell = lambda tokens: tokens >> np.uint64(64 - CELL_BITS)
+    size = 1 << CELL_BITS - PART_BITS
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, some = np.zeros(1 << CELL_BITS, np.int64), False
+        for batch in batches:
+            if len(batch):
+                tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
+                counts += np.bincount(cell(tokens).view(np.int64), minlength=len(counts))
+                some = True
+        for part, x in enumerate(counts.reshape(-1, size) if some else ()):
+            narrow = np.min_scalar_type(int(x.max()))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([narrow.itemsize], pa.int32()),
+                                              pa.array([x.astype(narrow).tobytes()], pa.binary())], ["part", "width", "counts"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, width, x in zip(*(batch.column(c).to_pylist() for c in ("part", "width", "counts"))):
+                sums[part] = sums.get(part, 0) + np.frombuffer(x, f"u{width}").astype(np.int64)
+        for part, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(part * size + np.flatnonzero(x > least))], ["cell"])
+
+    cells = (sets.select("tokens").mapInArrow(tally, "part int, width int, counts binary")
+             .repartition(1 << PART_BITS, "part").mapInArrow(over, "cell long").toPandas())
+    full = np.zeros(1 << CELL_BITS, bool)
+    full[cells["cell"].to_numpy(np.int64)] = True
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in _sets(batch.column("tokens")):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
+            token, n = np.unique(tokens[full[cell(tokens)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    some = reps.where(F.pmod("rid", F.lit(every)) == 0).select("tokens").mapInArrow(run, "token long")
-    least = max(8, int(FREQUENT * n_sets / every))
-    found = some.groupBy("token").count().where(F.col("count") > least).select("token").toPandas()
+    found = (sets.select("tokens").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+             .where(F.col("n") > least).select("token").toPandas())
     return np.sort(found["token"].to_numpy(np.int64, copy=True).view(np.uint64))
 
 

@@ -457,6 +457,22 @@ def test_jaccard_join(docs, rows, monkeypatch, block, frequent):
     assert got == sorted(((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root)), key=key)
 
 
+def test_frequent_tokens_of_all_sets(spark, monkeypatch):
+    """Sets whose number a sample of every k-th would never meet count as well."""
+    import numpy as np
+
+    from gleaner.llm import jaccard
+    monkeypatch.setattr(jaccard, "FREQUENT_SETS", 10, raising=False)
+    monkeypatch.setattr(jaccard, "FREQUENT", 1 / 10)
+    # 1: in 100 of 200 sets, none of them a 20th; 2: in 21; 3: in 20, so not in more than a tenth
+    tokens = [sorted({1 << 60 | rid, *([1] if rid % 2 else []), *([2] if rid < 21 else []), *([3] if rid < 20 else [])})
+              for rid in range(200)]
+    sets = spark.createDataFrame([(rid, np.array(t, "<u8").tobytes()) for rid, t in enumerate(tokens)],
+                                 "rid long, tokens binary").repartition(7)
+    assert jaccard.frequent_tokens(sets, 200).tolist() == [1, 2]
+    assert len(jaccard.frequent_tokens(sets.limit(0), 1)) == 0
+
+
 def test_one_of_each_group_stays(docs, rows, no_docs):
     from gleaner.llm.jaccard import keep_one
     kept = keep_one(docs)
