@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import CHAR_OF
 from .common import keyed, landed
 
 CAPACITY, END_ID = 4096, 1  # fixed by the query contract
@@ -42,40 +43,38 @@ PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}
 RARE = re.compile("[^\\t\\n\\v\\f\\r\\x20-\\x7e¡-įı-ſ‐-‧‰-⁞€]|<\\|")
 
 
+class Words(dict):
+    """Ids of words, filled in by the vocabulary's merges as words are asked for."""
+
+    def __init__(self, library: Tokenizer):
+        self.merges = library.model
+        self.packed = [i.to_bytes(4, "little") for i in range(library.get_vocab_size())]
+
+    def __missing__(self, word: str) -> bytes:
+        marks = word if word.isascii() else "".join([CHAR_OF[b] for b in word.encode()])
+        ids = b"".join([self.packed[t.id] for t in self.merges.tokenize(marks)])
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """Token ids of texts, with a cache of words in front of the library."""
+    """Token ids of texts, with a cache of words in front of the library. Words of
+    common characters need only its merges: they are lowered, normal and split already."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[str, bytes] = {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self.words = Words(self.library)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if RARE.search(t) else PATTERN.findall(t.lower()) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        known = self.words
-        new = list({w for words in split if words for w in words if w not in known})
-        fresh = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            fresh.update(zip(part, self._packed(part)))
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_LENGTH)
-        out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out += self._packed([text])
-            else:
-                try:
-                    out.append(b"".join(map(known.__getitem__, words)))
-                except KeyError:
-                    out.append(b"".join([known.get(w) or fresh[w] for w in words]))
-        return out
+        ids_of = self.words.__getitem__
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if RARE.search(t)
+                else b"".join(map(ids_of, PATTERN.findall(t.lower()))) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -120,6 +120,35 @@ def test_bins_are_completed():
         assert bound(counts, 100) <= sum(t for t, _ in patterns) <= sum(t for t, _ in best_fit(counts, 100))
 
 
+def test_word_ids_without_the_library():
+    """Words of common characters take their ids from the merges alone; others go to the library."""
+    import random
+
+    from gleaner.llm.packing import WordEncoder
+    rng, library = random.Random(2), Tokenizer.from_file(WORD_BPE)
+    texts = ["".join(rng.choice("abcdETH  'snrvelm\n07\t!?-\u2019\u20ac\u00e9\u00df\u00c5\u0131\u0149\u017f\u00b5\u00bd\u00a0\u00ab\u00d7")
+                     for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["", "x" * 5000, "It's they'll WE'VE ''s !'s 'S", "\u00c9cole \u00dcBER na\u00efve \u2014 \u20ac5"]
+    rare = ["\u65e5\u672c", "<|endoftext|> a", "e\u0301", "\u0130x"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts + rare, add_special_tokens=False)]
+    encoder, asked = WordEncoder(WORD_BPE), []
+
+    class Library:
+        def encode(self, text, **options):
+            asked.append(text)
+            return library.encode(text, **options)
+
+        def encode_batch(self, some, **options):
+            asked.extend(some)
+            return library.encode_batch(some, **options)
+
+    encoder.library = Library()
+    assert encoder.encode(texts) == want[:len(texts)]
+    assert encoder.encode(texts + rare) == want
+    from gleaner.llm.packing import RARE
+    assert asked == [t for t in texts if RARE.search(t)] * 2 + rare
+
+
 def test_packing_of_nothing(no_docs):
     from gleaner.llm.packing import pack_documents
     assert pack_documents(no_docs, WORD_BPE).count() == 0
