@@ -236,8 +236,10 @@ def frequent_tokens(sets: DataFrame, n_sets: int) -> np.ndarray:
              .repartition(1 << PART_BITS, "part").mapInArrow(over, "cell long").toPandas())
     full = np.zeros(1 << CELL_BITS, bool)
     full[cells["cell"].to_numpy(np.int64)] = True
+    bits = np.packbits(full)  # what all tasks get
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.unpackbits(bits).view(bool)
         for batch in batches:
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
             token, n = np.unique(tokens[full[cell(tokens)]], return_counts=True)

@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds to them.
 
 The patterns label a bounded sample of documents; from these spans the tagger
-is trained (in numpy, on the driver). Then every text is read in whole: its
+is trained (in numpy, in one task). Then every text is read in whole: its
 patterns are found, and overlapping windows around every digit and ``@`` (no
 kind lacks both) are tagged. Where windows overlap, a character takes the tag
 of the window in which it lies deepest, so spans across a border join up. A
@@ -12,6 +12,7 @@ as a card number after another number.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -197,6 +198,18 @@ def train_tagger(labelled: list[tuple[str, list]], epochs: int = EPOCHS) -> BiLs
     return model
 
 
+def trained(docs: DataFrame) -> BiLstmCrf | None:
+    """``train_tagger`` on a sample of ``docs``, run by a task: the driver holds the
+    sample's few windows and the weights, not what the training keeps."""
+    labelled = training_windows(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(len(batch) for batch in batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_tagger(labelled))], pa.binary())], ["model"])
+
+    return pickle.loads(docs.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "model binary").collect()[0]["model"])
+
+
 def reconciled(length: int, cuts: list[tuple[int, int]], tags: np.ndarray) -> list[tuple[int, int, int]]:
     """Spans of one text from the tags of its windows."""
     best, tag = np.full(length, -1), np.zeros(length, np.int8)
@@ -295,4 +308,4 @@ def masked(text, spans):
 
 def detect_pii(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Train on a sample of ``docs``, then tag all of them (see ``find_pii``)."""
-    return find_pii(docs, train_tagger(training_windows(keyed(docs))), carry)
+    return find_pii(docs, trained(keyed(docs)), carry)

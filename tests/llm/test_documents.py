@@ -415,6 +415,19 @@ def test_tagger_gradients():
         assert (up - down) / (2 * step) == pytest.approx(g[name][at], rel=1e-4, abs=1e-7)
 
 
+def test_tagger_is_trained_by_a_task(spark, monkeypatch):
+    """The driver's memory does not hold the training; the weights are those of the same fit."""
+    from gleaner.llm import pii
+    docs = pii.keyed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    wanted = pii.train_tagger(pii.training_windows(docs))
+    here = lambda *a, **k: pytest.fail("trained on the driver")
+    monkeypatch.setattr(pii.BiLstmCrf, "fit", here)
+    got = pii.trained(docs)
+    assert got.p.keys() == wanted.p.keys() and all(np.allclose(got.p[k], wanted.p[k]) for k in got.p)
+    assert pii.detect_pii(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count() == docs.count()
+    assert pii.trained(docs.where("false")) is None
+
+
 def test_tagger_learns_and_adds(spark):
     """Held-out accuracy on labelled windows of a real table, and what it may add."""
     from gleaner.llm import pii
