@@ -20,23 +20,29 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import balance_input, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir
 from .common import landed, lower_ascii
 
 # Fixed values of the query contract: what separates terms, and the scale of shares.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 MIN_DOCS, TOP = 10, 10
-#: Ends the language's name in a fitted term; no term holds it.
-MARK = "\x00"
+#: Ends the language's name in a fitted term, and comes before a fitted term. No term holds
+#: them, nor does a name: one of other letters than these is written in hexadecimal.
+MARK, NEXT = "\x00", "\x01"
+PLAIN = r"^[a-z]+\z"
 MOST = 2**31 - 1
+#: Counts under it give shares in 64 bits.
+SMALL = 2**63 // SCALE - 2
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
     """``1 + floor(SCALE * (count + 2) / (total + 2 * kept))``, exact beyond 64 bits."""
     wide = lambda x: x.cast("decimal(28,0)")
-    return F.lit(1).cast("long") + F.call_function("div", wide(count + 2) * F.lit(SCALE).cast("decimal(10,0)"),
-                                                   wide(total + 2 * kept))
+    all_of = total + 2 * kept
+    return F.lit(1).cast("long") + F.when(
+        count < SMALL, F.call_function("div", (count.cast("long") + 2) * F.lit(SCALE).cast("long"), all_of)).otherwise(
+        F.call_function("div", wide(count + 2) * F.lit(SCALE).cast("decimal(10,0)"), wide(all_of)))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -44,41 +50,45 @@ def distance(p: Column, q: Column) -> Column:
 
 
 class TermCounts:
-    """Tables of one fit, all landed:
+    """Tables of one fit:
 
-    - ``groups``: ``lang, source, total, kept, none`` of each occurring group, with
-      the count of all kept terms, their number, and the share of a term with count 0
-    - ``terms``: ``lang, source, term, n, p`` of each kept term that a group has
-    - ``whole``: ``lang, term, q``, the term's share in its whole language
+    - ``groups``: ``lang, source, total, kept, none, lang_total`` of each occurring group,
+      with the count of all kept terms, their number, the share of a term with count 0,
+      and the count of all kept terms of the language
+    - ``terms``: ``i, lang, source, term, n, p, q, none`` of each kept term that a group has;
+      ``i`` is the number of a term and its language, ``q`` the term's share in the whole language
     """
 
     def __init__(self, docs: DataFrame, min_docs: int = MIN_DOCS):
         text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
-        rows = balance_input(docs.select(lang, source, text))
+        rows = docs.select(lang, source, text)
         # texts of ASCII alone are lowered as a whole; an empty word at an end leaves with the vocabulary
         lower = F.when(F.octet_length("text") == F.char_length("text"), F.lower("text")).otherwise(lower_ascii(F.col("text")))
-        words = F.transform(F.split(lower, BETWEEN), lambda w: F.concat("lang", F.lit(MARK), w))
-        # read twice, by the fit and for the vectors
-        tagged = landed(rows.select("lang", "source", words.alias("terms")), "tagged-terms")
+        name = F.concat(F.when(F.col("lang").rlike(PLAIN), F.col("lang")).otherwise(F.hex("lang")), F.lit(MARK))
+        tagged = F.concat(name, F.regexp_replace(lower, F.lit(BETWEEN), F.concat(F.lit(NEXT), name)))
+        # read twice, by the fit and for the vectors: one string a document; a task has few groups, so their sums are few
+        texts = landed(rows.hint("rebalance", "lang", "source").select("source", tagged.alias("text")), "tagged-terms")
+        tagged = texts.select("source", F.split("text", NEXT).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MOST).fit(tagged)
         vector = F.unwrap_udt("vector")
         # a term's number names its language too
         sums = (model.transform(tagged).select("source", vector.alias("v"))
-                .select("source", F.explode(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))).alias("e"))
-                .groupBy("source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.x").cast("long")).alias("n")))
+                .select("source", F.inline(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))))
+                .groupBy("source", "i").agg(F.sum(F.col("x").cast("long")).alias("n")))
         vocabulary = _vocabulary(docs, model)
         kept = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"))
-        counts = landed(sums.join(vocabulary, "i").select("lang", "source", "term", "n"), "term-counts")
+        # rows meet by their number, and are summed over the sources where they meet
+        whole = F.sum("n").over(Window.partitionBy("i")).alias("all")
+        counts = landed(sums.join(vocabulary, "i").select("i", "lang", "source", "term", "n", whole), "term-counts")
         totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = (rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
                   .join(kept, "lang", "left").na.fill(0, ["total", "kept"]))
         none = F.when(F.col("kept") > 0, share(F.lit(0), F.col("total"), F.col("kept")))
-        self.groups = landed(groups.withColumn("none", none), "groups")
-        self.terms = landed(counts.join(self.groups.select("lang", "source", "total", "kept"), ["lang", "source"])
-                            .select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("kept")).alias("p")), "terms")
-        langs = self.groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("kept").alias("kept"))
-        self.whole = (counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(langs, "lang")
-                      .select("lang", "term", share(F.col("n"), F.col("total"), F.col("kept")).alias("q")))
+        in_lang = F.sum("total").over(Window.partitionBy("lang"))
+        self.groups = landed(groups.withColumn("none", none).withColumn("lang_total", in_lang), "groups")
+        p, q = (share(F.col(n), F.col(total), F.col("kept")) for n, total in (("n", "total"), ("all", "lang_total")))
+        self.terms = counts.join(self.groups, ["lang", "source"]).select(
+            "i", "lang", "source", "term", "n", p.alias("p"), q.alias("q"), "none")
 
 
 def _vocabulary(docs: DataFrame, model) -> DataFrame:
@@ -88,13 +98,14 @@ def _vocabulary(docs: DataFrame, model) -> DataFrame:
     model.write().save(path)
     saved = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "tagged"))
     term = F.substring_index("tagged", MARK, -1)
-    lang = F.left("tagged", F.length("tagged") - F.length(term) - 1)
+    name = F.substring_index("tagged", MARK, 1)
+    lang = F.when(name.rlike(PLAIN), name).otherwise(F.unhex(name).cast("string"))
     return saved.select(lang.alias("lang"), "i", term.alias("term")).where("term <> ''")
 
 
 def pair_values(found: TermCounts) -> DataFrame:
     """``lang, a, b, value`` for each ordered pair of sources of a language."""
-    terms, groups = found.terms, found.groups
+    terms, groups = found.terms, found.groups.drop("lang_total")
     side = lambda g, s: g.select("lang", *[F.col(c).alias(f"{s}_{c}") for c in g.columns if c != "lang"])
     pairs = side(groups, "a").join(side(groups, "b"), "lang").where("a_source <> b_source")
     # the terms of one side, as if the other had none of them; equal shares are counted first
@@ -105,10 +116,10 @@ def pair_values(found: TermCounts) -> DataFrame:
     back = apart.select("lang", F.col("b_source").alias("a_source"), F.col("a_source").alias("b_source"),
                         F.col("alone").alias("back"), F.col("size").alias("back_size"))
     # terms of both sides: each unordered pair once, with what the two sums above say of them taken off
-    known = terms.join(groups.select("lang", "source", "none"), ["lang", "source"]).select("lang", "term", "source", "p", "none")
-    one, two = (known.select("lang", "term", *[F.col(c).alias(f"{s}_{c}") for c in ("source", "p", "none")]) for s in "ab")
+    one, two = (terms.select("i", *keep, *[F.col(c).alias(f"{s}_{c}") for c in ("source", "p", "none")])
+                for s, keep in (("a", ["lang"]), ("b", [])))
     a, b, a0, b0 = (F.col(c) for c in ("a_p", "b_p", "a_none", "b_none"))
-    both = (one.join(two, ["lang", "term"]).where("a_source < b_source").groupBy("lang", "a_source", "b_source")
+    both = (one.join(two, "i").where("a_source < b_source").groupBy("lang", "a_source", "b_source")
             .agg(F.sum(distance(a, b) - distance(a, b0) - distance(a0, b)).alias("change"), F.count("*").alias("shared")))
     both = landed(both, "shared-terms")
     both = both.unionByName(both.select("lang", F.col("b_source").alias("a_source"), F.col("a_source").alias("b_source"),
@@ -135,7 +146,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP)
     found = TermCounts(docs, min_docs)
     pairs = pair_values(found).select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"),
                                       F.col("b").alias("item"), "value")
-    terms = (found.terms.join(found.whole, ["lang", "term"]).where("p > q")
+    terms = (found.terms.where("p > q")
              .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
                      distance(F.col("p"), F.col("q")).alias("value")))
     place = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")

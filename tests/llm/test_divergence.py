@@ -43,3 +43,20 @@ def test_shares_are_exact_beyond_64_bits(spark):
     n, total, kept = 3 * 10**15 + 7, 9 * 10**15 + 11, 12345
     row = spark.createDataFrame([(n, total, kept)], "n long, t long, k long").select(share(F.col("n"), F.col("t"), F.col("k"))).first()
     assert row[0] == 1 + 10**9 * (n + 2) // (total + 2 * kept)
+
+
+def test_terms_are_landed_as_one_string_a_document_and_numbered(spark):
+    import glob
+
+    from gleaner.llm.divergence import TermCounts, source_divergence
+    from gleaner.session import ensure_checkpoint_dir
+    # names that hold what separates fitted terms, and one that looks like another's hexadecimal form
+    rows = [(f"alpha {'beta ' * (k % 3)}Ä{k % 2}", lang, f"s{k % 4}") for k in range(24) for lang in ("a\x01b", "a", "a\n", "\x00", "61", "")]
+    docs = spark.createDataFrame([(k, *r, "x", 1, 2, 3, "y") for k, r in enumerate(rows)], SCHEMA)
+    assert sorted(map(tuple, source_divergence(docs, 2).collect())) == sorted(brute.divergence(rows, 2))
+    where = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/gleaner-tagged-terms-"
+    before = set(glob.glob(where + "*"))
+    terms = TermCounts(docs, 2).terms
+    (landed,) = set(glob.glob(where + "*")) - before
+    assert dict(spark.read.parquet(landed).dtypes) == {"source": "string", "text": "string"}
+    assert terms.select("i").distinct().count() == terms.select("lang", "term").distinct().count()
