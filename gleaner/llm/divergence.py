@@ -52,10 +52,10 @@ def distance(p: Column, q: Column) -> Column:
 class TermCounts:
     """Tables of one fit:
 
-    - ``groups``: ``lang, source, total, kept, none, lang_total`` of each occurring group,
-      with the count of all kept terms, their number, the share of a term with count 0,
-      and the count of all kept terms of the language
-    - ``terms``: ``i, lang, source, term, n, p, q, none`` of each kept term that a group has;
+    - ``groups``: ``g, lang, source, total, kept, none, lang_total`` of each occurring group,
+      with its number, the count of all kept terms, their number, the share of a term with
+      count 0, and the count of all kept terms of the language
+    - ``terms``: ``i, g, lang, source, term, n, p, q, none`` of each kept term that a group has;
       ``i`` is the number of a term and its language, ``q`` the term's share in the whole language
     """
 
@@ -85,10 +85,12 @@ class TermCounts:
                   .join(kept, "lang", "left").na.fill(0, ["total", "kept"]))
         none = F.when(F.col("kept") > 0, share(F.lit(0), F.col("total"), F.col("kept")))
         in_lang = F.sum("total").over(Window.partitionBy("lang"))
-        self.groups = landed(groups.withColumn("none", none).withColumn("lang_total", in_lang), "groups")
+        # the numbers are landed with their groups, so they stay
+        self.groups = landed(groups.select(F.monotonically_increasing_id().alias("g"), "*", none.alias("none"),
+                                           in_lang.alias("lang_total")), "groups")
         p, q = (share(F.col(n), F.col(total), F.col("kept")) for n, total in (("n", "total"), ("all", "lang_total")))
         self.terms = counts.join(self.groups, ["lang", "source"]).select(
-            "i", "lang", "source", "term", "n", p.alias("p"), q.alias("q"), "none")
+            "i", "g", "lang", "source", "term", "n", p.alias("p"), q.alias("q"), "none")
 
 
 def _vocabulary(docs: DataFrame, model) -> DataFrame:
@@ -109,22 +111,19 @@ def pair_values(found: TermCounts) -> DataFrame:
     side = lambda g, s: g.select("lang", *[F.col(c).alias(f"{s}_{c}") for c in g.columns if c != "lang"])
     pairs = side(groups, "a").join(side(groups, "b"), "lang").where("a_source <> b_source")
     # the terms of one side, as if the other had none of them; equal shares are counted first
-    kinds = terms.groupBy("lang", "source", "p").agg(F.count("*").alias("k"))
-    apart = (side(kinds, "a").join(side(groups, "b").select("lang", "b_source", "b_none"), "lang").where("a_source <> b_source")
-             .groupBy("lang", "a_source", "b_source")
-             .agg(F.sum(F.col("a_k") * distance(F.col("a_p"), F.col("b_none"))).alias("alone"), F.sum("a_k").alias("size")))
-    back = apart.select("lang", F.col("b_source").alias("a_source"), F.col("a_source").alias("b_source"),
-                        F.col("alone").alias("back"), F.col("size").alias("back_size"))
+    kinds = terms.groupBy(F.col("g").alias("a_g"), "p").agg(F.count("*").alias("k"))
+    apart = (kinds.join(pairs.select("a_g", "b_g", "b_none"), "a_g").groupBy("a_g", "b_g")
+             .agg(F.sum(F.col("k") * distance(F.col("p"), F.col("b_none"))).alias("alone"), F.sum("k").alias("size")))
+    back = apart.select(F.col("b_g").alias("a_g"), F.col("a_g").alias("b_g"), F.col("alone").alias("back"),
+                        F.col("size").alias("back_size"))
     # terms of both sides: each unordered pair once, with what the two sums above say of them taken off
-    one, two = (terms.select("i", *keep, *[F.col(c).alias(f"{s}_{c}") for c in ("source", "p", "none")])
-                for s, keep in (("a", ["lang"]), ("b", [])))
+    one, two = (terms.select("i", *[F.col(c).alias(f"{s}_{c}") for c in ("g", "p", "none")]) for s in "ab")
     a, b, a0, b0 = (F.col(c) for c in ("a_p", "b_p", "a_none", "b_none"))
-    both = (one.join(two, "i").where("a_source < b_source").groupBy("lang", "a_source", "b_source")
+    both = (one.join(two, "i").where("a_g < b_g").groupBy("a_g", "b_g")
             .agg(F.sum(distance(a, b) - distance(a, b0) - distance(a0, b)).alias("change"), F.count("*").alias("shared")))
     both = landed(both, "shared-terms")
-    both = both.unionByName(both.select("lang", F.col("b_source").alias("a_source"), F.col("a_source").alias("b_source"),
-                                        "change", "shared"))
-    key = ["lang", "a_source", "b_source"]
+    both = both.unionByName(both.select(F.col("b_g").alias("a_g"), F.col("a_g").alias("b_g"), "change", "shared"))
+    key = ["a_g", "b_g"]
     all_of = pairs.join(apart, key, "left").join(back, key, "left").join(both, key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     neither = F.col("a_kept") - zero("size") - zero("back_size") + zero("shared")
