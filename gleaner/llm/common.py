@@ -28,12 +28,22 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), text.alias("text"), *row)
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting by which a query's shuffle files go as soon as it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def landed(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: the lineage ends there, and lost executors recompute nothing above."""
+    back: the lineage ends there, and lost executors recompute nothing above.
+    ``release``: the write's shuffle files are removed when it has ended."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, "false")
+    try:
+        spark.conf.set(FREED, "true" if release else before)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,163 +26,35 @@ from pyspark.sql import functions as F
 
 from .common import keyed, landed
 from .components import connected
-from .jaccard import BLOCK, NO_ID, PERCENT, _blocks, _clusters, _overlaps, _partition, _sets, least_overlap, linked
-from .shingles import scramble, shingle_sets
+from .jaccard import BLOCK, NO_ID, PERCENT, _blocks, _clusters, _overlaps, _partition, _sets, linked
+from .repeats import MIN_WORDS, PLACE, Repeats, repeats, tuned_bands  # noqa: F401 (bands: for callers of this module)
 
-MIN_WORDS = 1
-#: Neighbouring lines under so many words are also joined to one paragraph.
-SHORT = 40
-#: Sets of up to so many shingles meet by their least tokens, larger ones in bands.
-FEW = 35
-MISS, MOST_BANDS = 1e-4, 20
+#: Blocks of up to so many sets are compared pair by pair.
+PAIRWISE = 16
 
 
-def tuned_bands(percent: int = PERCENT, miss: float = MISS, most: int = MOST_BANDS) -> tuple[int, int]:
-    """``(bands, rows)``: the most selective bands that miss a pair at the threshold
-    with at most ``miss`` probability."""
-    best = (most, 1)
-    for rows in range(1, 33):
-        chance = (percent / 100) ** rows
-        bands = int(np.ceil(np.log(miss) / np.log1p(-chance))) if chance < 1 else 1
-        if bands <= most:
-            best = (bands, rows)
-    return best
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Tokens that two sorted sets share."""
+    at = a.searchsorted(b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b))
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """A 64-bit number per set and band. Sets must not be empty."""
-    rng = np.random.default_rng(4)
-    times = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 64, bands * rows, np.uint64)
-    out = np.zeros((len(sets), bands), np.uint64)
-    sizes = np.array([len(s) for s in sets])
-    tokens = np.concatenate(sets)
-    first = np.cumsum(sizes) - sizes
-    for k in range(bands * rows):
-        # the high half of a product is well mixed; it comes first in the order
-        h = tokens * times[k]
-        h += plus[k]
-        least = np.minimum.reduceat(h, first)
-        out[:, k // rows] = scramble(out[:, k // rows] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k))
-    return out
-
-
-def buckets_of(sets: list[np.ndarray], bands: int, per_band: int, percent: int) -> pa.ListArray:
-    """The buckets of each set. A set that only an equal one can reach has none."""
-    sizes = np.array([len(s) for s in sets])
-    # a partner of a set of FEW may itself be larger: it goes by least tokens as well
-    short = np.where(sizes <= 100 * FEW // percent, sizes - least_overlap(sizes, percent) + 1, 0)
-    short[(sizes * 100 < (sizes + 1) * percent) & (least_overlap(sizes, percent) == sizes)] = 0
-    large = np.flatnonzero(sizes > FEW)
-    counts = short + np.where(sizes > FEW, bands, 0)
-    first = np.cumsum(counts) - counts
-    out = np.zeros(counts.sum(), np.uint64)
-    tokens, start = np.concatenate(sets), np.cumsum(sizes) - sizes
-    step = np.arange(short.sum()) - np.repeat(np.cumsum(short) - short, short)
-    out[np.repeat(first, short) + step] = tokens[np.repeat(start, short) + step]
-    if len(large):
-        marks = signatures([sets[i] for i in large], bands, per_band)
-        marks ^= scramble(np.arange(1, bands + 1, dtype=np.uint64))
-        out[(first + short)[large][:, None] + np.arange(bands)] = marks
-    return pa.ListArray.from_arrays(pa.array(np.append(first, len(out)), pa.int32()), pa.array(out.view(np.int64)))
-
-
-def _units(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """``(number, last, run, start, end)`` of the paragraphs of a text: numbers of
-    the first and last line and of the run's first line; places in code points."""
-    out: list[tuple[int, int, int, int, int]] = []
-    run: list[tuple[int, int, int]] = []
-
-    def close():
-        if len(run) > 1:
-            (first, a, _), (last, _, z) = run[0], run[-1]
-            if min_words <= 1 or len(text[a:z].encode().split()) >= min_words:
-                out.append((first, last, first, a, z))
-        run.clear()
-
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        n = len(line.encode().split())
-        if 0 < n < SHORT:
-            run.append((number, at, at + len(line)))
-        else:
-            close()
-        if n >= max(min_words, 1):
-            out.append((number, number, run[0][0] if run else number, at, at + len(line)))
-        at += len(line) + 1
-    close()
-    return out
-
-
-def _paragraphs(batch: pa.RecordBatch, min_words: int):
-    """Paragraphs of a batch: document numbers, places, sets and set ids."""
-    doc, places, lines = [], [], []
-    for i, text in enumerate(batch.column("text").to_pylist()):
-        for place in _units(text, min_words):
-            doc.append(i)
-            places.append(place)
-            lines.append(text[place[3]:place[4]])
-    sets = shingle_sets(pa.array(lines, pa.string())) if lines else []
-    ids = np.zeros(0, np.int64)
-    if sets:
-        sizes = np.array([len(s) for s in sets])
-        ids = np.add.reduceat(scramble(np.concatenate(sets)), np.cumsum(sizes) - sizes).view(np.int64)
-    return np.array(doc, np.int64), np.array(places, np.int64).reshape(-1, 5), sets, ids
-
-
-PLACE = ["paragraph", "last", "run", "start", "end"]
-
-
-def find_paragraphs(rows: DataFrame, bands: int, per_band: int, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``did, row_key, paragraph, last, run, start, end, pid, buckets`` of all
-    paragraphs; the buckets come with the first of equal ones of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, places, sets, ids = _paragraphs(batch, min_words)
-            if not len(doc):
-                continue
-            _, first = np.unique(ids, return_index=True)
-            at = np.full(len(doc), -1)
-            at[first] = np.arange(len(first))
-            buckets = buckets_of([sets[i] for i in first], bands, per_band, percent).take(pa.array(at, mask=at < 0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("did").take(pa.array(doc)), batch.column("row_key").take(pa.array(doc)),
-                 *[pa.array(places[:, k]) for k in range(5)], pa.array(ids), buckets],
-                ["did", "row_key", *PLACE, "pid", "buckets"])
-
-    return rows.mapInArrow(run, "did long, row_key long, paragraph long, last long, run long, start long, end long, "
-                                "pid long, buckets array<long>")
-
-
-def colliding(found: DataFrame) -> DataFrame:
-    """``bucket, pid`` of buckets with two paragraphs or more, each set of members
-    once; with the bucket's size and leader."""
-    # dealt by bucket once: distinct, count and join need no other exchange
-    pairs = (found.where("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "pid")
-             .repartition("bucket").distinct())
-    sizes = (pairs.groupBy("bucket").agg(F.count("*").alias("size"), F.min("pid").alias("leader"),
-                                         F.sum(F.xxhash64("pid").cast("decimal(38,0)")).alias("members"))
-             .where("size > 1").groupBy("size", "leader", "members").agg(F.min("bucket").alias("bucket")))
-    return pairs.join(sizes.drop("members"), "bucket")
-
-
-def cut_sets(rows: DataFrame, found: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``pid, tokens`` of the wanted paragraphs, read from one of their documents."""
-    places = (found.join(wanted, "pid").groupBy("pid").agg(F.min(F.struct("row_key", "paragraph")).alias("at"))
-              .groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_set("pid").alias("pids")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, _, sets, ids = _paragraphs(batch, min_words)
-            asked = [set(x) for x in batch.column("pids").to_pylist()]
-            keep = [i for i in range(len(doc)) if ids[i] in asked[doc[i]]]
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                                                 ["pid", "tokens"])
-
-    return (rows.join(places, "row_key").select("text", "pids").mapInArrow(run, "pid long, tokens binary")
-            .dropDuplicates(["pid"]))
+def _few_clusters(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """What ``_clusters`` gives, for a block of few sets."""
+    sizes, label = [len(s) for s in sets], [-1] * len(sets)
+    for i in range(len(sets)):
+        if label[i] >= 0:
+            continue
+        label[i], wave = i, [i]
+        while wave:
+            j = wave.pop()
+            for k, n in enumerate(sizes):
+                if (label[k] < 0 and 100 * min(n, sizes[j]) >= percent * max(n, sizes[j])
+                        and linked(_shared(sets[j], sets[k]), sizes[j], n, percent)):
+                    label[k] = i
+                    wave.append(k)
+    return np.array(label)
 
 
 def bucket_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -200,13 +72,14 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
             return
         rid, leader, bucket = (table.column(c).to_numpy() for c in ("rid", "leader", "bucket"))
         sets = _sets(table.column("tokens"))
+        edges: list[list[np.ndarray]] = []
         for at in _blocks(table, leader):
-            label = _clusters([sets[i] for i in at], percent)
+            label = (_few_clusters if len(at) <= PAIRWISE else _clusters)([sets[i] for i in at], percent)
             for some, far in ((np.flatnonzero(label > 0), True), (np.flatnonzero(label == 0)[1:], False)):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[some]]), pa.array(rid[at[some]]), pa.array(rid[at[label[some]]]),
-                                                  pa.array(np.full(len(some), far))], ["bucket", "a", "b", "far"])
+                edges.append([bucket[at[some]], rid[at[some]], rid[at[label[some]]], np.full(len(some), far)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*edges)], ["bucket", "a", "b", "far"])
 
-    within = landed(dealt.repartition("block").mapInArrow(cluster, "bucket long, a long, b long, far boolean"), "within")
+    within = landed(dealt.repartition("block").mapInArrow(cluster, "bucket long, a long, b long, far boolean"), "within", release=True)
     # what the leader does not reach, in buckets of several parts, meets all parts
     far = within.where("far").select("bucket", F.col("a").alias("pid"), F.col("b").alias("label"))
     large = members.where(F.col("size") > BLOCK).join(far, ["bucket", "pid"], "left")
@@ -243,7 +116,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     return within.select("a", "b").union(both.repartition("block").mapInArrow(meet, "a long, b long")).where("a <> b")
 
 
-def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, found: Repeats | None = None) -> DataFrame:
     """``doc_id, row_key, paragraph, last, start, end, class_doc_id, class_paragraph,
     removed`` of each paragraph whose class has another member.
 
@@ -253,16 +126,11 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
     not count in a class that one of them is in by itself: they would repeat only
     themselves. Null and empty texts have no paragraph; a null ``doc_id`` comes after
     all others; equal rows hold equal paragraphs, so the second goes; an empty table
-    gives an empty one; other columns are not read.
+    gives an empty one; other columns are not read. ``found``: what the scans found, if passages are asked for too.
     """
-    rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "row_key", "text")
-    bands, per_band = tuned_bands(percent)
-    found = landed(find_paragraphs(rows, bands, per_band, min_words, percent), "paragraphs")
-    members = landed(colliding(found), "buckets")
-    places = found.drop("buckets")
-    sets = landed(cut_sets(rows, places, members.select("pid").distinct(), min_words), "sets")
+    places, members, sets, _ = found or repeats(docs, passages=False, percent=percent, min_words=min_words)
     # read twice: for the rounds and for the nodes
-    roots = connected(landed(bucket_links(members, sets, percent), "links"))
+    roots = connected(landed(bucket_links(members, sets, percent), "links", release=True))
     # most paragraphs stand alone: they leave before places are sorted into classes
     again = places.groupBy("pid").agg(F.count("*").alias("n")).join(roots, F.col("pid") == F.col("node"), "left").where(
         "n > 1 OR node IS NOT NULL").select("pid", F.coalesce("root", "pid").alias("class"))

@@ -11,111 +11,12 @@ shingles; line breaks are white space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, landed
+from .common import landed
 from .jaccard import NO_ID
-from .shingles import _BASE, _INVERSE, SIZE, scramble, word_numbers
-
-WORDS = 50
-ANCHOR = 32
-
-
-def digests(number: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit number of each string of ``size`` words."""
-    n = len(number)
-    power, back = np.full(n, _BASE), np.full(n, _INVERSE)
-    power[0] = back[0] = 1
-    total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(number * np.multiply.accumulate(power))))
-    return scramble((total[size:] - total[:-size]) * np.multiply.accumulate(back)[:n - size + 1] + np.uint64(size))
-
-
-def anchors(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each string of ``WORDS`` words: the place of its anchor; and all digests of ``ANCHOR`` words."""
-    marks = digests(number, ANCHOR)
-    order = digests(number, SIZE)[:len(marks)]
-    width = WORDS - ANCHOR + 1
-    least = np.lib.stride_tricks.sliding_window_view(order, width).argmin(axis=1)
-    return least + np.arange(len(least)), marks
-
-
-def _texts(batch: pa.RecordBatch):
-    """``(row, bytes, first bytes, ends, numbers)`` of the texts with enough words."""
-    for i, text in enumerate(batch.column("text").to_pylist()):
-        if len(text) >= 2 * WORDS - 1:
-            data = np.frombuffer(text.encode(), np.uint8)
-            first, end, number = word_numbers(data)
-            if len(number) >= WORDS:
-                yield i, data, first, end, number
-
-
-def find_anchors(rows: DataFrame) -> DataFrame:
-    """``row_key, mark, n``: the anchors of each text, and how many places have one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, _, _, _, number in _texts(batch):
-                place, marks = anchors(number)
-                mark, n = np.unique(marks[np.unique(place)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(np.full(len(mark), i))),
-                                                  pa.array(mark.view(np.int64)), pa.array(n)], ["row_key", "mark", "n"])
-
-    return rows.mapInArrow(run, "row_key long, mark long, n long")
-
-
-STRETCH = ("did long, row_key long, pos int, stretch long, digests array<long>, line int, start int, "
-           "lines array<int>, lasts array<int>, starts array<int>, ends array<int>")
-
-
-def find_stretches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The columns of ``STRETCH``: neighbouring strings of one anchor that is among the
-    wanted ``marks`` of their row. ``stretch`` numbers what it reads, from its first
-    string to its last; the digests of its strings come with the first of equal ones of
-    a batch. Arrays hold, for each string, its lines and places (code points) counted
-    from those of the first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked, seen = batch.column("marks"), set()
-            for i, data, first, end, number in _texts(batch):
-                place, marks = anchors(number)
-                known = np.array(asked[i].as_py(), np.int64).view(np.uint64)
-                pos = np.flatnonzero(np.isin(marks[place], known))
-                if not len(pos):
-                    continue
-                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                lines = np.concatenate(([0], np.cumsum(data == 10)))
-                digest = digests(number, WORDS)[pos]
-                head = np.flatnonzero(np.concatenate(([True], place[pos][1:] != place[pos][:-1])))
-                tail = np.append(head[1:], len(pos)) - 1
-                name = scramble(digest[head] * _BASE + digest[tail] + (tail - head + 1).astype(np.uint64)).view(np.int64)
-                new = np.zeros(len(head), bool)
-                for k, x in enumerate(name.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        new[k] = True
-                size = tail - head + 1
-                a, z = first[pos], end[pos + WORDS - 1]
-                line, start = lines[a][head], points[a][head]
-                bounds = pa.array(np.append(head, len(pos)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(bounds, pa.array((x - np.repeat(base, size)).astype(np.int32)))
-                         for x, base in ((lines[a], line), (lines[z], line), (points[a], start), (points[z], start))]
-                marked = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(size[new]))).astype(np.int32)),
-                    pa.array(digest[np.repeat(new, size)].view(np.int64))).take(
-                        pa.array(np.cumsum(new) - 1, mask=~new))
-                row = pa.array(np.full(len(head), i))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").take(row), batch.column("row_key").take(row), pa.array(pos[head].astype(np.int32)),
-                     pa.array(name), marked, pa.array(line.astype(np.int32)), pa.array(start.astype(np.int32)), *lists],
-                    [x.split()[0] for x in STRETCH.split(", ")])
-
-    return rows.join(wanted, "row_key").select("did", "row_key", "text", "marks").mapInArrow(run, STRETCH)
+from .repeats import Repeats, repeats
 
 
 def first_places(stretches: DataFrame) -> DataFrame:
@@ -124,7 +25,7 @@ def first_places(stretches: DataFrame) -> DataFrame:
     the row of their first place."""
     at = F.struct("did", "row_key", "pos", "line", "lines")
     kinds = landed(stretches.groupBy("stretch").agg(F.min(at).alias("at"), F.max("digests").alias("digests"), F.count("*").alias("n")),
-                   "kinds")
+                   "kinds", release=True)
     strings = kinds.select("stretch", "n", "at", F.posexplode("digests").alias("i", "digest"))
     place = F.struct(F.col("at.did").alias("did"), F.col("at.row_key").alias("row_key"), (F.col("at.pos") + F.col("i")).alias("pos"),
                      (F.col("at.line") + F.col("at.lines")[F.col("i")]).alias("line"))
@@ -140,7 +41,7 @@ def first_places(stretches: DataFrame) -> DataFrame:
         F.min("class_paragraph").alias("class_paragraph")).drop("shift", "run")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, found: Repeats | None = None) -> DataFrame:
     """The columns of ``repeated_paragraphs``, for each passage that occurs again.
 
     The first place of every string of ``WORDS`` words stays (smallest ``doc_id``; of
@@ -149,14 +50,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     by side with one first place. Null ``doc_id`` and equal rows are taken as there;
     null, empty and shorter texts and empty tables have no passage.
     """
-    rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "row_key", "text")
-    found = landed(find_anchors(rows), "anchors")
-    again = found.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark")
-    wanted = found.join(again, "mark").groupBy("row_key").agg(F.collect_set("mark").alias("marks"))
-    stretches = landed(find_stretches(rows, wanted), "stretches")
+    stretches = (found or repeats(docs, paragraphs=False)).stretches
     i, j = F.col("i"), F.col("j")
     group = ["did", "row_key", "class_did", "class_key", "shift"]
-    pieces = stretches.drop("digests").join(first_places(stretches), "stretch").select(
+    firsts = landed(first_places(stretches), "firsts", release=True)
+    pieces = stretches.drop("digests").join(firsts, "stretch").select(
         "did", "row_key", "class_did", "class_key", (F.col("class_pos") - F.col("pos") - i).alias("shift"),
         (F.col("pos") + i).alias("low"), (F.col("pos") + j).alias("high"), "class_paragraph",
         (F.col("line") + F.col("lines")[i]).alias("paragraph"), (F.col("line") + F.col("lasts")[j]).alias("last"),

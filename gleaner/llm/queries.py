@@ -167,10 +167,12 @@ def op9_ann(spark, sf_dir):
 def op4_paragraph_dedup(spark, sf_dir):
     from .paragraphs import repeated_paragraphs
     from .passages import repeated_passages
+    from .repeats import repeats
     docs = table(spark, sf_dir, "documents")
+    found = repeats(docs)
     unit = F.when(F.col("paragraph") == F.col("last"), "line").otherwise("lines")
-    return (repeated_paragraphs(docs).withColumn("unit", unit)
-            .unionByName(repeated_passages(docs).withColumn("unit", F.lit("passage"))).drop("row_key"))
+    return (repeated_paragraphs(docs, found=found).withColumn("unit", unit)
+            .unionByName(repeated_passages(docs, found).withColumn("unit", F.lit("passage"))).drop("row_key"))
 
 
 # ------------------------------------------------------- 11 source divergence audit

@@ -12,7 +12,21 @@ _SALT = np.random.default_rng(10).integers(0, 1 << 64, 256, np.uint64)  # an arb
 #: Bytes (A-Z lower-cased) and which of them are white space.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_SALTED = _SALT[LOWER]
 PART = 1 << 18
+_KEPT: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_BASE`` and ``_INVERSE`` to the powers from 0 to n - 1. Those for a block of usual size are kept."""
+    if n > 2 * PART or not _KEPT:
+        power, back = np.full(max(n, 2 * PART), _BASE), np.full(max(n, 2 * PART), _INVERSE)
+        power[0] = back[0] = 1
+        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+        if n > 2 * PART:
+            return power, back
+        _KEPT.extend((power, back))
+    return _KEPT[0][:n], _KEPT[1][:n]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -35,20 +49,19 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def word_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words in ``data``: first byte, end, and a number for its lower-cased bytes."""
-    space = SPACE[data]
-    edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-    first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = (data - np.uint8(9) < 5) | (data == 32)  # as in SPACE
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edge = np.concatenate(([0], edge))
+    if len(data) and not space[-1]:
+        edge = np.append(edge, len(data))
+    first, end = edge[::2].copy(), edge[1::2].copy()
     if not len(first):
         return first, end, np.zeros(0, np.uint64)
-    power = np.full(len(data), _BASE)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    term = _SALT[LOWER[data]]
+    power, back = _powers(len(data))
+    term = _SALTED.take(data)
     term *= power
     total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(term)))
-    back = np.full(len(data), _INVERSE)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
     number = total[end] - total[first]
     number *= back[first]
     return first, end, scramble(number ^ (end - first).astype(np.uint64))
