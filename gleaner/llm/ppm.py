@@ -30,8 +30,8 @@ from .shingles import word_numbers
 
 ORDER = 5
 END = 10  # byte of the end mark, which also stands before a text
-#: Scored strings are sent to all tasks up to this many (16 bytes each); beyond
-#: it documents meet them by a join, with the same result.
+#: Scored strings are sent to all tasks up to this many (16 bytes each), the most
+#: frequent ones first; documents meet the others by a join, with the same result.
 MAX_BROADCAST = 4_000_000
 #: Tokens with at least this share of all training tokens are sent to all tasks,
 #: so at most so many; the rest are joined.
@@ -122,7 +122,7 @@ def gather(rows: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def score_strings(strings: DataFrame, order: int = ORDER) -> DataFrame:
-    """``key, lp``: log10 probability of the last byte of each string after the
+    """``key, n, lp``: log10 probability of the last byte of each string after the
     bytes before it. ``strings`` has ``key, n`` with n = 0 for unseen ones."""
 
     def tail(level: int):
@@ -134,7 +134,7 @@ def score_strings(strings: DataFrame, order: int = ORDER) -> DataFrame:
     symbols[order] = strings.where("n > 0").select(F.col("key").alias("sym"), F.col("n").alias("c"))
     for j in range(order - 1, -1, -1):
         low = F.col("sym").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
-        symbols[j] = landed(symbols[j + 1].groupBy(low.alias("sym")).agg(F.sum("c").alias("c")), "level")
+        symbols[j] = landed(symbols[j + 1].groupBy(low.alias("sym")).agg(F.sum("c").alias("c")), "level", release=True)
     contexts = []
     for j in range(order + 1):
         own = symbols[j]
@@ -144,10 +144,10 @@ def score_strings(strings: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             own = own.withColumn("e", F.lit(0).cast("long"))
         contexts.append(landed(own.groupBy(F.shiftright("sym", 8).alias("ctx")).agg(
-            F.sum("c").alias("all"), F.count("*").alias("kinds"), F.sum("e").alias("e")), "contexts"))
+            F.sum("c").alias("all"), F.count("*").alias("kinds"), F.sum("e").alias("e")), "contexts", release=True))
     top = contexts[order].select("ctx", "all")
     seen = (strings.where("n > 0").withColumn("ctx", F.shiftright("key", 8)).join(top, "ctx")
-            .select("key", F.log10((2 * F.col("n") - 1) / (2 * F.col("all"))).alias("lp")))
+            .select("key", "n", F.log10((2 * F.col("n") - 1) / (2 * F.col("all"))).alias("lp")))
     zero = F.lit(0).cast("long")
     rest = strings.where("n = 0").select("key", F.lit(0.0).alias("lp"), F.lit(False).alias("done"),
                                          zero.alias("out_n"), zero.alias("out_kinds"))
@@ -160,7 +160,26 @@ def score_strings(strings: DataFrame, order: int = ORDER) -> DataFrame:
         rest = rest.select("key", (F.col("lp") + F.coalesce(lp, F.lit(0.0))).alias("lp"), (F.col("done") | hit).alias("done"),
                            F.coalesce("e", zero).alias("out_n"), F.coalesce("kinds", zero).alias("out_kinds"))
     never = F.when(F.col("done"), 0.0).otherwise(-F.log10(F.greatest(F.lit(1), 256 - F.col("out_kinds"))))
-    return seen.union(rest.select("key", F.col("lp") + never))
+    return seen.union(rest.select("key", zero.alias("n"), F.col("lp") + never))
+
+
+def _rank(n):
+    """Grows with the count ``n``; at most a few hundred values, one each up to 8."""
+    return F.when(n > 0, F.floor(8 * F.log2(n))).otherwise(-1).cast("int")
+
+
+def least_sent(scored: DataFrame, most: int) -> int | None:
+    """The least ``_rank`` of the strings that are sent, so that at most ``most`` are; None: all are."""
+    counts = scored.groupBy(_rank(F.col("n")).alias("rank")).agg(F.count("*").alias("strings")).collect()
+    if sum(r.strings for r in counts) <= most:
+        return None
+    least = max(r.rank for r in counts) + 1
+    for r in sorted(counts, key=lambda r: -r.rank):
+        most -= r.strings
+        if most < 0:
+            break
+        least = r.rank
+    return least
 
 
 def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -173,19 +192,19 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_broadcast
     """
     spark = docs.sparkSession
     rows = keyed(docs).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    stats = landed(gather(rows, order), "counts")
+    stats = landed(gather(rows, order), "counts", release=True)
     tokens = stats.where(F.col("kind") == TOKEN).select(F.col("key").alias("token"), F.col("n").alias("c"))
     ends = rows.where(~F.col("held_out")).count()
     total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     base_of = lambda c: math.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
     heavy = tokens.where(F.col("c") >= max(2, math.ceil(total * HEAVY_SHARE))).toArrow()
-    scored = landed(score_strings(stats.where(F.col("kind") == STRING).select("key", "n"), order), "strings")
-    small = scored.count() <= max_broadcast
-    table = scored.toArrow() if small else None
+    scored = landed(score_strings(stats.where(F.col("kind") == STRING).select("key", "n"), order), "strings", release=True)
+    least = least_sent(scored, max_broadcast)
+    small = least is None
+    table = (scored if small else scored.where(_rank(F.col("n")) >= least)).select("key", "lp").toArrow()
     sent = spark.sparkContext.broadcast((
-        heavy["token"].to_numpy(), heavy["c"].to_numpy(),
-        table["key"].to_numpy() if small else None, table["lp"].to_numpy() if small else None))
+        heavy["token"].to_numpy(), heavy["c"].to_numpy(), table["key"].to_numpy(), table["lp"].to_numpy()))
     del heavy, table
     pa.default_memory_pool().release_unused()
     end_base, end_known = base_of(ends), int(ends > 0)
@@ -194,7 +213,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy_key, heavy_c, key, lp = sent.value
-        heavy_at, at_of = pd.Index(heavy_key), pd.Index(key) if small else None
+        heavy_at, at_of = pd.Index(heavy_key), pd.Index(key)
         heavy_base = np.log10((heavy_c + 0.5) / scale)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -212,12 +231,15 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_broadcast
                 base = np.bincount(of[hit], heavy_base[place[hit]], n_docs) + end_base
                 known = np.bincount(of[hit], minlength=n_docs) + end_known
                 string = _strings(data, at, order)
-                score = np.bincount(doc, lp[at_of.get_indexer(string)], n_docs) if small else np.zeros(n_docs)
+                place = at_of.get_indexer(string)
+                far = place < 0  # not sent
+                score = (np.bincount(doc, lp[place], n_docs) if small else
+                         np.bincount(doc[~far], lp[place[~far]], n_docs).astype(float))  # whole numbers if none was sent
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(n_docs, np.int32)), pa.array(number), ids.slice(first, n_docs),
                      outs.slice(first, n_docs), pa.nulls(n_docs, pa.int64()), pa.array(n_tokens), pa.array(known),
                      pa.array(base), pa.array(score)], names)
-                for kind, which, values in ((1, of[~hit], word[~hit].view(np.int64)), *([] if small else [(2, doc, string)])):
+                for kind, which, values in ((1, of[~hit], word[~hit].view(np.int64)), *([] if small else [(2, doc[far], string[far])])):
                     order_ = np.lexsort((values, which))
                     which, values = which[order_], values[order_]
                     new = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (values[1:] != values[:-1])))[:len(which)]
@@ -234,7 +256,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_broadcast
     # row numbers hold within this landed table only
     parts = landed(rows.select("doc_id", "held_out", "text").mapInArrow(
         run, "kind int, row long, doc_id long, held_out boolean, key long, n long, known long, base double, lp double"),
-        "scores")
+        "scores", release=True)
     rare = parts.where("kind = 1").select("row", F.col("key").alias("token"), "n").join(tokens, "token", "left")
     c = F.coalesce("c", F.lit(0))
     more = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(scale))).alias("more_base"),
@@ -242,10 +264,11 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_broadcast
     out = parts.where("kind = 0").join(more, "row", "left")
     score = F.col("lp")
     if not small:
-        joined = (parts.where("kind = 2").select("row", "key", "n").join(scored.withColumnRenamed("lp", "one"), "key")
-                  .groupBy("row").agg(F.sum(F.col("n") * F.col("one")).alias("score")))
+        others = scored.where(_rank(F.col("n")) < least).select("key", F.col("lp").alias("one"))
+        joined = (parts.where("kind = 2").select("row", "key", "n").join(others, "key")
+                  .groupBy("row").agg(F.sum(F.col("n") * F.col("one")).alias("more_score")))
         out = out.join(joined, "row", "left")
-        score = F.col("score")
+        score = F.col("lp") + F.coalesce("more_score", F.lit(0.0))
     return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"),
                       (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
                       F.lit(int(total)).cast("long").alias("train_tokens"),

@@ -178,6 +178,33 @@ def test_ppm_scores(docs, rows, max_broadcast):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_ppm_joins_rare_strings_only(docs, rows, monkeypatch):
+    """With more strings than are sent, the frequent ones are sent all the same: rows for the join are few."""
+    import collections
+
+    from gleaner.llm import ppm
+    landed, tables = ppm.landed, {}
+
+    def kept(df, name, *a, **b):
+        tables[name] = landed(df, name, *a, **b)
+        return tables[name]
+
+    monkeypatch.setattr(ppm, "landed", kept)
+    held = lambda d: d is not None and d % 3 == 0
+    streams = [b"\n" * ppm.ORDER + b" ".join((t or "").encode().lower().split()) + b"\n" for _, t in rows]
+    grams = [[s[i:i + ppm.ORDER + 1] for i in range(len(s) - ppm.ORDER)] for s in streams]
+    seen = collections.Counter(g for (d, _), some in zip(rows, grams) if not held(d) for g in some)
+    twice = sum(n > 1 for n in seen.values())
+    assert twice < len(seen)
+    got = ppm.score_documents(docs, F.col("doc_id") % 3 == 0, max_broadcast=twice).collect()
+    joined = tables["scores"].where("kind = 2").count()
+    assert joined == sum(len({g for g in some if seen[g] < 2}) for some in grams)
+    model = brute.Ppm([t for d, t in rows if not held(d)])
+    expected = sorted((key([d]), model.score(t)) for d, t in rows)
+    for (a, x), (b, y) in zip(sorted((key([r.doc_id]), r.score) for r in got), expected, strict=True):
+        assert a == b and x == pytest.approx(y, rel=1e-9)
+
+
 def test_ppm_probabilities_add_up(docs, rows):
     model = brute.Ppm([t for _, t in rows][:4])
     for context in (b"the o", b"\n\n\n\n\n", b"zzzzz"):
