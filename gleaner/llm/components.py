@@ -19,7 +19,7 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
     loops = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = landed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                 .distinct(), "edges")
+                 .distinct(), "edges", release=True)
     before = None
     while True:
         both = now.union(now.select("b", "a"))
@@ -30,7 +30,7 @@ def connected(edges: DataFrame) -> DataFrame:
         small = (large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct())
-        now = landed(small, "edges")
+        now = landed(small, "edges", release=True)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

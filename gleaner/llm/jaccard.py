@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, landed
@@ -326,7 +326,7 @@ def group_matrix(sets: DataFrame, frequent: np.ndarray, n_sets: int, percent: in
 
     Rows of KIND_MEMBER: ``rid, label, block, pure, need`` (``pure``: the block is one
     cluster; ``need``: tokens that a partner must share in the prefix). Rows of
-    KIND_TOKEN: ``token, rid, block``. A hot group's leader is a member of its own
+    KIND_TOKEN: ``token, rid, block, need``. A hot group's leader is a member of its own
     block only; it just ties the clusters of the others together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,8 @@ def group_matrix(sets: DataFrame, frequent: np.ndarray, n_sets: int, percent: in
                 token.append(np.concatenate((sets[i][~late], sets[i][late]))[:n])
                 owner.append(np.full(len(token[-1]), rid[i]))
             token = np.concatenate(token).view(np.int64)
-            yield _rows(kind=KIND_TOKEN, token=token, rid=np.concatenate(owner), block=np.full(len(token), block[at[0]]))
+            yield _rows(kind=KIND_TOKEN, token=token, rid=np.concatenate(owner), block=np.full(len(token), block[at[0]]),
+                        need=np.repeat(slack(sizes), [len(x) for x in owner]))
 
     return dealt_groups(sets, frequent, n_sets).repartition("block").mapInArrow(run, MATRIX)
 
@@ -383,24 +384,37 @@ def _clusters(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
-def opened_blocks(matrix: DataFrame) -> DataFrame:
+def opened_blocks(matrix: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``rid, block``: sets and the blocks that may hold a partner of theirs, by
     the tokens they share with the union of the block's prefixes. A pair of blocks
     is looked at from the lesser one. A block that is one cluster is not opened for
-    members of that cluster."""
+    members of that cluster.
+
+    Two partners share as many prefix tokens as the lesser of their needs says, and a
+    partner's need is at least ``percent`` of a set's own (``low``). So a set with fewer
+    tokens in other blocks has no partner there, and half of ``low`` may be left out:
+    its tokens that most sets have, which would meet many blocks by chance."""
+    low_of = lambda need: F.greatest(F.lit(1), F.floor(F.col(need) * percent / 100))
     members = matrix.where(F.col("kind") == KIND_MEMBER)
-    tokens = matrix.where(F.col("kind") == KIND_TOKEN).select("token", "rid", "block")
+    tokens = matrix.where(F.col("kind") == KIND_TOKEN).select("token", "rid", "block", "need")
     # most tokens lie in one block: they go before anything is joined
-    several = tokens.groupBy("token").agg(F.min("block").alias("a"), F.max("block").alias("z")).where("a < z")
-    tokens = landed(tokens.join(several.select("token"), "token"), "tokens")
-    own = members.groupBy("rid").agg(F.min("label").alias("label"), F.min("need").alias("need"))
-    unions = (members.groupBy("block").agg(F.min("need").alias("least"), F.when(F.min("pure"), F.min("label")).alias("pure"))
+    several = tokens.groupBy("token").agg(F.min("block").alias("a"), F.max("block").alias("z"), F.count("*").alias("sets")).where("a < z")
+    own = Window.partitionBy("rid", "block")
+    tokens = landed(tokens.join(several.select("token", "sets"), "token").distinct()
+                    .withColumn("place", F.row_number().over(own.orderBy(F.desc("sets"), "token")))
+                    .withColumn("several", F.count("*").over(own)).where(F.col("several") >= low_of("need"))
+                    .select("token", "rid", "block", "need", "place"), "tokens", release=True)
+    labels = members.groupBy("rid").agg(F.min("label").alias("label"))
+    unions = (members.groupBy("block").agg(F.min("need").alias("least"), F.max("need").alias("most"),
+                                           F.when(F.min("pure"), F.min("label")).alias("pure"))
               .join(tokens.select("token", "block").distinct(), "block").withColumnRenamed("block", "other"))
-    query = tokens.join(own, "rid").distinct()
-    met = query.join(unions, "token").where("block < other AND NOT (pure <=> label)")
-    return (met.groupBy("rid", "other").agg(F.countDistinct("token").alias("shared"), F.min("need").alias("need"),
-                                            F.min("least").alias("least"))
-            .where("shared >= least(need, least)").select("rid", F.col("other").alias("block")))
+    query = (tokens.withColumn("low", low_of("need")).withColumn("out", F.floor(F.col("low") / 2))
+             .where("place > out").join(labels, "rid"))
+    met = query.join(unions, "token").where("block < other AND NOT (pure <=> label)").where(
+        (F.col("most") >= F.col("low")) & (F.col("need") >= low_of("least")))
+    shared = F.least("need", F.greatest("least", "low")) - F.col("out")
+    return (met.groupBy("rid", "other").agg(F.countDistinct("token").alias("shared"), F.min(shared).alias("bound"))
+            .where("shared >= bound").select("rid", F.col("other").alias("block")))
 
 
 def verified(sets: DataFrame, matrix: DataFrame, opened: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -454,15 +468,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "row_key", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    sets = landed(with_sets(rows, screen(rows, parts, percent)), "sets")
+    keys = landed(screen(rows, parts, percent), "keys", release=True)
+    sets = landed(with_sets(rows, keys), "sets", release=True)
     # a set stands for its equals, here those of a task; the rest meet in one block
     full = sets.where("tokens IS NOT NULL").select("rid", "n", "tokens")
     n_sets = full.count()
     frequent = frequent_tokens(full, n_sets) if n_sets else np.zeros(0, np.uint64)
-    matrix = landed(group_matrix(full, frequent, n_sets, percent), "matrix")
+    matrix = landed(group_matrix(full, frequent, n_sets, percent), "matrix", release=True)
     members = matrix.where(F.col("kind") == KIND_MEMBER)
-    links = (verified(full, matrix, landed(opened_blocks(matrix), "opened"), percent)
-             .union(members.where("rid <> label").select("rid", "label")))
+    opened = landed(opened_blocks(matrix, percent), "opened", release=True)
+    # read twice: for the rounds and for the nodes
+    links = landed(verified(full, matrix, opened, percent).union(members.where("rid <> label").select("rid", "label")),
+                   "links", release=True)
     roots = connected(links)
     ids = (sets.where("n > 0").groupBy(F.col("rid").alias("node")).agg(F.min(F.struct("did", "row_key")).alias("first"))
            .join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))

@@ -526,6 +526,56 @@ def test_jaccard_join(docs, rows, monkeypatch, block, frequent):
     assert got == sorted(((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root)), key=key)
 
 
+def test_jaccard_join_frees_its_shuffles(spark, docs):
+    """What the landed tables were made of is gone when the query is built: texts, sets and links."""
+    import gc
+    import re
+
+    from gleaner.llm import jaccard
+
+    def shuffles():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        names = [held.apply(i).name() for i in range(held.size())]
+        return {int(m[1]) for m in (re.match(r"shuffle_(\d+)_.*data", x) for x in names) if m}
+
+    gc.disable()  # nothing goes by chance
+    try:
+        before = shuffles()
+        out = jaccard.near_duplicates(docs)
+        left = shuffles() - before
+    finally:
+        gc.enable()
+    assert out.count() > 0
+    assert len(left) <= 8  # counts, of a row for each task or token
+
+
+def test_jaccard_join_of_many_common_tokens(spark, monkeypatch):
+    """Sets that share many tokens with many blocks by chance: no pair is left out."""
+    import random
+
+    from gleaner.llm import jaccard
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = random.Random(11)
+    common = [f"c{i} d{i} e{i} f{i} g{i}" for i in range(30)]
+    texts = []
+    for _ in range(40):
+        base = [w for p in rng.sample(common, 12) for w in p.split()] + [f"w{rng.randint(0, 10 ** 6)}" for _ in range(rng.randint(30, 200))]
+        texts.append(base)
+        for _ in range(rng.randint(0, 3)):
+            near = list(base)
+            for at in rng.sample(range(60, len(near)), rng.randint(1, 5)):
+                near[at] = f"x{rng.randint(0, 10 ** 6)}"
+            texts.append(near[:len(near) - rng.randint(0, 8)])
+    rows = list(enumerate(" ".join(t) for t in texts))
+    root = brute.components([brute.shingles(t) for _, t in rows])
+    got = listed(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)), "doc_id", "component_id")
+    least = {}
+    for (d, _), r in zip(rows, root):
+        least[r] = min(d, least.get(r, d))
+    assert got == sorted(((d, least[r]) for (d, _), r in zip(rows, root)), key=key)
+    assert len(set(least.values())) < len(rows)
+
+
 def test_frequent_tokens_of_all_sets(spark, monkeypatch):
     """Sets whose number a sample of every k-th would never meet count as well."""
     import numpy as np
