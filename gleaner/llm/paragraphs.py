@@ -10,7 +10,9 @@ in one bucket, where their exact Jaccard similarity is verified on whole sets;
 verified links make components, and all but a component's first paragraph are to be
 removed.
 
-Buckets with equal members are one. A bucket over ``BLOCK`` paragraphs is dealt
+Buckets with equal members are one. A bucket over ``BLOCK`` short paragraphs, such as
+those that hold one common line, is split by the tokens that few of its members have
+(``finer``). A bucket that is still over ``BLOCK`` paragraphs is dealt
 out, each part with the bucket's leader; what does not join the leader's
 component is then compared with all parts, so no pair of a bucket is left out.
 """
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import keyed, landed
 from .components import connected
-from .jaccard import BLOCK, NO_ID, PERCENT, _blocks, _clusters, _overlaps, _partition, _sets, linked
-from .repeats import MIN_WORDS, PLACE, Repeats, repeats, tuned_bands  # noqa: F401 (bands: for callers of this module)
+from .jaccard import BLOCK, NO_ID, PERCENT, _blocks, _clusters, _overlaps, _partition, _sets, least_overlap, linked
+from .repeats import FEW, MIN_WORDS, PLACE, Repeats, repeats, tuned_bands  # noqa: F401 (bands: for callers of this module)
 
 #: Blocks of up to so many sets are compared pair by pair.
 PAIRWISE = 16
@@ -57,8 +59,44 @@ def _few_clusters(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array(label)
 
 
+def finer(large: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``bucket, pid, size, leader`` of ``large`` buckets (``bucket, pid, size, leader``) after those of
+    short sets are split. Linked sets share one of their first tokens in any order, so they
+    share one in the order of their bucket, where tokens that over ``BLOCK`` members have
+    come last: each such token makes a bucket of its own."""
+    held = large.select("bucket", "pid").join(sets, "pid")
+    short = held.groupBy("bucket").agg(F.max(F.length("tokens")).alias("most")).where(
+        F.col("most") <= 8 * (100 * FEW // percent)).select("bucket")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            sets = _sets(batch.column("tokens"))
+            sizes = np.array([len(s) for s in sets])
+            of = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            first = sizes - least_overlap(sizes, percent) + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bucket").take(of), batch.column("pid").take(of), pa.array(np.repeat(first, sizes)),
+                 pa.array(np.concatenate(sets).view(np.int64))], ["bucket", "pid", "first", "token"])
+
+    tokens = held.join(short, "bucket").select("bucket", "pid", "tokens").mapInArrow(
+        spread, "bucket long, pid long, first long, token long")
+    common = tokens.groupBy("bucket", "token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(
+        "bucket", "token", F.lit(True).alias("common"))
+    late = Window.partitionBy("bucket", "pid").orderBy(F.coalesce("common", F.lit(False)), "token")
+    split = landed(tokens.join(common, ["bucket", "token"], "left").withColumn("place", F.row_number().over(late))
+                   .where("place <= first").select(F.xxhash64("bucket", "token").alias("bucket"), "pid"), "split", release=True)
+    sizes = split.groupBy("bucket").agg(F.count("*").alias("size"), F.min("pid").alias("leader")).where("size > 1")
+    return landed(large.join(short, "bucket", "left_anti").select("bucket", "pid", "size", "leader")
+                  .union(split.join(sizes, "bucket").select("bucket", "pid", "size", "leader")), "finer", release=True)
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges ``a, b`` that connect all linked paragraphs of each bucket."""
+    large = members.where(F.col("size") > BLOCK).select("bucket", "pid", "size", "leader")
+    some = landed(sets.join(large.select("pid").distinct(), "pid").select("pid", "tokens"), "large", release=True)
+    members = members.where(F.col("size") <= BLOCK).select("bucket", "pid", "size", "leader").union(finer(large, some, percent))
     parts = F.ceil(F.col("size") / BLOCK).cast("long")
     part = F.when(F.col("pid") == F.col("leader"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("pid", "bucket"), parts)))
@@ -88,7 +126,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
              .select("bucket", "part", "pid", label, F.lit(False).alias("leader")))
     there = (large.withColumn("part", F.pmod(F.xxhash64("pid", "bucket"), parts))
              .select("bucket", "part", "pid", label, F.lit(True).alias("leader")))
-    both = there.union(asked).join(sets, "pid").select(
+    both = there.union(asked).join(some, "pid").select(
         F.xxhash64("bucket", "part").alias("block"), F.col("pid").alias("rid"), "label", "leader", "tokens")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -219,6 +219,36 @@ def test_ppm_without_training_rows(docs, no_docs):
 
 
 # ------------------------------------------------------------- 4 paragraph dedup
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Paragraphs that share just one line's tokens do not meet; linked ones still do."""
+    import random
+
+    import numpy as np
+
+    from gleaner.llm import paragraphs
+    monkeypatch.setattr(paragraphs, "BLOCK", 20)
+    rng = random.Random(3)
+    line = list(range(1, 9))
+    sets = [sorted(line + rng.sample(range(100, 10 ** 9), 22)) for _ in range(300)]
+    near = [sorted([*s[:-1], 10 ** 9 + i]) for i, s in enumerate(sets[:40])]  # 29 of 31 tokens
+    sets += near
+    blobs = [(pid, np.array(s, "<u8").tobytes()) for pid, s in enumerate(sets)]
+    members = spark.createDataFrame([(7, pid, len(sets), 0) for pid in range(len(sets))], "bucket long, pid long, size long, leader long")
+    table = spark.createDataFrame(blobs, "pid long, tokens binary")
+    dealt, landed = {}, paragraphs.landed
+
+    def kept(df, name, *a, **b):
+        dealt[name] = landed(df, name, *a, **b)
+        return dealt[name]
+
+    monkeypatch.setattr(paragraphs, "landed", kept)
+    links = {frozenset((r.a, r.b)) for r in paragraphs.bucket_links(members, table).collect()}
+    assert links == {frozenset((i, 300 + i)) for i in range(40)}
+    # before, each of 340 paragraphs was compared with all 17 parts
+    assert dealt["finer"].agg(F.max("size")).first()[0] <= 20
+    assert dealt["finer"].count() <= 40 * 2 * 7
+
+
 @pytest.mark.parametrize("block", [400, 2])
 def test_paragraphs(docs, rows, monkeypatch, block):
     from gleaner.llm import paragraphs
@@ -526,27 +556,19 @@ def test_jaccard_join(docs, rows, monkeypatch, block, frequent):
     assert got == sorted(((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root)), key=key)
 
 
-def test_jaccard_join_frees_its_shuffles(spark, docs):
-    """What the landed tables were made of is gone when the query is built: texts, sets and links."""
-    import gc
-    import re
+def test_jaccard_join_frees_its_shuffles(docs, monkeypatch):
+    """What a landed table was made of goes when its write ends, also the links, which are read twice."""
+    from gleaner.llm import components, jaccard
+    landed, freed = jaccard.landed, {}
 
-    from gleaner.llm import jaccard
+    def kept(df, name, release=False):
+        freed[name] = release
+        return landed(df, name, release)
 
-    def shuffles():
-        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
-        names = [held.apply(i).name() for i in range(held.size())]
-        return {int(m[1]) for m in (re.match(r"shuffle_(\d+)_.*data", x) for x in names) if m}
-
-    gc.disable()  # nothing goes by chance
-    try:
-        before = shuffles()
-        out = jaccard.near_duplicates(docs)
-        left = shuffles() - before
-    finally:
-        gc.enable()
-    assert out.count() > 0
-    assert len(left) <= 8  # counts, of a row for each task or token
+    monkeypatch.setattr(jaccard, "landed", kept)
+    monkeypatch.setattr(components, "landed", kept)
+    assert jaccard.near_duplicates(docs).count() == docs.count()
+    assert all(freed.values()) and {"keys", "sets", "matrix", "tokens", "opened", "links", "edges"} <= set(freed)
 
 
 def test_jaccard_join_of_many_common_tokens(spark, monkeypatch):
